@@ -71,11 +71,13 @@ def detect_content_type(content: ColumnLike) -> Column:
     return F.when(is_html, "html").otherwise("text")
 
 
-def decode_entities(c: ColumnLike) -> Column:
-    """Character references, by name and by number; unknown ones are left as they are."""
-    text = as_column(c)
+# the references nearly every page uses; the rest go through the full table
+_COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
+_AMP = "\u0002"
+
+
+def _decode_rare(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in vocab.ENTITIES.items() for x in pair])
-    pieces = F.split(text, "&")
 
     def decode(piece: Column) -> Column:
         ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
@@ -85,12 +87,24 @@ def decode_entities(c: ColumnLike) -> Column:
         )
         valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
         by_code = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32"))
-        char = F.coalesce(F.when(ref.startswith("#"), by_code), F.element_at(names, ref))
+        char = F.when(ref.startswith("#"), by_code).when(ref != "", F.element_at(names, ref))
         rest = piece.substr(F.length(ref) + 2, F.length(piece))
-        return F.when((ref != "") & char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+        return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), piece))
+
+    return F.array_join(F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(decode(p))), "")
+
 
-    decoded = F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(decode(p))), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+def decode_entities(c: ColumnLike) -> Column:
+    """Character references, by name and by number; unknown ones are left as they are.
+
+    ``&amp;`` is set aside first, so that what it protects is not decoded twice.
+    """
+    text = as_column(c)
+    common = F.replace(text, F.lit("&amp;"), F.lit(_AMP))
+    for name, char in _COMMON.items():
+        common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
+    rare = let(common, lambda t: F.when(t.rlike("&[#A-Za-z]"), _decode_rare(t)).otherwise(t))
+    return F.when(text.contains("&"), F.translate(rare, _AMP, "&")).otherwise(text)
 
 
 def inner_text(markup: ColumnLike, separator: str = "") -> Column:
@@ -127,31 +141,45 @@ def html_elements(
     html: str = "html",
     selector: Selector = ACT_PAGES,
     separator: str = "",
-    keep_empty: bool = False,
+    nested: bool = False,
 ) -> DataFrame:
-    """One row per selected element: key, pos, tag, classes, kind, text, depth_change."""
-    pieces = F.split(without_hidden(html), selector.start_pattern())
-    rows = pages.select(key, F.posexplode(pieces).alias("pos", "piece")).where("pos > 0")
-    cut = F.instr("piece", ">")
-    head = F.when(cut > 0, F.col("piece").substr(F.lit(1), cut - 1)).otherwise(F.col("piece"))
-    rest = F.when(cut > 0, F.col("piece").substr(cut + 1, F.length("piece"))).otherwise("")
-    rows = rows.select(key, "pos", head.alias("head"), rest.alias("rest"))
-    attribute = F.regexp_extract("head", r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'/]+)", 1)
-    names = F.filter(F.split(F.btrim(attribute, F.lit("\"'")), r"\s+"), lambda c: c != "")
-    tag = F.lower(F.regexp_extract("head", r"^([A-Za-z][A-Za-z0-9]*)", 1))
-    opened = F.regexp_count("rest", F.lit(rf"(?i)<(?!(?:{_VOID})\b)[a-z][^>]*(?<!/)>"))
-    closed = F.regexp_count("rest", F.lit(rf"(?i)</(?!(?:{_VOID})\b)[a-z][^>]*>"))
-    own = F.when(tag.rlike(rf"^(?:{_VOID})$") | F.col("head").endswith("/"), 0).otherwise(1)
-    rows = rows.select(
-        key,
-        "pos",
-        tag.alias("tag"),
-        names.alias("classes"),
-        inner_text("rest", separator).alias("text"),
-        (own + opened - closed).alias("depth_change"),
+    """One row per selected element with text: key, pos, tag, classes, kind, text.
+
+    ``nested`` also keeps elements without text of their own, adds the text nodes joined by
+    blanks, and depth_change, the number of elements left open (or closed) by the stretch
+    of markup the row stands for.
+    """
+    pieces = let(
+        F.split(without_hidden(html), selector.start_pattern()),
+        lambda ps: F.transform(F.slice(ps, 2, F.size(ps) - 1), lambda p: _element(p, separator, nested)),
     )
+    # parsed before the rows are spread, so that no later filter makes Spark parse twice
+    rows = pages.select(key, F.posexplode(pieces).alias("at", "element"))
+    rows = rows.select(key, (F.col("at") + 1).alias("pos"), "element.*")
     rows = rows.withColumn("kind", classify_element("classes", "tag", selector))
-    return rows if keep_empty else rows.where(F.col("text") != "")
+    return rows if nested else rows.where(F.col("text") != "")
+
+
+def _element(piece: Column, separator: str, nested: bool) -> Column:
+    """struct(tag, classes, text[, depth_change]) of one piece, which starts just after its '<'."""
+    cut = F.instr(piece, F.lit(">"))
+    head = F.when(cut > 0, F.left(piece, cut - 1)).otherwise(piece)
+    rest = F.when(cut > 0, piece.substr(cut + 1, F.length(piece))).otherwise("")
+    return let(F.struct(head.alias("head"), rest.alias("rest")), lambda s: _parsed(s["head"], s["rest"], separator, nested))
+
+
+def _parsed(head: Column, rest: Column, separator: str, nested: bool) -> Column:
+    tag = F.lower(F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9]*)", 1))
+    attribute = F.regexp_extract(head, r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'/]+)", 1)
+    names = F.filter(F.split(F.btrim(attribute, F.lit("\"'")), r"\s+"), lambda c: c != "")
+    fields = [tag.alias("tag"), names.alias("classes"), inner_text(rest, separator).alias("text")]
+    if nested:
+        fields.append(inner_text(rest, " ").alias("spaced"))
+        opened = F.regexp_count(rest, F.lit(rf"(?i)<(?!(?:{_VOID})\b)[a-z][^>]*(?<!/)>"))
+        closed = F.regexp_count(rest, F.lit(rf"(?i)</(?!(?:{_VOID})\b)[a-z][^>]*>"))
+        own = F.when(tag.rlike(rf"^(?:{_VOID})$") | head.endswith("/"), 0).otherwise(1)
+        fields.append((own + opened - closed).alias("depth_change"))
+    return F.struct(*fields)
 
 
 def _in_order(key: str) -> Window:
@@ -218,7 +246,7 @@ def article_rows(
     rows = rows.withColumn("article_number", first_int("text"))
     if require_number:
         rows = rows.where(F.coalesce(F.col("article_number"), F.lit(0)) != 0)
-    return rows.drop("depth_change", "kind")
+    return rows.drop("depth_change", "spaced", "kind")
 
 
 # ---------------------------------------------------------------- bodies
@@ -278,15 +306,15 @@ def _body_segments(elements: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _texts(segments: Column, keep=None, separator: str = "") -> Column:
+def _texts(segments: Column, keep=None, separator: str = "", field: str = "text") -> Column:
     chosen = segments if keep is None else F.filter(segments, keep)
-    return F.array_join(F.transform(chosen, lambda s: s["text"]), separator)
+    return F.array_join(F.filter(F.transform(chosen, lambda s: s[field]), lambda t: t != ""), separator)
 
 
 def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
     """Body text and Markdown of each article: (key, article_pos, body, markdown).
 
-    ``elements`` must be read with ``keep_empty=True``: containers carry the nesting.
+    ``elements`` must be read with ``nested=True``: containers carry the nesting.
     Grouping is per part, then per article, so one group is one paragraph or one article.
     """
     segments = _body_segments(elements, key)
@@ -299,6 +327,7 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
                     F.struct(
                         "pos",
                         "text",
+                        "spaced",
                         "role",
                         F.col("item.pos").alias("item"),
                         F.col("item.name").alias("item_name"),
@@ -331,7 +360,8 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
     letters = F.filter(item_ids, lambda i: i["name"] == "S_LIT")
     points = F.filter(item_ids, lambda i: i["name"] == "S_PCT")
     loose = lambda s: s["item"].isNull() & (s["role"] != "label")
-    intro = normalize_references(_texts(seg, loose, " "))
+    spaced = _texts(seg, loose, " ", "spaced")
+    intro = normalize_references(spaced)
     lettered = F.concat_ws(
         "\n",
         F.when(intro != "", F.concat(intro, F.lit("\n"))),
@@ -342,7 +372,7 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
     numbered = F.when(complete, F.concat(F.lit("**"), label, F.lit("**\n\n"), content, F.lit("\n")))
     pointed = F.concat_ws(
         "\n",
-        F.when(_texts(seg, loose, " ") != "", F.concat(_texts(seg, loose, " "), F.lit("\n"))),
+        F.when(spaced != "", F.concat(spaced, F.lit("\n"))),
         F.nullif(F.array_join(F.transform(points, item_line), "\n"), F.lit("")),
     )
     parts = parts.select(
@@ -392,20 +422,24 @@ _DROPPED = r"(?is)<(script|style|nav|header|footer)\b[^>]*>.*?</\1\s*>|<!--.*?--
 
 def container_markup(html: ColumnLike, container: str) -> Column:
     """Markup from the start of the first matching container to its last closing tag, else NULL."""
+    name = container.lstrip("#.")
     if container.startswith("#"):
-        pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sid\s*=\s*[\"']?{container[1:]}[\"'\s>]"
+        pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sid\s*=\s*[\"']?{name}[\"'\s>]"
     elif container.startswith("."):
-        pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*[\"']?(?:[^\"'>]*\s)?{container[1:]}[\"'\s>]"
+        pattern = rf"(?is)<([a-z][a-z0-9]*)\b[^>]*\sclass\s*=\s*[\"']?(?:[^\"'>]*\s)?{name}[\"'\s>]"
     else:
-        pattern = rf"(?is)<({container})[\s>]"
+        pattern = rf"(?is)<({name})[\s>]"
     text = as_column(html)
     start = F.regexp_instr(text, F.lit(pattern))
-    tag = F.lower(F.regexp_extract(text, pattern, 1))
-    tail = text.substr(start, F.length(text))
-    closing = F.concat(F.lit("</"), tag)
-    last = F.length(tail) - F.instr(F.reverse(F.lower(tail)), F.reverse(closing)) - F.length(closing) + 2
-    bounded = F.when(F.instr(F.lower(tail), closing) > 0, tail.substr(F.lit(1), last - 1)).otherwise(tail)
-    return F.when(start > 0, bounded)
+    closing = F.concat(F.lit("</"), F.lower(F.regexp_extract(text, pattern, 1)))
+
+    def bounded(tail: Column) -> Column:
+        from_end = F.instr(F.reverse(F.lower(tail)), F.reverse(closing))
+        length = F.length(tail) - from_end - F.length(closing) + 1
+        return F.when(from_end > 0, tail.substr(F.lit(1), length)).otherwise(tail)
+
+    cut = F.when(start > 0, let(text.substr(start, F.length(text)), bounded))
+    return F.when(text.contains(name), cut)  # the plain substring test spares most regex runs
 
 
 def plain_text(
@@ -420,8 +454,15 @@ def plain_text(
     If none is that long, the last container present counts, or the whole page where
     there is none; a result of at most ``least`` characters is NULL.
     """
-    cleaned = F.regexp_replace(as_column(html), _DROPPED, "")
-    present = [inner_text(container_markup(cleaned, c), "\n") for c in containers]
-    long_enough = [F.when(F.length(text) > enough, text) for text in present]
-    text = F.coalesce(*long_enough, *reversed(present), inner_text(cleaned, "\n"))
-    return F.when(F.length(text) > least, text)
+
+    def choose(cleaned: Column) -> Column:
+        found = F.filter(F.array(*[container_markup(cleaned, c) for c in containers]), lambda m: m.isNotNull())
+        markups = F.when(F.size(found) > 0, found).otherwise(F.array(cleaned))
+        texts = F.transform(markups, lambda m: inner_text(m, "\n"))
+        return let(
+            texts,
+            lambda ts: F.coalesce(F.get(F.filter(ts, lambda t: F.length(t) > enough), F.lit(0)), F.element_at(ts, -1)),
+        )
+
+    chosen = let(F.regexp_replace(as_column(html), _DROPPED, ""), choose)
+    return let(chosen, lambda t: F.when(F.length(t) > least, t))
