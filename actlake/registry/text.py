@@ -96,9 +96,6 @@ def roman_in_text(spark, sf_dir):
     return rows.where(F.col("value").isNotNull())
 
 
-_GLUED = [("art", "art. "), ("alin", "alin. "), ("lit", "lit. "), ("cap", "cap. "), ("pct", "pct. ")]
-
-
 def _glue_sql(text: str) -> str:
     return f"replace(replace(replace(replace({text}, ' la ', ' laalin. '), ' de ', ' deart. '), ' and ', ')and '), ' the ', ' lab) ')"
 
@@ -137,14 +134,14 @@ def format_paragraphs_query(spark, sf_dir):
 @REGISTRY.query(
     "format_letters",
     f"""SELECT doc_id, CASE WHEN len(parts) = 0 THEN '' ELSE
-   {strip_sql("'Intro'")} || ':' || array_to_string([chr(10) || '  **' || chr(CAST(96 + i AS INTEGER)) || ')** ' || {strip_sql('parts[i]')} FOR i IN range(1, len(parts) + 1)], '') END AS text
-FROM (SELECT doc_id, [{strip_sql('p')} FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> ''][1:20] AS parts FROM documents
+   {strip_sql("'Intro'")} || ':' || array_to_string([chr(10) || '  **' || chr(CAST(97 + (i - 1) % 20 AS INTEGER)) || ')** ' || {strip_sql('parts[i]')} FOR i IN range(1, len(parts) + 1)], '') END AS text
+FROM (SELECT doc_id, [{strip_sql('p')} FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> ''] AS parts FROM documents
       WHERE len([p FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> '']) > 1)""",
 )
 def format_letters_query(spark, sf_dir):
-    """Lines of a text as lettered points a) to t) joined the way parsed bodies are."""
+    """All lines of a text as points lettered a) to t), then again from a), joined the way parsed bodies are."""
     lines = F.filter(F.split("text", "\n"), lambda p: F.length(F.regexp_replace(p, r"(?U)\s", "")) > 0)
-    points = F.transform(F.slice(lines, 1, 20), lambda p, i: F.concat(F.char(i + 97), F.lit(") "), p))
+    points = F.transform(lines, lambda p, i: F.concat(F.char(i % 20 + 97), F.lit(") "), p))
     rows = documents(spark, sf_dir).select("doc_id", F.size(lines).alias("n"), F.concat(F.lit("Intro "), F.array_join(points, ";...")).alias("text"))
     return rows.where("n > 1").select("doc_id", format_letters("text").alias("text"))
 
@@ -316,7 +313,7 @@ def act_metadata_typed(spark, sf_dir):
 
 @REGISTRY.query(
     "month_numbers",
-    f"SELECT event_id, CASE WHEN event_id % 13 < 12 THEN CAST(event_id % 13 + 1 AS INTEGER) END AS month FROM events, (SELECT {_MONTHS_SQL} AS m)",
+    "SELECT event_id, CASE WHEN event_id % 13 < 12 THEN CAST(event_id % 13 + 1 AS INTEGER) END AS month FROM events",
 )
 def month_numbers(spark, sf_dir):
     names = F.array(*[F.lit(m.title()) for m in _MONTHS_SQL.strip("[]").replace("'", "").split(",")], F.lit("brumar"))

@@ -62,7 +62,7 @@ def compare(spark, connection, name, registered, sf_dir):
     for a, b in zip(got, want):
         if a != b:
             return f"{a}\n     != {b}"[:3000]
-    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
+    types = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
     described = {d[0]: str(d[1]) for d in cursor.description}
     odd = [f"{c}: {t} vs {described[c]}" for c, t in frame.dtypes if types.get(t) != described[c]]
     return f"types {odd}" if odd else ("no rows" if not rows else None)
