@@ -1,3 +1,560 @@
+"""Version comparison, table changes and streams."""
+
+from __future__ import annotations
+
+import tempfile
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.similarity import levenshtein_similarity
+from ..operators import diff as d
+from ..operators import tables
+from ..streaming import jobs
 from . import Registry
+from .bind import (
+    ACT_CATEGORIES_SQL,
+    CATEGORIES_SQL,
+    DOC_LINES_SQL,
+    LINE_ARTICLES_SQL,
+    ORDER_ACTS_SQL,
+    act_categories,
+    categories,
+    doc_lines,
+    line_articles,
+    order_acts,
+    table,
+    with_ctes,
+)
 
 REGISTRY = Registry()
+
+TS = datetime(2025, 1, 1)
+TS_SQL = "TIMESTAMP '2025-01-01 00:00:00'"
+
+# the new version: by act, nothing, dropped lines, changed lines, an inserted line, lost numbers
+OLD_SQL = DOC_LINES_SQL.replace("articles AS (", "old AS (", 1)
+NEW_SQL = """new AS (
+  SELECT act_id, article_id + 500000 AS article_id, ordinal,
+         CASE WHEN act_id % 5 = 4 AND ordinal % 2 = 0 THEN NULL ELSE article_number END AS article_number,
+         CASE WHEN act_id % 5 = 2 AND ordinal % 3 = 0 THEN text || ' amended' ELSE text END AS text
+  FROM old WHERE NOT (act_id % 5 = 1 AND ordinal % 4 = 0)
+  UNION ALL SELECT doc_id, doc_id * 1000000 + 900000, 900000, 'new', 'Inserted article' FROM documents WHERE doc_id % 5 = 3)"""
+DIFF_SQL = """ow AS (SELECT act_id, article_number, article_id FROM (SELECT *, row_number() OVER (PARTITION BY act_id, article_number ORDER BY ordinal DESC, article_id DESC) AS rn FROM old WHERE coalesce(article_number, '') <> '') WHERE rn = 1),
+nw AS (SELECT act_id, article_number, article_id FROM (SELECT *, row_number() OVER (PARTITION BY act_id, article_number ORDER BY ordinal DESC, article_id DESC) AS rn FROM new WHERE coalesce(article_number, '') <> '') WHERE rn = 1),
+p1 AS (SELECT ow.article_id AS oid, nw.article_id AS nid FROM ow JOIN nw ON ow.act_id = nw.act_id AND ow.article_number = nw.article_number),
+ro AS (SELECT act_id, ordinal, article_id FROM (SELECT *, row_number() OVER (PARTITION BY act_id, ordinal ORDER BY article_id DESC) AS rn FROM old WHERE article_id NOT IN (SELECT oid FROM p1)) WHERE rn = 1),
+rn AS (SELECT act_id, ordinal, article_id FROM (SELECT *, row_number() OVER (PARTITION BY act_id, ordinal ORDER BY article_id DESC) AS rn FROM new WHERE article_id NOT IN (SELECT nid FROM p1)) WHERE rn = 1),
+pairs AS (SELECT * FROM p1 UNION ALL SELECT ro.article_id, rn.article_id FROM ro JOIN rn ON ro.act_id = rn.act_id AND ro.ordinal = rn.ordinal),
+diff AS (
+  SELECT o.act_id, CASE WHEN o.text <> n.text THEN 'modified' ELSE 'unchanged' END AS change_type, o.article_id AS old_article_id, n.article_id AS new_article_id,
+         coalesce(NULLIF(n.article_number, ''), o.article_number) AS article_number, o.text AS old_text, n.text AS new_text, o.issue AS old_issue, o.ordinal AS ordinal
+  FROM pairs JOIN old o ON pairs.oid = o.article_id JOIN new n ON pairs.nid = n.article_id
+  UNION ALL SELECT act_id, 'deleted', article_id, NULL, article_number, text, NULL, issue, ordinal FROM old WHERE article_id NOT IN (SELECT oid FROM pairs)
+  UNION ALL SELECT act_id, 'added', NULL, article_id, article_number, NULL, text, NULL, ordinal FROM new WHERE article_id NOT IN (SELECT nid FROM pairs))"""
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    old = doc_lines(spark, sf_dir).select("act_id", "article_id", "ordinal", "article_number", "text", "issue", "explanation")
+    act, line = F.col("act_id"), F.col("ordinal")
+    kept = old.where(~((act % 5 == 1) & (line % 4 == 0))).select(
+        "act_id",
+        (F.col("article_id") + 500000).alias("article_id"),
+        "ordinal",
+        F.when(~((act % 5 == 4) & (line % 2 == 0)), F.col("article_number")).alias("article_number"),
+        F.when((act % 5 == 2) & (line % 3 == 0), F.concat("text", F.lit(" amended"))).otherwise(F.col("text")).alias("text"),
+    )
+    inserted = table(spark, sf_dir, "documents").where("doc_id % 5 = 3").select(
+        F.col("doc_id").alias("act_id"),
+        (F.col("doc_id") * 1000000 + 900000).alias("article_id"),
+        F.lit(900000).alias("ordinal"),
+        F.lit("new").alias("article_number"),
+        F.lit("Inserted article").alias("text"),
+    )
+    return old, kept.unionByName(inserted)
+
+
+def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return d.diff_articles(*_versions(spark, sf_dir), threshold=1.0, with_similarity=False)
+
+
+@REGISTRY.query(
+    "diff_classify",
+    with_ctes(
+        OLD_SQL,
+        NEW_SQL,
+        DIFF_SQL,
+        body="""SELECT act_id, change_type, old_article_id, new_article_id, article_number, CASE WHEN change_type <> 'unchanged' THEN old_text END AS old_text,
+  CASE WHEN change_type <> 'unchanged' THEN new_text END AS new_text FROM diff""",
+    ),
+)
+def diff_classify(spark, sf_dir):
+    """Every difference counts (threshold 1), so the whole comparison stays in the JVM."""
+    return _diff(spark, sf_dir).select(
+        "act_id", "change_type", "old_article_id", "new_article_id", "article_number", "old_text", "new_text"
+    )
+
+
+@REGISTRY.query("diff_similarity")
+def diff_similarity(spark, sf_dir):
+    """The same comparison with the similarity threshold of imports."""
+    rows = d.diff_articles(*_versions(spark, sf_dir), threshold=0.95)
+    return rows.select("act_id", "change_type", "old_article_id", "new_article_id", F.round("similarity", 6).alias("similarity"))
+
+
+_SUMMARY_SQL = """summary AS (SELECT act_id, count(*) FILTER (WHERE change_type = 'added') AS n_added, count(*) FILTER (WHERE change_type = 'modified') AS n_modified,
+  count(*) FILTER (WHERE change_type = 'deleted') AS n_deleted, count(*) FILTER (WHERE change_type = 'unchanged') AS n_unchanged,
+  count(*) FILTER (WHERE change_type IN ('added', 'modified', 'deleted')) AS n_changes, count(*) FILTER (WHERE change_type IN ('added', 'modified')) AS n_relabel FROM diff GROUP BY act_id)"""
+
+
+@REGISTRY.query("diff_summary", with_ctes(OLD_SQL, NEW_SQL, DIFF_SQL, _SUMMARY_SQL, body="SELECT * FROM summary"))
+def diff_summary(spark, sf_dir):
+    return d.diff_summary(_diff(spark, sf_dir))
+
+
+@REGISTRY.query(
+    "next_versions",
+    with_ctes(
+        OLD_SQL,
+        NEW_SQL,
+        DIFF_SQL,
+        _SUMMARY_SQL,
+        body="""SELECT s.act_id, CAST(CASE WHEN act_id % 3 = 0 THEN 1 ELSE act_id % 4 + 2 END AS INTEGER) AS version,
+  CASE WHEN act_id % 3 = 0 THEN 'initial' WHEN n_changes < n_unchanged + n_modified + n_deleted THEN 'update_partial' ELSE 'update_full' END AS kind,
+  n_added, n_modified, n_deleted, n_unchanged + n_modified + n_added AS n_articles FROM summary s""",
+    ),
+)
+def next_versions(spark, sf_dir):
+    stored = table(spark, sf_dir, "documents").where("doc_id % 3 > 0").select(
+        F.col("doc_id").alias("act_id"), (F.col("doc_id") % 4 + 1).cast("int").alias("version")
+    )
+    return d.next_versions(d.diff_summary(_diff(spark, sf_dir)), stored)
+
+
+@REGISTRY.query(
+    "change_log",
+    with_ctes(
+        OLD_SQL,
+        NEW_SQL,
+        DIFF_SQL,
+        body="""SELECT act_id, CASE WHEN change_type = 'deleted' THEN old_article_id ELSE new_article_id END AS article_id, article_number, change_type, ordinal,
+  CASE WHEN change_type <> 'added' THEN old_text END AS old_text, CASE WHEN change_type <> 'added' THEN old_issue END AS old_issue, CASE WHEN change_type <> 'deleted' THEN new_text END AS new_text,
+  change_type <> 'deleted' AS needs_relabel FROM diff WHERE change_type <> 'unchanged'""",
+    ),
+)
+def change_log(spark, sf_dir):
+    return d.change_log(_diff(spark, sf_dir)).select(
+        "act_id", "article_id", "article_number", "change_type", "ordinal", "old_text", "old_issue", "new_text", "needs_relabel"
+    )
+
+
+@REGISTRY.query(
+    "relabel_payloads",
+    with_ctes(
+        OLD_SQL,
+        NEW_SQL,
+        DIFF_SQL,
+        body="""SELECT new_article_id AS article_id, change_type, CASE WHEN change_type = 'modified' THEN old_text END AS old_text, new_text FROM diff WHERE change_type IN ('added', 'modified')""",
+    ),
+)
+def relabel_payloads(spark, sf_dir):
+    queue = d.relabel_queue(d.change_log(_diff(spark, sf_dir)))
+    rows = queue.select("article_id", d.relabel_payload(queue).alias("p"))
+    at = lambda path: F.get_json_object("p", path)
+    return rows.select("article_id", at("$.change_type").alias("change_type"), at("$.old.text").alias("old_text"), at("$.new.text").alias("new_text"))
+
+
+@REGISTRY.query(
+    "version_history",
+    "SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS version FROM (SELECT DISTINCT user_id, ts FROM events)",
+)
+def version_history(spark, sf_dir):
+    return d.version_history(table(spark, sf_dir, "events").select("user_id", "ts"), act="user_id")
+
+
+@REGISTRY.query(
+    "similarity_lev",
+    "SELECT p_partkey, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type))::DOUBLE, 6) AS similarity FROM part",
+)
+def similarity_lev(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(levenshtein_similarity("p_name", "p_type"), 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- table changes
+
+
+@REGISTRY.query(
+    "upsert_acts",
+    with_ctes(
+        ORDER_ACTS_SQL,
+        """target AS (SELECT act_id, act_type, title, CAST(act_id % 3 + 1 AS INTEGER) AS version, created_at FROM acts WHERE act_id % 3 > 0)""",
+        """source AS (SELECT act_id, 'NEW' AS act_type, upper(title) AS title, created_at FROM acts WHERE act_id % 2 = 0)""",
+        body=f"""SELECT coalesce(t.act_id, s.act_id) AS act_id, CASE WHEN s.act_id IS NOT NULL THEN s.act_type ELSE t.act_type END AS act_type,
+  CASE WHEN s.act_id IS NOT NULL THEN s.title ELSE t.title END AS title,
+  CAST(CASE WHEN t.act_id IS NULL THEN 1 WHEN s.act_id IS NULL THEN t.version ELSE t.version + 1 END AS INTEGER) AS version,
+  coalesce(t.created_at, s.created_at) AS created_at FROM target t FULL JOIN source s ON t.act_id = s.act_id""",
+    ),
+)
+def upsert_acts(spark, sf_dir):
+    acts = order_acts(spark, sf_dir)
+    target = acts.where("act_id % 3 > 0").select(
+        "act_id", "act_type", "title", (F.col("act_id") % 3 + 1).cast("int").alias("version"), "created_at"
+    )
+    source = acts.where("act_id % 2 = 0").select("act_id", F.lit("NEW").alias("act_type"), F.upper("title").alias("title"), "created_at")
+    return tables.upsert(target, source, "act_id")
+
+
+@REGISTRY.query(
+    "insert_if_absent",
+    "SELECT doc_id, 'inserted' AS outcome FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'rejected' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
+)
+def insert_if_absent(spark, sf_dir):
+    inserted, rejected = tables.insert_if_absent(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
+    return inserted.select("doc_id", F.lit("inserted").alias("outcome")).unionByName(
+        rejected.select("doc_id", F.lit("rejected").alias("outcome"))
+    )
+
+
+@REGISTRY.query(
+    "partial_update",
+    with_ctes(
+        ORDER_ACTS_SQL,
+        body=f"""SELECT act_id, CASE WHEN act_id % 4 = 0 THEN 'patched' ELSE title END AS title, CASE WHEN act_id % 4 < 2 AND act_id % 8 < 2 THEN NULL ELSE issuer END AS issuer,
+  CASE WHEN act_id % 4 < 2 THEN {TS_SQL} ELSE created_at END AS created_at FROM acts""",
+    ),
+)
+def partial_update(spark, sf_dir):
+    acts = order_acts(spark, sf_dir).select("act_id", "title", "issuer", "created_at")
+    patch = acts.where("act_id % 4 < 2").select(
+        "act_id",
+        F.when(F.col("act_id") % 4 == 0, "patched").alias("title"),
+        F.lit(None).cast("string").alias("issuer"),
+        (F.col("act_id") % 8 < 2).alias("has_issuer"),
+    )
+    return tables.partial_update(acts, patch, "act_id", touched="created_at", ts=TS)
+
+
+_UPDATES_SQL = """updates AS (SELECT event_id AS seq, user_id * 1000000 + event_id % 9 + 1 AS article_id, event_id % 2 = 0 AS has_issue, event_type AS issue, event_id % 3 = 0 AS has_explanation,
+   CASE WHEN event_id % 6 > 0 THEN props END AS explanation FROM events)"""
+
+
+def _updates(spark, sf_dir):
+    event = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        event.alias("seq"),
+        (F.col("user_id") * 1000000 + event % 9 + 1).alias("article_id"),
+        (event % 2 == 0).alias("has_issue"),
+        F.col("event_type").alias("issue"),
+        (event % 3 == 0).alias("has_explanation"),
+        F.when(event % 6 > 0, F.col("props")).alias("explanation"),
+    )
+
+
+@REGISTRY.query(
+    "batch_update_labels",
+    with_ctes(
+        DOC_LINES_SQL,
+        _UPDATES_SQL,
+        "i AS (SELECT article_id, arg_max_null(issue, seq) AS issue FROM updates WHERE has_issue GROUP BY article_id)",
+        "e AS (SELECT article_id, arg_max_null(explanation, seq) AS explanation FROM updates WHERE has_explanation GROUP BY article_id)",
+        body="""SELECT r.article_id, CASE WHEN i.article_id IS NOT NULL THEN i.issue ELSE r.issue END AS issue, CASE WHEN e.article_id IS NOT NULL THEN e.explanation ELSE r.explanation END AS explanation
+FROM articles r LEFT JOIN i ON r.article_id = i.article_id LEFT JOIN e ON r.article_id = e.article_id""",
+    ),
+)
+def batch_update_labels(spark, sf_dir):
+    updated, _, _ = tables.batch_update_labels(doc_lines(spark, sf_dir), _updates(spark, sf_dir))
+    return updated.select("article_id", "issue", "explanation")
+
+
+@REGISTRY.query(
+    "batch_update_counts",
+    with_ctes(
+        DOC_LINES_SQL,
+        _UPDATES_SQL,
+        body="""SELECT count(*) FILTER (WHERE article_id IN (SELECT article_id FROM articles)) AS updated, count(*) AS total,
+  count(*) FILTER (WHERE article_id NOT IN (SELECT article_id FROM articles)) AS n_missing FROM updates""",
+    ),
+)
+def batch_update_counts(spark, sf_dir):
+    return tables.batch_update_labels(doc_lines(spark, sf_dir), _updates(spark, sf_dir))[2]
+
+
+@REGISTRY.query(
+    "update_labels",
+    with_ctes(
+        DOC_LINES_SQL,
+        body="SELECT article_id, CASE WHEN ordinal % 2 = 0 THEN 'set' ELSE issue END AS issue, CASE WHEN ordinal % 2 > 0 THEN explanation END AS explanation FROM articles",
+    ),
+)
+def update_labels(spark, sf_dir):
+    articles = doc_lines(spark, sf_dir)
+    updates = articles.where("ordinal % 2 = 0").select("article_id", F.lit("set").alias("issue"), F.lit(None).cast("string").alias("explanation"))
+    return tables.update_labels(articles, updates).select("article_id", "issue", "explanation")
+
+
+@REGISTRY.query(
+    "delete_cascade",
+    """SELECT 'acts' AS table_name, o_orderkey AS act_id, CAST(NULL AS BIGINT) AS article_id FROM orders WHERE o_orderkey % 10 > 0
+UNION ALL SELECT 'articles', l_orderkey, l_orderkey * 10 + l_linenumber FROM lineitem WHERE l_orderkey % 10 > 0
+UNION ALL SELECT 'changes', user_id,
+  CASE WHEN (event_id % 50) % 10 > 0 OR NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = event_id % 50 AND l.l_linenumber = 1) THEN (event_id % 50) * 10 + 1 END
+FROM events WHERE user_id % 10 > 0""",
+)
+def delete_cascade(spark, sf_dir):
+    """Every tenth act goes, with its articles and changes; changes of other acts lose dead article ids."""
+    acts, articles = order_acts(spark, sf_dir).select("act_id"), line_articles(spark, sf_dir).select("act_id", "article_id")
+    changes = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("act_id"), ((F.col("event_id") % 50) * 10 + 1).alias("article_id")
+    )
+    left = tables.delete_cascade(
+        {"acts": acts, "articles": articles, "changes": changes},
+        acts.where("act_id % 10 = 0"),
+        set_null={"changes": ("article_id", articles)},
+    )
+    rows = [
+        left["acts"].select(F.lit("acts").alias("table_name"), "act_id", F.lit(None).cast("long").alias("article_id")),
+        left["articles"].select(F.lit("articles").alias("table_name"), "act_id", "article_id"),
+        left["changes"].select(F.lit("changes").alias("table_name"), "act_id", "article_id"),
+    ]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@REGISTRY.query(
+    "delete_articles",
+    with_ctes(LINE_ARTICLES_SQL, body="SELECT act_id, article_id FROM articles WHERE article_id NOT IN (SELECT article_id FROM articles WHERE ai_status = 'error')"),
+)
+def delete_articles(spark, sf_dir):
+    articles = line_articles(spark, sf_dir)
+    return tables.delete_rows(articles, articles.where("ai_status = 'error'"), "article_id").select("act_id", "article_id")
+
+
+@REGISTRY.query(
+    "replace_children",
+    with_ctes(
+        DOC_LINES_SQL,
+        body="SELECT act_id, text FROM articles WHERE act_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'labelled ' || CAST(quality AS VARCHAR) FROM labels",
+    ),
+)
+def replace_children(spark, sf_dir):
+    new = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("act_id"), F.concat(F.lit("labelled "), F.col("quality").cast("string")).alias("text")
+    )
+    return tables.replace_children(doc_lines(spark, sf_dir).select("act_id", "text"), new)
+
+
+@REGISTRY.query("backfill", with_ctes(DOC_LINES_SQL, body="SELECT article_id, coalesce(summary, explanation) AS summary FROM articles"))
+def backfill(spark, sf_dir):
+    return tables.backfill(doc_lines(spark, sf_dir)).select("article_id", "summary")
+
+
+@REGISTRY.query(
+    "touch_updated_at",
+    with_ctes(ORDER_ACTS_SQL, body=f"SELECT act_id, CASE WHEN ai_status = 'pending' THEN {TS_SQL} ELSE created_at END AS updated_at FROM acts"),
+)
+def touch_updated_at(spark, sf_dir):
+    acts = order_acts(spark, sf_dir).withColumn("updated_at", F.col("created_at"))
+    return tables.touch(acts, F.col("ai_status") == "pending", TS).select("act_id", "updated_at")
+
+
+# requests for pairs: an event asks for (user, k % 25); pairs held are those of lineitem
+_REQUESTS_SQL = """requests AS (SELECT user_id AS act_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 25 + 1 AS category_id FROM events)"""
+
+
+def _requests(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("act_id"), (k % 25 + 1).alias("category_id"))
+
+
+@REGISTRY.query(
+    "link_categories",
+    with_ctes(ACT_CATEGORIES_SQL, CATEGORIES_SQL, _REQUESTS_SQL, body="SELECT act_id, category_id FROM act_categories UNION SELECT act_id, category_id FROM requests"),
+)
+def link_categories(spark, sf_dir):
+    return tables.link_pairs(act_categories(spark, sf_dir), _requests(spark, sf_dir), ("act_id", "category_id"))[0]
+
+
+@REGISTRY.query(
+    "link_categories_counts",
+    with_ctes(
+        ACT_CATEGORIES_SQL,
+        _REQUESTS_SQL,
+        """fresh AS (SELECT count(*) AS n FROM (SELECT act_id, category_id FROM requests EXCEPT SELECT act_id, category_id FROM act_categories))""",
+        body="SELECT n AS added, (SELECT count(*) FROM requests) - n AS skipped FROM fresh",
+    ),
+)
+def link_categories_counts(spark, sf_dir):
+    return tables.link_pairs(act_categories(spark, sf_dir), _requests(spark, sf_dir), ("act_id", "category_id"))[1]
+
+
+@REGISTRY.query(
+    "unlink_categories",
+    with_ctes(ACT_CATEGORIES_SQL, _REQUESTS_SQL, body="SELECT act_id, category_id FROM act_categories EXCEPT SELECT act_id, category_id FROM requests"),
+)
+def unlink_categories(spark, sf_dir):
+    return tables.unlink_pairs(act_categories(spark, sf_dir), _requests(spark, sf_dir), ("act_id", "category_id"))[0]
+
+
+@REGISTRY.query(
+    "unlink_categories_count",
+    with_ctes(ACT_CATEGORIES_SQL, _REQUESTS_SQL, body="SELECT count(*) AS removed FROM (SELECT act_id, category_id FROM act_categories INTERSECT SELECT act_id, category_id FROM requests)"),
+)
+def unlink_categories_count(spark, sf_dir):
+    return tables.unlink_pairs(act_categories(spark, sf_dir), _requests(spark, sf_dir), ("act_id", "category_id"))[1]
+
+
+@REGISTRY.query(
+    "replace_categories",
+    with_ctes(
+        ACT_CATEGORIES_SQL,
+        CATEGORIES_SQL,
+        _REQUESTS_SQL,
+        body="""SELECT act_id, category_id FROM act_categories WHERE act_id NOT IN (SELECT act_id FROM requests) OR category_id NOT IN (SELECT category_id FROM categories WHERE is_active)
+UNION SELECT act_id, category_id FROM requests""",
+    ),
+)
+def replace_categories(spark, sf_dir):
+    return tables.replace_pairs(act_categories(spark, sf_dir), _requests(spark, sf_dir), categories(spark, sf_dir))
+
+
+def _remote(spark, sf_dir):
+    """The feed: one category in seven is gone, some have new names, three are new."""
+    n = F.col("category_id")
+    held = categories(spark, sf_dir).where(n % 7 > 0).select(
+        "remote_id", F.when(n % 4 == 0, F.upper("name")).otherwise(F.col("name")).alias("name"), "slug", "description", "color", "icon"
+    )
+    new = categories(spark, sf_dir).where("category_id <= 3").select(
+        (F.col("remote_id") + 900).alias("remote_id"), F.concat(F.lit("new "), "name").alias("name"), "slug", "description", "color", "icon"
+    )
+    return held.unionByName(new)
+
+
+_REMOTE_SQL = """feed AS (SELECT remote_id, CASE WHEN category_id % 4 = 0 THEN upper(name) ELSE name END AS name, description, color FROM categories WHERE category_id % 7 > 0
+  UNION ALL SELECT remote_id + 900, 'new ' || name, description, color FROM categories WHERE category_id <= 3)"""
+
+
+@REGISTRY.query(
+    "sync_categories",
+    with_ctes(
+        CATEGORIES_SQL,
+        _REMOTE_SQL,
+        body="""SELECT coalesce(l.remote_id, r.remote_id) AS remote_id, CASE WHEN r.remote_id IS NOT NULL THEN r.name ELSE l.name END AS name,
+  CASE WHEN r.remote_id IS NOT NULL THEN true ELSE false END AS is_active,
+  CASE WHEN l.remote_id IS NULL THEN 'created' WHEN r.remote_id IS NULL THEN CASE WHEN l.is_active THEN 'deactivated' ELSE 'kept' END
+       WHEN l.name <> r.name OR NOT l.is_active THEN 'updated' ELSE 'touched' END AS action
+FROM categories l FULL JOIN feed r ON l.remote_id = r.remote_id""",
+    ),
+)
+def sync_categories(spark, sf_dir):
+    return tables.sync_categories(categories(spark, sf_dir), _remote(spark, sf_dir), ts=TS).select("remote_id", "name", "is_active", "action")
+
+
+@REGISTRY.query(
+    "sync_act_categories",
+    with_ctes(
+        CATEGORIES_SQL,
+        body="""SELECT o_orderkey AS act_id, count(c.category_id) AS n_matched FROM
+ (SELECT o_orderkey, unnest([o_orderkey % 30 + 101, o_custkey % 30 + 101, 9999]) AS remote_id FROM orders) r LEFT JOIN categories c ON r.remote_id = c.remote_id AND c.is_active GROUP BY 1""",
+    ),
+)
+def sync_act_categories(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("act_id"),
+        F.array(F.col("o_orderkey") % 30 + 101, F.col("o_custkey") % 30 + 101, F.lit(9999).cast("long")).alias("remote_ids"),
+    )
+    return tables.sync_act_categories(act_categories(spark, sf_dir), wanted, categories(spark, sf_dir))[1]
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(spark: SparkSession, sf_dir: str, run) -> DataFrame:
+    """Run a query over the events file as a stream to its end and read its result."""
+    schema = table(spark, sf_dir, "events").schema
+    reader = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet")
+    work = tempfile.mkdtemp(prefix="actlake-stream-")
+    return run(reader.load(sf_dir), work)
+
+
+def _last_table(spark: SparkSession, stream: DataFrame, work: str, mode: str, keys: list[str]) -> DataFrame:
+    """Result of an aggregating stream: each batch's changed rows are written, the newest per key counts."""
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{work}/out/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(handle)
+        .outputMode(mode)
+        .option("checkpointLocation", f"{work}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    written = spark.read.parquet(f"{work}/out").drop("batch")
+    values = [c for c in written.columns if c not in (*keys, "_batch")]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
+    return newest.select(*keys, "v.*")
+
+
+@REGISTRY.query(
+    "status_latest",
+    "SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+)
+def status_latest(spark, sf_dir):
+    """Current status per entity from the event stream, in update mode."""
+
+    def run(events, work):
+        state = jobs.current_status(events, key="user_id", status="event_type")
+        return _last_table(spark, state, work, "update", ["user_id"])
+
+    return _stream(spark, sf_dir, run)
+
+
+@REGISTRY.query("stream_status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stream_status_counts(spark, sf_dir):
+    def run(events, work):
+        counts = jobs.status_counts(events, status="event_type")
+        return _last_table(spark, counts, work, "complete", ["event_type"])
+
+    return _stream(spark, sf_dir, run)
+
+
+@REGISTRY.query("stream_ingest", "SELECT event_id, event_type, value FROM events")
+def stream_ingest(spark, sf_dir):
+    """New files appended to a table exactly once."""
+
+    def run(events, work):
+        jobs.ingest(events, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+        return spark.read.parquet(f"{work}/out").select("event_id", "event_type", "value")
+
+    return _stream(spark, sf_dir, run)
+
+
+@REGISTRY.query("stream_drain", "SELECT user_id, count(*) AS n_pending FROM events WHERE event_type = 'error' GROUP BY user_id")
+def stream_drain(spark, sf_dir):
+    """A work queue taken in bounded batches; results of all batches are summed."""
+
+    def run(events, work):
+        def pending(batch):
+            return batch.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
+
+        jobs.drain(events, pending, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+        return spark.read.parquet(f"{work}/out").groupBy("user_id").agg(F.sum("n").alias("n_pending"))
+
+    return _stream(spark, sf_dir, run)
+
+
+@REGISTRY.query("stream_outbox", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_outbox(spark, sf_dir):
+    """One package per (act, status), however often the event comes."""
+
+    def run(events, work):
+        once = jobs.first_of_each(events, ["user_id", "event_type"], delay=None)
+
+        def build(batch):
+            return batch.select("user_id", "event_type")
+
+        jobs.outbox(once, f"{work}/out", f"{work}/checkpoint", keys=["user_id", "event_type"], build=build).awaitTermination()
+        return spark.read.schema("user_id long, event_type string").json(f"{work}/out").select("user_id", "event_type")
+
+    return _stream(spark, sf_dir, run)
