@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import ColumnLike, as_column, comma_below, first_int, found, month_number, year_of
+from .text import ColumnLike, as_column, comma_below, first_int, found, groups, let, month_number, year_of
 
 _I = "(?iuU)"  # case-insensitive, with letters outside ASCII
 
 
 def act_type(designation: ColumnLike, vocabulary: tuple[str, ...] = vocab.ACT_TYPES) -> Column:
     """First vocabulary entry contained in the text, in vocabulary order."""
-    upper = F.upper(comma_below(designation))
-    return F.coalesce(*[F.when(upper.contains(entry.upper()), entry) for entry in vocabulary])
+
+    def choose(upper: Column) -> Column:
+        return F.coalesce(*[F.when(upper.contains(entry.upper()), entry) for entry in vocabulary])
+
+    return let(F.upper(comma_below(designation)), choose)
 
 
 def normal_type(matched: Column) -> Column:
@@ -39,52 +42,83 @@ def _real_date(day: Column, month: Column, year: Column) -> Column:
     return F.when(month_number(month).isNotNull(), parsed)
 
 
+def _part(found: Column, i: int) -> Column:
+    return F.get(found, F.lit(i))
+
+
 def basic_metadata(designation: ColumnLike, header: ColumnLike) -> Column:
     """struct(act_type, act_number, act_year, act_date, title) from one numbered, dated pattern."""
-    text = as_column(designation)
     pattern = _I + r"nr\.?\s*(\d+)\s+din\s+(\d+)\s+(\w+)\s+(\d{4})"
-    group = lambda i: found(text, pattern, i)
-    return F.struct(
-        act_type(text).alias("act_type"),
-        group(1).try_cast("int").alias("act_number"),
-        group(4).try_cast("int").alias("act_year"),
-        _day_month_year(group(2), group(3), group(4), pad=False).alias("act_date"),
-        as_column(header).alias("title"),
-    )
+
+    def fields(text: Column, g: Column) -> Column:
+        return F.struct(
+            act_type(text).alias("act_type"),
+            _part(g, 0).try_cast("int").alias("act_number"),
+            _part(g, 3).try_cast("int").alias("act_year"),
+            _day_month_year(_part(g, 1), _part(g, 2), _part(g, 3), pad=False).alias("act_date"),
+            as_column(header).alias("title"),
+        )
+
+    return let(as_column(designation), lambda text: let(groups(text, pattern, 4), lambda g: fields(text, g)))
 
 
 def full_metadata(
     designation: ColumnLike, header: ColumnLike, issuer: ColumnLike, publication: ColumnLike
 ) -> Column:
     """Three designation patterns in order; ``nr. N/YYYY`` is dated 1 January and flagged approximate."""
-    text, pub = comma_below(designation), as_column(publication)
     dated = _I + rf"({vocab.TYPE_PATTERN})\s+nr\.?\s*(\d+)\s+din\s+(\d{{1,2}})\s+(\w+)\s+(\d{{4}})"
     short = _I + rf"({vocab.TYPE_PATTERN})\s+nr\.?\s*(\d+)/(\d{{4}})"
     bare = _I + rf"({vocab.UNNUMBERED_TYPE_PATTERN})\s+din\s+(\d{{1,2}})\s+(\w+)\s+(\d{{4}})"
 
-    def by_pattern(on_dated: Column, on_short: Column, on_bare: Column) -> Column:
-        return (
-            F.when(text.rlike(dated), on_dated).when(text.rlike(short), on_short).when(text.rlike(bare), on_bare)
+    def parts(found: Column, kind: Column, number: Column, date: Column, approximate: bool) -> Column:
+        return F.when(
+            found.isNotNull(),
+            F.struct(
+                kind.alias("kind"), number.alias("number"), date.alias("date"), F.lit(approximate).alias("approximate")
+            ),
+        )
+
+    def by_dated(g: Column) -> Column:
+        date = _day_month_year(_part(g, 2), _part(g, 3), _part(g, 4), pad=True)
+        return parts(g, _part(g, 0), _part(g, 1), date, False)
+
+    def by_short(g: Column) -> Column:
+        return parts(g, _part(g, 0), _part(g, 1), F.concat(F.lit("01/01/"), _part(g, 2)), True)
+
+    def by_bare(g: Column) -> Column:
+        date = _day_month_year(_part(g, 1), _part(g, 2), _part(g, 3), pad=True)
+        return parts(g, _part(g, 0), F.lit(None).cast("string"), date, False)
+
+    def first_match(text: Column) -> Column:
+        return F.coalesce(
+            let(groups(text, dated, 5), by_dated), let(groups(text, short, 3), by_short), let(groups(text, bare, 4), by_bare)
         )
 
-    act_date = by_pattern(
-        _day_month_year(found(text, dated, 3), found(text, dated, 4), found(text, dated, 5), pad=True),
-        F.concat(F.lit("01/01/"), found(text, short, 3)),
-        _day_month_year(found(text, bare, 2), found(text, bare, 3), found(text, bare, 4), pad=True),
-    )
     published = _I + r"din\s+(\d+)\s+(\w+)\s+(\d{4})"
-    gazette_date = _day_month_year(found(pub, published, 1), found(pub, published, 2), found(pub, published, 3), True)
-    return F.struct(
-        normal_type(by_pattern(found(text, dated, 1), found(text, short, 1), found(text, bare, 1))).alias("act_type"),
-        by_pattern(found(text, dated, 2), found(text, short, 2), F.lit(None)).try_cast("int").alias("act_number"),
-        act_date.alias("act_date"),
-        year_of(act_date).alias("act_year"),
-        F.coalesce(~text.rlike(dated) & text.rlike(short), F.lit(False)).alias("date_is_approximate"),
-        as_column(header).alias("title"),
-        as_column(issuer).alias("issuer"),
-        found(pub, _I + r"nr\.?\s*(\d+)").try_cast("int").alias("gazette_nr"),
-        gazette_date.alias("gazette_date"),
-        year_of(gazette_date).alias("gazette_year"),
+
+    def gazette(pub: Column) -> Column:
+        date = let(
+            groups(pub, published, 3), lambda g: _day_month_year(_part(g, 0), _part(g, 1), _part(g, 2), pad=True)
+        )
+        return F.struct(found(pub, _I + r"nr\.?\s*(\d+)").try_cast("int").alias("nr"), date.alias("date"))
+
+    def fields(act: Column, gaz: Column) -> Column:
+        return F.struct(
+            normal_type(act["kind"]).alias("act_type"),
+            act["number"].try_cast("int").alias("act_number"),
+            act["date"].alias("act_date"),
+            year_of(act["date"]).alias("act_year"),
+            F.coalesce(act["approximate"], F.lit(False)).alias("date_is_approximate"),
+            as_column(header).alias("title"),
+            as_column(issuer).alias("issuer"),
+            gaz["nr"].alias("gazette_nr"),
+            gaz["date"].alias("gazette_date"),
+            year_of(gaz["date"]).alias("gazette_year"),
+        )
+
+    return let(
+        let(comma_below(designation), first_match),
+        lambda act: let(let(as_column(publication), gazette), lambda gaz: fields(act, gaz)),
     )
 
 
@@ -92,30 +126,40 @@ def consolidated_metadata(
     designation: ColumnLike, header: ColumnLike, issuer: ColumnLike, gazette: ColumnLike
 ) -> Column:
     """Typed metadata: number as text, real dates, fallbacks for title, issuer and type."""
-    text, gaz = comma_below(designation), as_column(gazette)
     dated = _I + r"din\s+(\d{1,2})\s+(\w+)\s+(\d{4})"
-    act_date = _real_date(found(text, dated, 1), found(text, dated, 2), found(text, dated, 3))
-    number = F.coalesce(
-        found(text, _I + r"nr\.?\s*(\d+)\s+din"),
-        found(text, _I + r"nr\.?\s*(\d+)/\d{4}"),
-        found(text, _I + r"nr\.?\s*(\d+)"),
-    )
-    fallback_type = F.upper(found(text, _I + rf"({vocab.TYPE_PATTERN})\s+(?:nr\.?\s*\d+(?:\s+din|/\d{{4}})|din\s+\d)"))
-    parliament = F.when(F.upper(text).contains(vocab.PARLIAMENT[0]), vocab.PARLIAMENT[1])
-    g = _I + vocab.GAZETTE_PATTERN
-    gazette_date = _real_date(found(gaz, g, 2), found(gaz, g, 3), found(gaz, g, 4))
-    return F.struct(
-        F.coalesce(act_type(text), fallback_type).alias("act_type"),
-        number.alias("act_number"),
-        act_date.alias("act_date"),
-        F.coalesce(F.year(act_date), found(text, r"/(\d{4})").try_cast("int")).alias("act_year"),
-        F.coalesce(as_column(header), found(text, _I + r"privind\s+(.+)")).alias("title"),
-        F.coalesce(as_column(issuer), parliament).alias("issuer"),
-        F.struct(
-            found(gaz, g, 1).alias("nr"),
-            gazette_date.alias("date"),
-            F.year(gazette_date).alias("year"),
-        ).alias("gazette"),
+
+    def real_date(text: Column, pattern: str, n: int, first: int) -> Column:
+        return let(groups(text, pattern, n), lambda g: _real_date(_part(g, first), _part(g, first + 1), _part(g, first + 2)))
+
+    def published(gaz: Column) -> Column:
+        def fields(g: Column) -> Column:
+            return let(
+                _real_date(_part(g, 1), _part(g, 2), _part(g, 3)),
+                lambda date: F.struct(_part(g, 0).alias("nr"), date.alias("date"), F.year(date).alias("year")),
+            )
+
+        return let(groups(gaz, _I + vocab.GAZETTE_PATTERN, 4), fields)
+
+    def fields(text: Column, act_date: Column) -> Column:
+        number = F.coalesce(
+            found(text, _I + r"nr\.?\s*(\d+)\s+din"),
+            found(text, _I + r"nr\.?\s*(\d+)/\d{4}"),
+            found(text, _I + r"nr\.?\s*(\d+)"),
+        )
+        spelled = _I + rf"({vocab.TYPE_PATTERN})\s+(?:nr\.?\s*\d+(?:\s+din|/\d{{4}})|din\s+\d)"
+        parliament = F.when(F.upper(text).contains(vocab.PARLIAMENT[0]), vocab.PARLIAMENT[1])
+        return F.struct(
+            F.coalesce(act_type(text), F.upper(found(text, spelled))).alias("act_type"),
+            number.alias("act_number"),
+            act_date.alias("act_date"),
+            F.coalesce(F.year(act_date), found(text, r"/(\d{4})").try_cast("int")).alias("act_year"),
+            F.coalesce(as_column(header), found(text, _I + r"privind\s+(.+)")).alias("title"),
+            F.coalesce(as_column(issuer), parliament).alias("issuer"),
+            let(as_column(gazette), published).alias("gazette"),
+        )
+
+    return let(
+        comma_below(designation), lambda text: let(real_date(text, dated, 3, 0), lambda date: fields(text, date))
     )
 
 

@@ -44,6 +44,21 @@ def found(c: ColumnLike, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(as_column(c), pattern, group), F.lit(""))
 
 
+_SEPARATOR = "\u0001"
+
+
+def groups(c: ColumnLike, pattern: str, n: int) -> Column:
+    """All ``n`` groups of the first match as an array, NULL where nothing matches.
+
+    The pattern runs over the text once, and once more over the short match.
+    """
+    template = _SEPARATOR.join(f"${i}" for i in range(1, n + 1))
+    return let(
+        F.regexp_extract(as_column(c), pattern, 0),
+        lambda m: F.when(m != "", F.split(F.regexp_replace(m, pattern, template), _SEPARATOR)),
+    )
+
+
 def comma_below(c: ColumnLike) -> Column:
     """Cedilla forms of s and t to the comma-below forms used in the vocabularies."""
     return F.translate(as_column(c), "ŞşŢţ", "ȘșȚț")
@@ -154,7 +169,8 @@ def normalize_references(c: ColumnLike) -> Column:
     """
     abbreviations = "|".join(vocab.ABBREVIATIONS)
     words = "|".join(vocab.JOINING_WORDS)
-    spaced = F.regexp_replace(as_column(c), rf"(?U)(\w)((?:{abbreviations})\.)", "$1 $2")
+    # the literal lookahead comes first: it fails fast almost everywhere
+    spaced = F.regexp_replace(as_column(c), rf"(?U)(?=(?:{abbreviations})\.)(?<=\w)", " ")
     spaced = F.regexp_replace(spaced, r"\)([a-zăâîșțA-ZĂÂÎȘȚ])", ") $1")
     return F.regexp_replace(spaced, rf"({words})([a-z]\))", "$1 $2")
 
@@ -264,12 +280,18 @@ _RESULT_FILE = r"^(.+?)_(\d{8}_\d{6})\.(csv|md)"
 
 def parse_result_filename(name: ColumnLike) -> Column:
     """``<act>_<yyyyMMdd_HHmmss>.(csv|md)`` -> struct(act, ts, kind), NULLs when it does not parse."""
-    ts = F.try_to_timestamp(found(name, _RESULT_FILE, 2), F.lit("yyyyMMdd_HHmmss"))
-    return F.struct(
-        F.when(ts.isNotNull(), found(name, _RESULT_FILE, 1)).alias("act"),
-        ts.alias("ts"),
-        F.when(ts.isNotNull(), found(name, _RESULT_FILE, 3)).alias("kind"),
-    )
+
+    def fields(found: Column) -> Column:
+        part = lambda i: F.get(found, F.lit(i))
+        ts = F.try_to_timestamp(part(1), F.lit("yyyyMMdd_HHmmss"))
+        return let(
+            ts,
+            lambda t: F.struct(
+                F.when(t.isNotNull(), part(0)).alias("act"), t.alias("ts"), F.when(t.isNotNull(), part(2)).alias("kind")
+            ),
+        )
+
+    return let(groups(name, _RESULT_FILE, 3), fields)
 
 
 def result_file_key(act_type: ColumnLike, number: ColumnLike, year: ColumnLike) -> Column:

@@ -51,23 +51,46 @@ def with_position(df: DataFrame, *, group: str, order: str, name: str = "positio
     return joined.withColumn(name, F.col("_rn") + F.col("_offset")).drop("_chunk", "_rn", "_offset")
 
 
+def adjacent_pairs(df: DataFrame, *, group: str, order: str, value: str, chunk: int = CHUNK) -> DataFrame:
+    """(group, order, value, next_order, next_value) of neighbours in each group.
+
+    Pairs inside a chunk come from a window over the chunk, pairs across chunks from one
+    row per chunk; the two sets are disjoint, so nothing is joined back.
+    """
+    keys = [group, "_chunk"]
+    rows = df.select(group, order, value, _chunk(order, chunk).alias("_chunk"))
+    pair = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    within = rows.select(
+        group, F.col(order).alias("order"), F.col(value).alias("value"),
+        F.lead(pair).over(Window.partitionBy(*keys).orderBy(order, value)).alias("next"),
+    )
+    edges = rows.groupBy(*keys).agg(F.min(pair).alias("first"), F.max(pair).alias("last"))
+    across = edges.select(
+        group, F.col("last.o").alias("order"), F.col("last.v").alias("value"),
+        F.lead("first").over(Window.partitionBy(group).orderBy("_chunk")).alias("next"),
+    )
+    pairs = within.unionByName(across).where(F.col("next").isNotNull())
+    return pairs.select(group, "order", "value", F.col("next.o").alias("next_order"), F.col("next.v").alias("next_value"))
+
+
 def order_violations(df: DataFrame, *, group: str, order: str, number: str, chunk: int = CHUNK) -> DataFrame:
     """Rows whose number is smaller than the number before them."""
-    rows = df.where(F.col(number).isNotNull()).select(group, order, number)
-    rows = with_neighbour(rows, group=group, order=order, value=number, name="previous", chunk=chunk)
-    return rows.where(F.col("previous") > F.col(number))
+    pairs = adjacent_pairs(df.where(F.col(number).isNotNull()), group=group, order=order, value=number, chunk=chunk)
+    return pairs.where(F.col("value") > F.col("next_value")).select(
+        group, F.col("next_order").alias(order), F.col("next_value").alias(number), F.col("value").alias("previous")
+    )
 
 
 def number_gaps(df: DataFrame, *, group: str, number: str, chunk: int = CHUNK) -> DataFrame:
     """Missing runs in each group's numbers: (group, gap_start, gap_end, n_missing)."""
     numbers = df.where(F.col(number).isNotNull()).select(group, F.col(number).cast("long").alias(number)).distinct()
-    rows = with_neighbour(numbers, group=group, order=number, value=number, name="next", ahead=True, chunk=chunk)
-    rows = rows.where(F.col("next") - F.col(number) > 1)
-    return rows.select(
+    pairs = adjacent_pairs(numbers, group=group, order=number, value=number, chunk=chunk)
+    pairs = pairs.where(F.col("next_order") - F.col("order") > 1)
+    return pairs.select(
         group,
-        (F.col(number) + 1).alias("gap_start"),
-        (F.col("next") - 1).alias("gap_end"),
-        (F.col("next") - F.col(number) - 1).alias("n_missing"),
+        (F.col("order") + 1).alias("gap_start"),
+        (F.col("next_order") - 1).alias("gap_end"),
+        (F.col("next_order") - F.col("order") - 1).alias("n_missing"),
     )
 
 

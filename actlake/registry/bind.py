@@ -169,7 +169,7 @@ DOC_LINES_SQL = """articles AS (
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents as articles."""
-    lines = table(spark, sf_dir, "documents").select(
+    lines = documents(spark, sf_dir).select(
         F.col("doc_id").alias("act_id"), F.posexplode(F.split("text", "\n")).alias("at", "text")
     )
     lines = lines.withColumn("ordinal", F.col("at") + 1)

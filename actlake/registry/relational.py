@@ -20,6 +20,7 @@ from ..functions.labels import (
 )
 from ..operators import articles as art
 from ..operators import ordered, search, stats, tables
+from ..sources.readers import spread
 from . import Registry
 from .bind import (
     ACT_CATEGORIES_SQL,
@@ -539,7 +540,7 @@ def article_dedupe_longest(spark, sf_dir):
 WHERE nxt - n > 1""",
 )
 def number_gaps(spark, sf_dir):
-    return ordered.number_gaps(table(spark, sf_dir, "lineitem"), group="l_orderkey", number="l_linenumber", chunk=3)
+    return ordered.number_gaps(table(spark, sf_dir, "lineitem"), group="l_orderkey", number="l_linenumber")
 
 
 @REGISTRY.query("duplicate_numbers", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -554,13 +555,13 @@ def duplicate_numbers(spark, sf_dir):
 )
 def order_violations(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
-    return ordered.order_violations(rows, group="user_id", order="event_id", number="k", chunk=500)
+    return ordered.order_violations(rows, group="user_id", order="event_id", number="k", chunk=10_000)
 
 
 @REGISTRY.query("row_positions", "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS position FROM events")
 def row_positions(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "event_id")
-    return ordered.with_position(rows, group="event_type", order="event_id", chunk=1000)
+    return ordered.with_position(rows, group="event_type", order="event_id", chunk=10_000)
 
 
 @REGISTRY.query(
@@ -571,7 +572,7 @@ WHERE before IS DISTINCT FROM event_type""",
 def heading_changes(spark, sf_dir):
     """A heading is printed where it differs from the one before."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    rows = ordered.with_neighbour(rows, group="user_id", order="event_id", value="event_type", name="before", chunk=500)
+    rows = ordered.with_neighbour(rows, group="user_id", order="event_id", value="event_type", name="before", chunk=10_000)
     return rows.where(~F.col("before").eqNullSafe(F.col("event_type"))).select("user_id", "event_id", "event_type")
 
 
@@ -617,7 +618,7 @@ def _files(spark, sf_dir):
             F.lit("LEGE_"), F.col("o_custkey").cast("string"), F.lit("_"), stamp, F.when(key % 3 == 0, ".md").otherwise(".csv")
         )
     )
-    return table(spark, sf_dir, "orders").select(name.alias("name"), F.col("o_totalprice").cast("long").alias("bytes"))
+    return spread(table(spark, sf_dir, "orders")).select(name.alias("name"), F.col("o_totalprice").cast("long").alias("bytes"))
 
 
 @REGISTRY.query(

@@ -23,6 +23,7 @@ from ..functions.text import (
     strip_label_prefix,
     year_of,
 )
+from ..sources.readers import spread
 from . import Registry
 from .bind import DOC_LINES_SQL, doc_lines, documents, strip_sql, table, with_ctes
 
@@ -38,7 +39,7 @@ _WORD = r"[^\p{L}\p{N}_]"
 FROM (SELECT doc_id, text, TRY_CAST(NULLIF(regexp_extract(text, '(?:^|{_WORD})([0-9]{{4}})(?:$|{_WORD})', 1), '') AS INTEGER) AS y FROM documents)""",
 )
 def text_first_int(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", first_int("text").alias("first_int"), year_of("text").alias("year")
     )
 
@@ -82,7 +83,7 @@ def int_to_roman_query(spark, sf_dir):
 )
 def roman_to_int_query(spark, sf_dir):
     numeral = F.concat(F.lit("titlul "), int_to_roman(F.col("o_orderkey") % 4000), F.lit(" - nume"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", roman_to_int(numeral).alias("value"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", roman_to_int(numeral).alias("value"))
 
 
 @REGISTRY.query(
@@ -111,7 +112,7 @@ def normalize_references_query(spark, sf_dir):
     glued = F.col("text")
     for plain, joined in ((" la ", " laalin. "), (" de ", " deart. "), (" and ", ")and "), (" the ", " lab) ")):
         glued = F.replace(glued, F.lit(plain), F.lit(joined))
-    return table(spark, sf_dir, "documents").select("doc_id", normalize_references(glued).alias("text"))
+    return documents(spark, sf_dir).select("doc_id", normalize_references(glued).alias("text"))
 
 
 @REGISTRY.query("format_paragraphs")
@@ -207,7 +208,7 @@ def result_filename(spark, sf_dir):
         F.when(key % 4 == 0, ".md").otherwise(".csv"),
     )
     parsed = parse_result_filename(name)
-    return table(spark, sf_dir, "orders").select("o_orderkey", parsed.alias("p")).select("o_orderkey", "p.*")
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", parsed.alias("p")).select("o_orderkey", "p.*")
 
 
 @REGISTRY.query(
@@ -263,7 +264,7 @@ def _designation():
 )
 def act_metadata_basic(spark, sf_dir):
     packed = basic_metadata(_designation(), "o_orderpriority")
-    return table(spark, sf_dir, "orders").select("o_orderkey", packed.alias("m")).select("o_orderkey", "m.*")
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", packed.alias("m")).select("o_orderkey", "m.*")
 
 
 @REGISTRY.query(
@@ -279,7 +280,7 @@ def act_metadata_full(spark, sf_dir):
     issuer = F.col("o_custkey").cast("string")
     gazette = F.concat(F.lit("MONITORUL OFICIAL nr. "), issuer, F.lit(" din 7 martie 2019"))
     packed = full_metadata(_designation(), "o_orderpriority", issuer, gazette)
-    return table(spark, sf_dir, "orders").select("o_orderkey", packed.alias("m")).select("o_orderkey", "m.*")
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", packed.alias("m")).select("o_orderkey", "m.*")
 
 
 @REGISTRY.query(
@@ -297,7 +298,7 @@ def act_metadata_typed(spark, sf_dir):
     gazette = F.concat(F.lit("MONITORUL OFICIAL AL ROMÂNIEI, PARTEA I, nr. "), F.col("o_custkey").cast("string"), day)
     none = F.lit(None).cast("string")
     packed = consolidated_metadata(_designation(), none, none, gazette)
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", packed.alias("m"))
+    rows = spread(table(spark, sf_dir, "orders")).select("o_orderkey", packed.alias("m"))
     return rows.select(
         "o_orderkey",
         "m.act_type",
