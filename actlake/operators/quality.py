@@ -206,6 +206,14 @@ def check_documents(
     return long.select(file, "r.rule", "r.severity", "r.result.passed", "r.result.detail")
 
 
+def broken_index_links(documents: DataFrame, *, file: str = "file", content: str = "content") -> DataFrame:
+    """(file, text, anchor) of index links whose text is no heading of the document, one row each."""
+    links = documents.select(file, F.explode(index_links(F.col(content))).alias("l")).select(file, "l.*")
+    pattern = F.lit(r"(?m)^### (.+)$")
+    headings = documents.select(file, F.explode(F.regexp_extract_all(content, pattern, F.lit(1))).alias("text"))
+    return links.join(headings.distinct(), [file, "text"], "left_anti").select(file, "text", "anchor")
+
+
 # ---------------------------------------------------------------- article tables
 
 ARTICLE_RULES = (
