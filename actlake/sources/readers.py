@@ -131,10 +131,16 @@ def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("file", "ordinal", *columns)
 
 
+def _file_names(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """(path, file) of a folder's files, zero-byte ones included, which no file source returns as rows."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).inputFiles()
+    names = spark.createDataFrame([(p,) for p in listed], "path string")
+    return names.select("path", F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"))
+
+
 def empty_csv_files(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """Error rows for CSV files that hold no record at all."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    names = files.select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    names = _file_names(spark, path, "*.csv").select("file")
     present = rows.select("file").distinct()
     return names.join(present, "file", "left_anti").withColumn("error", F.lit("CSV file is empty"))
 
@@ -158,6 +164,9 @@ def attach_sidecar(rows: DataFrame, sidecars: DataFrame, *, file: str = "file")
 
 def list_result_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, act, ts, kind) of result files, without reading their content."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"))
+    sizes = spark.read.format("binaryFile").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "length"
+    )
+    named = _file_names(spark, path, "*").join(sizes, "file", "left")
+    named = named.select(F.col("file").alias("name"), F.coalesce("length", F.lit(0)).alias("bytes"))
     return named.withColumn("parsed", parse_result_filename("name")).select("name", "bytes", "parsed.*")
