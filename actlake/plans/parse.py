@@ -10,6 +10,7 @@ from ..functions.text import is_present
 from ..operators.articles import confidence_score, post_process, validate_extraction
 from ..operators.html import ACT_PAGES, article_bodies, article_rows, detect_content_type, html_elements, page_metadata
 from ..operators.render import render_pages
+from ..session import cut_lineage
 from ..sources.readers import spread
 
 
@@ -39,12 +40,13 @@ def page_acts(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
 def parse_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> dict[str, DataFrame]:
     """articles, acts (metadata, metrics, validation), errors and Markdown blocks of marked-up pages.
 
-    All stages keep the partitioning by page key, so the rows of the pages move once.
-    A page that is not HTML or yields no article is a row in ``errors``.
+    The elements are checkpointed: four outputs are built from them, and HTML is by far the
+    largest thing to read and parse, so it is done once. A page that is not HTML or yields no article is a row in ``errors``.
     """
     typed = pages.withColumn("content_type", detect_content_type(html))
     usable = typed.where(F.col("content_type") == "html")
     elements = html_elements(spread(usable.select(key, html), key), key=key, html=html, selector=ACT_PAGES, nested=True)
+    elements = cut_lineage(elements)
     acts = page_acts(elements, key=key)
     bodies = article_bodies(elements, key=key)
     rows = article_rows(elements, key=key)
