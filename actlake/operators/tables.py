@@ -305,8 +305,9 @@ def retain_latest(files: DataFrame, *, name: str = "name", as_of=None) -> DataFr
     The newest file per act is a map-side maximum that is joined back, not a sort of all
     files of an act.
     """
-    parsed = files.select("*", parse_result_filename(name).alias("_p")).select("*", "_p.*").drop("_p")
-    parsed = parsed.where((F.col("kind") == "csv") & F.col("act").isNotNull())
+    # unnested with inline, so that the filter after it does not make Spark parse names twice
+    parsed = files.where(F.col(name).endswith(".csv")).select("*", F.inline(F.array(parse_result_filename(name))))
+    parsed = parsed.where(F.col("act").isNotNull())
     newest = parsed.groupBy("act").agg(F.max(F.struct("ts", name)).alias("_newest"))
     joined = parsed.join(newest, "act").withColumn("keep", F.struct("ts", name) == F.col("_newest")).drop("_newest")
     if as_of is not None:
@@ -326,13 +327,18 @@ def files_to_delete(files: DataFrame, *, name: str = "name", older_than_days: in
 
 def storage_stats(files: DataFrame, *, name: str = "name", size: str = "bytes") -> DataFrame:
     """One row: files by extension, bytes, mean, superseded files and the bytes they hold."""
-    all_files = files.where(F.col(name).endswith(".csv") | F.col(name).endswith(".md"))
-    wasted = files.join(files_to_delete(files, name=name).distinct(), name, "left_semi").agg(
-        F.count_if(F.col(name).endswith(".csv")).alias("n_superseded"), F.coalesce(F.sum(size), F.lit(0)).alias("wasted_bytes")
+    csv, md = F.col(name).endswith(".csv"), F.col(name).endswith(".md")
+    all_files = files.where(csv | md)
+    old = retain_latest(files, name=name).where(~F.col("keep"))
+    stem = F.regexp_replace(name, r"\.(csv|md)$", "")
+    superseded = old.select(F.regexp_replace(name, r"\.csv$", "").alias("_stem"))
+    # a superseded table and its sidecar share their stem, so one join finds both
+    wasted = all_files.withColumn("_stem", stem).join(superseded, "_stem", "left_semi").agg(
+        F.count_if(csv).alias("n_superseded"), F.coalesce(F.sum(size), F.lit(0)).alias("wasted_bytes")
     )
     totals = all_files.agg(
-        F.count_if(F.col(name).endswith(".csv")).alias("n_csv"),
-        F.count_if(F.col(name).endswith(".md")).alias("n_md"),
+        F.count_if(csv).alias("n_csv"),
+        F.count_if(md).alias("n_md"),
         F.coalesce(F.sum(size), F.lit(0)).alias("total_bytes"),
         F.round(F.avg(size), 2).alias("mean_bytes"),
     )

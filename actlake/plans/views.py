@@ -19,10 +19,15 @@ OPEN = ("pending", "processing", "error")
 ISSUE_FIELDS = ("issue_id", "name", "description", "confidence", "remote_id")
 
 
-def _array_of(fields: list[str], order: list[str]) -> Column:
-    """Ordered array of structs; the order key is sorted on and dropped again."""
+def _array_of(fields: list[str], order: list[str], *, unique: bool = False) -> Column:
+    """Ordered array of structs; the order key is sorted on and dropped again.
+
+    ``unique`` drops repeated structs while collecting, map-side, instead of by a
+    shuffle of its own.
+    """
     sortable = F.struct(F.struct(*order).alias("k"), F.struct(*fields).alias("v"))
-    return F.transform(F.array_sort(F.collect_list(sortable)), lambda x: x["v"])
+    collected = F.collect_set(sortable) if unique else F.collect_list(sortable)
+    return F.transform(F.array_sort(collected), lambda x: x["v"])
 
 
 def pending_ai_processing(acts: DataFrame, articles: DataFrame, annexes: DataFrame) -> DataFrame:
@@ -69,10 +74,11 @@ def pending_export(acts: DataFrame, articles: DataFrame, annexes: DataFrame, act
 def issues_of(junction: DataFrame, issues: DataFrame, key: str, *, order: list[str] | None = None) -> DataFrame:
     """(key, issues): each entity's issues as an ordered array.
 
-    Issues carry short texts and an entity has a handful; pairs are made distinct first.
+    Repeated pairs are dropped while collecting, so an array has at most one entry per issue.
     """
-    pairs = junction.select(key, "issue_id").distinct().join(issues.select(*ISSUE_FIELDS), "issue_id")
-    return pairs.groupBy(key).agg(_array_of(list(ISSUE_FIELDS), order or ["name", "issue_id"]).alias("issues"))
+    pairs = junction.select(key, "issue_id").join(issues.select(*ISSUE_FIELDS), "issue_id")
+    array = _array_of(list(ISSUE_FIELDS), order or ["name", "issue_id"], unique=True)
+    return pairs.groupBy(key).agg(array.alias("issues"))
 
 
 def _or_empty(df: DataFrame, column: str) -> DataFrame:
@@ -89,8 +95,8 @@ def acts_with_categories(acts: DataFrame, act_categories: DataFrame, categories:
     """Acts with their active categories ordered by (sort_order, name)."""
     fields = ["category_id", "name", "slug", "color", "icon"]
     active = categories.where(F.col("is_active")).select(*fields, "sort_order")
-    pairs = act_categories.select("act_id", "category_id").distinct().join(active, "category_id")
-    arrays = pairs.groupBy("act_id").agg(_array_of(fields, ["sort_order", "name"]).alias("categories"))
+    pairs = act_categories.select("act_id", "category_id").join(active, "category_id")
+    arrays = pairs.groupBy("act_id").agg(_array_of(fields, ["sort_order", "name"], unique=True).alias("categories"))
     columns = ["act_id", "act_type", "act_number", "act_year", "title"]
     return _or_empty(acts.select(*columns).join(arrays, "act_id", "left"), "categories")
 
@@ -225,8 +231,7 @@ def act_package(
     own_articles, own_annexes = mine(articles), mine(annexes)
 
     def ids(junction: DataFrame, key: str) -> DataFrame:
-        pairs = junction.select(key, "issue_id").distinct()
-        return pairs.groupBy(key).agg(F.array_sort(F.collect_list("issue_id")).alias("issue_ids"))
+        return junction.groupBy(key).agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids"))
 
     done = own_articles.where(F.col("ai_status") == "completed").join(ids(article_issues, "article_id"), "article_id", "left")
     done = _or_empty(done, "issue_ids")
