@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import vocab
 from ..sources.readers import read_table, spread
@@ -14,8 +15,15 @@ from ..sources.readers import read_table, spread
 WS_SQL = "' ' || " + " || ".join(f"chr({ord(c)})" for c in vocab.WHITESPACE if c != " ")
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+    """A driver table. Its schema is read from the files once, not once per query."""
+    key = (sf_dir, name)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = read_table(spark, sf_dir, name).schema
+    return read_table(spark, sf_dir, name, _SCHEMAS[key])
 
 
 def strip_sql(expression: str) -> str:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import vocab
 from ..functions.text import parse_result_filename, strip
 from ..functions.urls import is_valid_source_url
 
 
-def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+def read_table(spark: SparkSession, directory: str, name: str, schema: StructType | str | None = None) -> DataFrame:
+    """A Parquet table; with a schema given, no file is opened to plan the query."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{directory}/{name}.parquet")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, low: int, high: int, parts: int) -> DataFrame:
