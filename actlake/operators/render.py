@@ -37,11 +37,20 @@ def _rows(*lines) -> Column:
     return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
 
 
-def assemble(blocks: DataFrame, *, key: str, name: str = "content") -> DataFrame:
-    """One string per act from its blocks in order."""
+def assemble(blocks: DataFrame, *, key: str, name: str = "content", part_size: int | None = None) -> DataFrame:
+    """One string per act from its blocks in order.
+
+    With ``part_size`` an act's string comes in parts of that many ordinals, numbered in
+    document order, so that no act has to be gathered whole.
+    """
+    keys = [key]
+    if part_size is not None:
+        part = F.col("section").cast("long") * 1_000_000_000 + F.floor(F.col("seq") / part_size)
+        blocks = blocks.withColumn("part", part)
+        keys.append("part")
     ordered = F.array_sort(F.collect_list(F.struct("section", "seq", "block")))
-    joined = blocks.groupBy(key).agg(ordered.alias("_blocks"))
-    return joined.select(key, F.array_join(F.transform("_blocks", lambda b: b["block"]), "\n").alias(name))
+    joined = blocks.groupBy(*keys).agg(ordered.alias("_blocks"))
+    return joined.select(*keys, F.array_join(F.transform("_blocks", lambda b: b["block"]), "\n").alias(name))
 
 
 # ---------------------------------------------------------------- from page structure

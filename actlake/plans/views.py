@@ -1,9 +1,11 @@
 """Nested results: work lists, views with arrays of children, export packages.
 
 Children are always aggregated before they meet their parent, so two child tables never
-multiply. Arrays come from structs that start with their order key. A package is one
-act with its children; `package_parts` bounds how many children one row holds, for acts
-too long to be a single value.
+multiply. Arrays come from structs that start with their order key.
+
+A package is one act with its children. So that no act, however long, is gathered in one
+task, packages come in parts of `PART_SIZE` ordinals: an ordinary act is part 0 alone, a
+very long one is several rows that together hold all its children, in order.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from ..operators.search import with_children
 from ..operators.stats import child_counts
 
 OPEN = ("pending", "processing", "error")
+PART_SIZE = 10_000
 ISSUE_FIELDS = ("issue_id", "name", "description", "confidence", "remote_id")
 
 
@@ -30,6 +33,20 @@ def _array_of(fields: list[str], order: list[str], *, unique: bool = False) -> C
     return F.transform(F.array_sort(collected), lambda x: x["v"])
 
 
+def _part(size: int) -> Column:
+    """Part a child belongs to, from its ordinal."""
+    return F.floor((F.coalesce("ordinal", F.lit(1)) - 1) / size).cast("long").alias("part")
+
+
+def _in_parts(heads: DataFrame, *children: DataFrame) -> DataFrame:
+    """Heads with their child arrays per (act_id, part); a head without children is part 0."""
+    parts = children[0]
+    for child in children[1:]:
+        parts = parts.join(child, ["act_id", "part"], "full")
+    joined = heads.join(parts, "act_id", "left")
+    return joined.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+
+
 def pending_ai_processing(acts: DataFrame, articles: DataFrame, annexes: DataFrame) -> DataFrame:
     """Acts, articles and annexes not yet completed, with a label that is NULL if a part is."""
     tail = ("ai_status", "ai_processed_at", "ai_error")
@@ -150,18 +167,24 @@ def export_package(
     act_issues: DataFrame,
     article_issues: DataFrame,
     annex_issues: DataFrame,
+    *,
+    part_size: int = PART_SIZE,
 ) -> DataFrame:
     """Completed acts with ordered arrays of articles and annexes (each with issues) and act issues."""
     done = acts.where(F.col("ai_status") == "completed")
     keys = done.select("act_id")
     rows = articles_with_issues(articles.join(keys, "act_id", "left_semi"), article_issues, issues)
-    per_articles = rows.groupBy("act_id").agg(_array_of(ARTICLE_FIELDS, ["ordinal", "article_id"]).alias("articles"))
+    per_articles = rows.groupBy("act_id", _part(part_size)).agg(
+        _array_of(ARTICLE_FIELDS, ["ordinal", "article_id"]).alias("articles")
+    )
     linked = issues_of(annex_issues, issues, "annex_id")
     rows = _or_empty(annexes.join(keys, "act_id", "left_semi").join(linked, "annex_id", "left"), "issues")
-    per_annexes = rows.groupBy("act_id").agg(_array_of(ANNEX_FIELDS, ["ordinal", "annex_id"]).alias("annexes"))
+    per_annexes = rows.groupBy("act_id", _part(part_size)).agg(
+        _array_of(ANNEX_FIELDS, ["ordinal", "annex_id"]).alias("annexes")
+    )
     per_issues = issues_of(act_issues, issues, "act_id").withColumnRenamed("issues", "act_issues")
     head = done.select("act_id", "act_type", "act_number", "act_year", "title", "summary", "remote_id")
-    packed = head.join(per_articles, "act_id", "left").join(per_annexes, "act_id", "left").join(per_issues, "act_id", "left")
+    packed = _in_parts(head.join(per_issues, "act_id", "left"), per_articles, per_annexes)
     for name in ("articles", "annexes", "act_issues"):
         packed = _or_empty(packed, name)
     return packed
@@ -220,10 +243,11 @@ def act_package(
     *,
     exported_at=None,
     annex_chars: int = 1000,
+    part_size: int = PART_SIZE,
 ) -> DataFrame:
     """The service form of a package: completed children with issue ids, unique issues, totals.
 
-    (act_id, package struct). Acts that are completed and not exported yet.
+    (act_id, part, package struct). Acts that are completed and not exported yet.
     """
     ready = acts.where((F.col("ai_status") == "completed") & F.col("export_status").isin("pending", "error"))
     keys = ready.select("act_id")
@@ -235,12 +259,12 @@ def act_package(
 
     done = own_articles.where(F.col("ai_status") == "completed").join(ids(article_issues, "article_id"), "article_id", "left")
     done = _or_empty(done, "issue_ids")
-    per_articles = done.groupBy("act_id").agg(
+    per_articles = done.groupBy("act_id", _part(part_size)).agg(
         _array_of(["article_id", "article_number", "article_label", "text", "summary", "issue_ids"], ["ordinal", "article_id"]).alias("articles")
     )
     done = own_annexes.where(F.col("ai_status") == "completed").join(ids(annex_issues, "annex_id"), "annex_id", "left")
     done = _or_empty(done, "issue_ids").withColumn("content", F.substring("content", 1, annex_chars))
-    per_annexes = done.groupBy("act_id").agg(
+    per_annexes = done.groupBy("act_id", _part(part_size)).agg(
         _array_of(["annex_id", "annex_nr", "content", "summary", "issue_ids"], ["ordinal", "annex_id"]).alias("annexes")
     )
     all_issues = entity_issues(mine(act_issues), own_articles, article_issues, own_annexes, annex_issues)
@@ -249,12 +273,8 @@ def act_package(
         _array_of(["issue_id", "name", "description", "source", "confidence"], ["issue_id"]).alias("issues")
     )
     counts = act_package_counts(ready, own_articles, own_annexes, all_issues)
-    packed = (
-        ready.join(per_articles, "act_id", "left")
-        .join(per_annexes, "act_id", "left")
-        .join(per_issues, "act_id", "left")
-        .join(counts, "act_id")
-    )
+    heads = ready.join(per_issues, "act_id", "left").join(counts, "act_id")
+    packed = _in_parts(heads, per_articles, per_annexes)
     for name in ("articles", "annexes", "issues"):
         packed = _or_empty(packed, name)
     act = F.struct("act_id", "act_number", "act_year", "title", "act_type", "issuer", "act_date", "url", "summary", "created_at")
@@ -267,42 +287,48 @@ def act_package(
         "total_issues",
     )
     package = F.struct(act.alias("act"), "articles", "annexes", "issues", totals.alias("metadata"))
-    return packed.select("act_id", package.alias("package"))
+    return packed.select("act_id", "part", package.alias("package"))
 
 
-def update_package(acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int = 1000) -> DataFrame:
-    """New completed children of exported acts: (act_id, remote_id, new_articles, new_annexes)."""
+def update_package(
+    acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int = 1000, part_size: int = PART_SIZE
+) -> DataFrame:
+    """New completed children of exported acts: (act_id, part, remote_id, new_articles, new_annexes)."""
     exported = acts.where(F.col("export_status").isin("exported", "completed") & F.col("remote_id").isNotNull())
     fresh = lambda t: t.where((F.col("ai_status") == "completed") & F.col("remote_id").isNull())
     new_articles, new_annexes = fresh(articles), fresh(annexes)
     chosen = with_children(exported, [new_articles, new_annexes], "act_id").select("act_id", "remote_id")
     keys = chosen.select("act_id")
-    per_articles = new_articles.join(keys, "act_id", "left_semi").groupBy("act_id").agg(
+    per_articles = new_articles.join(keys, "act_id", "left_semi").groupBy("act_id", _part(part_size)).agg(
         _array_of(["article_id", "article_number", "text", "summary"], ["ordinal", "article_id"]).alias("new_articles")
     )
     cut = new_annexes.join(keys, "act_id", "left_semi").withColumn("content", F.substring("content", 1, annex_chars))
-    per_annexes = cut.groupBy("act_id").agg(
+    per_annexes = cut.groupBy("act_id", _part(part_size)).agg(
         _array_of(["annex_id", "annex_nr", "content", "summary"], ["ordinal", "annex_id"]).alias("new_annexes")
     )
-    packed = chosen.join(per_articles, "act_id", "left").join(per_annexes, "act_id", "left")
+    packed = _in_parts(chosen, per_articles, per_annexes)
     return _or_empty(_or_empty(packed, "new_articles"), "new_annexes")
 
 
-def export_for_analysis(acts: DataFrame, articles: DataFrame, *, include_metadata: bool = True) -> DataFrame:
-    """Act object (optional), its articles in id order, and label coverage; one row per act."""
+def export_for_analysis(
+    acts: DataFrame, articles: DataFrame, *, include_metadata: bool = True, part_size: int = PART_SIZE
+) -> DataFrame:
+    """Act object (optional), its articles in id order, and label coverage of the act; one row per act and part."""
     fields = [c for c in articles.columns if c not in ("act_id", "created_at", "updated_at")]
-    per_act = articles.groupBy("act_id").agg(
+    per_part = articles.groupBy("act_id", _part(part_size)).agg(
         _array_of(fields, ["article_id"]).alias("articles"),
-        F.count("*").alias("total"),
-        F.count_if(has_labels("issue", "explanation")).alias("analyzed"),
     )
-    joined = _or_empty(acts.join(per_act, "act_id", "left"), "articles").na.fill({"total": 0, "analyzed": 0})
+    per_act = articles.groupBy("act_id").agg(
+        F.count("*").alias("total"), F.count_if(has_labels("issue", "explanation")).alias("analyzed")
+    )
+    heads = acts.join(per_act, "act_id", "left").na.fill({"total": 0, "analyzed": 0})
+    joined = _or_empty(_in_parts(heads, per_part), "articles")
     percent = F.when(F.col("total") > 0, F.round(F.col("analyzed") * 100.0 / F.col("total"), 2)).otherwise(0.0)
     stats = F.struct("total", "analyzed", percent.alias("coverage_percent")).alias("stats")
     if not include_metadata:
-        return joined.select("act_id", "articles", stats)
+        return joined.select("act_id", "part", "articles", stats)
     known = ("act_id", "act_type", "act_number", "act_year", "act_date", "title", "url", "issuer", "gazette_nr", "gazette_date", "gazette_year")
-    return joined.select("act_id", F.struct(*[c for c in known if c in acts.columns]).alias("act"), "articles", stats)
+    return joined.select("act_id", "part", F.struct(*[c for c in known if c in acts.columns]).alias("act"), "articles", stats)
 
 
 def export_worklist(

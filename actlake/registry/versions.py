@@ -189,7 +189,7 @@ def similarity_lev(spark, sf_dir):
     with_ctes(
         ORDER_ACTS_SQL,
         """target AS (SELECT act_id, act_type, title, CAST(act_id % 3 + 1 AS INTEGER) AS version, created_at FROM acts WHERE act_id % 3 > 0)""",
-        """source AS (SELECT act_id, 'NEW' AS act_type, upper(title) AS title, created_at FROM acts WHERE act_id % 2 = 0)""",
+        """source AS (SELECT act_id, 'NEW' AS act_type, upper(title) AS title, created_at FROM acts WHERE act_id % 2 = 0 OR act_id % 3 = 0)""",
         body=f"""SELECT coalesce(t.act_id, s.act_id) AS act_id, CASE WHEN s.act_id IS NOT NULL THEN s.act_type ELSE t.act_type END AS act_type,
   CASE WHEN s.act_id IS NOT NULL THEN s.title ELSE t.title END AS title,
   CAST(CASE WHEN t.act_id IS NULL THEN 1 WHEN s.act_id IS NULL THEN t.version ELSE t.version + 1 END AS INTEGER) AS version,
@@ -201,7 +201,7 @@ def upsert_acts(spark, sf_dir):
     target = acts.where("act_id % 3 > 0").select(
         "act_id", "act_type", "title", (F.col("act_id") % 3 + 1).cast("int").alias("version"), "created_at"
     )
-    source = acts.where("act_id % 2 = 0").select("act_id", F.lit("NEW").alias("act_type"), F.upper("title").alias("title"), "created_at")
+    source = acts.where("act_id % 2 = 0 OR act_id % 3 = 0").select("act_id", F.lit("NEW").alias("act_type"), F.upper("title").alias("title"), "created_at")
     return tables.upsert(target, source, "act_id")
 
 

@@ -85,10 +85,13 @@ def test_rendered_page_passes_rules(spark):
 def test_render_from_rows_prints_headings_once(spark):
     articles = parse_pages(pages(spark, ACT))["articles"].withColumnRenamed("page_id", "act_id")
     for chunk in (1, 1000):
-        content = assemble(render_rows(articles, chunk=chunk), key="act_id").first().content
+        blocks = render_rows(articles, chunk=chunk)
+        content = assemble(blocks, key="act_id").first().content
         assert content.count("### CAPITOLUL II - Scop") == 1
         assert content.count("## TITLUL I - General") == 1
         assert content.count('<a id="art-') == 4
+    parts = assemble(blocks, key="act_id", part_size=20).orderBy("part").collect()
+    assert len(parts) > 4 and "\n".join(r.content for r in parts) == content
 
 
 def test_plain_text(spark):

@@ -80,6 +80,14 @@ def test_package_has_no_fan_out(spark):
     assert [len(a.issues) for a in row.articles] == [1, 0] and len(row.act_issues) == 1
 
 
+def test_long_acts_come_in_parts(spark):
+    acts, articles, annexes, issues = view_tables(spark)
+    none = lambda key: spark.createDataFrame([], f"{key} long, issue_id long")
+    packed = export_package(acts, articles, annexes, issues, none("act_id"), none("article_id"), none("annex_id"), part_size=2)
+    got = {r.part: ([a.ordinal for a in r.articles], [a.ordinal for a in r.annexes]) for r in packed.collect()}
+    assert got == {0: ([1, 2], [1, 2]), 1: ([], [3])}
+
+
 def test_pending_labels_are_null_if_a_part_is(spark):
     acts, articles, annexes, _ = view_tables(spark)
     rows = {(r.kind, r.id): r.label for r in pending_ai_processing(acts, articles, annexes).collect()}
