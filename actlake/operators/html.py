@@ -76,8 +76,12 @@ _COMMON = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
 _AMP = "\u0002"
 
 
+# one expression string: building the map from single literals costs a call to the JVM each
+_NAMED = ", ".join(f"'{name}', '\\u{ord(char):04x}'" for name, char in vocab.ENTITIES.items())
+
+
 def _decode_rare(text: Column) -> Column:
-    names = F.create_map(*[F.lit(x) for pair in vocab.ENTITIES.items() for x in pair])
+    names = F.expr(f"map({_NAMED})")
 
     def decode(piece: Column) -> Column:
         ref = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});", 1)
@@ -430,18 +434,26 @@ def container_markup(html: ColumnLike, container: str) -> Column:
     else:
         pattern = rf"(?is)<({name})[\s>]"
     text = as_column(html)
-    start = F.regexp_instr(text, F.lit(pattern))
-    closing = F.concat(F.lit("</"), F.lower(F.regexp_extract(text, pattern, 1)))
 
     def bounded(tail: Column) -> Column:
-        from_end = F.instr(F.reverse(F.lower(tail)), F.reverse(closing))
-        length = F.length(tail) - from_end - F.length(closing) + 1
-        return F.when(from_end > 0, tail.substr(F.lit(1), length)).otherwise(tail)
+        closing = F.concat(F.lit("</"), F.lower(F.regexp_extract(tail, pattern, 1)))
+        return let(closing, lambda tag: _up_to_last(tail, tag))
 
-    cut = F.when(start > 0, let(text.substr(start, F.length(text)), bounded))
+    start = F.regexp_instr(text, F.lit(pattern))
+    cut = let(start, lambda at: F.when(at > 0, let(text.substr(at, F.length(text)), bounded)))
     return F.when(text.contains(name), cut)  # the plain substring test spares most regex runs
 
 
+def _up_to_last(text: Column, closing: Column) -> Column:
+    """Text before the last ``closing`` (given in lower case), or all of it."""
+
+    def cut(from_end: Column) -> Column:
+        length = F.length(text) - from_end - F.length(closing) + 1
+        return F.when(from_end > 0, F.left(text, length)).otherwise(text)
+
+    return let(F.instr(F.reverse(F.lower(text)), F.reverse(closing)), cut)
+
+
 def plain_text(
     html: ColumnLike,
     *,
@@ -456,11 +468,10 @@ def plain_text(
     """
 
     def choose(cleaned: Column) -> Column:
-        found = F.filter(F.array(*[container_markup(cleaned, c) for c in containers]), lambda m: m.isNotNull())
-        markups = F.when(F.size(found) > 0, found).otherwise(F.array(cleaned))
-        texts = F.transform(markups, lambda m: inner_text(m, "\n"))
+        found = F.array_compact(F.array(*[container_markup(cleaned, c) for c in containers]))
+        markups = let(found, lambda ms: F.when(F.size(ms) > 0, ms).otherwise(F.array(cleaned)))
         return let(
-            texts,
+            F.transform(markups, lambda m: inner_text(m, "\n")),
             lambda ts: F.coalesce(F.get(F.filter(ts, lambda t: F.length(t) > enough), F.lit(0)), F.element_at(ts, -1)),
         )
 

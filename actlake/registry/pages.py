@@ -142,8 +142,9 @@ _DROPPED = (
 SELECT page_id, text FROM (SELECT page_id, {_text_sql('markup', 'chr(10)')} AS text FROM body) WHERE length(text) > 500""",
 )
 def page_plain_text(spark, sf_dir):
-    # these pages have no content container, so the body is what is taken
-    text = pages(spark, sf_dir).select("page_id", plain_text("html").alias("text"))
+    # these pages have no content container, so the body is what is taken;
+    # exploded, so that the filter below does not make Spark extract each text twice
+    text = pages(spark, sf_dir).select("page_id", F.explode(F.array(plain_text("html"))).alias("text"))
     return text.where(F.col("text").isNotNull())
 
 

@@ -93,7 +93,7 @@ v AS (SELECT doc_id, [{_VALUE_SQL.format(c="c")} FOR c IN string_split(s, '')] A
 SELECT doc_id, CAST(list_sum([CASE WHEN d[i] < coalesce(list_max(d[i + 1:]), 0) THEN -d[i] ELSE d[i] END FOR i IN range(1, len(d) + 1)]) AS INTEGER) AS value FROM v""",
 )
 def roman_in_text(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", roman_to_int("text").alias("value"))
+    rows = documents(spark, sf_dir).select("doc_id", F.explode(F.array(roman_to_int("text"))).alias("value"))
     return rows.where(F.col("value").isNotNull())
 
 
