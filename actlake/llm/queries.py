@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from . import fingerprint, kdtree, mixing, sharding, warc
+from . import fingerprint, jaccard, kdtree, langid, mixing, packing, quality, sharding, tokencount, warc
 from .common import read
 
 REGISTRY = Registry()
@@ -19,6 +19,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(read(spark, sf_dir, "documents"))
 
 
+@REGISTRY.query("op2_jaccard_join")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
@@ -58,12 +63,28 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@REGISTRY.query("op5_pack")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op6_shard")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=40)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@REGISTRY.query("op7_quality")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
+
+
+@REGISTRY.query("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(read(spark, sf_dir, "documents"))
+
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 k AS (SELECT html, max(page_id) AS kept FROM p WHERE strlen(html) >= 1000 GROUP BY html)
@@ -78,5 +99,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(read(spark, sf_dir, "pages")).drop("html")
 
 
+@REGISTRY.query("op10_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit_languages(docs))
+
+
 def all_queries() -> Registry:
     return REGISTRY
