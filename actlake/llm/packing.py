@@ -130,8 +130,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_t
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).ids
-        end = np.array([END], dtype=np.uint32)
+        encode = encoder(path).id_bytes
+        end = np.array([END], dtype="<u4").tobytes()
         sequence_id = TaskContext.get().partitionId() << 40
         names: list = []
         held: list[np.ndarray] = []
@@ -158,7 +158,7 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, shard_t
             kind = batch.column("doc_id").type
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 names.append(name)
-                held.append(np.concatenate([encode(text or "").astype("<u4", copy=False), end]))
+                held.append(np.frombuffer(encode(text or "") + end, dtype="<u4"))
                 tokens += len(held[-1])
                 if tokens >= shard_tokens:
                     yield close(kind)

@@ -19,15 +19,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .tokens import encoder, vocabulary_path
+from .tokens import LATIN_1, encoder, vocabulary_path
 
 LIMIT = 1024
 PAIRS = 1_000_000  # pairs of tokens of which a worker remembers whether BPE leaves them apart
 CACHED = 1_000_000  # pre-tokens whose counts a worker remembers
 CACHED_BYTES = 48  # longer ones are counted each time
-# The letters, numbers and white space among the first 256 characters, and the vocabulary's pattern in these terms.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-LATIN_1 = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 _COUNTERS: dict[str, "PrefixCounter"] = {}
 
 
