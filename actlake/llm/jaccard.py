@@ -11,9 +11,10 @@ no bucket gathers all sets without elements somewhere.
 
 Equal sets are one node from the start. Sets that share a signature are candidates and are compared exactly. Large
 groups of near copies share their signatures, and all their pairs would be a square: as only components are wanted,
-each bucket compares its members with a few pivots first (the smallest id, then 16, then 256 of them, and so on), and
-from then on only pairs that are still in different components. When every member of each bucket that still has two
-components has been a pivot, no link between components is left.
+each bucket compares its members with a few pivots first (the smallest id, then 16, then 4096 of them, and so on), and
+from then on only pairs that are still in different components and whose odd sketches (each element flips one of 512
+bits) do not differ in more bits than linked sets differ in elements, which rules out pairs without their sets. When
+every member of each bucket that still has two components has been a pivot, no link between components is left.
 
 Rows with null, empty or wordless text have an empty set, link with nothing and are their own component. Rows that
 repeat an id and text are one node; ids are taken to be unique otherwise (of texts under one id some may be linked). Rows with null id take part only through a row with an id and the same set; without one their
@@ -31,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import connected_components
+from .components import connected_components, partial_components
 
 SHINGLE_WORDS = 3
 PERCENT = 90
 BAND = 1.4  # largest size of a band over its smallest
 FINE = 12  # bands of smaller differences have three sub-parts in a part, others two
-PIVOTS = 16
+PIVOTS, MORE = 16, 256  # members of a bucket that are pivots at first; times as many in each round after
 BATCH_BYTES = 1 << 20
+SKETCH = 8  # 64-bit numbers of a sketch
 
 _U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
@@ -180,31 +182,50 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def with_signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (128-bit hash of the set) and sigs of every row of ``docs`` (doc_id, text)."""
+def odd_sketch(elements: np.ndarray) -> np.ndarray:
+    """SKETCH numbers: bit i is set where an odd number of elements falls on i."""
+    bits = _mixed(elements + _U(99)) >> _U(64 - 9)
+    odd = (np.bincount(bits.astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def with_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, set_a and set_b (128-bit hash of the set) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b, sigs = [], [], [], []
+            sizes, a, b = [], [], []
             for elements in _sets(batch.column("text")):
                 sizes.append(len(elements))
                 a.append(int(_mixed(elements).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(_mixed(elements + _U(12345)).sum(dtype=np.uint64).view(np.int64)))
-                sigs.append(signatures(elements, percent))
             columns = [pa.array(x, pa.int64()) for x in (sizes, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns, _long_lists(sigs)], ["doc_id", "n_shingles", "set_a", "set_b", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sigs array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
+
+
+def with_signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """node and sigs of every row of ``docs`` (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [signatures(elements, percent) for elements in _sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _long_lists(sigs)], ["node", "sigs"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sigs array<long>")
 
 
 def element_sets(docs: DataFrame) -> DataFrame:
-    """node, elements: the sets of ``docs`` (doc_id, text) as arrays of hashes."""
+    """node, sketch and elements: the sets of ``docs`` (doc_id, text) as arrays of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _long_lists(list(_sets(batch.column("text"))))], ["node", "elements"])
+            sets = list(_sets(batch.column("text")))
+            columns = [_long_lists([odd_sketch(elements) for elements in sets]), _long_lists(sets)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["node", "sketch", "elements"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, elements array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sketch array<long>, elements array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -219,36 +240,41 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    base = written(with_signatures(docs, percent), "llm-sets")
+    base = written(with_sets(docs), "llm-sets")
     classes = base.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "llm-classes")
-    nodes = base.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    signed = nodes.select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1")
+    # the signatures are computed anew where they are used: they take more room than the texts they come from
+    nodes = with_signatures(docs, percent).join(classes.select("node"), "node", "left_semi")
+    signed = nodes.select("node", F.explode("sigs").alias("sig"))
+    # most signatures are one set's: only counts are shuffled to find the others
+    shared = signed.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = written(signed.join(shared, "sig"), "llm-buckets")
 
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
     sets = written(element_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")), "llm-elements")
 
-    star = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    least = buckets.groupBy("sig").agg(F.min("node").alias("pivot"))
+    star = buckets.join(least, "sig").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(star, sets, percent), "llm-links")
-    found = connected_components(links)
-    chance = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    tried = 0
-    while True:
-        placed = buckets.filter("members > 2").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("members").alias("most")).filter("low <> high")
-        opened = written(placed.join(split.select("sig"), "sig", "left_semi"), "llm-open")
-        most = opened.agg(F.max("members")).head()[0]
-        if most is None or tried >= most:
-            break
-        wide = tried * PIVOTS if tried else PIVOTS
-        turn = chance * F.col("members")
-        pivots = opened.filter((turn >= tried) & (turn < wide)).select("sig", F.col("node").alias("p"), F.col("component").alias("of_p"))
-        tried = wide
-        pairs = opened.join(pivots, "sig").filter("component <> of_p").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    large = buckets.filter("members > 2")
+    sketched = sets.groupBy("node").agg(F.max(F.size("elements")).alias("size"), *[F.max(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(SKETCH)])
+    large = written(large.join(sketched, "node"), "llm-large")
+    most = large.agg(F.max("members")).head()[0] or 0
+    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p_s{i}"))) for i in range(SKETCH)), F.lit(0))
+    plausible = apart * (100 + percent) <= (F.col("size") + F.col("p_size")) * (100 - percent)
+    turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
+    tried, upto = 0, PIVOTS
+    while tried < most:
+        placed = large.join(partial_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+        large = written(placed.join(split.select("sig"), "sig", "left_semi"), "llm-open")
+        pivots = large.filter((turn >= tried) & (turn < upto))
+        pivots = pivots.select("sig", F.col("node").alias("p"), F.col("component").alias("of_p"), F.col("size").alias("p_size"), *[F.col(f"s{i}").alias(f"p_s{i}") for i in range(SKETCH)])
+        pairs = large.join(pivots, "sig").filter((F.col("component") != F.col("of_p")) & plausible).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
         links = written(links.union(verified(pairs, sets, percent)), "llm-links")
-        found = connected_components(links)
+        large = large.drop("component")
+        tried, upto = upto, upto * MORE
+    found = connected_components(links)
 
     placed = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
     out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
