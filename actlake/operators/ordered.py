@@ -40,15 +40,15 @@ def with_neighbour(
 
 
 def with_position(df: DataFrame, *, group: str, order: str, name: str = "position", chunk: int = CHUNK) -> DataFrame:
-    """Add the 1-based rank by an integer ``order`` in each group."""
+    """Add the 1-based rank by an integer ``order`` in each group; null orders come first, null is a group of its own."""
     keys = [group, "_chunk"]
     rows = df.withColumn("_chunk", _chunk(order, chunk))
     rows = rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(group).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    joined = rows.join(offsets, keys)
-    return joined.withColumn(name, F.col("_rn") + F.col("_offset")).drop("_chunk", "_rn", "_offset")
+    offsets = sizes.select(F.col(group).alias("_g"), F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    joined = rows.join(offsets, F.col(group).eqNullSafe(F.col("_g")) & F.col("_chunk").eqNullSafe(F.col("_c")))
+    return joined.withColumn(name, F.col("_rn") + F.col("_offset")).drop("_chunk", "_rn", "_offset", "_g", "_c")
 
 
 def adjacent_pairs(df: DataFrame, *, group: str, order: str, value: str, chunk: int = CHUNK) -> DataFrame:

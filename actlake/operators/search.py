@@ -89,8 +89,10 @@ def ordered(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def page(df: DataFrame, *keys: str, skip: int = 0, limit: int = 50, max_limit: int = 500) -> DataFrame:
-    """One page of the ordered rows."""
-    return ordered(df, *keys).offset(max(0, skip)).limit(max(1, min(limit, max_limit)))
+    """One page of the ordered rows. Values out of bounds are refused, not bent."""
+    if skip < 0 or not 1 <= limit <= max_limit:
+        raise ValueError(f"skip must not be negative, limit must be from 1 to {max_limit}")
+    return ordered(df, *keys).offset(skip).limit(limit)
 
 
 def page_info(df: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:

@@ -232,6 +232,11 @@ def act_package_counts(
     return joined.na.fill(0)
 
 
+def _shown(content: str, chars: int | None) -> Column:
+    """The whole content, unless a caller asks for its first ``chars`` characters."""
+    return F.col(content) if chars is None else F.substring(content, 1, chars)
+
+
 def act_package(
     acts: DataFrame,
     articles: DataFrame,
@@ -242,7 +247,7 @@ def act_package(
     annex_issues: DataFrame,
     *,
     exported_at=None,
-    annex_chars: int = 1000,
+    annex_chars: int | None = None,
     part_size: int = PART_SIZE,
 ) -> DataFrame:
     """The service form of a package: completed children with issue ids, unique issues, totals.
@@ -263,7 +268,7 @@ def act_package(
         _array_of(["article_id", "article_number", "article_label", "text", "summary", "issue_ids"], ["ordinal", "article_id"]).alias("articles")
     )
     done = own_annexes.where(F.col("ai_status") == "completed").join(ids(annex_issues, "annex_id"), "annex_id", "left")
-    done = _or_empty(done, "issue_ids").withColumn("content", F.substring("content", 1, annex_chars))
+    done = _or_empty(done, "issue_ids").withColumn("content", _shown("content", annex_chars))
     per_annexes = done.groupBy("act_id", _part(part_size)).agg(
         _array_of(["annex_id", "annex_nr", "content", "summary", "issue_ids"], ["ordinal", "annex_id"]).alias("annexes")
     )
@@ -291,7 +296,7 @@ def act_package(
 
 
 def update_package(
-    acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int = 1000, part_size: int = PART_SIZE
+    acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int | None = None, part_size: int = PART_SIZE
 ) -> DataFrame:
     """New completed children of exported acts: (act_id, part, remote_id, new_articles, new_annexes)."""
     exported = acts.where(F.col("export_status").isin("exported", "completed") & F.col("remote_id").isNotNull())
@@ -302,7 +307,7 @@ def update_package(
     per_articles = new_articles.join(keys, "act_id", "left_semi").groupBy("act_id", _part(part_size)).agg(
         _array_of(["article_id", "article_number", "text", "summary"], ["ordinal", "article_id"]).alias("new_articles")
     )
-    cut = new_annexes.join(keys, "act_id", "left_semi").withColumn("content", F.substring("content", 1, annex_chars))
+    cut = new_annexes.join(keys, "act_id", "left_semi").withColumn("content", _shown("content", annex_chars))
     per_annexes = cut.groupBy("act_id", _part(part_size)).agg(
         _array_of(["annex_id", "annex_nr", "content", "summary"], ["ordinal", "annex_id"]).alias("new_annexes")
     )

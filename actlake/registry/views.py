@@ -234,7 +234,7 @@ _ALL_ISSUES_SQL = """all_issues AS (
   (SELECT count(*) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed') AS processed_annexes,
   (SELECT count(*) FROM all_issues i WHERE i.act_id = a.act_id) AS total_issues,
   coalesce((SELECT string_agg(r.text, '|' ORDER BY r.ordinal) FROM articles r WHERE r.act_id = a.act_id AND r.ai_status = 'completed'), '') AS articles,
-  coalesce((SELECT string_agg(substr(x.content, 1, 1000), '|' ORDER BY x.ordinal) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed'), '') AS annexes,
+  coalesce((SELECT string_agg(x.content, '|' ORDER BY x.ordinal) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed'), '') AS annexes,
   coalesce((SELECT string_agg(CAST(i.issue_id AS VARCHAR), '|' ORDER BY i.issue_id) FROM all_issues i JOIN issues s ON i.issue_id = s.issue_id WHERE i.act_id = a.act_id), '') AS issues
 FROM acts a WHERE a.ai_status = 'completed' AND a.export_status IN ('pending', 'error')""",
     ),
@@ -270,7 +270,7 @@ def entity_issues(spark, sf_dir):
         DOC_LINES_SQL,
         ANNEXES_SQL,
         """n AS (SELECT act_id, string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY ordinal, article_id) AS ids FROM articles WHERE ai_status = 'completed' AND remote_id IS NULL GROUP BY act_id)""",
-        """m AS (SELECT act_id, string_agg(CAST(annex_id AS VARCHAR) || substr(content, 1, 1000), '|' ORDER BY ordinal, annex_id) AS ids FROM annexes WHERE ai_status = 'completed' AND remote_id IS NULL GROUP BY act_id)""",
+        """m AS (SELECT act_id, string_agg(CAST(annex_id AS VARCHAR) || content, '|' ORDER BY ordinal, annex_id) AS ids FROM annexes WHERE ai_status = 'completed' AND remote_id IS NULL GROUP BY act_id)""",
         body="""SELECT a.act_id, a.remote_id, coalesce(n.ids, '') AS new_articles, coalesce(m.ids, '') AS new_annexes FROM acts a LEFT JOIN n ON a.act_id = n.act_id LEFT JOIN m ON a.act_id = m.act_id
 WHERE a.export_status = 'exported' AND a.remote_id IS NOT NULL AND (n.ids IS NOT NULL OR m.ids IS NOT NULL)""",
     ),
@@ -340,15 +340,18 @@ def ai_worklist(spark, sf_dir):
     with_ctes(
         DOC_ACTS_SQL,
         DOC_LINES_SQL,
-        body="""SELECT r.article_id, 'Context: ' || a.act_type || ' ' || a.act_number || '/' || CAST(a.act_year AS VARCHAR) AS context, substr(r.text, 1, 4000) AS text
-FROM articles r JOIN acts a ON r.act_id = a.act_id""",
+        body="""SELECT r.article_id, CAST(k AS INTEGER) AS piece, 'Context: ' || a.act_type || ' ' || a.act_number || '/' || CAST(a.act_year AS VARCHAR) AS context,
+  substr(r.text, k * 50 + 1, 50) AS text, substr(r.text, k * 50 + 1, 50) AS summary_text
+FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(text) / 50.0) AS BIGINT)))) AS k FROM articles) r JOIN acts a ON r.act_id = a.act_id""",
     ),
 )
 def build_prompts(spark, sf_dir):
-    prompts = handoff.build_prompts(doc_lines(spark, sf_dir), doc_acts(spark, sf_dir))
-    parts = F.split("issue_prompt", "\n\n")
-    text = F.substring_index(F.substring_index("issue_prompt", "Legislative Text:\n", -1), "\n\nReturn a JSON", 1)
-    return prompts.select("article_id", F.get(parts, F.lit(1)).alias("context"), text.alias("text"))
+    """Pieces of 50 characters, so that the tables' lines make several."""
+    prompts = handoff.build_prompts(doc_lines(spark, sf_dir), doc_acts(spark, sf_dir), piece_chars=50)
+    context = F.get(F.split("issue_prompt", "\n\n"), F.lit(1))
+    shown = lambda prompt, end: F.substring_index(F.substring_index(prompt, handoff.TEXT_MARK, -1), "\n\n" + end[:10], 1)
+    text, summary = shown("issue_prompt", handoff.ISSUE_INSTRUCTIONS), shown("summary_prompt", handoff.SUMMARY_INSTRUCTIONS)
+    return prompts.select("article_id", "piece", context.alias("context"), text.alias("text"), summary.alias("summary_text"))
 
 
 @REGISTRY.query(

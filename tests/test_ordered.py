@@ -46,3 +46,9 @@ def test_gaps_and_violations(spark):
                 if va > vb:
                     want_breaks.add((g, b, va))
         assert gaps == want_gaps and breaks == want_breaks
+
+
+def test_positions_of_nulls(spark):
+    df = spark.createDataFrame([("a", None), ("a", 5), ("a", 70), (None, 3), (None, None)], "g string, o long")
+    got = sorted(((r.g, r.o, r.position) for r in with_position(df, group="g", order="o", chunk=10).collect()), key=str)
+    assert got == sorted([("a", None, 1), ("a", 5, 2), ("a", 70, 3), (None, None, 1), (None, 3, 2)], key=str)
