@@ -35,6 +35,7 @@ SAMPLE_BYTES = 16_384
 DICTIONARY_BYTES = 65_536
 ARCHIVE_BYTES = 32 << 20  # an archive is closed when its compressed records exceed this
 LEVEL = 3
+STEP_BYTES = 1 << 14
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -85,10 +86,16 @@ def read_archive(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)) if dictionary else zstandard.ZstdDecompressor()
     at, view = 8 + length, memoryview(content)
     while at < len(content):
-        frame = reader.decompressobj()
-        data = frame.decompress(view[at:])
-        at = len(content) - len(frame.unused_data)
-        yield parse(data)
+        # in steps, since what follows a frame is copied
+        frame, data = reader.decompressobj(), []
+        while not frame.eof:
+            step = view[at : at + STEP_BYTES]
+            if not step:
+                raise ValueError("an archive ends within a record")
+            data.append(frame.decompress(step))
+            at += len(step)
+        at -= len(frame.unused_data)
+        yield parse(b"".join(data))
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -108,10 +115,11 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
 
     The dictionary is fitted to ``SAMPLE_RECORDS`` records, at most ``SAMPLE_BYTES`` of each, on the driver.
     """
-    # the first records by digest: a bounded sample, the same in each run
-    names = [c for c in ("page_id", "url", "html", "payload_digest") if c in rows.columns]
-    cut = rows.select(*names).withColumn("html", F.substring("html", 1, SAMPLE_BYTES)).orderBy("payload_digest", "page_id").limit(SAMPLE_RECORDS)
-    dictionary = fit_dictionary([record(r["page_id"], r["url"], r["html"].encode(), r["payload_digest"], None) for r in cut.collect()])
+    # the first payloads by digest: a bounded sample, the same in each run; chosen before any payload is gathered
+    chosen = [r[0] for r in rows.select("payload_digest").distinct().orderBy("payload_digest").limit(SAMPLE_RECORDS).collect()]
+    cut = F.struct("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"))
+    sample = rows.filter(F.col("payload_digest").isin(chosen)).groupBy("payload_digest").agg(F.min(cut).alias("r")).orderBy("payload_digest").select("payload_digest", "r.*")
+    dictionary = fit_dictionary([record(r["page_id"], r["url"], r["html"].encode(), r["payload_digest"], None) for r in sample.collect()])
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
