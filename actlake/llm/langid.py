@@ -129,8 +129,12 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int
     """Fit to a bounded sample of ``docs`` (doc_id, text, lang) that are not held out."""
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.md5(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
+    # which places are in the sample is found without the texts; equal places are ordered by text
+    ranked = rows.select("lang", "place").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
+    last = ranked.filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
+    near = rows.join(last, "lang").filter(F.col("place") <= F.col("last"))
     first = Window.partitionBy("lang").orderBy("place", "text")
-    sample = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).collect()
+    sample = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).collect()
     sample.sort(key=lambda r: (r["lang"], r["n"]))
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import word_count, written
 
 SEED = "mix"
 MULTIPLIER = 2654435761  # a prime above every number of blocks: b -> b * MULTIPLIER + c is a permutation
@@ -190,6 +190,8 @@ def whole_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     # where no document of that part starts beyond the stop, the whole part is taken
     stops = stop.groupBy(*key).agg(F.max("part").alias("stop_part"))
     per = parts.groupBy(*key).agg(F.max("full").alias("full"), F.max("over").alias("over")).join(stops, key, "left").join(ends, key, "left")
+    # written, so that its size is known: one row per source is then broadcast by size and no text is shuffled
+    per = written(per, "llm-mix-stops")
     packed = sized(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")).drop("text", "source")
     out = packed.join(per.withColumnsRenamed({k: f"of_{k}" for k in key}), (F.col("no_source") == F.col("of_no_source")) & (F.col("source_key") == F.col("of_source_key")))
     again = (F.col("over") > 0) & F.when(F.col("end").isNotNull(), mark() < F.col("end")).otherwise(F.coalesce(F.col("part") <= F.col("stop_part"), F.lit(True)))
