@@ -6,30 +6,30 @@ k-means over its labelled texts. A text gets the language of the centroid of hig
 rejected where that cosine is below the language's reach: a share of the least cosine among the language's own texts.
 
 The model is fitted to a bounded sample: ``PER_LANGUAGE`` labelled texts of each language, the first by a hash of the
-id, of at most ``SAMPLE_CHARS`` characters each. Prediction reads whole texts, and nothing but texts. Null texts and
+id. Whole texts become vectors in the tasks; the driver gets ``DIMENSIONS`` numbers for each, however long the text is.
+Prediction reads whole texts, and nothing but texts. Null texts and
 texts without a letter are ``und``, score 0, rejected. Without labelled texts every text is ``und``. Repeated rows and
 ids are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 600
-SAMPLE_CHARS = 20_000
 CENTROIDS = 4
 REACH = 0.5
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 # bytes of letters as they are, others as a blank
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -104,9 +104,13 @@ def spherical_k_means(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(texts: list[str], languages: list[str], clusters: int = CENTROIDS, reach: float = REACH) -> Model:
     kept = [i for i, t in enumerate(texts) if _LETTER.search(t)]
-    labels = np.array([languages[i] for i in kept], dtype=object)
-    names = sorted(set(labels.tolist()))
-    rows = vectors([texts[i] for i in kept])
+    return fit_vectors(vectors([texts[i] for i in kept]), [languages[i] for i in kept], clusters, reach)
+
+
+def fit_vectors(rows: np.ndarray, languages: list[str], clusters: int = CENTROIDS, reach: float = REACH) -> Model:
+    """Fit to the ``vectors`` of texts and their languages."""
+    labels = np.array(languages, dtype=object)
+    names = sorted(set(languages))
     df = (rows > 0).sum(axis=0)
     idf = np.log((1 + len(rows)) / (1 + df)).astype(np.float32) + 1
     rows = normalised(rows * idf)
@@ -125,18 +129,27 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % 4 == 2
 
 
-def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Model:
-    """Fit to a bounded sample of ``docs`` (doc_id, text, lang) that are not held out."""
-    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("lang", F.substring("text", 1, chars).alias("text"), F.md5(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
+def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
+    """Fit to a bounded sample of ``docs`` (doc_id, text, lang) that are not held out; texts without a letter do not count."""
+    rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("lang", "text", F.md5(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
     # which places are in the sample is found without the texts; equal places are ordered by text
     ranked = rows.select("lang", "place").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
     last = ranked.filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
     near = rows.join(last, "lang").filter(F.col("place") <= F.col("last"))
-    first = Window.partitionBy("lang").orderBy("place", "text")
-    sample = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).collect()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [vectors([t])[0].tobytes() for t in batch.column("text").to_pylist()]
+            columns = [batch.column("lang"), batch.column("place"), batch.column("text_md5"), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "text_md5", "vector"])
+
+    made = near.select("lang", "place", F.md5("text").alias("text_md5"), "text").mapInArrow(run, "lang string, place string, text_md5 string, vector binary")
+    first = Window.partitionBy("lang").orderBy("place", "text_md5")
+    sample = made.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("lang", "n", "vector").collect()
     sample.sort(key=lambda r: (r["lang"], r["n"]))
-    return fit([r["text"] for r in sample], [r["lang"] for r in sample])
+    rows_of = np.frombuffer(b"".join(r["vector"] for r in sample), dtype=np.float32).reshape(-1, DIMENSIONS)
+    return fit_vectors(rows_of, [r["lang"] for r in sample])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
