@@ -135,8 +135,9 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = rows.select("lang", "text", F.md5(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
     # which places are in the sample is found without the texts; equal places are ordered by text
     ranked = rows.select("lang", "place").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place")))
-    last = ranked.filter(F.col("n") <= per_language).groupBy("lang").agg(F.max("place").alias("last"))
-    near = rows.join(last, "lang").filter(F.col("place") <= F.col("last"))
+    # at most ``per_language`` short keys of each language, so the texts meet them without a shuffle
+    keys = ranked.filter(F.col("n") <= per_language).select("lang", "place").distinct()
+    near = rows.join(F.broadcast(keys), ["lang", "place"], "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
