@@ -214,6 +214,14 @@ def sync_categories(local: DataFrame, remote: DataFrame, *, ts=None) -> DataFram
             )
         elif name == "synced_at":
             columns.append(F.when(F.col("action") != "kept", F.lit(ts).cast("timestamp")).otherwise(F.col("l.synced_at")).alias(name))
+        elif name == "category_id":
+            # a created row's id comes from its remote id, so a repeated sync gives it again
+            fresh = F.xxhash64("remote_id").cast(local.schema[name].dataType)
+            columns.append(F.when(F.col("action") == "created", fresh).otherwise(F.col(f"l.{name}")).alias(name))
+        elif name == "sort_order":
+            columns.append(F.when(F.col("action") == "created", F.lit(0).cast(local.schema[name].dataType)).otherwise(F.col(f"l.{name}")).alias(name))
+        elif name == "created_at":
+            columns.append(F.when(F.col("action") == "created", F.lit(ts).cast("timestamp")).otherwise(F.col(f"l.{name}")).alias(name))
         else:
             columns.append(F.col(f"l.{name}"))
     return joined.select(*columns, "action")

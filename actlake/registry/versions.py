@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import levenshtein_similarity
 from ..operators import diff as d
 from ..operators import tables
+from ..session import ensure_checkpoint_dir
 from ..streaming import jobs
 from . import Registry
 from .bind import (
@@ -472,7 +473,8 @@ def _stream(spark: SparkSession, sf_dir: str, run) -> DataFrame:
     """Run a query over the events file as a stream to its end and read its result."""
     schema = table(spark, sf_dir, "events").schema
     reader = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet")
-    work = tempfile.mkdtemp(prefix="actlake-stream-")
+    # in the folder that driver and executors share
+    work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actlake-stream-{uuid.uuid4().hex}"
     return run(reader.load(sf_dir), work)
 
 

@@ -94,33 +94,46 @@ ARTICLE_CSV = {
 }
 
 
+def _header_width(spark: SparkSession, paths: str | list[str]) -> int:
+    """The most cells that the first line of any of the files can have; one number reaches the driver."""
+    lines = spark.read.text(paths).where(F.col("_metadata.file_block_start") == 0)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("id"))
+    first = lines.groupBy("path").agg(F.min_by("value", "id").alias("value"))
+    widest = first.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(",")))).alias("commas"))
+    return (widest.first()["commas"] or 0) + 1
+
+
 def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Rows of article CSV files, all strings, columns matched by header name.
 
     Files may order or omit columns as they like: each row is read without a schema and
     matched to its own file's header, so files need not be sorted into groups first. A
     multi-line CSV file is read by one task, which is what makes `ordinal` possible: the
-    position of a row in its file, counted before blank articles are dropped.
+    position of a row in its file, counted before blank articles are dropped. Files are
+    told apart by their whole path (`path`); `file` is the name alone. A header is one
+    line; it may have any number of columns.
     """
-    width = len({h for hs in ARTICLE_CSV.values() for h in hs}) + 40
+    width = _header_width(spark, paths)
     names = [f"c{i}" for i in range(width)]
     raw = (
         spark.read.option("multiLine", True)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", False)
+        .option("maxColumns", max(20480, width + 1))
         .schema(", ".join(f"{n} string" for n in names))
         .csv(paths)
-        .select("*", F.col("_metadata.file_name").alias("file"))
+        .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
     )
     rows = raw.select(
+        "path",
         "file",
         F.monotonically_increasing_id().alias("row_id"),
         F.array(*names).alias("cells"),
     )
-    header = rows.groupBy("file").agg(F.min_by("cells", "row_id").alias("header"), F.min("row_id").alias("first_id"))
+    header = rows.groupBy("path").agg(F.min_by("cells", "row_id").alias("header"), F.min("row_id").alias("first_id"))
     # ids grow by one per record inside one file, because one task reads the file whole
-    rows = rows.join(header, "file").where(F.col("row_id") > F.col("first_id"))
+    rows = rows.join(header, "path").where(F.col("row_id") > F.col("first_id"))
     rows = rows.withColumn("ordinal", (F.col("row_id") - F.col("first_id")).cast("int"))
 
     def cell(header_name: str):
@@ -131,7 +144,7 @@ def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     for name, spellings in ARTICLE_CSV.items():
         options = [F.nullif(cell(s), F.lit("")) for s in spellings]
         columns.append(F.coalesce(*options).alias(name))
-    return rows.select("file", "ordinal", *columns)
+    return rows.select("path", "file", "ordinal", *columns)
 
 
 def _file_names(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -25,6 +25,9 @@ def test_sync_categories(spark):
         0: ("kept", "none", True, old), 1: ("touched", "same", True, TS), 2: ("updated", "new name", True, TS), 3: ("updated", "asleep", True, TS),
         4: ("deactivated", "gone", False, TS), 5: ("kept", "gone before", False, old), 9: ("created", "fresh", True, TS),
     }
+    ids = {r.remote_id: (r.category_id, r.sort_order) for r in tables.sync_categories(local, remote, ts=TS).collect()}
+    assert ids[1] == (2, 1) and ids[9][0] is not None and ids[9][1] == 0
+    assert ids == {r.remote_id: (r.category_id, r.sort_order) for r in tables.sync_categories(local, remote, ts=TS).collect()}
     nothing = tables.sync_categories(local, remote.limit(0), ts=TS)
     assert {r.action for r in nothing.collect()} == {"kept"}
 
