@@ -109,17 +109,24 @@ def related_counts(issues: DataFrame, junctions: dict[str, DataFrame], *, issue:
     return issues.join(counts, issue, "left").na.fill({f"n_{name}": 0 for name in junctions})
 
 
-def child_counts(parents: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str) -> DataFrame:
+def child_counts(
+    parents: DataFrame, children: dict[str, tuple[DataFrame, str]], key: str, *, salts: int = 32
+) -> DataFrame:
     """COUNT(DISTINCT id) per parent and child table, without the child-by-child product.
 
-    ``children`` maps a name to (table, id column). Distinct ids are taken first, so the
-    count itself is an ordinary partial aggregate.
+    ``children`` maps a name to (table, id column). Children of other parents are dropped
+    by one semi-join before distinct ids are taken. It also runs on a salt made of the
+    child's id, so a parent with very many children is met by ``salts`` tasks.
     """
     ids = None
     for name, (table, id_column) in children.items():
         rows = table.where(F.col(id_column).isNotNull())
-        rows = rows.select(key, F.lit(name).alias("_kind"), F.col(id_column).cast("string").alias("_id")).distinct()
+        rows = rows.select(key, F.lit(name).alias("_kind"), F.col(id_column).cast("string").alias("_id"))
         ids = rows if ids is None else ids.unionByName(rows)
+    every_salt = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    wanted = parents.select(key, every_salt.alias("_salt"))
+    ids = ids.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts).cast("long")))
+    ids = ids.join(wanted, [key, "_salt"], "left_semi").distinct()
     counts = ids.groupBy(key).agg(*[F.count_if(F.col("_kind") == name).alias(f"n_{name}") for name in children])
     return parents.join(counts, key, "left").na.fill({f"n_{name}": 0 for name in children})
 

@@ -54,16 +54,22 @@ def build_prompts(
 
 
 def parse_issue_responses(
-    responses: DataFrame, *, key: str = "article_id", body: str = "body", schema: str = ISSUE_SCHEMA
+    responses: DataFrame,
+    *,
+    key: str = "article_id",
+    body: str = "body",
+    schema: str = ISSUE_SCHEMA,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per issue in the answers: (key, pos, name, description, confidence).
+    """One row per issue in the answers: (key, kept columns, pos, name, description, confidence).
 
     Title cut to 256 characters, missing values defaulted; an answer that is no JSON gives none.
     """
-    parsed = responses.select(key, F.from_json(body, schema).alias("p"))
-    long = parsed.select(key, F.posexplode("p.issues").alias("pos", "i"))
+    parsed = responses.select(key, *keep, F.from_json(body, schema).alias("p"))
+    long = parsed.select(key, *keep, F.posexplode("p.issues").alias("pos", "i"))
     return long.select(
         key,
+        *keep,
         "pos",
         F.substring(F.coalesce("i.title", F.lit("")), 1, 256).alias("name"),
         F.coalesce("i.description", F.lit("")).alias("description"),

@@ -11,7 +11,6 @@ from ..operators.articles import confidence_score, post_process, validate_extrac
 from ..operators.html import ACT_PAGES, article_bodies, article_rows, detect_content_type, html_elements, page_metadata
 from ..operators.render import render_pages
 from ..session import cut_lineage
-from ..sources.readers import spread
 
 
 def page_acts(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
@@ -45,7 +44,7 @@ def parse_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
     """
     typed = pages.withColumn("content_type", detect_content_type(html))
     usable = typed.where(F.col("content_type") == "html")
-    elements = html_elements(spread(usable.select(key, html), key), key=key, html=html, selector=ACT_PAGES, nested=True)
+    elements = html_elements(usable.select(key, html), key=key, html=html, selector=ACT_PAGES, nested=True)
     elements = cut_lineage(elements)
     acts = page_acts(elements, key=key)
     bodies = article_bodies(elements, key=key)

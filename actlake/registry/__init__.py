@@ -34,10 +34,10 @@ class Registry(dict):
 
 
 def all_queries() -> dict[str, Registered]:
-    from . import pages, quality, relational, text, versions, views
+    from . import files, pages, quality, relational, text, versions, views
 
     combined: dict[str, Registered] = {}
-    for module in (pages, text, relational, views, versions, quality):
+    for module in (pages, text, relational, views, versions, quality, files):
         for name, registered in module.REGISTRY.items():
             if name in combined:
                 raise ValueError(f"query {name} is registered twice")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import vocab
-from ..sources.readers import read_table, spread
+from ..sources.readers import read_table
 
 WS_SQL = "' ' || " + " || ".join(f"chr({ord(c)})" for c in vocab.WHITESPACE if c != " ")
 
@@ -26,6 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name, _SCHEMAS[key])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give row-heavy work one task per core where a test table is a single small file."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def strip_sql(expression: str) -> str:
     return f"trim({expression}, {WS_SQL})"
 

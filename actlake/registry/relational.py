@@ -20,7 +20,6 @@ from ..functions.labels import (
 )
 from ..operators import articles as art
 from ..operators import ordered, search, stats, tables
-from ..sources.readers import spread
 from . import Registry
 from .bind import (
     ACT_CATEGORIES_SQL,
@@ -47,6 +46,7 @@ from .bind import (
     line_articles,
     links,
     order_acts,
+    spread,
     table,
     with_ctes,
 )

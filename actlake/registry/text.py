@@ -23,9 +23,8 @@ from ..functions.text import (
     strip_label_prefix,
     year_of,
 )
-from ..sources.readers import spread
 from . import Registry
-from .bind import DOC_LINES_SQL, doc_lines, documents, strip_sql, table, with_ctes
+from .bind import DOC_LINES_SQL, doc_lines, documents, spread, strip_sql, table, with_ctes
 
 REGISTRY = Registry()
 

@@ -368,8 +368,8 @@ def parse_issue_json(spark, sf_dir):
     good = F.concat(F.lit('{"issues": [{"title": "'), F.upper(F.substring("event_type", 1, 2)), F.lit('"'), description, confidence, F.lit("}]}"))
     body = F.when(key % 5 == 0, F.concat(F.lit("sorry, "), "event_type")).otherwise(good)
     events = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), body.alias("body"))
-    rows = handoff.parse_issue_responses(events, key="event_id")
-    return rows.join(events.select("event_id", "k"), "event_id").select("event_id", "k", "name", "description", "confidence")
+    rows = handoff.parse_issue_responses(events, key="event_id", keep=("k",))
+    return rows.select("event_id", "k", "name", "description", "confidence")
 
 
 _EXTRACTED_SQL = """extracted AS (

@@ -22,18 +22,6 @@ def read_jdbc(spark: SparkSession, url: str, table: str, *, key: str, low: int,
     return spark.read.jdbc(url, table, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give row-heavy work one task per core when the files yield fewer partitions.
-
-    Partitioned by the key the later windows and groups use, so the shuffle is not an
-    extra one. On a table of many files this is only a look at the plan.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= wanted:
-        return df
-    return df.repartition(wanted, *keys)
-
-
 def read_link_list(spark: SparkSession, path: str, host: str) -> tuple[DataFrame, DataFrame]:
     """(links, rejects). Blank lines and comments are dropped; rejects carry their line number.
 
