@@ -1,13 +1,16 @@
 """N-gram Jaccard self-join with PartEnum signatures.
 
-A document's set holds its distinct 3-word shingles (as 64-bit hashes). Sets are put into bands of similar size. For a
+A document's set holds its distinct shingles of 3 words, or as many as asked for (as 64-bit hashes). Sets are put into bands of similar size. For a
 band, the threshold bounds how many elements two similar sets can differ in: k. PartEnum splits the domain of shingles
 at random into n1 parts and each of these into n2; sets that differ in at most k = 2 * n1 - 1 elements differ in at
 most one within some part, so they agree on n2 - 1 of its n2 sub-parts. Each set therefore gets, for each part and each
 subset of n2 - 1 sub-parts, a signature: the hash of its elements there. Similar sets share at least one. A set near
 the lower end of its band also gets the signatures of the band below. Where a set has no element in a subset, that
 agreement would say nothing: it gets instead, under that subset's name, the signatures of a fresh partition, so that
-no bucket gathers all sets without elements somewhere.
+no bucket gathers all sets without elements somewhere. Below PERCENT sub-parts hold few elements and many are empty,
+so a fresh partition for each would be too many: there are spare parts instead. With ``spare`` parts more than needed,
+similar sets agree in ``spare`` + 1 parts at least, so a set with empty subsets in no more than ``spare`` parts leaves
+them out; one with more gets one fresh partition for all of them.
 
 Equal sets are one node from the start. Sets that share a signature are candidates and are compared exactly. Large
 groups of near copies share their signatures, and all their pairs would be a square: as only components are wanted,
@@ -38,6 +41,7 @@ SHINGLE_WORDS = 3
 PERCENT = 90
 BAND = 1.4  # largest size of a band over its smallest
 FINE = 12  # bands of smaller differences have three sub-parts in a part, others two
+FRESH = 8  # fresh partitions one after the other, where there are spare parts
 PIVOTS, MORE = 16, 256  # members of a bucket that are pivots at first; times as many in each round after
 BATCH_BYTES = 1 << 20
 SKETCH = 8  # 64-bit numbers of a sketch
@@ -67,8 +71,11 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:count], _POWERS["down"][:count]
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; texts are UTF-8 bytes, one after the other, at ``offsets``."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, length: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``length`` words; a text of fewer words is one shingle.
+
+    Texts are UTF-8 bytes, one after the other, at ``offsets``.
+    """
     up, down = _powers(len(data))
     solid = ~_SPACE[data]
     inner = np.zeros(len(data), dtype=bool)  # a word goes on from the byte before
@@ -83,15 +90,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     np.cumsum(_LETTER[data] * up, out=sums[1:])
     words = _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     bounds = np.searchsorted(starts, offsets - offsets[0])
-    three = _mixed(_mixed(_mixed(words[:-2]) + words[1:-1]) + words[2:]) if len(words) > 2 else words[:0]
+    count = max(len(words) - length + 1, 0)
+    runs = _mixed(words[:count])
+    for i in range(1, length):
+        runs = _mixed(runs + words[i : i + count])
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= SHINGLE_WORDS:
-            out.append(np.unique(three[a : b - 2]))
-        elif b - a == 2:
-            out.append(_mixed(_mixed(words[a : a + 1]) + words[a + 1 : a + 2] + _U(2)))
+        if b - a >= length:
+            out.append(np.unique(runs[a : b - length + 1]))
         else:
-            out.append(_mixed(words[a:b] + _U(1)))
+            short = words[a : min(a + 1, b)]
+            for i in range(a + 1, b):
+                short = _mixed(short) + words[i : i + 1]
+            out.append(_mixed(short + _U(b - a)))
     return out
 
 
@@ -151,9 +162,55 @@ def part_enum(elements: np.ndarray, difference: int, name: int, sub_parts: int,
     return np.concatenate(out)
 
 
+_SPARE: dict[tuple[int, int], int] = {}
+
+
+def spare_parts(size: int, difference: int, sub_parts: int) -> int:
+    """Parts more than needed that best exceed the number in which a set of ``size`` elements has an empty subset."""
+    if (size, difference) not in _SPARE:
+        needed = difference // 2 + 1
+        spare = np.arange(1, needed + 1)
+        subsets = (needed + spare) * sub_parts
+        empty = subsets * np.exp(-size * (sub_parts - 1) / subsets)
+        _SPARE[size, difference] = int(spare[((spare - empty) / np.sqrt(empty)).argmax()])
+    return _SPARE[size, difference]
+
+
+def spared_part_enum(elements: np.ndarray, difference: int, name: int, sub_parts: int, spare: int, depth: int = 0) -> np.ndarray:
+    """Signatures as ``part_enum`` gives them, with ``spare`` parts more in place of fresh partitions for single subsets."""
+    parts = difference // 2 + 1 + spare
+    count = parts * sub_parts
+    salted = _mixed(elements ^ _mixed(np.array([name + 1], dtype=np.uint64)))
+    where = (((salted >> _U(32)) * _U(count)) >> _U(32)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    held = np.bincount(where, minlength=count)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(salted)[order], dtype=np.uint64)])
+    ends = np.cumsum(held)
+    of = (sums[ends] - sums[ends - held]).reshape(parts, sub_parts)
+    held = held.reshape(parts, sub_parts)
+    # subset i of a part is all of its sub-parts but i
+    number = np.arange(count, dtype=np.uint64).reshape(parts, sub_parts)
+    tag = _mixed(number + _mixed(np.array([name + 7], dtype=np.uint64)))
+    value = _mixed(tag + of.sum(axis=1, keepdims=True, dtype=np.uint64) - of)
+    empty = held.sum(axis=1, keepdims=True) == held
+    if depth == FRESH:
+        return value.ravel()
+    out = value[~empty]
+    if empty.any(axis=1).sum() <= spare:
+        return out
+    fresh = int(_mixed(np.array([name + 13], dtype=np.uint64))[0]) >> 2
+    return np.concatenate([out, spared_part_enum(elements, difference, fresh, sub_parts, spare, depth + 1)])
+
+
 def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """All signatures of a set, as signed 64-bit numbers."""
-    found = [part_enum(elements, k, band, 3 if k < FINE else 2) for band, k in _bands_of(len(elements), percent)]
+    found = []
+    for band, k in _bands_of(len(elements), percent):
+        if percent < PERCENT and k >= FINE:
+            spare = spare_parts(_BANDS[percent][1][band][0], k, 3)
+            found.append(spared_part_enum(elements, k, band, 3, spare))
+        else:
+            found.append(part_enum(elements, k, band, 3 if k < FINE else 2))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -165,14 +222,14 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, np.uint8), offsets
 
 
-def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+def _sets(column: pa.Array, length: int) -> Iterator[np.ndarray]:
     """The sets of a column's texts, about a megabyte of text at a time."""
     data, offsets = _texts(column)
     start = 0
     while start < len(column):
         stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + BATCH_BYTES, side="right")) - 1)
         stop = min(stop, len(column))
-        yield from shingle_sets(data[offsets[start] : offsets[stop]], offsets[start : stop + 1])
+        yield from shingle_sets(data[offsets[start] : offsets[stop]], offsets[start : stop + 1], length)
         start = stop
 
 
@@ -189,13 +246,13 @@ def odd_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def with_sets(docs: DataFrame) -> DataFrame:
+def with_sets(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, set_a and set_b (128-bit hash of the set) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, a, b = [], [], []
-            for elements in _sets(batch.column("text")):
+            for elements in _sets(batch.column("text"), length):
                 sizes.append(len(elements))
                 a.append(int(_mixed(elements).sum(dtype=np.uint64).view(np.int64)))
                 b.append(int(_mixed(elements + _U(12345)).sum(dtype=np.uint64).view(np.int64)))
@@ -205,23 +262,23 @@ def with_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
 
 
-def with_signatures(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def with_signatures(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
     """node and sigs of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = [signatures(elements, percent) for elements in _sets(batch.column("text"))]
+            sigs = [signatures(elements, percent) for elements in _sets(batch.column("text"), length)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), _long_lists(sigs)], ["node", "sigs"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sigs array<long>")
 
 
-def element_sets(docs: DataFrame) -> DataFrame:
+def element_sets(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
     """node, sketch and elements: the sets of ``docs`` (doc_id, text) as arrays of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch.column("text")))
+            sets = list(_sets(batch.column("text"), length))
             columns = [_long_lists([odd_sketch(elements) for elements in sets]), _long_lists(sets)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["node", "sketch", "elements"])
 
@@ -238,20 +295,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    base = written(with_sets(docs), "llm-sets")
+    base = written(with_sets(docs, length), "llm-sets")
     classes = base.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
     classes = written(classes, "llm-classes")
     # the signatures are computed anew where they are used: they take more room than the texts they come from
-    nodes = with_signatures(docs, percent).join(classes.select("node"), "node", "left_semi")
+    nodes = with_signatures(docs, percent, length).join(classes.select("node"), "node", "left_semi")
     signed = nodes.select("node", F.explode("sigs").alias("sig"))
     # most signatures are one set's: only counts are shuffled to find the others
     shared = signed.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
     buckets = written(signed.join(shared, "sig"), "llm-buckets")
 
     wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(element_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi")), "llm-elements")
+    sets = written(element_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), length), "llm-elements")
 
     least = buckets.groupBy("sig").agg(F.min("node").alias("pivot"))
     star = buckets.join(least, "sig").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
@@ -282,8 +339,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` without those whose component has a smaller id; all columns."""
-    found = jaccard_components(docs, percent)
+    found = jaccard_components(docs, percent, length)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -22,9 +22,13 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit_quality(docs, read(spark, sf_dir, "labels")))
 
 
+# near copies: sets of shingles of five words with a Jaccard similarity of at least 0.8 (op2 has values of its own)
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group of near copies, and all documents that have none."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
