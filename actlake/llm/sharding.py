@@ -5,10 +5,12 @@ grows with the data, gathered into ``units``: runs of that order, 65,536 unless
 groups. On a table with fewer groups than that nearly every unit is one group; on a larger one a unit is a share of
 1/65,536 of all. Only the units' sizes, whose number is bounded, go to the driver. There the smallest capacity is
 found by binary search for which a greedy pass (fill a shard until the next unit would exceed it) needs no more
-than the wanted number of shards; the units are cut where that pass cuts.
+than the wanted number of shards. Where a single unit forces that capacity it gets a shard of its own, and the search
+goes on in the runs before and after it with the shards left; where none does, the units are cut where the greedy pass
+cuts. Shards left over split the largest shards that have more than one unit, so all are used if there are units enough.
 
 Null and empty texts are one group. Equal texts are in one shard, however many there are: a group larger than the
-mean shard sets the capacity. Repeated rows and ids are separate rows. An empty table gives an empty result.
+mean shard is alone in its shard, and the others are balanced without it. Repeated rows and ids are separate rows. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,19 +38,58 @@ def cuts_within(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return np.array(cuts, dtype=np.int64)
 
 
-def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
-    """The smallest capacity that lets ``sizes`` (in order) into ``shards`` runs, and the cuts at that capacity."""
-    sizes = np.asarray(sizes, dtype=np.int64)
-    if not len(sizes):
-        return 0, np.array([], dtype=np.int64)
-    low, high = max(int(sizes.max()), -(-int(sizes.sum()) // shards)), int(sizes.sum())
+def _smallest(runs: list[np.ndarray], shards: int, high: int) -> int | None:
+    """The smallest capacity up to ``high`` that lets ``runs`` into ``shards`` shards, none of which spans two runs."""
+
+    def fits(capacity: int) -> bool:
+        return sum(len(cuts_within(r, capacity)) + 1 for r in runs) <= shards
+
+    low = max(max(int(r.max()) for r in runs), -(-sum(int(r.sum()) for r in runs) // max(shards, 1)))
+    if low > high or not fits(high):
+        return None
     while low < high:
         middle = (low + high) // 2
-        if len(cuts_within(sizes, middle)) < shards:
+        if fits(middle):
             high = middle
         else:
             low = middle + 1
-    return low, cuts_within(sizes, low)
+    return low
+
+
+def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, np.ndarray]:
+    """The smallest capacity that lets ``sizes`` (in order) into ``shards`` runs, and cuts for which no run is above it.
+
+    What a large unit leaves to the others is balanced in the same way, see above; min(shards, len(sizes)) runs result.
+    """
+    sizes = np.asarray(sizes, dtype=np.int64)
+    if not len(sizes):
+        return 0, np.array([], dtype=np.int64)
+    first = capacity = _smallest([sizes], shards, int(sizes.sum()))
+    spans, alone = [(0, len(sizes))], []
+    while True:
+        span, at = next(((s, s[0] + int(sizes[slice(*s)].argmax())) for s in spans if int(sizes[slice(*s)].max()) == capacity), (None, 0))
+        if span is None:
+            break
+        rest = [s for s in spans if s != span] + [s for s in ((span[0], at), (at + 1, span[1])) if s[0] < s[1]]
+        left = shards - len(alone) - 1
+        found = _smallest([sizes[slice(*s)] for s in rest], left, capacity) if rest else 0
+        if found is None:
+            break
+        spans, capacity = rest, found
+        alone.append((at, at + 1))
+        if not rest:
+            break
+    parts = list(alone)
+    for begin, end in spans:
+        edges = [begin, *(cuts_within(sizes[begin:end], capacity) + begin).tolist(), end]
+        parts += zip(edges[:-1], edges[1:], strict=True)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    while len(parts) < min(shards, len(sizes)):
+        begin, end = max((p for p in parts if p[1] - p[0] > 1), key=lambda p: ends[p[1]] - ends[p[0]])
+        middle = int(np.abs(2 * ends[begin + 1 : end] - ends[begin] - ends[end]).argmin()) + begin + 1
+        parts.remove((begin, end))
+        parts += [(begin, middle), (middle, end)]
+    return first, np.array(sorted(p[0] for p in parts)[1:], dtype=np.int64)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, units: int = UNITS) -> DataFrame:

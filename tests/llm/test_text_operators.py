@@ -167,3 +167,24 @@ def test_shards(spark, edge_docs, no_docs, which):
         groups[r["text_crc32"]] += r["size"]
     assert max(held.values()) <= sum(held.values()) / shards + max(groups.values())
     assert sharding.shard_documents(no_docs).count() == 0
+
+
+def test_a_large_group_leaves_the_other_shards_balanced(spark):
+    chance = np.random.default_rng(8)
+    for _ in range(60):
+        sizes = chance.integers(1, 40, chance.integers(1, 30))
+        sizes[chance.integers(0, len(sizes))] += chance.choice([0, 500])
+        shards = int(chance.integers(1, 9))
+        capacity, cuts = sharding.minimax_cuts(sizes, shards)
+        parts = np.split(sizes, cuts)
+        assert capacity == best_capacity(sizes.tolist(), shards) == max(p.sum() for p in parts)
+        assert len(parts) == min(shards, len(sizes)) and all(len(p) for p in parts)
+    sizes = np.full(2000, 10)
+    sizes[700] = 10_000  # a third of all
+    held = sorted(int(p.sum()) for p in np.split(sizes, sharding.minimax_cuts(sizes, 40)[1]))
+    assert len(held) == 40 and held[-1] == 10_000 and held[-2] <= 530 and held[0] >= 100
+    rows = [(i, "hot " * 50 if i % 3 == 0 else f"text {i} " + "x" * 190) for i in range(3000)]
+    held = defaultdict(int)
+    for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect():
+        held[r["shard"]] += r["size"]
+    assert set(held) == set(range(40)) and sorted(held.values())[-2] < 1.1 * sum(sorted(held.values())[:-1]) / 39
