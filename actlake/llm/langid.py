@@ -3,10 +3,12 @@
 A text is a vector of hashed byte n-grams (two and three bytes of the lower-cased text, all but letters as blanks), weighted by
 1 + log(count) and inverse document frequency and normalised. Each language has several centroids, found by spherical
 k-means over its labelled texts. A text gets the language of the centroid of highest cosine, which is its score. It is
-rejected where that cosine is below the language's reach: a share of the least cosine among the language's own texts.
+rejected where that cosine is below the reach for texts of its length: a share of a low quantile of the cosines of
+labelled texts that the centroids were not found from. Length is counted in different n-grams, in powers of two; a
+length with few such texts also takes those of the shorter ones. Without such texts of its length or less, none is rejected.
 
-The model is fitted to a bounded sample: ``PER_LANGUAGE`` labelled texts of each language, the first by a hash of the
-id. Whole texts become vectors in the tasks; the driver gets ``DIMENSIONS`` numbers for each, however long the text is.
+The model is fitted to a bounded sample: labelled texts of each language, the first by a hash of the id,
+``PER_LANGUAGE`` for the centroids and a third as many for the reach. Whole texts become vectors in the tasks; the driver gets ``DIMENSIONS`` numbers for each, however long the text is.
 Prediction reads whole texts, and nothing but texts. Null texts and
 texts without a letter are ``und``, score 0, rejected. Without labelled texts every text is ``und``. Repeated rows and
 ids are kept; an empty table gives an empty result.
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 DIMENSIONS = 4096
 PER_LANGUAGE = 600
 CENTROIDS = 4
-REACH = 0.5
+REACH = 0.8  # share of the cosine that all but LOW of the texts of a length exceed
+LOW = 0.02
+LENGTHS = 12  # powers of two
+FEW = 10  # texts, fewer of a length are joined by shorter ones
 UNKNOWN = "und"
 
 _LETTER = regex.compile(r"\p{L}")
@@ -67,13 +72,18 @@ def normalised(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
 
+def length_class(rows: np.ndarray) -> np.ndarray:
+    """The power of two in each text's number of different n-grams."""
+    return np.minimum(np.log2(np.maximum((rows > 0).sum(axis=1), 1)).astype(np.int64), LENGTHS - 1)
+
+
 @dataclass
 class Model:
     languages: list[str]
     idf: np.ndarray
     centroids: np.ndarray
     language_of: np.ndarray  # of each centroid
-    reach: np.ndarray
+    reach: np.ndarray  # of each length
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, score, rejected) of each text."""
@@ -83,11 +93,12 @@ class Model:
             return out
         for start in range(0, len(known), 256):
             part = known[start : start + 256]
-            cosines = normalised(vectors([texts[i] for i in part]) * self.idf) @ self.centroids.T
-            for i, row in zip(part, cosines, strict=True):
+            rows = vectors([texts[i] for i in part])
+            cosines = normalised(rows * self.idf) @ self.centroids.T
+            for i, row, reach in zip(part, cosines, self.reach[length_class(rows)], strict=True):
                 best = int(row.argmax())
                 score = float(min(max(row[best], 0.0), 1.0))
-                out[i] = (self.languages[self.language_of[best]], score, bool(score < self.reach[best]))
+                out[i] = (self.languages[self.language_of[best]], score, bool(score < reach))
         return out
 
 
@@ -111,17 +122,35 @@ def fit_vectors(rows: np.ndarray, languages: list[str], clusters: int = CENTROID
     """Fit to the ``vectors`` of texts and their languages."""
     labels = np.array(languages, dtype=object)
     names = sorted(set(languages))
-    df = (rows > 0).sum(axis=0)
-    idf = np.log((1 + len(rows)) / (1 + df)).astype(np.float32) + 1
+    # every fourth text of a language is for the reach
+    apart = np.zeros(len(labels), dtype=bool)
+    for name in names:
+        apart[np.flatnonzero(labels == name)[3::4]] = True
+    lengths = length_class(rows)
+    df = (rows[~apart] > 0).sum(axis=0)
+    idf = np.log((1 + np.count_nonzero(~apart)) / (1 + df)).astype(np.float32) + 1
     rows = normalised(rows * idf)
-    centroids, owner, reaches = [], [], []
+    centroids, owner = [], []
     for number, name in enumerate(names):
-        own = rows[labels == name]
-        found = spherical_k_means(own, clusters)
-        reaches += [reach * float((own @ found.T).max(axis=1).min())] * len(found)
+        found = spherical_k_means(rows[(labels == name) & ~apart], clusters)
         owner += [number] * len(found)
         centroids.append(found)
-    return Model(names, idf, np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32), np.array(owner, dtype=np.int64), np.array(reaches))
+    centroids = np.concatenate(centroids) if centroids else np.zeros((0, DIMENSIONS), np.float32)
+    return Model(names, idf, centroids, np.array(owner, dtype=np.int64), reaches(rows[apart], lengths[apart], centroids, reach))
+
+
+def reaches(rows: np.ndarray, lengths: np.ndarray, centroids: np.ndarray, reach: float = REACH) -> np.ndarray:
+    """The least cosine of each length that is not rejected, from unit rows that the centroids were not found from."""
+    out = np.zeros(LENGTHS)
+    if len(rows):
+        best = (rows @ centroids.T).max(axis=1)
+        for length in range(LENGTHS):
+            least = length
+            while least and ((lengths >= least) & (lengths <= length)).sum() < FEW:
+                least -= 1
+            own = best[(lengths >= least) & (lengths <= length)]
+            out[length] = reach * np.quantile(own, LOW) if len(own) else 0.0
+    return out
 
 
 def held_out() -> F.Column:
@@ -131,6 +160,7 @@ def held_out() -> F.Column:
 
 def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fit to a bounded sample of ``docs`` (doc_id, text, lang) that are not held out; texts without a letter do not count."""
+    per_language += per_language // 3  # those for the reach
     rows = docs.filter(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("lang", "text", F.md5(F.concat(F.lit("lang"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("place"))
     # which places are in the sample is found without the texts; equal places are ordered by text

@@ -267,6 +267,20 @@ def test_language_accuracy(spark, edge_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.fit_languages(no_docs)).collect()} == {"und"}
 
 
+def test_language_rejection(spark):
+    rows = [r for r in read(spark, SF_MORE, "documents").select("text", "lang").collect() if r["text"] and r["lang"] and langid._LETTER.search(r["text"])]
+    chance = np.random.default_rng(6)
+    noise = ["".join(chance.choice(list("abcdefghijklmnopqrstuvwxyz    "), n)) for n in (100, 400, 2000, 10_000) for _ in range(20)]
+    for other in ("de", "fr", "es"):
+        known, unlearned = [r for r in rows if r["lang"] != other], [r["text"] for r in rows if r["lang"] == other and len(r["text"].split()) >= 20]
+        seen, new = known[::2], known[1::2]
+        # junk with a label is no reason to let everything pass
+        model = langid.fit([r["text"] for r in seen] + ["x", "qzx jkw"], [r["lang"] for r in seen] + ["en", "en"])
+        assert np.mean([p[2] for p in model.predict([r["text"] for r in new])]) < 0.02
+        assert np.mean([p[2] for p in model.predict(unlearned)]) > 0.95
+        assert np.mean([p[2] for p in model.predict(noise)]) > 0.95
+
+
 def test_quality_accuracy(spark, edge_docs, no_docs):
     docs, labels = read(spark, "/root/testdata/sf0.01", "documents"), read(spark, "/root/testdata/sf0.01", "labels")
     network = quality.fit_quality(docs, labels)
