@@ -113,23 +113,33 @@ def splitting_tree(counts: DataFrame, shards: int) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.explode(leaf).alias("e")).select(F.col("e.ranks").alias("rank"), "shard", F.col("e.blocks").cast("long").alias("blocks"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, shards: int = 64, block_words: int = 4096) -> DataFrame:
-    """Deal the words of ``docs`` (doc_id, text, source) out to shards. One row per document:
-
-    doc_id, source, size, source_size, target, taken and ``pieces``: array of struct(pass, start, words, shard, block),
-    ``start`` being a word's number in the document, ``block`` the block's place in the shard's order.
-    """
-    rows = sized(docs.select("doc_id", "source", "text")).drop("text")
+def dealt_targets(rows: DataFrame, weights: tuple[int, ...], share: float, repeats: int, shards: int, block_words: int) -> DataFrame:
+    """``source_targets`` with quota, number of blocks and ``ends``: shard s takes the turns below ends[s] that no earlier shard has."""
     targets = source_targets(rows, weights, share, repeats).withColumn("quota", F.floor(F.col("target") + 0.5))
     targets = targets.withColumn("blocks", F.ceil(F.col("quota") / block_words))
     split = splitting_tree(targets.select("rank", "blocks"), shards)
-    # a source's blocks in permuted order: shard s takes those below ends[s] that no earlier shard has
     ends = split.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("shard", "blocks"))).alias("s"))
     ends = ends.select(
         "rank",
         F.transform(F.sequence(F.lit(1), F.size("s")), lambda i: F.aggregate(F.slice("s", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x["blocks"])).alias("ends"),
     )
-    targets = targets.join(ends, "rank")
+    return targets.join(ends, "rank")
+
+
+def _shard(block: Column) -> Column:
+    """The shard of a source's block: its turn in permuted order among the ``ends``."""
+    turn = F.pmod(block * F.lit(MULTIPLIER).cast("long") + F.pmod(F.xxhash64(F.lit(SEED), "source_key"), F.col("blocks")), F.col("blocks"))
+    return F.size(F.filter("ends", lambda e: e <= turn))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, shards: int = 64, block_words: int = 4096) -> DataFrame:
+    """Deal the words of ``docs`` (doc_id, text, source) out to shards. One row per document:
+
+    doc_id, source, size, source_size, target, taken and ``pieces``: array of struct(pass, start, words, shard, block),
+    ``start`` being a word's number in the document, ``block`` the block's place in the shard's order.
+    """
+    rows = sized(docs.select("doc_id", "source", "text")).drop("text")
+    targets = dealt_targets(rows, weights, share, repeats, shards, block_words)
     key = ["no_source", "source_key"]
     parts = rows.groupBy(*key, "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -147,9 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
         def piece(block: Column) -> Column:
             begin = F.greatest(start, block * block_words)
             words = F.least(stop, (block + 1) * block_words) - begin
-            turn = F.pmod(block * F.lit(MULTIPLIER).cast("long") + F.pmod(F.xxhash64(F.lit(SEED), "source_key"), F.col("blocks")), F.col("blocks"))
-            shard = F.size(F.filter("ends", lambda e: e <= turn))
-            return F.struct(F.lit(number).alias("pass"), (begin - start).alias("start"), words.alias("words"), shard.alias("shard"), F.xxhash64(F.lit(SEED), "rank", block).alias("block"))
+            return F.struct(F.lit(number).alias("pass"), (begin - start).alias("start"), words.alias("words"), _shard(block).alias("shard"), F.xxhash64(F.lit(SEED), "rank", block).alias("block"))
 
         return F.when(stop > start, F.transform(F.sequence(first, last), piece)).otherwise(F.array())
 
@@ -165,35 +173,39 @@ def shards_of(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
     return dealt.sortWithinPartitions("shard", "block", "doc_id", "start")
 
 
-def whole_documents(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2) -> DataFrame:
+def whole_documents(
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, shards: int = 64, block_words: int = 4096
+) -> DataFrame:
     """Mix whole documents: each row of ``docs`` as often as the mix takes it (0 to ``repeats`` times), same columns.
 
     A document is taken once for each pass that reaches its first word before the quota is met, so a source is over
-    its quota by less than one document. Only one row per source (full passes, and the place where the last pass
-    stops) is joined to the texts. Documents without words are kept once.
+    its quota by less than one document. The line is cut into blocks as in ``mix``; a block's documents are those whose
+    first words it holds, in each pass by their places in that pass. The blocks are dealt to the shards by the splitting
+    tree. Each shard is one partition, its documents ordered by a hash. Documents without words are kept once, in a shard
+    by their hash.
     """
+    rows = sized(docs.select("doc_id", "source", "text")).drop("text")
     key = ["no_source", "source_key"]
-    rows = sized(docs.select("doc_id", "source", "text")).drop("text", "source")
-    targets = source_targets(rows, weights, share, repeats)
     parts = rows.groupBy(*key, "part").agg(F.sum("size").alias("words"))
     before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(targets, key)
-    quota = F.floor(F.col("target") + 0.5)
-    parts = parts.withColumn("full", F.floor(quota / F.greatest(F.col("source_size"), F.lit(1)))).withColumn("over", quota - F.col("full") * F.col("source_size"))
-    # only the part of a source in which its last pass stops is ordered
-    stop = parts.filter((F.col("base") <= F.col("over")) & (F.col("over") < F.col("base") + F.col("words")))
-    inside = Window.partitionBy(*key, "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    line = rows.join(stop.select(*key, "part", "base", "over"), [*key, "part"])
-    line = line.withColumn("at", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    mark = lambda: F.struct("place", "doc_id", "size")
-    ends = line.filter((F.col("at") >= F.col("over")) & (F.col("size") > 0)).groupBy(*key).agg(F.min(mark()).alias("end"))
-    # where no document of that part starts beyond the stop, the whole part is taken
-    stops = stop.groupBy(*key).agg(F.max("part").alias("stop_part"))
-    per = parts.groupBy(*key).agg(F.max("full").alias("full"), F.max("over").alias("over")).join(stops, key, "left").join(ends, key, "left")
-    # written, so that its size is known: one row per source is then broadcast by size and no text is shuffled
-    per = written(per, "llm-mix-stops")
+    parts = parts.select(*key, "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
+    # written, so that their sizes are known: small ones are then broadcast and texts meet them without a shuffle
+    targets = written(dealt_targets(rows, weights, share, repeats, shards, block_words), "llm-mix-targets")
+    parts = written(parts.join(targets, key), "llm-mix-parts")
     packed = sized(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")).drop("text", "source")
-    out = packed.join(per.withColumnsRenamed({k: f"of_{k}" for k in key}), (F.col("no_source") == F.col("of_no_source")) & (F.col("source_key") == F.col("of_source_key")))
-    again = (F.col("over") > 0) & F.when(F.col("end").isNotNull(), mark() < F.col("end")).otherwise(F.coalesce(F.col("part") <= F.col("stop_part"), F.lit(True)))
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("full") + F.coalesce(again, F.lit(False)).cast("long"))
-    return out.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select("row.*")
+    inside = Window.partitionBy(*key, "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = packed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, [*key, "part"])
+    line = line.withColumn("at", F.col("at") + F.col("base"))
+
+    def of_pass(number: int) -> Column:
+        start = F.col("at") + F.col("source_size") * number
+        shard = _shard(F.floor(start / block_words))
+        turn = F.xxhash64(F.lit(SEED), F.lit(number), "place", "at")
+        taken = F.array(F.struct(shard.alias("shard"), turn.alias("turn")))
+        return F.when((F.col("size") > 0) & (start < F.col("quota")), taken).otherwise(F.array())
+
+    turn = F.xxhash64(F.lit(SEED), "place")
+    empty = F.array(F.struct(F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn")))
+    deals = F.when(F.col("size") > 0, F.concat(*[of_pass(n) for n in range(repeats)])).otherwise(empty)
+    out = line.select("row", F.explode(deals).alias("deal"))
+    return out.repartitionById(shards, F.col("deal.shard")).sortWithinPartitions("deal.turn").select("row.*")

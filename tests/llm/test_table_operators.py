@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 import zstandard
 from compare import compare, duck
+from pyspark.sql import functions as F
 
 from actlake.llm import components, jaccard, kdtree, langid, mixing, quality, warc
 from actlake.llm.common import read
@@ -215,6 +216,26 @@ def test_whole_documents(spark, edge_docs, no_docs):
     assert mixing.whole_documents(no_docs).count() == 0
 
 
+def test_whole_documents_are_dealt(spark):
+    docs = read(spark, SF_MORE, "documents")
+    size = {r["doc_id"]: (r["source"], len((r["text"] or "").split())) for r in docs.collect()}
+    dealt = mixing.whole_documents(docs, shards=4, block_words=256)
+    held = defaultdict(list)
+    for r in dealt.withColumn("shard", F.spark_partition_id()).select("shard", "doc_id").collect():
+        held[r["shard"]].append(r["doc_id"])
+    assert set(held) == set(range(4))
+    words = {s: sum(size[d][1] for d in ids) for s, ids in held.items()}
+    assert max(words.values()) < 1.3 * min(words.values())
+    # all sources are in all shards, in no order of theirs, and copies of a document are not neighbours
+    for ids in held.values():
+        sources = [size[d][0] for d in ids]
+        assert len(set(sources)) == len({s for s, _ in size.values()})
+        assert sum(a != b for a, b in zip(sources, sources[1:], strict=False)) > len(sources) / 4
+    twice = [d for d, n in Counter(d for ids in held.values() for d in ids).items() if n == 2]
+    adjacent = sum(a == b for ids in held.values() for a, b in zip(ids, ids[1:], strict=False))
+    assert len(twice) > 100 and adjacent < len(twice) / 20
+
+
 # ---------------------------------------------------------------- archives
 
 
