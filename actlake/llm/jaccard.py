@@ -344,3 +344,18 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORD
     found = jaccard_components(docs, percent, length)
     gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
+def keep_one_row(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
+    """Exactly one row of each component of ``docs``; all columns.
+
+    Rows are told apart by a number of their own, not by doc_id: repeated rows, rows with null id and rows of one id with
+    different texts are compared as any others. The row of the smallest doc_id stays, one with a null id only where no
+    row has an id. Rows without words are each a component of their own, repeated or not.
+    """
+    # written, so that a row keeps its number
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "llm-rows")
+    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, length)
+    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
+    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("first"))
+    return rows.join(kept.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")

@@ -27,8 +27,8 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, and all documents that have none."""
-    return jaccard.keep_one(docs, NEAR_PERCENT, NEAR_WORDS)
+    """One row of each group of near copies, that of smallest id, and all documents that have none."""
+    return jaccard.keep_one_row(docs, NEAR_PERCENT, NEAR_WORDS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,3 +96,15 @@ def test_near_copies_share_signatures():
             found = jaccard.signatures(a, 80)
             assert np.intersect1d(found, jaccard.signatures(b, 80)).size and len(found) <= 6 * len(a)
     assert linked > 500
+
+
+def test_one_row_of_each_component_stays(spark, edge_docs, no_docs):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(6, a), (6, a), (6, b), (None, a), (9, b), (None, "only null ids have this text here"), (None, "only null ids have this text here"), (1, None), (2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in corpus_pipeline.distinct(spark, docs, SF).collect())
+    assert got == Counter({(6, a): 1, (6, b): 1, (None, "only null ids have this text here"): 1, (1, None): 1, (2, ""): 1})
+    kept = corpus_pipeline.distinct(spark, edge_docs, SF)
+    assert kept.columns == edge_docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect())[6] == 1
+    assert corpus_pipeline.distinct(spark, no_docs, SF).count() == 0
