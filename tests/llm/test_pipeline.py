@@ -108,3 +108,13 @@ def test_one_row_of_each_component_stays(spark, edge_docs, no_docs):
     assert kept.columns == edge_docs.columns
     assert Counter(r["doc_id"] for r in kept.collect())[6] == 1
     assert corpus_pipeline.distinct(spark, no_docs, SF).count() == 0
+
+
+def test_pipeline_follows_its_stages_at_five_words(spark):
+    docs = read(spark, SF, "documents")
+    identified = langid.keep_identified(docs, langid.fit_languages(docs))
+    good = quality.keep_good(identified, quality.fit_quality(identified, read(spark, SF, "labels")))
+    least = brute_distinct([(r["doc_id"], (r["text"] or "").translate({c: c + 32 for c in range(65, 91)})) for r in good.collect()])
+    mixed = Counter(r["doc_id"] for r in mixing.whole_documents(good.filter(good["doc_id"].isin(list(least)))).collect())
+    ends = Counter(r["doc_id"] for r in corpus_pipeline.run(spark, SF).filter("start + length = doc_tokens").collect())
+    assert ends == mixed and 0 < len(ends) < docs.count()
