@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from . import fingerprint, jaccard, kdtree, langid, mixing, packing, quality, sharding, tokencount, warc
+from . import fingerprint, jaccard, kdtree, langid, mixing, packing, quality, repair, sharding, tokencount, warc, whitening
 from .common import read
 
 REGISTRY = Registry()
@@ -105,5 +105,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit_languages(docs))
 
 
+@REGISTRY.query("op11_repair")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@REGISTRY.query("op13_whiten")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> Registry:
     return REGISTRY
