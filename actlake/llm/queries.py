@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..registry import Registry
-from . import fingerprint, jaccard, kdtree, langid, mixing, packing, quality, repair, sharding, tokencount, warc, whitening
+from . import fingerprint, jaccard, kdtree, langid, lm, mixing, packing, quality, repair, sharding, tokencount, warc, whitening
 from .common import read
 
 REGISTRY = Registry()
@@ -110,6 +110,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(read(spark, sf_dir, "conversations"))
 
 
+@REGISTRY.query("op12_lm_score")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(read(spark, sf_dir, "documents"))
+
+
 @REGISTRY.query("op13_whiten")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_embeddings(read(spark, sf_dir, "embeddings"))
