@@ -1,8 +1,9 @@
 """Text similarity for change detection.
 
 The Ratcliff-Obershelp ratio has no Spark built-in, so it is the one Arrow UDF here.
-Everything that can be decided without it is decided in Catalyst, and rows that are
-decided reach the UDF as NULL.
+Whether it is below a threshold is decided in Catalyst by bounds (``decision``); only
+pairs that the bounds leave open reach the UDF, others reach it as NULL. With
+``measure="edits"`` the open pairs are decided by their edit distance and no Python runs.
 """
 
 from __future__ import annotations
@@ -59,14 +60,76 @@ def length_bound(a: ColumnLike, b: ColumnLike) -> Column:
     return F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
 
 
-def is_significant(a: ColumnLike, b: ColumnLike, threshold: float = 0.95, autojunk: bool = False) -> Column:
+def character_bound(a: ColumnLike, b: ColumnLike) -> Column:
+    """Upper bound of the ratio: characters match at most as often as both texts have them."""
+    a, b = as_column(a), as_column(b)
+
+    def times(text: Column, char: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, char, F.lit("")))
+
+    chars = F.filter(F.array_distinct(F.split(a, "")), lambda c: c != "")
+    shared = F.aggregate(chars, F.lit(0), lambda n, c: n + F.least(times(a, c), times(b, c)))
+    total = F.length(a) + F.length(b)
+    return F.when(total > 0, 2.0 * shared / total).otherwise(1.0)
+
+
+LONGEST = 22  # texts of up to 2 ** LONGEST characters; of longer ones the prefix found may be too short
+
+
+def common_prefix(a: ColumnLike, b: ColumnLike) -> Column:
+    """Length of the common prefix, by halving steps."""
+    a, b = as_column(a), as_column(b)
+    steps = F.array(*[F.lit(1 << k) for k in range(LONGEST - 1, -1, -1)])
+
+    def longer(at: Column, step: Column) -> Column:
+        fits = (at + step <= F.least(F.length(a), F.length(b))) & (a.substr(at + 1, step) == b.substr(at + 1, step))
+        return F.when(fits, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), longer)
+
+
+def edge_bound(a: ColumnLike, b: ColumnLike) -> Column:
+    """Lower bound of the ratio: the longest common block is at least the common prefix or suffix."""
+    a, b = as_column(a), as_column(b)
+    total = F.length(a) + F.length(b)
+    longest = F.greatest(common_prefix(a, b), common_prefix(F.reverse(a), F.reverse(b)))
+    return F.when(total > 0, 2.0 * longest / total).otherwise(1.0)
+
+
+def decision(a: ColumnLike, b: ColumnLike, threshold: float = 0.95, autojunk: bool = False) -> Column:
+    """'similar' (ratio of at least ``threshold``), 'significant' (less) or 'open', all without the ratio itself.
+
+    The ratio counts characters of a common subsequence, so it is at most 1 - distance / total
+    length, and more edits than that allows end the distance early. The popularity
+    heuristic may miss the common prefix, so with it nothing is decided by that.
+    """
+    left, right = F.coalesce(as_column(a), F.lit("")), F.coalesce(as_column(b), F.lit(""))
+    allowed = F.floor((1 - threshold) * (F.length(left) + F.length(right)) + 1e-9).cast("int")
+    found = F.when(left == right, "similar").when((left == "") | (right == ""), "significant")
+    found = found.when(length_bound(left, right) < threshold, "significant")
+    if not autojunk:
+        found = found.when(edge_bound(left, right) >= threshold, "similar")
+    found = found.when(character_bound(left, right) < threshold, "significant")
+    return found.when(F.call_function("levenshtein", left, right, allowed) < 0, "significant").otherwise("open")
+
+
+def is_significant(
+    a: ColumnLike, b: ColumnLike, threshold: float = 0.95, autojunk: bool = False, measure: str = "ratio"
+) -> Column:
     """Texts differ and their similarity is under ``threshold``.
 
-    A threshold of 1 or more makes every difference significant and needs no UDF.
+    A threshold of 1 or more makes every difference significant and needs no UDF; nor does
+    the measure ``edits``, which takes ``levenshtein_similarity`` for what the bounds leave open.
     """
     left, right = F.coalesce(as_column(a), F.lit("")), F.coalesce(as_column(b), F.lit(""))
-    differs = left != right
     if threshold >= 1:
-        return differs
-    undecided = differs & (left != "") & (right != "") & (length_bound(left, right) >= threshold)
-    return differs & (~undecided | (similarity(left, right, autojunk, undecided) < threshold))
+        return left != right
+    if measure not in ("ratio", "edits"):
+        raise ValueError(f"no measure {measure}")
+
+    def decided(found: Column) -> Column:
+        still = found == "open"
+        ratio = levenshtein_similarity(left, right) if measure == "edits" else similarity(left, right, autojunk, still)
+        return F.when(still, ratio < threshold).otherwise(found == "significant")
+
+    return decided(decision(left, right, threshold, autojunk))

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import levenshtein_similarity
+from ..functions.similarity import decision, is_significant, levenshtein_similarity
 from ..operators import diff as d
 from ..operators import tables
 from ..session import ensure_checkpoint_dir
@@ -104,6 +104,59 @@ def diff_similarity(spark, sf_dir):
     return rows.select("act_id", "change_type", "old_article_id", "new_article_id", F.round("similarity", 6).alias("similarity"))
 
 
+# every line against an edited one: appended, inserted in the middle, letters changed, reversed, a half twice, the same
+_EDITED_SQL = """edited AS (SELECT act_id, ordinal, coalesce(text, '') AS a, CASE ordinal % 6 WHEN 0 THEN text || ' amended'
+  WHEN 1 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || ' new' || substr(text, CAST(length(text) // 2 AS INTEGER) + 1)
+  WHEN 2 THEN replace(text, 'ou', 'u') WHEN 3 THEN reverse(text) WHEN 4 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || text ELSE text END AS b FROM articles),
+split AS (SELECT *, length(a) + length(b) AS total, string_split(a, '') AS x, string_split(b, '') AS y, levenshtein(a, b) AS edits FROM edited),
+bounds AS (SELECT act_id, ordinal, a, b, total, edits,
+  2.0::DOUBLE * least(length(a), length(b)) / greatest(total, 1) AS by_length,
+  2.0::DOUBLE * coalesce(list_sum(list_transform(list_filter(list_distinct(x), lambda c: c <> ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))), 0) / greatest(total, 1) AS by_characters,
+  2.0::DOUBLE * greatest(
+    coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: x[i] <> y[i]), true), least(length(a), length(b)) + 1) - 1,
+    coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: x[length(a) + 1 - i] <> y[length(b) + 1 - i]), true), least(length(a), length(b)) + 1) - 1) / greatest(total, 1) AS by_edge FROM split),
+decided AS (SELECT *, CASE WHEN a = b THEN 'similar' WHEN a = '' OR b = '' THEN 'significant' WHEN by_length < 0.95 THEN 'significant' WHEN by_edge >= 0.95 THEN 'similar'
+  WHEN by_characters < 0.95 THEN 'significant' WHEN edits > floor((1 - 0.95::DOUBLE) * total + 1e-9) THEN 'significant' ELSE 'open' END AS decision FROM bounds)"""
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = doc_lines(spark, sf_dir).select("act_id", "ordinal", F.coalesce("text", F.lit("")).alias("a"))
+    text, half, turn = F.col("a"), F.floor(F.length("a") / 2).cast("int"), F.col("ordinal") % 6
+    edited = (
+        F.when(turn == 0, F.concat(text, F.lit(" amended")))
+        .when(turn == 1, F.concat(F.left(text, half), F.lit(" new"), text.substr(half + 1, F.length(text))))
+        .when(turn == 2, F.replace(text, F.lit("ou"), F.lit("u")))
+        .when(turn == 3, F.reverse(text))
+        .when(turn == 4, F.concat(F.left(text, half), text))
+        .otherwise(text)
+    )
+    return rows.withColumn("b", edited)
+
+
+@REGISTRY.query(
+    "diff_threshold",
+    with_ctes(
+        DOC_LINES_SQL,
+        _EDITED_SQL,
+        body="""SELECT act_id, ordinal, decision, CASE decision WHEN 'open' THEN 1 - edits / greatest(length(a), length(b))::DOUBLE < 0.95 ELSE decision = 'significant' END AS significant FROM decided""",
+    ),
+)
+def diff_threshold(spark, sf_dir):
+    """Which changes count at the threshold of imports: decided by bounds, and what they leave open by edit distance."""
+    rows = _edited(spark, sf_dir)
+    return rows.select("act_id", "ordinal", decision("a", "b").alias("decision"), is_significant("a", "b", measure="edits").alias("significant"))
+
+
+@REGISTRY.query(
+    "diff_decisions",
+    with_ctes(DOC_LINES_SQL, _EDITED_SQL, body="SELECT CAST(ordinal % 6 AS INTEGER) AS edit, decision, count(*) AS n FROM decided GROUP BY ALL"),
+)
+def diff_decisions(spark, sf_dir):
+    """How many pairs of each kind of edit the bounds decide, and how many they leave open."""
+    rows = _edited(spark, sf_dir).select((F.col("ordinal") % 6).cast("int").alias("edit"), decision("a", "b").alias("decision"))
+    return rows.groupBy("edit", "decision").agg(F.count("*").alias("n"))
+
+
 _SUMMARY_SQL = """summary AS (SELECT act_id, count(*) FILTER (WHERE change_type = 'added') AS n_added, count(*) FILTER (WHERE change_type = 'modified') AS n_modified,
   count(*) FILTER (WHERE change_type = 'deleted') AS n_deleted, count(*) FILTER (WHERE change_type = 'unchanged') AS n_unchanged,
   count(*) FILTER (WHERE change_type IN ('added', 'modified', 'deleted')) AS n_changes, count(*) FILTER (WHERE change_type IN ('added', 'modified')) AS n_relabel FROM diff GROUP BY act_id)"""

@@ -3,7 +3,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from actlake.functions.similarity import is_significant, similarity
+from actlake.functions.similarity import character_bound, decision, edge_bound, is_significant, similarity
 from actlake.operators.diff import change_log, diff_articles, diff_summary, next_versions, relabel_payload, relabel_queue
 
 SCHEMA = "act_id long, article_id long, ordinal int, article_number string, text string, issue string, explanation string, article_label string"
@@ -137,3 +137,29 @@ def test_first_import_is_not_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_decisions_agree_with_the_ratio(spark):
+    chance = random.Random(8)
+    pairs = [("", ""), ("", "a"), (None, "a"), ("same", "same"), ("😀" * 50, "😀" * 50 + "é")]
+    for _ in range(600):
+        a = "".join(chance.choice("abcde ") for _ in range(chance.randrange(0, 160)))
+        b = list(a)
+        for _ in range(chance.randrange(0, 12)):
+            at = chance.randrange(0, len(b) + 1)
+            b[at : at + chance.randrange(0, 3)] = chance.choice(["", "x", "abc", " "])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", decision("a", "b").alias("d"), is_significant("a", "b").alias("s"), character_bound("a", "b").alias("high"), edge_bound("a", "b").alias("low")).collect()
+    decided = {"similar": 0, "significant": 0, "open": 0}
+    for r in rows:
+        a, b = r.a or "", r.b or ""
+        ratio = SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else float(a == b)
+        assert r.s == (ratio < 0.95)
+        if a and b:
+            assert r.low <= ratio <= r.high
+        decided[r.d] += 1
+        assert r.d == "open" or (r.d == "significant") == (ratio < 0.95)
+    assert min(decided.values()) > 20
+    edits = df.select(is_significant("a", "b", measure="edits"))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in edits
