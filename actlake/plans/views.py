@@ -4,13 +4,15 @@ Children are always aggregated before they meet their parent, so two child table
 multiply. Arrays come from structs that start with their order key.
 
 A package is one act with its children. So that no act, however long, is gathered in one
-task, packages come in parts of `PART_SIZE` ordinals: an ordinary act is part 0 alone, a
-very long one is several rows that together hold all its children, in order.
+row, its children are packed in order into parts by a running sum of their bytes: a part
+holds the children that begin within `PART_BYTES` of it, so it is larger than that by less
+than one child. (act_id, part) is the key of all packages. What belongs to the act itself, such as its
+issues, is in part 0 only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import has_labels
@@ -18,7 +20,8 @@ from ..operators.search import with_children
 from ..operators.stats import child_counts
 
 OPEN = ("pending", "processing", "error")
-PART_SIZE = 10_000
+PART_BYTES = 16 << 20
+CHUNK = 1_000  # ordinals whose sizes are added up in one task
 ISSUE_FIELDS = ("issue_id", "name", "description", "confidence", "remote_id")
 
 
@@ -33,18 +36,46 @@ def _array_of(fields: list[str], order: list[str], *, unique: bool = False) -> C
     return F.transform(F.array_sort(collected), lambda x: x["v"])
 
 
-def _part(size: int) -> Column:
-    """Part a child belongs to, from its ordinal."""
-    return F.floor((F.coalesce("ordinal", F.lit(1)) - 1) / size).cast("long").alias("part")
+def _in_bytes(rows: DataFrame, part_bytes: int) -> DataFrame:
+    """Add ``part`` to children (act_id, rank of their kind, ordinal, id, bytes): a running sum of bytes, cut.
 
+    Sums run within chunks of ordinals and over the chunks' totals, so a long act is many tasks.
+    """
+    chunk = F.floor(F.coalesce("ordinal", F.lit(0)) / CHUNK).alias("chunk")
+    rows = rows.withColumn("chunk", chunk)
+    keys = ["act_id", "rank", "chunk"]
+    totals = rows.groupBy(*keys).agg(F.sum("bytes").alias("total"))
+    earlier = Window.partitionBy("act_id").orderBy("rank", "chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("ordinal"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(totals, keys)
+    part = F.floor((F.col("base") + F.col("at")) / part_bytes).cast("long")
+    return placed.withColumn("part", part).drop("chunk", "bytes", "at", "base")
+
+
+def _in_parts(heads: DataFrame, children: dict[str, tuple[DataFrame, list[str], list[str], str | None]], part_bytes: int, only_first: tuple[str, ...] = ()) -> DataFrame:
+    """Heads with their children as ordered arrays per (act_id, part); a head without children is part 0.
+
+    ``children``: name -> (rows, fields, order, the text column that makes a row's size). All
+    kinds go through one union and one aggregate. Arrays in ``only_first`` stay in part 0.
+    """
+    rows = None
+    for rank, (name, (table, fields, order, text)) in enumerate(children.items()):
+        size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
+        one = table.select("act_id", F.lit(rank).alias("rank"), "ordinal", F.col(order[-1]).alias("id"), size.cast("long").alias("bytes"), F.struct(*[F.col(o) for o in order]).alias(f"k_{name}"), F.struct(*fields).alias(f"v_{name}"))
+        rows = one if rows is None else rows.unionByName(one, allowMissingColumns=True)
 
-def _in_parts(heads: DataFrame, *children: DataFrame) -> DataFrame:
-    """Heads with their child arrays per (act_id, part); a head without children is part 0."""
-    parts = children[0]
-    for child in children[1:]:
-        parts = parts.join(child, ["act_id", "part"], "full")
-    joined = heads.join(parts, "act_id", "left")
-    return joined.withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    def array(name: str) -> Column:
+        held = F.when(F.col(f"v_{name}").isNotNull(), F.struct(F.col(f"k_{name}").alias("k"), F.col(f"v_{name}").alias("v")))
+        return F.transform(F.array_sort(F.collect_list(held)), lambda x: x["v"]).alias(name)
+
+    parts = _in_bytes(rows, part_bytes).groupBy("act_id", "part").agg(*[array(n) for n in children])
+    joined = heads.join(parts, "act_id", "left").withColumn("part", F.coalesce("part", F.lit(0).cast("long")))
+    for name in (*children, *only_first):
+        joined = _or_empty(joined, name)
+    for name in only_first:
+        joined = joined.withColumn(name, F.when(F.col("part") == 0, F.col(name)).otherwise(F.slice(name, 1, 0)))
+    return joined
 
 
 def pending_ai_processing(acts: DataFrame, articles: DataFrame, annexes: DataFrame) -> DataFrame:
@@ -168,38 +199,31 @@ def export_package(
     article_issues: DataFrame,
     annex_issues: DataFrame,
     *,
-    part_size: int = PART_SIZE,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
-    """Completed acts with ordered arrays of articles and annexes (each with issues) and act issues."""
+    """Completed acts with ordered arrays of articles and annexes (each with issues) and act issues; a row per part."""
     done = acts.where(F.col("ai_status") == "completed")
     keys = done.select("act_id")
-    rows = articles_with_issues(articles.join(keys, "act_id", "left_semi"), article_issues, issues)
-    per_articles = rows.groupBy("act_id", _part(part_size)).agg(
-        _array_of(ARTICLE_FIELDS, ["ordinal", "article_id"]).alias("articles")
-    )
+    per_article = articles_with_issues(articles.join(keys, "act_id", "left_semi"), article_issues, issues)
     linked = issues_of(annex_issues, issues, "annex_id")
-    rows = _or_empty(annexes.join(keys, "act_id", "left_semi").join(linked, "annex_id", "left"), "issues")
-    per_annexes = rows.groupBy("act_id", _part(part_size)).agg(
-        _array_of(ANNEX_FIELDS, ["ordinal", "annex_id"]).alias("annexes")
-    )
+    per_annex = _or_empty(annexes.join(keys, "act_id", "left_semi").join(linked, "annex_id", "left"), "issues")
     per_issues = issues_of(act_issues, issues, "act_id").withColumnRenamed("issues", "act_issues")
     head = done.select("act_id", "act_type", "act_number", "act_year", "title", "summary", "remote_id")
-    packed = _in_parts(head.join(per_issues, "act_id", "left"), per_articles, per_annexes)
-    for name in ("articles", "annexes", "act_issues"):
-        packed = _or_empty(packed, name)
-    return packed
+    children = {
+        "articles": (per_article, ARTICLE_FIELDS, ["ordinal", "article_id"], "text"),
+        "annexes": (per_annex, ANNEX_FIELDS, ["ordinal", "annex_id"], "content"),
+    }
+    return _in_parts(head.join(per_issues, "act_id", "left"), children, part_bytes, ("act_issues",))
 
 
-def package_parts(rows: DataFrame, *, size: int = 1000) -> DataFrame:
-    """Export rows packed into documents of at most ``size`` ordinals each.
-
-    (act_id, kind, part, payloads). The part comes from the ordinal, so an act of any
-    length is spread over many tasks and no array grows without bound.
-    """
-    part = F.floor((F.col("ordinal") - 1) / size).cast("long")
-    return rows.groupBy("act_id", "kind", part.alias("part")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id", "payload"))), lambda x: x["payload"]).alias("payloads")
-    )
+def package_parts(rows: DataFrame, *, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Export rows packed into documents (act_id, part, kinds, ids, payloads) of about ``part_bytes`` of payload each."""
+    rank = F.when(F.col("kind") == "article", 0).otherwise(1)
+    sized = rows.select("act_id", "kind", rank.alias("rank"), "ordinal", "id", F.octet_length("payload").cast("long").alias("bytes"), "payload")
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "ordinal", "id", "kind", "payload")))
+    packed = _in_bytes(sized, part_bytes).groupBy("act_id", "part").agg(ordered.alias("c"))
+    columns = [F.col(f"c.{n}").alias(f"{n}s") for n in ("kind", "id", "payload")]
+    return packed.select("act_id", "part", *columns)
 
 
 def entity_issues(
@@ -248,11 +272,11 @@ def act_package(
     *,
     exported_at=None,
     annex_chars: int | None = None,
-    part_size: int = PART_SIZE,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The service form of a package: completed children with issue ids, unique issues, totals.
 
-    (act_id, part, package struct). Acts that are completed and not exported yet.
+    (act_id, part, package struct). Acts that are completed and not exported yet. Issues are in part 0.
     """
     ready = acts.where((F.col("ai_status") == "completed") & F.col("export_status").isin("pending", "error"))
     keys = ready.select("act_id")
@@ -262,16 +286,10 @@ def act_package(
     def ids(junction: DataFrame, key: str) -> DataFrame:
         return junction.groupBy(key).agg(F.array_sort(F.collect_set("issue_id")).alias("issue_ids"))
 
-    done = own_articles.where(F.col("ai_status") == "completed").join(ids(article_issues, "article_id"), "article_id", "left")
-    done = _or_empty(done, "issue_ids")
-    per_articles = done.groupBy("act_id", _part(part_size)).agg(
-        _array_of(["article_id", "article_number", "article_label", "text", "summary", "issue_ids"], ["ordinal", "article_id"]).alias("articles")
-    )
-    done = own_annexes.where(F.col("ai_status") == "completed").join(ids(annex_issues, "annex_id"), "annex_id", "left")
-    done = _or_empty(done, "issue_ids").withColumn("content", _shown("content", annex_chars))
-    per_annexes = done.groupBy("act_id", _part(part_size)).agg(
-        _array_of(["annex_id", "annex_nr", "content", "summary", "issue_ids"], ["ordinal", "annex_id"]).alias("annexes")
-    )
+    done = lambda t: t.where(F.col("ai_status") == "completed")
+    per_article = _or_empty(done(own_articles).join(ids(article_issues, "article_id"), "article_id", "left"), "issue_ids")
+    per_annex = _or_empty(done(own_annexes).join(ids(annex_issues, "annex_id"), "annex_id", "left"), "issue_ids")
+    per_annex = per_annex.withColumn("content", _shown("content", annex_chars))
     all_issues = entity_issues(mine(act_issues), own_articles, article_issues, own_annexes, annex_issues)
     full = all_issues.join(issues, "issue_id")
     per_issues = full.groupBy("act_id").agg(
@@ -279,9 +297,11 @@ def act_package(
     )
     counts = act_package_counts(ready, own_articles, own_annexes, all_issues)
     heads = ready.join(per_issues, "act_id", "left").join(counts, "act_id")
-    packed = _in_parts(heads, per_articles, per_annexes)
-    for name in ("articles", "annexes", "issues"):
-        packed = _or_empty(packed, name)
+    children = {
+        "articles": (per_article, ["article_id", "article_number", "article_label", "text", "summary", "issue_ids"], ["ordinal", "article_id"], "text"),
+        "annexes": (per_annex, ["annex_id", "annex_nr", "content", "summary", "issue_ids"], ["ordinal", "annex_id"], "content"),
+    }
+    packed = _in_parts(heads, children, part_bytes, ("issues",))
     act = F.struct("act_id", "act_number", "act_year", "title", "act_type", "issuer", "act_date", "url", "summary", "created_at")
     totals = F.struct(
         F.lit(exported_at).cast("timestamp").alias("exported_at"),
@@ -296,7 +316,7 @@ def act_package(
 
 
 def update_package(
-    acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int | None = None, part_size: int = PART_SIZE
+    acts: DataFrame, articles: DataFrame, annexes: DataFrame, *, annex_chars: int | None = None, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """New completed children of exported acts: (act_id, part, remote_id, new_articles, new_annexes)."""
     exported = acts.where(F.col("export_status").isin("exported", "completed") & F.col("remote_id").isNotNull())
@@ -304,30 +324,24 @@ def update_package(
     new_articles, new_annexes = fresh(articles), fresh(annexes)
     chosen = with_children(exported, [new_articles, new_annexes], "act_id").select("act_id", "remote_id")
     keys = chosen.select("act_id")
-    per_articles = new_articles.join(keys, "act_id", "left_semi").groupBy("act_id", _part(part_size)).agg(
-        _array_of(["article_id", "article_number", "text", "summary"], ["ordinal", "article_id"]).alias("new_articles")
-    )
-    cut = new_annexes.join(keys, "act_id", "left_semi").withColumn("content", _shown("content", annex_chars))
-    per_annexes = cut.groupBy("act_id", _part(part_size)).agg(
-        _array_of(["annex_id", "annex_nr", "content", "summary"], ["ordinal", "annex_id"]).alias("new_annexes")
-    )
-    packed = _in_parts(chosen, per_articles, per_annexes)
-    return _or_empty(_or_empty(packed, "new_articles"), "new_annexes")
+    own = lambda t: t.join(keys, "act_id", "left_semi")
+    children = {
+        "new_articles": (own(new_articles), ["article_id", "article_number", "text", "summary"], ["ordinal", "article_id"], "text"),
+        "new_annexes": (own(new_annexes).withColumn("content", _shown("content", annex_chars)), ["annex_id", "annex_nr", "content", "summary"], ["ordinal", "annex_id"], "content"),
+    }
+    return _in_parts(chosen, children, part_bytes)
 
 
 def export_for_analysis(
-    acts: DataFrame, articles: DataFrame, *, include_metadata: bool = True, part_size: int = PART_SIZE
+    acts: DataFrame, articles: DataFrame, *, include_metadata: bool = True, part_bytes: int = PART_BYTES
 ) -> DataFrame:
     """Act object (optional), its articles in id order, and label coverage of the act; one row per act and part."""
     fields = [c for c in articles.columns if c not in ("act_id", "created_at", "updated_at")]
-    per_part = articles.groupBy("act_id", _part(part_size)).agg(
-        _array_of(fields, ["article_id"]).alias("articles"),
-    )
     per_act = articles.groupBy("act_id").agg(
         F.count("*").alias("total"), F.count_if(has_labels("issue", "explanation")).alias("analyzed")
     )
     heads = acts.join(per_act, "act_id", "left").na.fill({"total": 0, "analyzed": 0})
-    joined = _or_empty(_in_parts(heads, per_part), "articles")
+    joined = _in_parts(heads, {"articles": (articles, fields, ["article_id"], "text")}, part_bytes)
     percent = F.when(F.col("total") > 0, F.round(F.col("analyzed") * 100.0 / F.col("total"), 2)).otherwise(0.0)
     stats = F.struct("total", "analyzed", percent.alias("coverage_percent")).alias("stats")
     if not include_metadata:

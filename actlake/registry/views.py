@@ -131,6 +131,17 @@ def category_names(spark, sf_dir):
     return rows.select("act_id", "label", F.size("categories").alias("n_categories"))
 
 
+PART_BYTES = 3_000  # small, so that the tables' acts have several parts
+
+# children of acts in parts: c has act_id, rank, ordinal, id, size and what is shown of each child
+_PARTS_SQL = f"""parted AS (SELECT *, CAST(floor(coalesce(sum(size) OVER (PARTITION BY act_id ORDER BY rank, ordinal NULLS FIRST, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART_BYTES}) AS BIGINT) AS part FROM c),
+parts AS (SELECT act_id, part, coalesce(string_agg(shown, '|' ORDER BY ordinal NULLS FIRST, id) FILTER (WHERE rank = 0), '') AS first, coalesce(string_agg(shown, '|' ORDER BY ordinal NULLS FIRST, id) FILTER (WHERE rank = 1), '') AS second FROM parted GROUP BY act_id, part)"""
+
+
+def _bytes_sql(text: str) -> str:
+    return f"coalesce(strlen({text}), 0) + 64"
+
+
 _PACKAGE_CTES = (DOC_ACTS_SQL, DOC_LINES_SQL, ANNEXES_SQL, ISSUES_SQL, ACT_ISSUES_SQL, ARTICLE_ISSUES_SQL, ANNEX_ISSUES_SQL)
 
 
@@ -150,17 +161,18 @@ def _package_tables(spark, sf_dir):
     "export_package",
     with_ctes(
         *_PACKAGE_CTES,
-        """ra AS (SELECT r.act_id, r.ordinal, r.article_id, r.text, (SELECT count(*) FROM article_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.article_id = r.article_id) AS n FROM articles r)""",
-        """xa AS (SELECT x.act_id, x.ordinal, x.annex_id, x.content, (SELECT count(*) FROM annex_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.annex_id = x.annex_id) AS n FROM annexes x)""",
-        body="""SELECT a.act_id, a.title, a.remote_id,
-  coalesce((SELECT string_agg(CAST(r.article_id AS VARCHAR) || ':' || r.text || ':' || CAST(r.n AS VARCHAR), '|' ORDER BY r.ordinal, r.article_id) FROM ra r WHERE r.act_id = a.act_id), '') AS articles,
-  coalesce((SELECT string_agg(CAST(x.annex_id AS VARCHAR) || ':' || x.content || ':' || CAST(x.n AS VARCHAR), '|' ORDER BY x.ordinal, x.annex_id) FROM xa x WHERE x.act_id = a.act_id), '') AS annexes,
-  coalesce((SELECT string_agg(i.name, '|' ORDER BY i.name, i.issue_id) FROM act_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.act_id = a.act_id), '') AS act_issues
-FROM acts a WHERE a.ai_status = 'completed'""",
+        f"""c AS (SELECT r.act_id, 0 AS rank, r.ordinal, r.article_id AS id, {_bytes_sql('r.text')} AS size, CAST(r.article_id AS VARCHAR) || ':' || r.text || ':' || CAST((SELECT count(*) FROM article_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.article_id = r.article_id) AS VARCHAR) AS shown
+  FROM articles r JOIN acts a ON r.act_id = a.act_id WHERE a.ai_status = 'completed'
+  UNION ALL SELECT x.act_id, 1, x.ordinal, x.annex_id, {_bytes_sql('x.content')}, CAST(x.annex_id AS VARCHAR) || ':' || x.content || ':' || CAST((SELECT count(*) FROM annex_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.annex_id = x.annex_id) AS VARCHAR)
+  FROM annexes x JOIN acts a ON x.act_id = a.act_id WHERE a.ai_status = 'completed')""",
+        _PARTS_SQL,
+        body="""SELECT a.act_id, coalesce(p.part, 0) AS part, a.title, a.remote_id, coalesce(p.first, '') AS articles, coalesce(p.second, '') AS annexes,
+  CASE WHEN coalesce(p.part, 0) > 0 THEN '' ELSE coalesce((SELECT string_agg(i.name, '|' ORDER BY i.name, i.issue_id) FROM act_issues ai JOIN issues i ON ai.issue_id = i.issue_id WHERE ai.act_id = a.act_id), '') END AS act_issues
+FROM acts a LEFT JOIN parts p ON a.act_id = p.act_id WHERE a.ai_status = 'completed'""",
     ),
 )
 def export_package(spark, sf_dir):
-    packed = views.export_package(*_package_tables(spark, sf_dir))
+    packed = views.export_package(*_package_tables(spark, sf_dir), part_bytes=PART_BYTES)
 
     def flat(column, key, text):
         return F.array_join(
@@ -173,6 +185,7 @@ def export_package(spark, sf_dir):
 
     return packed.select(
         "act_id",
+        "part",
         "title",
         "remote_id",
         flat("articles", "article_id", "text").alias("articles"),
@@ -207,15 +220,26 @@ def export_rows(spark, sf_dir):
     "package_parts",
     with_ctes(
         *_PACKAGE_CTES,
-        body="""SELECT act_id, kind, part, CAST(count(*) AS INTEGER) AS n_children FROM (
-  SELECT r.act_id, 'article' AS kind, CAST((r.ordinal - 1) // 5 AS BIGINT) AS part FROM articles r JOIN acts a ON r.act_id = a.act_id WHERE a.ai_status = 'completed'
-  UNION ALL SELECT x.act_id, 'annex', CAST((x.ordinal - 1) // 5 AS BIGINT) FROM annexes x JOIN acts a ON x.act_id = a.act_id WHERE a.ai_status = 'completed') GROUP BY ALL""",
+        body=f"""SELECT act_id, part, count(*) FILTER (WHERE rank = 0) AS n_articles, count(*) FILTER (WHERE rank = 1) AS n_annexes, string_agg(CAST(id AS VARCHAR), '|' ORDER BY rank, ordinal, id) AS ids FROM (
+  SELECT *, CAST(floor(coalesce(sum(size) OVER (PARTITION BY act_id ORDER BY rank, ordinal, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / {PART_BYTES}) AS BIGINT) AS part FROM (
+    SELECT r.act_id, 0 AS rank, CAST(r.ordinal AS BIGINT) AS ordinal, r.article_id AS id, strlen(r.text) AS size FROM articles r JOIN acts a ON r.act_id = a.act_id WHERE a.ai_status = 'completed'
+    UNION ALL SELECT x.act_id, 1, CAST(x.ordinal AS BIGINT), x.annex_id, strlen(x.content) FROM annexes x JOIN acts a ON x.act_id = a.act_id WHERE a.ai_status = 'completed')) GROUP BY act_id, part""",
     ),
 )
 def package_parts(spark, sf_dir):
+    """Children in documents of bounded bytes; here their texts alone are the payload."""
     acts, articles, annex, all_issues, _, article_links, annex_links = _package_tables(spark, sf_dir)
     rows = views.export_rows(acts, articles, annex, all_issues, article_links, annex_links)
-    return views.package_parts(rows, size=5).select("act_id", "kind", "part", F.size("payloads").alias("n_children"))
+    text = F.when(F.col("kind") == "article", F.get_json_object("payload", "$.text")).otherwise(F.get_json_object("payload", "$.content"))
+    rows = rows.withColumn("text", text).withColumn("payload", F.coalesce("text", F.lit("")))
+    packed = views.package_parts(rows, part_bytes=PART_BYTES)
+    return packed.select(
+        "act_id",
+        "part",
+        F.size(F.filter("kinds", lambda k: k == "article")).cast("long").alias("n_articles"),
+        F.size(F.filter("kinds", lambda k: k == "annex")).cast("long").alias("n_annexes"),
+        F.array_join(F.transform("ids", lambda i: i.cast("string")), "|").alias("ids"),
+    )
 
 
 _ALL_ISSUES_SQL = """all_issues AS (
@@ -228,15 +252,18 @@ _ALL_ISSUES_SQL = """all_issues AS (
     with_ctes(
         *_PACKAGE_CTES,
         _ALL_ISSUES_SQL,
-        body="""SELECT a.act_id, a.act_type, (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id) AS total_articles,
+        f"""ready AS (SELECT * FROM acts WHERE ai_status = 'completed' AND export_status IN ('pending', 'error')),
+c AS (SELECT r.act_id, 0 AS rank, r.ordinal, r.article_id AS id, {_bytes_sql('r.text')} AS size, r.text AS shown FROM articles r JOIN ready a ON r.act_id = a.act_id WHERE r.ai_status = 'completed'
+  UNION ALL SELECT x.act_id, 1, x.ordinal, x.annex_id, {_bytes_sql('x.content')}, x.content FROM annexes x JOIN ready a ON x.act_id = a.act_id WHERE x.ai_status = 'completed')""",
+        _PARTS_SQL,
+        body="""SELECT a.act_id, coalesce(p.part, 0) AS part, a.act_type, (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id) AS total_articles,
   (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id AND r.ai_status = 'completed') AS processed_articles,
   (SELECT count(*) FROM annexes x WHERE x.act_id = a.act_id) AS total_annexes,
   (SELECT count(*) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed') AS processed_annexes,
   (SELECT count(*) FROM all_issues i WHERE i.act_id = a.act_id) AS total_issues,
-  coalesce((SELECT string_agg(r.text, '|' ORDER BY r.ordinal) FROM articles r WHERE r.act_id = a.act_id AND r.ai_status = 'completed'), '') AS articles,
-  coalesce((SELECT string_agg(x.content, '|' ORDER BY x.ordinal) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed'), '') AS annexes,
-  coalesce((SELECT string_agg(CAST(i.issue_id AS VARCHAR), '|' ORDER BY i.issue_id) FROM all_issues i JOIN issues s ON i.issue_id = s.issue_id WHERE i.act_id = a.act_id), '') AS issues
-FROM acts a WHERE a.ai_status = 'completed' AND a.export_status IN ('pending', 'error')""",
+  coalesce(p.first, '') AS articles, coalesce(p.second, '') AS annexes,
+  CASE WHEN coalesce(p.part, 0) > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(i.issue_id AS VARCHAR), '|' ORDER BY i.issue_id) FROM all_issues i JOIN issues s ON i.issue_id = s.issue_id WHERE i.act_id = a.act_id), '') END AS issues
+FROM ready a LEFT JOIN parts p ON a.act_id = p.act_id""",
     ),
 )
 def act_package(spark, sf_dir):
@@ -244,11 +271,12 @@ def act_package(spark, sf_dir):
     missing = {"act_date": "date", "url": "string", "created_at": "timestamp"}
     source[0] = source[0].withColumns({n: F.lit(None).cast(t) for n, t in missing.items()})
     source[1] = source[1].withColumn("article_label", F.lit(None).cast("string"))
-    p = views.act_package(*source, exported_at=TS).select("act_id", "package.*")
+    p = views.act_package(*source, exported_at=TS, part_bytes=PART_BYTES).select("act_id", "part", "package.*")
     totals = [F.col(f"metadata.{c}") for c in ("total_articles", "processed_articles", "total_annexes", "processed_annexes", "total_issues")]
     joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), "|")
     return p.select(
         "act_id",
+        "part",
         "act.act_type",
         *totals,
         joined("articles", "text").alias("articles"),
@@ -269,16 +297,18 @@ def entity_issues(spark, sf_dir):
         DOC_ACTS_SQL,
         DOC_LINES_SQL,
         ANNEXES_SQL,
-        """n AS (SELECT act_id, string_agg(CAST(article_id AS VARCHAR), '|' ORDER BY ordinal, article_id) AS ids FROM articles WHERE ai_status = 'completed' AND remote_id IS NULL GROUP BY act_id)""",
-        """m AS (SELECT act_id, string_agg(CAST(annex_id AS VARCHAR) || content, '|' ORDER BY ordinal, annex_id) AS ids FROM annexes WHERE ai_status = 'completed' AND remote_id IS NULL GROUP BY act_id)""",
-        body="""SELECT a.act_id, a.remote_id, coalesce(n.ids, '') AS new_articles, coalesce(m.ids, '') AS new_annexes FROM acts a LEFT JOIN n ON a.act_id = n.act_id LEFT JOIN m ON a.act_id = m.act_id
-WHERE a.export_status = 'exported' AND a.remote_id IS NOT NULL AND (n.ids IS NOT NULL OR m.ids IS NOT NULL)""",
+        f"""sent AS (SELECT * FROM acts WHERE export_status = 'exported' AND remote_id IS NOT NULL),
+c AS (SELECT r.act_id, 0 AS rank, r.ordinal, r.article_id AS id, {_bytes_sql('r.text')} AS size, CAST(r.article_id AS VARCHAR) AS shown FROM articles r JOIN sent a ON r.act_id = a.act_id WHERE r.ai_status = 'completed' AND r.remote_id IS NULL
+  UNION ALL SELECT x.act_id, 1, x.ordinal, x.annex_id, {_bytes_sql('x.content')}, CAST(x.annex_id AS VARCHAR) || x.content FROM annexes x JOIN sent a ON x.act_id = a.act_id WHERE x.ai_status = 'completed' AND x.remote_id IS NULL)""",
+        _PARTS_SQL,
+        body="SELECT p.act_id, p.part, a.remote_id, p.first AS new_articles, p.second AS new_annexes FROM parts p JOIN sent a ON p.act_id = a.act_id",
     ),
 )
 def update_package(spark, sf_dir):
-    p = views.update_package(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), annexes(spark, sf_dir))
+    p = views.update_package(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), annexes(spark, sf_dir), part_bytes=PART_BYTES)
     return p.select(
         "act_id",
+        "part",
         "remote_id",
         F.array_join(F.transform("new_articles", lambda x: x["article_id"].cast("string")), "|").alias("new_articles"),
         F.array_join(F.transform("new_annexes", lambda x: F.concat(x["annex_id"].cast("string"), x["content"])), "|").alias("new_annexes"),
@@ -290,14 +320,17 @@ def update_package(spark, sf_dir):
     with_ctes(
         DOC_ACTS_SQL,
         DOC_LINES_SQL,
-        body="""SELECT a.act_id, a.title, count(r.article_id) AS total, count(*) FILTER (WHERE coalesce(r.issue, '') <> '' OR coalesce(r.explanation, '') <> '') AS analyzed,
-  coalesce(string_agg(r.text, '|' ORDER BY r.article_id), '') AS articles FROM acts a LEFT JOIN articles r ON a.act_id = r.act_id GROUP BY a.act_id, a.title""",
+        f"c AS (SELECT act_id, 0 AS rank, ordinal, article_id AS id, {_bytes_sql('text')} AS size, text AS shown FROM articles)",
+        _PARTS_SQL,
+        body="""SELECT a.act_id, coalesce(p.part, 0) AS part, a.title, (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id) AS total,
+  (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id AND (coalesce(r.issue, '') <> '' OR coalesce(r.explanation, '') <> '')) AS analyzed,
+  coalesce(p.first, '') AS articles FROM acts a LEFT JOIN parts p ON a.act_id = p.act_id""",
     ),
 )
 def export_for_analysis(spark, sf_dir):
-    rows = views.export_for_analysis(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir))
+    rows = views.export_for_analysis(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), part_bytes=PART_BYTES)
     return rows.select(
-        "act_id", "act.title", "stats.total", "stats.analyzed", F.array_join(F.transform("articles", lambda r: r["text"]), "|").alias("articles")
+        "act_id", "part", "act.title", "stats.total", "stats.analyzed", F.array_join(F.transform("articles", lambda r: r["text"]), "|").alias("articles")
     )
 
 

@@ -86,9 +86,19 @@ def test_package_has_no_fan_out(spark):
 def test_long_acts_come_in_parts(spark):
     acts, articles, annexes, issues = view_tables(spark)
     none = lambda key: spark.createDataFrame([], f"{key} long, issue_id long")
-    packed = export_package(acts, articles, annexes, issues, none("act_id"), none("article_id"), none("annex_id"), part_size=2)
-    got = {r.part: ([a.ordinal for a in r.articles], [a.ordinal for a in r.annexes]) for r in packed.collect()}
-    assert got == {0: ([1, 2], [1, 2]), 1: ([], [3])}
+    long_act = spark.range(2500).selectExpr("id + 1000 AS article_id", "1L AS act_id", "CAST(id AS INT) AS ordinal", "repeat('é', CAST(id % 7 AS INT) * 10) AS text")
+    articles = articles.unionByName(long_act, allowMissingColumns=True)
+    linked = spark.createDataFrame([(1, 7)], "act_id long, issue_id long")
+    packed = export_package(acts, articles, annexes, issues, linked, none("article_id"), none("annex_id"), part_bytes=5000)
+    rows = packed.where("act_id = 1").orderBy("part").collect()
+    size = lambda r: sum(64 + len((c["text"] if "text" in c else c["content"] or "").encode()) for c in [*r.articles, *r.annexes])
+    sizes = [size(r) for r in rows]
+    assert [r.part for r in rows] == list(range(len(rows))) and len(rows) > 50
+    assert max(sizes) < 5000 + 64 + 140 and sum(sizes[:-1]) > 4800 * (len(rows) - 1)
+    every = [a.ordinal for r in rows for a in r.articles]
+    assert every == sorted(every) and len(every) == articles.where("act_id = 1").count()
+    assert [a.ordinal for r in rows for a in r.annexes] == [1, 2, 3]
+    assert [len(r.act_issues) for r in rows] == [1] + [0] * (len(rows) - 1)
 
 
 def test_pending_labels_are_null_if_a_part_is(spark):
