@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import vocab
 from ..functions.text import parse_result_filename, strip
 from ..functions.urls import is_valid_source_url
+from .storage import list_files
 
 
 def read_table(spark: SparkSession, directory: str, name: str, schema: StructType | str | None = None) -> DataFrame:
@@ -97,9 +98,10 @@ def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     Files may order or omit columns as they like: each row is read without a schema and
     matched to its own file's header, so files need not be sorted into groups first. A
     multi-line CSV file is read by one task, which is what makes `ordinal` possible: the
-    position of a row in its file, counted before blank articles are dropped. Files are
-    told apart by their whole path (`path`); `file` is the name alone. A header is one
-    line; it may have any number of columns.
+    position of a row in its result, counted before blank articles are dropped. A result is a
+    file, or the files of a folder that ``write_act_csv`` made for one act, in order of their
+    names. Results are told apart by their whole path (`path`); `file` is the name alone. A
+    header is one line; it may have any number of columns.
     """
     width = _header_width(spark, paths)
     names = [f"c{i}" for i in range(width)]
@@ -108,21 +110,29 @@ def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("maxColumns", max(20480, width + 1))
         .schema(", ".join(f"{n} string" for n in names))
         .csv(paths)
-        .select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"))
+        .select("*", F.col("_metadata.file_path").alias("path"))
     )
     rows = raw.select(
         "path",
-        "file",
         F.monotonically_increasing_id().alias("row_id"),
         F.array(*names).alias("cells"),
     )
-    header = rows.groupBy("path").agg(F.min_by("cells", "row_id").alias("header"), F.min("row_id").alias("first_id"))
+    header = rows.groupBy("path").agg(F.min_by("cells", "row_id").alias("header"), F.min("row_id").alias("first_id"), F.count("*").alias("n"))
+    # one row for each file: how many rows stand in the files of the same result before it
+    folder = F.regexp_extract("path", r"^(.*/file_key=[^/]*)/[^/]*$", 1)
+    header = header.withColumn("result", F.coalesce(F.nullif(folder, F.lit("")), "path"))
+    earlier = Window.partitionBy("result").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    header = header.withColumn("before", F.coalesce(F.sum(F.col("n") - 1).over(earlier), F.lit(0)))
     # ids grow by one per record inside one file, because one task reads the file whole
     rows = rows.join(header, "path").where(F.col("row_id") > F.col("first_id"))
-    rows = rows.withColumn("ordinal", (F.col("row_id") - F.col("first_id")).cast("int"))
+    rows = rows.withColumn("ordinal", (F.col("row_id") - F.col("first_id") + F.col("before")).cast("int"))
+    last = F.url_decode(F.element_at(F.split("result", "/"), -1))
+    named = F.when(last.startswith("file_key="), F.concat(F.substring(last, 10, 1 << 30), F.lit(".csv"))).otherwise(last)
+    rows = rows.withColumn("path", F.col("result")).withColumn("file", named)
 
     def cell(header_name: str):
         at = F.array_position(F.transform("header", lambda h: F.btrim(h, F.lit("﻿ \t"))), header_name)
@@ -135,16 +145,14 @@ def read_act_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("path", "file", "ordinal", *columns)
 
 
-def _file_names(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """(path, file) of a folder's files, zero-byte ones included, which no file source returns as rows."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).inputFiles()
-    names = spark.createDataFrame([(p,) for p in listed], "path string")
-    return names.select("path", F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"))
+def _file_names(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(path, length, file) of a folder's files, zero-byte ones included, which no file source returns as rows."""
+    return list_files(spark, path, suffix).withColumn("file", F.element_at(F.split("path", "/"), -1))
 
 
 def empty_csv_files(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
     """Error rows for CSV files that hold no record at all."""
-    names = _file_names(spark, path, "*.csv").select("file")
+    names = _file_names(spark, path, ".csv").select("file")
     present = rows.select("file").distinct()
     return names.join(present, "file", "left_anti").withColumn("error", F.lit("CSV file is empty"))
 
@@ -163,9 +171,5 @@ def attach_sidecar(rows: DataFrame, sidecars: DataFrame, *, file: str = "file")
 
 def list_result_files(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, act, ts, kind) of result files, without reading their content."""
-    sizes = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "length"
-    )
-    named = _file_names(spark, path, "*").join(sizes, "file", "left")
-    named = named.select(F.col("file").alias("name"), F.coalesce("length", F.lit(0)).alias("bytes"))
+    named = _file_names(spark, path, "").select(F.col("file").alias("name"), F.col("length").alias("bytes"))
     return named.withColumn("parsed", parse_result_filename("name")).select("name", "bytes", "parsed.*")
