@@ -12,8 +12,11 @@ from ..functions.similarity import decision, is_significant, levenshtein_similar
 from ..operators import diff as d
 from ..operators import tables
 from ..session import ensure_checkpoint_dir
-from ..streaming import jobs
+from ..plans.views import update_package
+from ..sources import storage
+from ..streaming import generations, jobs
 from . import Registry
+from . import views as views_queries
 from .bind import (
     ACT_CATEGORIES_SQL,
     CATEGORIES_SQL,
@@ -21,7 +24,9 @@ from .bind import (
     LINE_ARTICLES_SQL,
     ORDER_ACTS_SQL,
     act_categories,
+    annexes,
     categories,
+    doc_acts,
     doc_lines,
     line_articles,
     order_acts,
@@ -522,32 +527,41 @@ def sync_act_categories(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-def _stream(spark: SparkSession, sf_dir: str, run) -> DataFrame:
-    """Run a query over the events file as a stream to its end and read its result."""
-    schema = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet")
+def _rounds(spark: SparkSession, sf_dir: str, run, *, together: bool = False) -> str:
+    """Run a streaming query over event files that arrive in four rounds; the folder it worked in.
+
+    Three rounds of ten days each, then the second once more under another name. The query runs
+    after each round from where it stopped, or once over all of them, a file at a time (``together``).
+    """
+    events = table(spark, sf_dir, "events")
     # in the folder that driver and executors share
     work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actlake-stream-{uuid.uuid4().hex}"
-    return run(reader.load(sf_dir), work)
+    day = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+    for number, part in enumerate((0, 1, 2, 1)):
+        events.where(day == part).write.parquet(f"{work}/in/{number}")
+        if together and number < 3:
+            continue
+        reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+        reader = reader.option("maxFilesPerTrigger", 1) if together else reader
+        run(reader.parquet(f"{work}/in"), work).awaitTermination()
+    return work
 
 
-def _last_table(spark: SparkSession, stream: DataFrame, work: str, mode: str, keys: list[str]) -> DataFrame:
-    """Result of an aggregating stream: each batch's changed rows are written, the newest per key counts."""
+def _changed_rows(stream: DataFrame, work: str, mode: str):
+    """Write the rows that each batch of an aggregating stream gives out."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{work}/out/batch={batch_id}")
-
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .outputMode(mode)
-        .option("checkpointLocation", f"{work}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    written = spark.read.parquet(f"{work}/out").drop("batch")
-    values = [c for c in written.columns if c not in (*keys, "_batch")]
-    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "_batch").alias("v"))
+        batch.write.mode("overwrite").parquet(f"{work}/out/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{work}/checkpoint")
+    return writer.trigger(availableNow=True).start()
+
+
+def _last_rows(spark: SparkSession, work: str, keys: list[str]) -> DataFrame:
+    """The newest row of each key among all batches."""
+    written = spark.read.parquet(f"{work}/out")
+    values = [c for c in written.columns if c not in (*keys, "batch")]
+    newest = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")
 
 
@@ -556,60 +570,144 @@ def _last_table(spark: SparkSession, stream: DataFrame, work: str, mode: str, ke
     "SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
 )
 def status_latest(spark, sf_dir):
-    """Current status per entity from the event stream, in update mode."""
-
-    def run(events, work):
-        state = jobs.current_status(events, key="user_id", status="event_type")
-        return _last_table(spark, state, work, "update", ["user_id"])
-
-    return _stream(spark, sf_dir, run)
+    """Current status per entity from four rounds of events, in update mode."""
+    run = lambda events, work: _changed_rows(jobs.current_status(events, key="user_id", status="event_type"), work, "update")
+    return _last_rows(spark, _rounds(spark, sf_dir, run), ["user_id"])
 
 
 @REGISTRY.query("stream_status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def stream_status_counts(spark, sf_dir):
+    """Running counts of events; those of the repeated round are older than the watermark and count once."""
+
     def run(events, work):
-        counts = jobs.status_counts(events, status="event_type")
-        return _last_table(spark, counts, work, "complete", ["event_type"])
+        once = jobs.first_of_each(events, ["event_id"], delay="1 day")
+        return _changed_rows(jobs.status_counts(once, status="event_type"), work, "update")
 
-    return _stream(spark, sf_dir, run)
+    return _last_rows(spark, _rounds(spark, sf_dir, run), ["event_type"])
 
 
 @REGISTRY.query("stream_ingest", "SELECT event_id, event_type, value FROM events")
 def stream_ingest(spark, sf_dir):
-    """New files appended to a table exactly once."""
+    """New files appended to a table exactly once, the events of a repeated one left out."""
 
     def run(events, work):
-        jobs.ingest(events, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-        return spark.read.parquet(f"{work}/out").select("event_id", "event_type", "value")
+        return jobs.ingest(jobs.first_of_each(events, ["event_id"], delay="1 day"), f"{work}/out", f"{work}/checkpoint")
 
-    return _stream(spark, sf_dir, run)
+    return spark.read.parquet(f"{_rounds(spark, sf_dir, run)}/out").select("event_id", "event_type", "value")
 
 
-@REGISTRY.query("stream_drain", "SELECT user_id, count(*) AS n_pending FROM events WHERE event_type = 'error' GROUP BY user_id")
+@REGISTRY.query(
+    "stream_drain",
+    """SELECT event_id, CAST(least(event_id % 5 + 1, 3) AS INTEGER) AS attempts, CASE WHEN event_id % 5 > 2 THEN 'busy' END AS error FROM events WHERE event_type = 'error'""",
+)
 def stream_drain(spark, sf_dir):
-    """A work queue taken in bounded batches; results of all batches are summed."""
+    """A work queue taken a file at a time: failed items come back with the next batch, three times at most."""
+
+    def work_on(items):
+        return items.select("event_id", F.when(F.col("attempts") < F.col("event_id") % 5, "busy").alias("error"))
 
     def run(events, work):
-        def pending(batch):
-            return batch.where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("n"))
+        return jobs.drain(events.where("event_type = 'error'"), work_on, f"{work}/queue", f"{work}/checkpoint", key="event_id")
+
+    work = _rounds(spark, sf_dir, run, together=True)
+    jobs.retry_open(spark, work_on, f"{work}/queue", key="event_id")
+    # the repeated file's items were closed before, so they are closed again
+    return jobs.drained(spark, f"{work}/queue").distinct()
+
+
+_VERSIONS_SQL = """ready_versions AS (SELECT DISTINCT user_id AS act_id, CAST(least((day(ts) - 1) // 10, 2) AS INTEGER) AS version FROM events WHERE event_type = '{0}')"""
+
+
+def _ready(events: DataFrame, kind: str) -> DataFrame:
+    """Events that say an act's version is ready."""
+    version = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2)).cast("int")
+    return events.where(F.col("event_type") == kind).select(F.col("user_id").alias("act_id"), version.alias("version"), "ts")
 
-        jobs.drain(events, pending, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-        return spark.read.parquet(f"{work}/out").groupBy("user_id").agg(F.sum("n").alias("n_pending"))
 
-    return _stream(spark, sf_dir, run)
+def _packages(spark: SparkSession, work: str, ddl: str) -> DataFrame:
+    packages = generations.log(spark, f"{work}/outbox", "packages")
+    return packages.select("act_id", "version", "part", F.from_json("package", ddl).alias("p")).select("act_id", "version", "part", "p.*")
 
 
-@REGISTRY.query("stream_outbox", "SELECT DISTINCT user_id, event_type FROM events")
+@REGISTRY.query(
+    "stream_outbox",
+    with_ctes(
+        views_queries.ACT_PACKAGE_SQL,
+        _VERSIONS_SQL.format("purchase"),
+        body="SELECT p.act_id, v.version, p.part, p.act_type, p.total_articles, p.processed_articles, p.total_annexes, p.processed_annexes, p.total_issues, p.articles, p.annexes, p.issues FROM packages p JOIN ready_versions v ON p.act_id = v.act_id",
+    ),
+)
 def stream_outbox(spark, sf_dir):
-    """One package per (act, status), however often the event comes."""
+    """Whole packages as JSON, once per act and version, however often and in whichever round the event comes."""
+    schema: list[str] = []
+
+    def build(fresh):
+        packages = views_queries.act_packages(spark, sf_dir, fresh.select("act_id").distinct()).join(fresh, "act_id")
+        schema[:] = [packages.schema["package"].dataType.simpleString()]
+        return packages.select("act_id", "version", "part", F.to_json("package").alias("package"))
+
+    def run(events, work):
+        once = jobs.first_of_each(_ready(events, "purchase"), ["act_id", "version"], delay="1 day")
+        return jobs.outbox(once, f"{work}/outbox", f"{work}/checkpoint", keys=["act_id", "version"], build=build)
+
+    work = _rounds(spark, sf_dir, run)
+    return views_queries.flat_package(_packages(spark, work, schema[0]), "version")
+
+
+@REGISTRY.query(
+    "stream_update_sync",
+    with_ctes(
+        views_queries.UPDATE_PACKAGE_SQL,
+        _VERSIONS_SQL.format("view"),
+        body="SELECT p.act_id, v.version, p.part, p.remote_id, p.new_articles, p.new_annexes FROM packages p JOIN ready_versions v ON p.act_id = v.act_id",
+    ),
+)
+def stream_update_sync(spark, sf_dir):
+    """Update packages of exported acts; events of other acts are dropped by a stream-static semi-join."""
+    schema: list[str] = []
+    acts, articles, children = doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), annexes(spark, sf_dir)
+    exported = acts.where("export_status = 'exported' AND remote_id IS NOT NULL")
+
+    def build(fresh):
+        keys = fresh.select("act_id").distinct()
+        own = [t.join(keys, "act_id", "left_semi") for t in (exported, articles, children)]
+        packages = update_package(*own, part_bytes=views_queries.PART_BYTES).join(fresh, "act_id")
+        packages = packages.select("act_id", "version", "part", F.struct("remote_id", "new_articles", "new_annexes").alias("package"))
+        schema[:] = [packages.schema["package"].dataType.simpleString()]
+        return packages.withColumn("package", F.to_json("package"))
 
     def run(events, work):
-        once = jobs.first_of_each(events, ["user_id", "event_type"], delay=None)
+        return jobs.update_sync(_ready(events, "view"), exported, f"{work}/outbox", f"{work}/checkpoint", build=build)
 
-        def build(batch):
-            return batch.select("user_id", "event_type")
+    work = _rounds(spark, sf_dir, run)
+    return views_queries.flat_update(_packages(spark, work, schema[0]), "version")
 
-        jobs.outbox(once, f"{work}/out", f"{work}/checkpoint", keys=["user_id", "event_type"], build=build).awaitTermination()
-        return spark.read.schema("user_id long, event_type string").json(f"{work}/out").select("user_id", "event_type")
 
-    return _stream(spark, sf_dir, run)
+@REGISTRY.query(
+    "stream_new_files",
+    "SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS error FROM events UNION ALL SELECT NULL, NULL, 'file is empty' FROM range(2)",
+)
+def stream_new_files(spark, sf_dir):
+    """Files that arrive in three rounds, each row once: what was taken is known by name, empty files are error rows, a failed batch is repeated."""
+    events = table(spark, sf_dir, "events")
+    work = f"{ensure_checkpoint_dir(spark).rstrip('/')}/actlake-files-{uuid.uuid4().hex}"
+    fails = [1]
+
+    def handle(batch, paths):
+        generations.append(spark.read.schema(events.schema).parquet(*paths), f"{work}/base", "events", batch)
+        if batch in fails:
+            fails.remove(batch)
+            raise RuntimeError("stopped before the commit")
+
+    for number in range(3):
+        part = F.least(F.floor((F.dayofmonth("ts") - 1) / 10), F.lit(2))
+        events.where(part == number).write.parquet(f"{work}/in/{number}")
+        if number:
+            storage.put_empty(spark, f"{work}/in/{number}/empty.parquet")
+        try:
+            generations.drain_new_files(spark, f"{work}/in", f"{work}/base", handle, suffix=".parquet")
+        except RuntimeError:
+            generations.drain_new_files(spark, f"{work}/in", f"{work}/base", handle, suffix=".parquet")
+    rows = generations.log(spark, f"{work}/base", "events").select("event_id", "event_type", F.lit(None).cast("string").alias("error"))
+    errors = generations.known_files(spark, f"{work}/base").where("error IS NOT NULL")
+    return rows.unionByName(errors.select(F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("string").alias("event_type"), "error"))

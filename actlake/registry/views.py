@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import tables
@@ -247,35 +248,43 @@ _ALL_ISSUES_SQL = """all_issues AS (
   UNION SELECT x.act_id, i.issue_id FROM annex_issues i JOIN annexes x ON i.annex_id = x.annex_id)"""
 
 
-@REGISTRY.query(
-    "act_package",
-    with_ctes(
+ACT_PACKAGE_SQL = ",\n".join(
+    (
         *_PACKAGE_CTES,
         _ALL_ISSUES_SQL,
         f"""ready AS (SELECT * FROM acts WHERE ai_status = 'completed' AND export_status IN ('pending', 'error')),
 c AS (SELECT r.act_id, 0 AS rank, r.ordinal, r.article_id AS id, {_bytes_sql('r.text')} AS size, r.text AS shown FROM articles r JOIN ready a ON r.act_id = a.act_id WHERE r.ai_status = 'completed'
   UNION ALL SELECT x.act_id, 1, x.ordinal, x.annex_id, {_bytes_sql('x.content')}, x.content FROM annexes x JOIN ready a ON x.act_id = a.act_id WHERE x.ai_status = 'completed')""",
         _PARTS_SQL,
-        body="""SELECT a.act_id, coalesce(p.part, 0) AS part, a.act_type, (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id) AS total_articles,
+        """packages AS (SELECT a.act_id, coalesce(p.part, 0) AS part, a.act_type, (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id) AS total_articles,
   (SELECT count(*) FROM articles r WHERE r.act_id = a.act_id AND r.ai_status = 'completed') AS processed_articles,
   (SELECT count(*) FROM annexes x WHERE x.act_id = a.act_id) AS total_annexes,
   (SELECT count(*) FROM annexes x WHERE x.act_id = a.act_id AND x.ai_status = 'completed') AS processed_annexes,
   (SELECT count(*) FROM all_issues i WHERE i.act_id = a.act_id) AS total_issues,
   coalesce(p.first, '') AS articles, coalesce(p.second, '') AS annexes,
   CASE WHEN coalesce(p.part, 0) > 0 THEN '' ELSE coalesce((SELECT string_agg(CAST(i.issue_id AS VARCHAR), '|' ORDER BY i.issue_id) FROM all_issues i JOIN issues s ON i.issue_id = s.issue_id WHERE i.act_id = a.act_id), '') END AS issues
-FROM ready a LEFT JOIN parts p ON a.act_id = p.act_id""",
-    ),
+FROM ready a LEFT JOIN parts p ON a.act_id = p.act_id)""",
+    )
 )
-def act_package(spark, sf_dir):
+
+
+def act_packages(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """Packages of all acts that are ready, or of those of them whose keys are given."""
     source = list(_package_tables(spark, sf_dir))
     missing = {"act_date": "date", "url": "string", "created_at": "timestamp"}
     source[0] = source[0].withColumns({n: F.lit(None).cast(t) for n, t in missing.items()})
     source[1] = source[1].withColumn("article_label", F.lit(None).cast("string"))
-    p = views.act_package(*source, exported_at=TS, part_bytes=PART_BYTES).select("act_id", "part", "package.*")
+    if keys is not None:
+        source[0] = source[0].join(keys, "act_id", "left_semi")
+    return views.act_package(*source, exported_at=TS, part_bytes=PART_BYTES)
+
+
+def flat_package(rows: DataFrame, *also: str) -> DataFrame:
     totals = [F.col(f"metadata.{c}") for c in ("total_articles", "processed_articles", "total_annexes", "processed_annexes", "total_issues")]
     joined = lambda c, f: F.array_join(F.transform(c, lambda x: x[f].cast("string")), "|")
-    return p.select(
+    return rows.select(
         "act_id",
+        *also,
         "part",
         "act.act_type",
         *totals,
@@ -285,15 +294,19 @@ def act_package(spark, sf_dir):
     )
 
 
+@REGISTRY.query("act_package", with_ctes(ACT_PACKAGE_SQL, body="SELECT * FROM packages"))
+def act_package(spark, sf_dir):
+    return flat_package(act_packages(spark, sf_dir).select("act_id", "part", "package.*"))
+
+
 @REGISTRY.query("entity_issues", with_ctes(*_PACKAGE_CTES, _ALL_ISSUES_SQL, body="SELECT act_id, issue_id FROM all_issues"))
 def entity_issues(spark, sf_dir):
     _, articles, annex, _, act_links, article_links, annex_links = _package_tables(spark, sf_dir)
     return views.entity_issues(act_links, articles, article_links, annex, annex_links)
 
 
-@REGISTRY.query(
-    "update_package",
-    with_ctes(
+UPDATE_PACKAGE_SQL = ",\n".join(
+    (
         DOC_ACTS_SQL,
         DOC_LINES_SQL,
         ANNEXES_SQL,
@@ -301,13 +314,15 @@ def entity_issues(spark, sf_dir):
 c AS (SELECT r.act_id, 0 AS rank, r.ordinal, r.article_id AS id, {_bytes_sql('r.text')} AS size, CAST(r.article_id AS VARCHAR) AS shown FROM articles r JOIN sent a ON r.act_id = a.act_id WHERE r.ai_status = 'completed' AND r.remote_id IS NULL
   UNION ALL SELECT x.act_id, 1, x.ordinal, x.annex_id, {_bytes_sql('x.content')}, CAST(x.annex_id AS VARCHAR) || x.content FROM annexes x JOIN sent a ON x.act_id = a.act_id WHERE x.ai_status = 'completed' AND x.remote_id IS NULL)""",
         _PARTS_SQL,
-        body="SELECT p.act_id, p.part, a.remote_id, p.first AS new_articles, p.second AS new_annexes FROM parts p JOIN sent a ON p.act_id = a.act_id",
-    ),
+        "packages AS (SELECT p.act_id, p.part, a.remote_id, p.first AS new_articles, p.second AS new_annexes FROM parts p JOIN sent a ON p.act_id = a.act_id)",
+    )
 )
-def update_package(spark, sf_dir):
-    p = views.update_package(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), annexes(spark, sf_dir), part_bytes=PART_BYTES)
-    return p.select(
+
+
+def flat_update(rows: DataFrame, *also: str) -> DataFrame:
+    return rows.select(
         "act_id",
+        *also,
         "part",
         "remote_id",
         F.array_join(F.transform("new_articles", lambda x: x["article_id"].cast("string")), "|").alias("new_articles"),
@@ -315,6 +330,11 @@ def update_package(spark, sf_dir):
     )
 
 
+@REGISTRY.query("update_package", with_ctes(UPDATE_PACKAGE_SQL, body="SELECT * FROM packages"))
+def update_package(spark, sf_dir):
+    return flat_update(views.update_package(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), annexes(spark, sf_dir), part_bytes=PART_BYTES))
+
+
 @REGISTRY.query(
     "export_for_analysis",
     with_ctes(
