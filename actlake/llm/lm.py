@@ -43,10 +43,11 @@ from .common import shared_path, written
 from .jaccard import _LETTER, _SPACE, _mixed, _powers, _texts
 
 ORDER = 2
-PART_TOKENS = 1 << 21  # tokens that a task counts before it hands the counts on
+PART_TOKENS = 1 << 20  # tokens that a task counts before it hands the counts on
 SCORED_TOKENS = 1 << 19  # tokens looked up at a time
 PIECE_BYTES = 1 << 22  # of text made into tokens at a time
-SHARD = 1 << 21  # entries of an array
+SHARD = 1 << 20  # entries of an array
+ROWS = 1 << 16  # of a batch that a task hands on
 FALLBACK = (0.5, 1.0, 1.5)
 _U = np.uint64
 _END = 0x9D5C_F0A1_73B6_2E48  # hash of the end
@@ -162,12 +163,18 @@ _MAPPED: dict[str, Arrays] = {}
 
 def arrays(folder: str) -> Arrays:
     if folder not in _MAPPED:
-        if len(_MAPPED) >= 64:
+        # a worker that goes on with another model lets go of the one before
+        if any(os.path.dirname(f) != os.path.dirname(folder) for f in _MAPPED):
             _MAPPED.clear()
         _MAPPED[folder] = Arrays(folder)
     return _MAPPED[folder]
 
 
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, ROWS):
+        yield batch.slice(start, ROWS)
+
+
 def _top(keys: np.ndarray, bits: int) -> np.ndarray:
     """The shard of each key: its highest bits."""
     return (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -253,15 +260,15 @@ def _discounted(counts: np.ndarray, by: tuple[float, ...]) -> np.ndarray:
     return counts - np.array([0.0, *by[:3]])[np.minimum(counts, 3).astype(np.int64)]
 
 
-def _unique_rows(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """First places of the different rows of word numbers, in ascending order of rows, and how often (or the weight) each occurs."""
+def _unique_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """First places of the different rows of word numbers, in ascending order of rows, and how often each occurs."""
     key = columns[0].astype(np.uint64)
     for column in columns[1:-1]:
         key = np.unique(key << _U(32) | column, return_inverse=True)[1].astype(np.uint64)
     if len(columns) > 1:
         key = key << _U(32) | columns[-1]
-    _, first, inverse, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    return first, counts if weights is None else np.bincount(inverse, weights, len(first)).astype(np.int64)
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return first, counts
 
 
 def _counted_tokens(rows: DataFrame) -> DataFrame:
@@ -279,10 +286,10 @@ def _counted_tokens(rows: DataFrame) -> DataFrame:
                 held.append(tokens)
                 size += len(tokens)
                 if size >= PART_TOKENS:
-                    yield counted()
+                    yield from _cut(counted())
                     held, size = [], 0
         if size:
-            yield counted()
+            yield from _cut(counted())
 
     return rows.select("text").mapInArrow(run, "h long, n long")
 
@@ -315,7 +322,7 @@ def _by_shard(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
 
 
 def _stored(rows: DataFrame, run: Callable) -> list[tuple[int, int]]:
-    """Write the shards of ``rows``; (shard, entries) of each. The list has one entry for each two million rows."""
+    """Write the shards of ``rows``; (shard, entries) of each. The list has one entry for each million rows."""
     placed = rows.repartition("shard").sortWithinPartitions("shard")
     done = written(placed.mapInArrow(run, "shard int, rows long"), "llm-lm-shards")
     return sorted((r["shard"], r["rows"]) for r in done.collect())
@@ -387,10 +394,10 @@ def _counted_grams(rows: DataFrame, model: Model, order: int, shards: int) -> Da
                 held.append(found)
                 size += len(found[0])
                 if size >= PART_TOKENS:
-                    yield counted()
+                    yield from _cut(counted())
                     held, size = [], 0
         if size:
-            yield counted()
+            yield from _cut(counted())
 
     return rows.select("text").mapInArrow(run, ", ".join(f"{n} int" for n in names))
 
@@ -440,9 +447,9 @@ def _fit_level(grams: DataFrame, model: Model, order: int, shards: int, folder:
             found, inverse = np.unique(context, return_inverse=True)
             total = np.bincount(inverse, counts, len(found))
             kinds = [np.bincount(inverse[pick], minlength=len(found)) for pick in (counts == 1, counts == 2, counts > 2)]
-            yield rows(1, len(found), found, None, [total, *kinds])
+            yield from _cut(rows(1, len(found), found, None, [total, *kinds]))
             first, before = _unique_rows(words[1:])
-            yield rows(2, len(first), None, [w[first] for w in words[1:]], [before])
+            yield from _cut(rows(2, len(first), None, [w[first] for w in words[1:]], [before]))
 
     placed = grams.sortWithinPartitions("shard")
     parts = written(placed.mapInArrow(run, schema), f"llm-lm-level-{order}")
