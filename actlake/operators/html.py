@@ -3,7 +3,9 @@
 No DOM is built and no Python runs per row. A page is split at the elements a
 selector names, one row per element, in document order. An element's text is what
 stands between its start and the next selected element, so the result is defined
-for unclosed and badly nested markup as well.
+for unclosed and badly nested markup as well. Read as ``nested``, open and close tags are
+matched by a running depth: an element's own text ends where the element closes, and what
+follows up to the next selected element are rows of their own, at the depth where they stand.
 
 Splitting is map-only. Only the operators that look back in document order need
 the rows of a page together; a `pages` table bucketed by its key already has them so.
@@ -119,8 +121,8 @@ def inner_text(markup: ColumnLike, separator: str = "") -> Column:
 
 
 def without_hidden(html: ColumnLike) -> Column:
-    """Drop comments, scripts, styles and declarations before anything looks for tags."""
-    return F.regexp_replace(as_column(html), _HIDDEN, "")
+    """Drop comments, scripts, styles and declarations before anything looks for tags, and characters that mark places here."""
+    return F.regexp_replace(F.translate(as_column(html), _BREAK + _AMP, ""), _HIDDEN, "")
 
 
 def classify_element(classes: ColumnLike, tag: ColumnLike, selector: Selector = ACT_PAGES) -> Column:
@@ -149,9 +151,11 @@ def html_elements(
 ) -> DataFrame:
     """One row per selected element with text: key, pos, tag, classes, kind, text.
 
-    ``nested`` also keeps elements without text of their own, adds the text nodes joined by
-    blanks, and depth_change, the number of elements left open (or closed) by the stretch
-    of markup the row stands for.
+    ``nested`` ends each text where its element closes. It also keeps elements without text
+    of their own, adds the text nodes joined by blanks, depth_change, the number of elements
+    left open (or closed) by the stretch of markup up to the next element, and rows without a
+    tag for what stands in that stretch after the element: ``sub`` numbers them, and
+    ``level`` is their depth from the end of the stretch.
     """
     pieces = let(
         F.split(without_hidden(html), selector.start_pattern()),
@@ -159,7 +163,9 @@ def html_elements(
     )
     # parsed before the rows are spread, so that no later filter makes Spark parse twice
     rows = pages.select(key, F.posexplode(pieces).alias("at", "element"))
-    rows = rows.select(key, (F.col("at") + 1).alias("pos"), "element.*")
+    if nested:
+        rows = rows.select(key, "at", F.posexplode("element").alias("sub", "element"))
+    rows = rows.select(key, (F.col("at") + 1).alias("pos"), *(["sub"] if nested else []), "element.*")
     rows = rows.withColumn("kind", classify_element("classes", "tag", selector))
     return rows if nested else rows.where(F.col("text") != "")
 
@@ -176,14 +182,68 @@ def _parsed(head: Column, rest: Column, separator: str, nested: bool) -> Column:
     tag = F.lower(F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9]*)", 1))
     attribute = F.regexp_extract(head, r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'/]+)", 1)
     names = F.filter(F.split(F.btrim(attribute, F.lit("\"'")), r"\s+"), lambda c: c != "")
-    fields = [tag.alias("tag"), names.alias("classes"), inner_text(rest, separator).alias("text")]
-    if nested:
-        fields.append(inner_text(rest, " ").alias("spaced"))
-        opened = F.regexp_count(rest, F.lit(rf"(?i)<(?!(?:{_VOID})\b)[a-z][^>]*(?<!/)>"))
-        closed = F.regexp_count(rest, F.lit(rf"(?i)</(?!(?:{_VOID})\b)[a-z][^>]*>"))
-        own = F.when(tag.rlike(rf"^(?:{_VOID})$") | head.endswith("/"), 0).otherwise(1)
-        fields.append((own + opened - closed).alias("depth_change"))
-    return F.struct(*fields)
+    if not nested:
+        return F.struct(tag.alias("tag"), names.alias("classes"), inner_text(rest, separator).alias("text"))
+    own = F.when(tag.rlike(rf"^(?:{_VOID})$") | head.endswith("/"), 0).otherwise(1)
+    return let(F.struct(tag.alias("tag"), names.alias("classes"), own.alias("own"), _stretches(rest, own).alias("s")), lambda e: _nested_rows(e, separator))
+
+
+_ANY_TAG = r"</?[A-Za-z][^>]*(?:>|\z)"
+
+
+def _stretches(rest: Column, own: Column) -> Column:
+    """struct(r, out): the depth after the markup, and its text cut wherever the depth falls below all before.
+
+    Each of ``out`` is struct(m, text): text nodes, apart by marks, that stand at depth m or deeper.
+    """
+
+    def change(tag: Column) -> Column:
+        flat = tag.rlike(rf"(?i)^</?(?:{_VOID})\b") | tag.endswith("/>")
+        return F.when(flat, 0).when(tag.startswith("</"), -1).otherwise(1)
+
+    def walk(p: Column) -> Column:
+        start = F.struct(own.alias("r"), own.alias("m"), F.get(p["texts"], F.lit(0)).alias("cur"), F.array().cast("array<struct<m:int,text:string>>").alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            text, depth = F.get(p["texts"], i), s["r"] + change(F.get(p["tags"], i - 1))
+            done = F.struct(s["m"].alias("m"), s["cur"].alias("text"))
+            fell = F.struct(depth.alias("r"), depth.alias("m"), text.alias("cur"), F.concat(s["out"], F.array(done)).alias("out"))
+            on = F.struct(depth.alias("r"), s["m"].alias("m"), F.concat(s["cur"], F.lit(_BREAK), text).alias("cur"), s["out"].alias("out"))
+            return F.when(depth < s["m"], fell).otherwise(on)
+
+        ending = lambda s: F.struct(s["r"].alias("r"), F.concat(s["out"], F.array(F.struct(s["m"].alias("m"), s["cur"].alias("text")))).alias("out"))
+        places = F.when(F.size(p["tags"]) > 0, F.sequence(F.lit(1), F.size(p["tags"]))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, ending)
+
+    # tags open and close nothing where the depth cannot change; each is looked at once
+    return let(F.struct(F.regexp_extract_all(rest, F.lit(_ANY_TAG), F.lit(0)).alias("tags"), F.split(rest, _ANY_TAG).alias("texts")), walk)
+
+
+def _nested_rows(e: Column, separator: str) -> Column:
+    """The element's row and one for each stretch of text behind it, as an array."""
+    out, after = e["s"]["out"], e["s"]["r"]
+    first = F.when(e["own"] == 1, F.get(out, F.lit(0))["text"]).otherwise(F.lit(""))
+    own = F.struct(
+        e["tag"].alias("tag"),
+        e["classes"].alias("classes"),
+        inner_text(first, separator).alias("text"),
+        inner_text(first, " ").alias("spaced"),
+        after.alias("depth_change"),
+        F.lit(0).alias("level"),
+    )
+
+    def behind(t: Column) -> Column:
+        return F.struct(
+            F.lit(None).cast("string").alias("tag"),
+            F.array().cast("array<string>").alias("classes"),
+            inner_text(t["text"], separator).alias("text"),
+            inner_text(t["text"], " ").alias("spaced"),
+            F.lit(0).alias("depth_change"),
+            (t["m"] - after).alias("level"),
+        )
+
+    tails = F.when(e["own"] == 1, F.slice(out, F.lit(2), F.size(out))).otherwise(out)
+    return F.concat(F.array(own), F.transform(tails, behind))
 
 
 def _in_order(key: str) -> Window:
@@ -250,64 +310,63 @@ def article_rows(
     rows = rows.withColumn("article_number", first_int("text"))
     if require_number:
         rows = rows.where(F.coalesce(F.col("article_number"), F.lit(0)) != 0)
-    return rows.drop("depth_change", "spaced", "kind")
+    return rows.drop("depth_change", "spaced", "kind", "sub", "level")
 
 
 # ---------------------------------------------------------------- bodies
 
 
+BODY_LEVELS = 12  # elements deeper inside a body are text of those around them
+
+
 def _body_segments(elements: DataFrame, key: str) -> DataFrame:
     """Elements inside article bodies with their article, top-level part and nested item."""
-    w = _in_order(key)
-    before = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy(key).orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(key).orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
     kind, classes, depth = F.col("kind"), F.col("classes"), F.col("depth")
-    is_title = kind == "article"
+    is_title, is_element = kind.eqNullSafe("article"), F.col("sub") == 0
     has = lambda name: F.array_contains(classes, name)
 
-    rows = elements.withColumn("depth", F.coalesce(F.sum("depth_change").over(before), F.lit(0)))
-    body_event = F.when(is_title, F.struct(F.lit(None).cast("long").alias("d"))).when(
-        has(vocab.BODY_CLASS), F.struct(depth.cast("long").alias("d"))
+    # how many elements are open around the row
+    rows = elements.withColumn("depth", F.coalesce(F.sum("depth_change").over(before), F.lit(0)) + F.col("level"))
+    body_event = F.when(is_title, F.struct(F.lit(None).cast("long").alias("d"), F.lit(None).cast("int").alias("pos"))).when(
+        has(vocab.BODY_CLASS), F.struct(depth.cast("long").alias("d"), F.col("pos"))
     )
     rows = rows.withColumns(
         {
             "article_pos": F.last(F.when(is_title, F.col("pos")), ignorenulls=True).over(w),
-            "body_depth": F.last(body_event, ignorenulls=True).over(w)["d"],
-        }
-    )
-    inside = F.col("body_depth").isNotNull() & ((depth > F.col("body_depth")) | has(vocab.BODY_CLASS))
-    rows = rows.where(inside)
-
-    part_class = F.coalesce(*[F.when(has(name), F.lit(name)) for name in vocab.BODY_PARTS])
-    starts_part = part_class.isNotNull() & (depth == F.col("body_depth") + 1)
-    part_event = F.when(
-        has(vocab.BODY_CLASS),
-        F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("name")),
-    ).when(starts_part, F.struct(F.col("pos").cast("int").alias("pos"), part_class.alias("name")))
-    rows = rows.withColumn("part", F.last(part_event, ignorenulls=True).over(w))
-
-    name = F.col("part.name")
-    direct = depth == F.col("body_depth") + 2
-    role_event = (
-        F.when(starts_part | has(vocab.BODY_CLASS), F.lit("intro"))
-        .when(direct & F.array_contains(classes, F.concat(name, F.lit("_TTL"))), "label")
-        .when(direct & F.array_contains(classes, F.concat(name, F.lit("_BDY"))), "body")
-    )
-    nested = ~starts_part & (has("S_LIT") | has("S_PCT"))
-    none = F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("name"))
-    item_event = F.when(starts_part | has(vocab.BODY_CLASS), none).when(
-        nested,
-        F.struct(F.col("pos").cast("int").alias("pos"), F.when(has("S_LIT"), "S_LIT").otherwise("S_PCT").alias("name")),
-    )
-    item_role_event = F.when(starts_part | nested | has(vocab.BODY_CLASS), F.lit("none")).when(
-        has("S_LIT_TTL") | has("S_PCT_TTL"), "label"
-    ).when(has("S_LIT_BDY") | has("S_PCT_BDY"), "body")
-    return rows.withColumns(
-        {
-            "role": F.last(role_event, ignorenulls=True).over(w),
-            "item": F.last(item_event, ignorenulls=True).over(w),
-            "item_role": F.last(item_role_event, ignorenulls=True).over(w),
+            "body": F.last(body_event, ignorenulls=True).over(w),
         }
     )
+    # where the body was left: at the first row that stands no deeper than it
+    left = F.when((depth <= F.col("body.d")) & ~has(vocab.BODY_CLASS), F.col("pos"))
+    rows = rows.withColumn("left", F.last(left, ignorenulls=True).over(w))
+    still = F.col("left").isNull() | (F.col("left") < F.col("body.pos"))
+    rows = rows.where(F.col("body.d").isNotNull() & (has(vocab.BODY_CLASS) | (still & (depth > F.col("body.d")))))
+
+    # the open element at each level inside the body; a row that stands no deeper than a level ends what was open there
+    names = [n for part in vocab.BODY_PARTS for n in (part, f"{part}_TTL", f"{part}_BDY")]
+    name = F.get(F.filter(classes, lambda c: c.isin(*names)), F.lit(0))
+    inside = depth - F.col("body.d")
+    nothing = F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("name"))
+    levels = {}
+    for level in range(1, BODY_LEVELS + 1):
+        opened = F.when(is_element & ~has(vocab.BODY_CLASS) & (inside == level), F.struct(F.col("pos").cast("int").alias("pos"), name.alias("name")))
+        levels[f"level_{level}"] = F.last(opened.when(inside <= level, nothing), ignorenulls=True).over(w)
+    rows = rows.withColumns(levels)
+    stack = F.filter(F.array(*[F.col(n) for n in levels]), lambda e: e["name"].isNotNull())
+    rows = rows.withColumn("stack", stack).drop(*levels)
+
+    first = F.get("stack", F.lit(0))
+    rows = rows.withColumn("part", F.when(first["name"].isin(*vocab.BODY_PARTS), first).otherwise(nothing))
+    part = F.col("part.name")
+    inner = F.slice("stack", F.lit(2), F.size("stack"))
+    held = F.get(F.filter(inner, lambda e: e["name"].isin("S_LIT", "S_PCT", *[f"{p}_{x}" for p in vocab.BODY_PARTS for x in ("TTL", "BDY")])), F.lit(0))
+    role = F.when(held["name"] == F.concat(part, F.lit("_TTL")), "label").when(held["name"] == F.concat(part, F.lit("_BDY")), "body").otherwise("intro")
+    item = F.element_at(F.concat(F.array(nothing), F.filter(inner, lambda e: e["name"].isin("S_LIT", "S_PCT"))), -1)
+    rows = rows.withColumns({"role": role, "item": item})
+    own = lambda x: F.exists(inner, lambda e: (e["pos"] > F.col("item.pos")) & (e["name"] == F.concat(F.col("item.name"), F.lit(x))))
+    return rows.withColumn("item_role", F.when(own("_TTL"), "label").when(own("_BDY"), "body").otherwise("none"))
 
 
 def _texts(segments: Column, keep=None, separator: str = "", field: str = "text") -> Column:
@@ -330,6 +389,7 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
                 F.collect_list(
                     F.struct(
                         "pos",
+                        "sub",
                         "text",
                         "spaced",
                         "role",

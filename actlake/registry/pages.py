@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import candidate_urls, canonical_doc_url, document_id, is_valid_source_url
 from ..operators.articles import confidence_score, document_statistics
+from ..functions.text import int_to_roman
 from ..operators.html import (
     GENERIC_PAGES,
+    article_bodies,
     article_rows,
     detect_content_type,
     fill_hierarchy,
     html_elements,
     plain_text,
 )
-from ..sources.readers import usable_pages
+from ..plans.parse import parse_pages
+from ..sources.readers import page_problem
 from . import Registry
-from .bind import pages, strip_sql, table, with_ctes
+from .bind import DOC_LINES_SQL, doc_lines, pages, strip_sql, table, with_ctes
 
 REGISTRY = Registry()
 
@@ -139,13 +142,14 @@ _DROPPED = (
     "page_plain_text",
     rf"""WITH body AS (
   SELECT page_id, regexp_extract(regexp_replace(html, '{_DROPPED}', '', 'g'), '(?is)<body[\s>].*', 0) AS markup FROM pages)
-SELECT page_id, text FROM (SELECT page_id, {_text_sql('markup', 'chr(10)')} AS text FROM body) WHERE length(text) > 500""",
+SELECT page_id, CASE WHEN length(text) > 500 THEN text END AS text, CASE WHEN length(text) > 500 THEN NULL ELSE 'no more than 500 characters' END AS problem
+FROM (SELECT page_id, {_text_sql('markup', 'chr(10)')} AS text FROM body)""",
 )
 def page_plain_text(spark, sf_dir):
     # these pages have no content container, so the body is what is taken;
-    # exploded, so that the filter below does not make Spark extract each text twice
+    # exploded, so that the column below does not make Spark extract each text twice
     text = pages(spark, sf_dir).select("page_id", F.explode(F.array(plain_text("html"))).alias("text"))
-    return text.where(F.col("text").isNotNull())
+    return text.withColumn("problem", F.when(F.col("text").isNull(), "no more than 500 characters"))
 
 
 @REGISTRY.query(
@@ -166,9 +170,114 @@ def content_type(spark, sf_dir):
     return from_pages.unionByName(from_documents)
 
 
-@REGISTRY.query("usable_pages", "SELECT page_id, url FROM pages WHERE length(html) >= 1500")
+@REGISTRY.query(
+    "usable_pages",
+    """SELECT page_id, url, CASE WHEN html IS NULL THEN 'no response' WHEN length(html) < 100 THEN 'shorter than 100 characters' END AS problem FROM (
+  SELECT page_id, url, CASE page_id % 10 WHEN 0 THEN left(html, 99) WHEN 1 THEN left(html, 100) WHEN 2 THEN NULL ELSE html END AS html FROM pages)""",
+)
 def usable(spark, sf_dir):
-    return usable_pages(table(spark, sf_dir, "pages"), min_length=1500).select("page_id", "url")
+    """All responses, cut or lost for some pages, with what is wrong with them."""
+    key = F.col("page_id") % 10
+    response = F.when(key == 0, F.left("html", F.lit(99))).when(key == 1, F.left("html", F.lit(100))).when(key != 2, F.col("html"))
+    rows = table(spark, sf_dir, "pages").withColumn("html", response)
+    return rows.select("page_id", "url", page_problem().alias("problem"))
+
+
+# class-marked act pages made of the lines of documents: titles, chapters, sections and articles with nested bodies
+_ACT_LINES_SQL = f"""units AS (SELECT act_id AS page_id, ordinal AS o, (ordinal - 1) // 12 AS j, (ordinal - 1) % 12 AS r, {strip_sql('text')} AS t FROM articles),
+context AS (SELECT page_id, o, j, r, t, CAST(j + 1 AS INTEGER) AS title_nr,
+  (SELECT arg_max(h.t, h.o) FROM units h WHERE h.page_id = u.page_id AND h.r = 0 AND h.t <> '' AND h.o < u.o) AS title_name,
+  CASE WHEN r > 3 THEN CAST(j + 1 AS INTEGER) END AS chapter_nr, CASE WHEN r > 3 THEN (SELECT NULLIF(max(h.t), '') FROM units h WHERE h.page_id = u.page_id AND h.j = u.j AND h.r = 3) END AS chapter_name,
+  CASE WHEN r > 6 THEN CAST(j + 1 AS INTEGER) END AS section_nr, CASE WHEN r > 6 THEN (SELECT NULLIF(max(h.t), '') FROM units h WHERE h.page_id = u.page_id AND h.j = u.j AND h.r = 6) END AS section_name
+  FROM units u WHERE r NOT IN (0, 3, 6)),
+bodies AS (SELECT *, CASE o % 5 WHEN 0 THEN t || 'end' WHEN 1 THEN '(1)...' || t || 'a)alpha1.oneomegaclosing' WHEN 2 THEN '(1)...' || t || '...(2)...second' WHEN 3 THEN t || '1.onetail' ELSE 'a)...' || t || '...b)...second' END AS body FROM context)"""
+
+
+def _span(name: str, *parts) -> Column:
+    return F.concat(F.lit(f'<span class="{name}">'), *[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("</span>"))
+
+
+def _act_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each document, one element for each of its lines; stray text and unmarked elements stand between them."""
+    o, text = F.col("ordinal"), F.col("text")
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(char), F.lit(name))
+    turn, number = (o - 1) % 12, F.floor((o - 1) / 12).cast("int") + 1
+    plain = F.concat(text, F.lit(" <b>end</b>"))
+    points = _span("S_PCT", _span("S_PCT_TTL", "1."), _span("S_PCT_BDY", "one"))
+    letters = _span("S_LIT", _span("S_LIT_TTL", "a)"), _span("S_LIT_BDY", "alpha", points, "<i> omega</i>"))
+    second = lambda name, label: _span(name, _span(f"{name}_TTL", label), _span(f"{name}_BDY", "second"))
+    first = lambda name, label, *inner: _span(name, _span(f"{name}_TTL", label), _span(f"{name}_BDY", text, *inner))
+    body = (
+        F.when(o % 5 == 0, plain)
+        .when(o % 5 == 1, F.concat(first("S_ALN", "(1)", letters, " closing "), F.lit("<em>stray</em>")))
+        .when(o % 5 == 2, F.concat(first("S_ALN", "(1)"), F.lit(" stray "), second("S_ALN", "(2)")))
+        .when(o % 5 == 3, _span("S_PAR", text, points, "<u>tail</u>"))
+        .otherwise(F.concat(first("S_LIT", "a)"), second("S_LIT", "b)"), F.lit("stray")))
+    )
+    label = lambda name: F.concat(F.lit(f"{name} "), int_to_roman(number))
+    unit = (
+        F.when(turn == 0, _span("S_TTL", _span("S_TTL_TTL", label("Titlul")), " stray ", _span("S_TTL_DEN", text)))
+        .when(turn == 3, F.concat(_span("S_CAP_TTL", label("Capitolul")), F.lit("stray"), _span("S_CAP_DEN", text), F.lit("<br> stray")))
+        .when(turn == 6, F.concat(_span("S_SEC_TTL", F.concat(F.lit("Secțiunea "), number.cast("string"))), _span("S_SEC_DEN", text)))
+        .otherwise(_span("S_ART", _span("S_ART_TTL", F.concat(F.lit("Articolul "), o.cast("string"))), "<p>stray</p>", _span("S_ART_BDY", body), "after the body <b>7</b>"))
+    )
+    lines = doc_lines(spark, sf_dir).groupBy("act_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", unit.alias("unit")))).alias("units"))
+    joined = F.array_join(F.transform("units", lambda u: u["unit"]), "\n")
+    return lines.select(F.col("act_id").alias("page_id"), F.concat(F.lit("<!DOCTYPE html><html><body>"), joined, F.lit("</body></html>")).alias("html"))
+
+
+_ACT_BASE = (DOC_LINES_SQL, _ACT_LINES_SQL)
+_CONTEXT_COLUMNS = ("title_nr", "title_name", "chapter_nr", "chapter_name", "section_nr", "section_name")
+
+
+@REGISTRY.query("act_page_context", with_ctes(*_ACT_BASE, body=f"SELECT page_id, CAST(o AS INTEGER) AS article_number, {', '.join(_CONTEXT_COLUMNS)} FROM context"))
+def act_page_context(spark, sf_dir):
+    """Articles with a number and the title, chapter and section in force, of class-marked pages."""
+    elements = html_elements(_act_pages(spark, sf_dir), nested=True)
+    return article_rows(elements).select("page_id", "article_number", *_CONTEXT_COLUMNS)
+
+
+@REGISTRY.query("act_page_bodies", with_ctes(*_ACT_BASE, body="SELECT page_id, CAST(o AS INTEGER) AS article_number, body FROM bodies"))
+def act_page_bodies(spark, sf_dir):
+    """Bodies with points in letters in paragraphs: each text belongs to the element that is open around it."""
+    elements = html_elements(_act_pages(spark, sf_dir), nested=True)
+    bodies = article_bodies(elements).withColumnRenamed("article_pos", "pos")
+    return article_rows(elements).join(bodies, ["page_id", "pos"]).select("page_id", "article_number", "body")
+
+
+def _parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Act pages, some of which are no HTML and some of which hold no article."""
+    rows = _act_pages(spark, sf_dir)
+    kind = F.col("page_id") % 7
+    return rows.withColumn("html", F.when(kind == 0, F.lit("only text")).when(kind == 1, F.lit("<html><body><p>nothing</p></body></html>")).otherwise(F.col("html")))
+
+
+@REGISTRY.query(
+    "act_page_articles",
+    with_ctes(
+        *_ACT_BASE,
+        body=f"""SELECT page_id, 'Articolul ' || CAST(o AS VARCHAR) AS article_label, CAST(o AS INTEGER) AS article_number, {strip_sql('body')} AS text, {', '.join(_CONTEXT_COLUMNS)}
+FROM bodies WHERE page_id % 7 > 1 AND length({strip_sql('body')}) > 5""",
+    ),
+)
+def act_page_articles(spark, sf_dir):
+    """The articles that parsing whole pages gives."""
+    articles = parse_pages(_parsed_pages(spark, sf_dir))["articles"]
+    return articles.select("page_id", "article_label", "article_number", "text", *_CONTEXT_COLUMNS)
+
+
+@REGISTRY.query(
+    "parse_errors",
+    with_ctes(
+        *_ACT_BASE,
+        body=f"""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'not HTML' ELSE 'no articles found' END AS error FROM (SELECT DISTINCT page_id FROM units) p
+WHERE page_id % 7 < 2 OR NOT EXISTS (SELECT 1 FROM bodies b WHERE b.page_id = p.page_id AND length({strip_sql('body')}) > 5)""",
+    ),
+)
+def parse_errors(spark, sf_dir):
+    """Pages that yield no article, with the reason."""
+    return parse_pages(_parsed_pages(spark, sf_dir))["errors"].select("page_id", "error")
 
 
 # addresses of the pages, given the forms document addresses have

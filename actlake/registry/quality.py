@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import quality as q
 from ..operators.render import assemble, render_rows
 from . import Registry
-from .bind import DOC_LINES_SQL, ISSUES_SQL, LINKS_SQL, doc_lines, documents, issues, links, table, with_ctes
+from .bind import DOC_LINES_SQL, ISSUES_SQL, LINKS_SQL, doc_lines, documents, issues, links, strip_sql, table, with_ctes
 
 REGISTRY = Registry()
 
@@ -91,6 +91,44 @@ _STRUCTS = ",\n".join(
 RESULTS_SQL = f"""results AS (SELECT doc_id, r.rule AS rule, r.severity AS severity, r.passed AS passed FROM (SELECT doc_id, unnest([{_STRUCTS}]) AS r FROM docs))"""
 
 
+
+
+def _shown_sql(found: str, n: int = 3, width: int = 80) -> str:
+    return f"array_to_string([substr({strip_sql('x')}, 1, {width}) FOR x IN ({found})[1:{n}]], ' | ')"
+
+
+def _found_sql(found: str, n: int = 3, width: int = 80) -> str:
+    return f"'found ' || CAST(len({found}) AS VARCHAR) || ': ' || {_shown_sql(found, n, width)}"
+
+
+_BOLD = "list_concat(" * 3 + ", ".join(
+    rf"regexp_extract_all(c, '{p}')" + (")" if i else "")
+    for i, p in enumerate((r"\*\*lit\.\s*[a-z]\)\*\*", r"\*\*alin\.\s*\([0-9]+\)\*\*", r"\*\*art\.\s*[0-9]+\*\*", r"\*\*pct\.\s*[0-9]+\*\*"))
+)
+_TEXTS, _HEADINGS = f"{_LINKS}, 1)", "regexp_extract_all(c, '(?m)^### (.+)$', 1)"
+_FIELDS = "concat_ws(', ', " + ", ".join(f"CASE WHEN NOT coalesce(contains(string_split(c, E'---\\n')[2], '{f}:'), false) THEN '{f}' END" for f in q.REQUIRED_FIELDS) + ")"
+_DETAIL_SQL = {
+    "has_metadata_header": r"CASE WHEN NOT starts_with(c, E'---\n') THEN 'no metadata block at the start' WHEN len(string_split(c, E'---\n')) < 3 THEN 'metadata block is not closed' ELSE 'present' END",
+    "has_index": "CASE WHEN contains(c, '## INDEX') THEN 'present' ELSE 'missing' END",
+    "has_articles": "CASE WHEN contains(c, '## ARTICOLE') THEN 'present' ELSE 'missing' END",
+    "paragraphs_formatted": r"'found ' || CAST(len(regexp_extract_all(c, '\*\*\([0-9]+\)\*\*')) AS VARCHAR)",
+    "no_unformatted_paragraphs": _found_sql(f"[x FOR x IN {_LINES} IF regexp_matches(x, '{_UNFORMATTED}') AND NOT regexp_matches(x, '{_REFERENCE}')]"),
+    "letters_formatted": r"'found ' || CAST(len(regexp_extract_all(c, '\*\*[a-z]\)\*\*')) AS VARCHAR)",
+    "letters_indented": _found_sql(rf"[x FOR x IN {_LINES} IF regexp_matches(x, '^\*\*[a-z]\)\*\*')]", width=60),
+    "references_not_bold": _found_sql(_BOLD, n=5),
+    "index_links_valid": f"CASE WHEN NOT contains(c, '## INDEX') THEN 'no index' WHEN len({_LINKS}, 2)) = 0 THEN 'the index holds no links' ELSE {_found_sql(f'[a FOR a IN {_LINKS}, 2) IF NOT regexp_matches(a, {chr(39)}^[a-z0-9-]+${chr(39)})]')} END",
+    "index_links_working": f"CASE WHEN NOT contains(c, '## INDEX') THEN 'no index' ELSE {_found_sql(f'list_filter({_TEXTS}, lambda t, i: list_position({_TEXTS}, t) = i AND NOT list_contains({_HEADINGS}, t))')} END",
+    "metadata_complete": rf"CASE WHEN NOT starts_with(c, E'---\n') THEN 'no metadata block' ELSE 'missing: ' || {_FIELDS} END",
+    "articles_have_context": r"CAST(len(regexp_extract_all(c, '\*\*Context ierarhic:\*\*')) AS VARCHAR) || '/' || CAST(len(regexp_extract_all(c, '### Articolul [0-9]+')) AS VARCHAR)",
+    "no_extra_spaces": "'found ' || CAST(len(regexp_extract_all(c, ' {3,}')) AS VARCHAR)",
+    "no_extra_newlines": r"'found ' || CAST(len(regexp_extract_all(c, '\n\n\n+')) AS VARCHAR)",
+}
+_DETAILS = ",\n".join(
+    f"{{'rule': '{rule}', 'severity': '{_SEVERITY[rule]}', 'passed': ({_RULE_SQL[rule]}), 'detail': {sql}}}" for rule, sql in _DETAIL_SQL.items()
+)
+DETAILS_SQL = f"""details AS (SELECT doc_id, r.rule AS rule, r.severity AS severity, r.passed AS passed, r.detail AS detail FROM (SELECT doc_id, unnest([{_DETAILS}]) AS r FROM docs))"""
+
+
 def _results(spark, sf_dir):
     return q.check_documents(_docs(spark, sf_dir), file="doc_id")
 
@@ -100,20 +138,10 @@ def quality_rules_md(spark, sf_dir):
     return _results(spark, sf_dir).select("doc_id", "rule", "severity", "passed")
 
 
-@REGISTRY.query(
-    "quality_rule_details",
-    with_ctes(
-        DOCS_SQL,
-        body=r"""SELECT doc_id, unnest(['paragraphs_formatted', 'letters_formatted', 'no_extra_spaces', 'no_extra_newlines', 'articles_have_context']) AS rule,
-  unnest(['found ' || CAST(len(regexp_extract_all(c, '\*\*\([0-9]+\)\*\*')) AS VARCHAR), 'found ' || CAST(len(regexp_extract_all(c, '\*\*[a-z]\)\*\*')) AS VARCHAR),
-   'found ' || CAST(len(regexp_extract_all(c, ' {3,}')) AS VARCHAR), 'found ' || CAST(len(regexp_extract_all(c, '\n\n\n+')) AS VARCHAR),
-   CAST(len(regexp_extract_all(c, '\*\*Context ierarhic:\*\*')) AS VARCHAR) || '/' || CAST(len(regexp_extract_all(c, '### Articolul [0-9]+')) AS VARCHAR)]) AS detail FROM docs""",
-    ),
-)
+@REGISTRY.query("quality_rule_details", with_ctes(DOCS_SQL, DETAILS_SQL, body="SELECT doc_id, rule, detail FROM details"))
 def quality_rule_details(spark, sf_dir):
-    shown = ("paragraphs_formatted", "letters_formatted", "no_extra_spaces", "no_extra_newlines", "articles_have_context")
-    rules = tuple(r for r in q.DOCUMENT_RULES if r.id in shown)
-    return q.check_documents(_docs(spark, sf_dir), file="doc_id", rules=rules).select("doc_id", "rule", "detail")
+    """What every rule says about every document: counts and the first examples."""
+    return _results(spark, sf_dir).select("doc_id", "rule", "detail")
 
 
 _REPORT_SQL = """report AS (SELECT doc_id, count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, count(*) FILTER (WHERE NOT passed AND severity = 'error') AS n_errors,
@@ -142,15 +170,10 @@ def quality_summary(spark, sf_dir):
 
 @REGISTRY.query(
     "quality_messages",
-    with_ctes(
-        DOCS_SQL,
-        body="""SELECT doc_id, 'error' AS severity, '[has_index] missing' AS message FROM docs WHERE NOT contains(c, '## INDEX')
-UNION ALL SELECT doc_id, 'error', '[has_articles] missing' FROM docs WHERE NOT contains(c, '## ARTICOLE')""",
-    ),
+    with_ctes(DOCS_SQL, DETAILS_SQL, body="SELECT doc_id, severity, '[' || rule || '] ' || detail AS message FROM details WHERE NOT coalesce(passed, false)"),
 )
 def quality_messages(spark, sf_dir):
-    rules = tuple(r for r in q.DOCUMENT_RULES if r.id in ("has_index", "has_articles"))
-    return q.quality_messages(q.check_documents(_docs(spark, sf_dir), file="doc_id", rules=rules), file="doc_id")
+    return q.quality_messages(_results(spark, sf_dir), file="doc_id")
 
 
 @REGISTRY.query(

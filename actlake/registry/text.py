@@ -133,17 +133,16 @@ def format_paragraphs_query(spark, sf_dir):
 
 @REGISTRY.query(
     "format_letters",
-    f"""SELECT doc_id, CASE WHEN len(parts) = 0 THEN '' ELSE
+    f"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN len(parts) = 0 THEN 'Intro' WHEN len(parts) = 1 THEN 'Intro a) ' || parts[1] ELSE
    {strip_sql("'Intro'")} || ':' || array_to_string([chr(10) || '  **' || chr(CAST(97 + (i - 1) % 20 AS INTEGER)) || ')** ' || {strip_sql('parts[i]')} FOR i IN range(1, len(parts) + 1)], '') END AS text
-FROM (SELECT doc_id, [{strip_sql('p')} FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> ''] AS parts FROM documents
-      WHERE len([p FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> '']) > 1)""",
+FROM (SELECT doc_id, text, [{strip_sql('p')} FOR p IN string_split(text, chr(10)) IF {strip_sql('p')} <> ''] AS parts FROM documents)""",
 )
 def format_letters_query(spark, sf_dir):
     """All lines of a text as points lettered a) to t), then again from a), joined the way parsed bodies are."""
     lines = F.filter(F.split("text", "\n"), lambda p: F.length(F.regexp_replace(p, r"(?U)\s", "")) > 0)
     points = F.transform(lines, lambda p, i: F.concat(F.char(i % 20 + 97), F.lit(") "), p))
-    rows = documents(spark, sf_dir).select("doc_id", F.size(lines).alias("n"), F.concat(F.lit("Intro "), F.array_join(points, ";...")).alias("text"))
-    return rows.where("n > 1").select("doc_id", format_letters("text").alias("text"))
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Intro "), F.array_join(points, ";...")).alias("text"))
+    return rows.select("doc_id", format_letters("text").alias("text"))
 
 
 @REGISTRY.query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -51,8 +51,13 @@ def read_page_files(spark: SparkSession, path: str, *, min_length: int = vocab.M
     return usable_pages(pages, min_length=min_length)
 
 
+def page_problem(html: str = "html", min_length: int = vocab.MIN_HTML_LENGTH) -> Column:
+    """Why a response is no page; NULL where it is one."""
+    return F.when(F.col(html).isNull(), "no response").when(F.length(html) < min_length, F.lit(f"shorter than {min_length} characters"))
+
+
 def usable_pages(pages: DataFrame, *, html: str = "html", min_length: int = vocab.MIN_HTML_LENGTH) -> DataFrame:
-    return pages.where(F.length(html) >= min_length)
+    return pages.where(page_problem(html, min_length).isNull())
 
 
 # column of an article CSV -> accepted header spellings, first non-blank one wins
