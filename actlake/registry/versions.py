@@ -112,9 +112,10 @@ def diff_similarity(spark, sf_dir):
 # every line against an edited one: appended, inserted in the middle, letters changed, reversed, a half twice, the same
 _EDITED_SQL = """edited AS (SELECT act_id, ordinal, coalesce(text, '') AS a, CASE ordinal % 6 WHEN 0 THEN text || ' amended'
   WHEN 1 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || ' new' || substr(text, CAST(length(text) // 2 AS INTEGER) + 1)
-  WHEN 2 THEN replace(text, 'ou', 'u') WHEN 3 THEN reverse(text) WHEN 4 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || text ELSE text END AS b FROM articles),
-split AS (SELECT *, length(a) + length(b) AS total, string_split(a, '') AS x, string_split(b, '') AS y, levenshtein(a, b) AS edits FROM edited),
-bounds AS (SELECT act_id, ordinal, a, b, total, edits,
+  WHEN 2 THEN replace(text, 'ou', 'u') WHEN 3 THEN reverse(text) WHEN 4 THEN left(text, CAST(length(text) // 2 AS INTEGER)) || text ELSE text END AS b FROM articles)"""
+# what bounds say of the pairs (a, b) of "edited", with its other columns
+DECIDED_SQL = """split AS (SELECT *, length(a) + length(b) AS total, string_split(a, '') AS x, string_split(b, '') AS y, levenshtein(a, b) AS edits FROM edited),
+bounds AS (SELECT *,
   2.0::DOUBLE * least(length(a), length(b)) / greatest(total, 1) AS by_length,
   2.0::DOUBLE * coalesce(list_sum(list_transform(list_filter(list_distinct(x), lambda c: c <> ''), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))), 0) / greatest(total, 1) AS by_characters,
   2.0::DOUBLE * greatest(
@@ -143,6 +144,7 @@ def _edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_ctes(
         DOC_LINES_SQL,
         _EDITED_SQL,
+        DECIDED_SQL,
         body="""SELECT act_id, ordinal, decision, CASE decision WHEN 'open' THEN 1 - edits / greatest(length(a), length(b))::DOUBLE < 0.95 ELSE decision = 'significant' END AS significant FROM decided""",
     ),
 )
@@ -154,7 +156,7 @@ def diff_threshold(spark, sf_dir):
 
 @REGISTRY.query(
     "diff_decisions",
-    with_ctes(DOC_LINES_SQL, _EDITED_SQL, body="SELECT CAST(ordinal % 6 AS INTEGER) AS edit, decision, count(*) AS n FROM decided GROUP BY ALL"),
+    with_ctes(DOC_LINES_SQL, _EDITED_SQL, DECIDED_SQL, body="SELECT CAST(ordinal % 6 AS INTEGER) AS edit, decision, count(*) AS n FROM decided GROUP BY ALL"),
 )
 def diff_decisions(spark, sf_dir):
     """How many pairs of each kind of edit the bounds decide, and how many they leave open."""

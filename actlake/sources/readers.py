@@ -163,9 +163,14 @@ def empty_csv_files(spark: SparkSession, path: str, rows: DataFrame) -> DataFram
 
 
 def read_markdown_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """(stem, content) of every Markdown file."""
-    text = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    return text.select(F.regexp_replace("_metadata.file_name", r"\.md$", "").alias("stem"), F.col("value").alias("content"))
+    """(stem, content) of every Markdown file, or of the files of a folder that ``write_markdown`` made for one act."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name, whole = F.url_decode("_metadata.file_name"), F.url_decode("_metadata.file_path")
+    folder = F.regexp_extract(whole, r"/file_key=([^/]*)/[^/]*$", 1)
+    stem = F.when(folder != "", folder).when(name.endswith(".md"), F.regexp_replace(name, r"\.md$", ""))
+    parts = files.select(stem.alias("stem"), whole.alias("path"), "value").where("stem IS NOT NULL")
+    ordered = F.array_sort(F.collect_list(F.struct("path", "value")))
+    return parts.groupBy("stem").agg(F.array_join(F.transform(ordered, lambda p: p["value"]), "").alias("content"))
 
 
 def attach_sidecar(rows: DataFrame, sidecars: DataFrame, *, file: str = "file") -> DataFrame:
