@@ -2,8 +2,8 @@
 
 A byte-level BPE encodes each pre-token alone. For a pre-token, the encoding of every prefix ends in one token: the one
 whose pair with the last token of what stands before it BPE would leave apart. So the counts of all prefixes follow
-from left to right (``PrefixCounter.counts``), and a text's count at any place is the sum over the pre-tokens before it
-plus one such entry. The counts answer "how many tokens up to here" and "where do n tokens end" without encoding again.
+from left to right (``PrefixCounter.counts``). They are stored for each pre-token, and a text's count at any place is the sum over the pre-tokens before it
+plus one such entry (``PrefixTable``). The counts answer "how many tokens up to here" and "where do n tokens end" without encoding again.
 
 Null text counts as empty: 0 bytes, 0 tokens. Special strings inside texts are one token, as the library's default has
 it. Whole texts of any length are counted; repeated rows and ids are kept. An empty table gives an empty result.
@@ -11,7 +11,6 @@ it. Whole texts of any length are counted; repeated rows and ids are kept. An em
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
@@ -23,26 +22,26 @@ from .tokens import LATIN_1, encoder, vocabulary_path
 
 LIMIT = 1024
 PAIRS = 1_000_000  # pairs of tokens of which a worker remembers whether BPE leaves them apart
-CACHED = 1_000_000  # pre-tokens whose counts a worker remembers
-CACHED_BYTES = 48  # longer ones are counted each time
+CACHED = 600_000  # pre-tokens whose counts a worker remembers
+CACHED_CHARS = 48  # longer ones are counted each time; of these no count exceeds a byte
 _COUNTERS: dict[str, "PrefixCounter"] = {}
 
 
-class _Totals(dict):
-    """Token counts of pre-tokens, computed when first asked for."""
+class _Stored(dict):
+    """The counts of every prefix of a pre-token, computed when first asked for; short ones take a byte a prefix."""
 
     def __init__(self, counter: PrefixCounter):
         super().__init__()
         self.counter = counter
 
-    def __missing__(self, piece: str) -> int:
-        data = piece.encode()
-        total = 1 if data in self.counter.ranks else self.counter.counts(data)[-1]
-        if len(piece) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[piece] = total
-        return total
+    def __missing__(self, piece: str) -> bytes | list[int]:
+        found = self.counter.counts(piece.encode())
+        if len(piece) > CACHED_CHARS:
+            return found
+        if len(self) >= CACHED:
+            self.clear()
+        self[piece] = bytes(found)
+        return self[piece]
 
 
 class PrefixCounter:
@@ -56,7 +55,7 @@ class PrefixCounter:
         self.split_any = regex.compile(self.encoder.pattern).findall
         self.split_latin = re.compile(LATIN_1).findall
         self.special = regex.compile("|".join(map(regex.escape, self.encoder.special))) if self.encoder.special else None
-        self.totals = _Totals(self)
+        self.stored = _Stored(self)
         self._pairs: dict[int, bool] = {}
 
     def split(self, text: str) -> list[str]:
@@ -102,52 +101,67 @@ class PrefixCounter:
         return counts
 
     def total(self, text: str) -> int:
+        """Tokens of a text: the last stored count of each of its pre-tokens."""
+        stored = self.stored
         if self.special is None or not any(s in text for s in self.encoder.special):
-            return sum(map(self.totals.__getitem__, self.split(text)))
+            return sum([stored[p][-1] for p in self.split(text)])
         parts = self.special.split(text)
-        return len(parts) - 1 + sum(sum(map(self.totals.__getitem__, self.split(p))) for p in parts)
+        return len(parts) - 1 + sum([stored[q][-1] for p in parts for q in self.split(p)])
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
 
 class PrefixTable:
-    """Token counts of a text at the ends of its pre-tokens; places inside one are looked up in its own counts."""
+    """Token counts of every prefix of a text, as the library would encode the prefix alone.
+
+    ``at[n]`` is the count of the first n characters: the counts of the pre-tokens before, and the stored count of the part of the
+    last one. Only where the cut changes how the text is split is the end of the prefix split and counted again: inside a
+    special string or a contraction, and after a blank that white space before it would then take in.
+    """
 
     def __init__(self, counter: PrefixCounter, text: str):
         self.counter, self.text = counter, text
+        special = set(counter.encoder.special)
         pieces: list[str] = []
         at = 0
         for found in counter.special.finditer(text) if counter.special else ():
             pieces += [*counter.split(text[at : found.start()]), found[0]]
             at = found.end()
-        self.pieces = pieces + counter.split(text[at:])
-        special = set(counter.encoder.special)
-        self.ends = np.cumsum([0, *map(len, self.pieces)])
-        self.before = np.cumsum([0, *(1 if p in special else counter.totals[p] for p in self.pieces)])
+        pieces += counter.split(text[at:])
+        self.at = np.zeros(len(text) + 1, dtype=np.int64)
+        place, tokens = 0, 0  # where a piece begins, and the tokens of the pieces before it
+        before, start, earlier = "", 0, 0  # the same of the piece before
+        for piece in pieces:
+            size, again = len(piece), range(0)
+            if piece in special:
+                count, again = 1, range(1, size)
+            else:
+                counts = counter.stored[piece]
+                ends = range(1, size + 1) if piece.isascii() else np.cumsum([len(c.encode()) for c in piece]).tolist()
+                self.at[place + 1 : place + size + 1] = [tokens + counts[e] for e in ends]
+                count = counts[-1]
+                if piece[0] == "'":
+                    again = range(1, size)
+                elif before and piece[0].isspace() and before[-1].isspace():
+                    again = range(1, 2)
+            self.at[place + size] = tokens + count
+            for n in again:
+                self.at[place + n] = earlier + counter.total(text[start : place + n])
+            before, start, earlier = piece, place, tokens
+            place, tokens = place + size, tokens + count
 
     @property
     def tokens(self) -> int:
-        return int(self.before[-1])
+        return int(self.at[-1])
 
     def count(self, chars: int) -> int:
-        """Tokens of the text's first ``chars`` characters, as the library would encode them alone."""
-        chars = max(0, min(chars, len(self.text)))
-        first = max(0, bisect.bisect_right(self.ends, chars) - 1)
-        # a cut can change how the white space or contraction just before it is split: one piece is split again
-        first = max(0, first - 1)
-        return int(self.before[first]) + self.counter.total(self.text[int(self.ends[first]) : chars])
+        """Tokens of the text's first ``chars`` characters."""
+        return int(self.at[max(0, min(chars, len(self.text)))])
 
     def truncate(self, budget: int) -> int:
         """The most characters whose encoding has at most ``budget`` tokens."""
-        piece = int(np.searchsorted(self.before, budget, side="right")) - 1
-        best = int(self.ends[piece])
-        # inside the next pieces the counts are looked up at every character
-        stop = int(self.ends[min(len(self.pieces), piece + 2)])
-        for chars in range(best + 1, stop + 1):
-            if self.count(chars) <= budget:
-                best = chars
-        return best
+        return int(np.flatnonzero(self.at <= budget)[-1]) if budget >= 0 else 0
 
 
 def counter(path: str) -> PrefixCounter:
@@ -182,15 +196,10 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The stored form: doc_id, n_bytes, ends (characters at which pre-tokens end) and counts (tokens up to there)."""
+    """The stored form: doc_id, n_bytes and counts: tokens of the text's first 0, 1, 2, ... characters."""
     path = path or vocabulary_path()
-
-    def make(texts: list[str]) -> dict[str, pa.Array]:
-        tables = [counter(path).table(t) for t in texts]
-        kind = pa.list_(pa.int64())
-        return {"ends": pa.array([t.ends.tolist() for t in tables], kind), "counts": pa.array([t.before.tolist() for t in tables], kind)}
-
-    return _map_texts(docs, docs.schema["doc_id"].dataType.simpleString(), "ends array<long>, counts array<long>", make)
+    make = lambda texts: {"counts": pa.array([counter(path).table(t).at.tolist() for t in texts], pa.list_(pa.int64()))}
+    return _map_texts(docs, docs.schema["doc_id"].dataType.simpleString(), "counts array<long>", make)
 
 
 def truncate_documents(docs: DataFrame, budget: int, path: str | None = None) -> DataFrame:

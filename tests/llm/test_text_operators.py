@@ -71,12 +71,27 @@ def test_every_prefix(spark, no_docs):
     assert [table.count(i) for i in range(len(text) + 1)] == sizes
     for budget in range(table.tokens + 2):
         kept = table.truncate(budget)
-        assert sizes[kept] <= budget and (kept == len(text) or sizes[kept + 1] > budget)
+        assert kept == max(i for i, n in enumerate(sizes) if n <= budget)
     assert tokencount.count_tokens(no_docs).count() == 0
     kept = tokencount.truncate_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), 5).collect()[0]["kept"]
     assert kept == table.truncate(5)
     stored = tokencount.prefix_tables(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
-    assert stored["ends"][-1] == len(text) and stored["counts"][-1] == sizes[-1]
+    assert stored["counts"] == sizes
+
+
+def test_stored_counts_of_random_texts():
+    """Every prefix as the library encodes it alone: runs of blanks, contractions, signs, special strings, other alphabets."""
+    chance = np.random.default_rng(12)
+    parts = [" ", "  ", "\n", "\t ", "'", "'s", "'re", "'ll", "it", "hello", "12", "12345", "!", "?!", "é", "日本", "😀", "\u00a0", "<|endoftext|>", "<|", "antidisestablishment", "Ω", "a", "A"]
+    c = tokencount.counter(vocabulary_path())
+    for _ in range(250):
+        text = "".join(chance.choice(parts, int(chance.integers(0, 12))))
+        assert c.table(text).at.tolist() == [len(library(text[:i])) for i in range(len(text) + 1)], repr(text)
+
+
+def test_one_long_pre_token_is_counted_once():
+    table = tokencount.counter(vocabulary_path()).table("x" * 20_000)
+    assert table.tokens == len(library("x" * 20_000)) and table.count(table.truncate(100)) <= 100 < table.count(table.truncate(100) + 1) + 1
 
 
 def test_latin_pattern_splits_alike():
