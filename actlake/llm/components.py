@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -44,7 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     current = written(_ordered(edges), "llm-stars")
     state = _state(current)
     while state[0]:
-        current = written(_step(current), "llm-stars")
+        earlier, current = current, written(_step(current), "llm-stars")
+        discard(earlier)
         before, state = state, _state(current)
         if before == state:
             break

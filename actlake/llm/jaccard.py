@@ -31,10 +31,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, free_name, written
 from .components import connected_components, partial_components
 
 SHINGLE_WORDS = 3
@@ -207,8 +207,8 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     found = []
     for band, k in _bands_of(len(elements), percent):
         if percent < PERCENT and k >= FINE:
-            spare = spare_parts(_BANDS[percent][1][band][0], k, 3)
-            found.append(spared_part_enum(elements, k, band, 3, spare))
+            spare = spare_parts(_BANDS[percent][1][band][0], k, 2)
+            found.append(spared_part_enum(elements, k, band, 2, spare))
         else:
             found.append(part_enum(elements, k, band, 3 if k < FINE else 2))
     return np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
@@ -246,20 +246,45 @@ def odd_sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+
+
+def long_sketch(elements: np.ndarray) -> list[int] | None:
+    """An odd sketch with at least as many bits as elements, for sets with more elements than ``odd_sketch`` has bits."""
+    if len(elements) <= 64 * SKETCH:
+        return None
+    size = 1 << (len(elements) - 1).bit_length()
+    bits = _mixed(elements + _U(99)) & _U(size - 1)
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _apart(a: Column, b: Column) -> Column:
+    """In how many bits two long sketches differ; the longer one is folded to the length of the other."""
+
+    def folded(x: Column, to: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(to), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+
+    differ = F.zip_with(folded(a, b), folded(b, a), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    return F.aggregate(differ, F.lit(0), lambda n, x: n + F.coalesce(x, F.lit(0)))
+
+
 def with_sets(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (128-bit hash of the set) of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, set_a and set_b (128-bit hash of the set), s0, ... (its odd sketch), bits (the long one) of every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, a, b = [], [], []
+            rows, bits = [], []
             for elements in _sets(batch.column("text"), length):
-                sizes.append(len(elements))
-                a.append(int(_mixed(elements).sum(dtype=np.uint64).view(np.int64)))
-                b.append(int(_mixed(elements + _U(12345)).sum(dtype=np.uint64).view(np.int64)))
-            columns = [pa.array(x, pa.int64()) for x in (sizes, a, b)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b"])
+                bits.append(long_sketch(elements))
+                a, b = (int(_mixed(x).sum(dtype=np.uint64).view(np.int64)) for x in (elements, elements + _U(12345)))
+                rows.append((len(elements), a, b, *odd_sketch(elements).tolist()))
+            columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * (3 + SKETCH)
+            columns.append(pa.array(bits, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["doc_id", "n_shingles", "set_a", "set_b", *SKETCHES, "bits"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long")
+    schema = "doc_id long, n_shingles long, set_a long, set_b long, " + ", ".join(f"{s} long" for s in SKETCHES) + ", bits array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def with_signatures(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
@@ -274,15 +299,14 @@ def with_signatures(docs: DataFrame, percent: int = PERCENT, length: int = SHING
 
 
 def element_sets(docs: DataFrame, length: int = SHINGLE_WORDS) -> DataFrame:
-    """node, sketch and elements: the sets of ``docs`` (doc_id, text) as arrays of hashes."""
+    """node and elements: the sets of ``docs`` (doc_id, text) as arrays of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(_sets(batch.column("text"), length))
-            columns = [_long_lists([odd_sketch(elements) for elements in sets]), _long_lists(sets)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *columns], ["node", "sketch", "elements"])
+            sets = _long_lists(list(_sets(batch.column("text"), length)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), sets], ["node", "elements"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, sketch array<long>, elements array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, elements array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -295,55 +319,83 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     return pairs.join(left, "a").join(right, "b").filter(fits).select("a", "b")
 
 
+def _compared(pairs: DataFrame, bits: DataFrame, docs: DataFrame, percent: int, length: int) -> DataFrame:
+    """The pairs (a, b) that link, written. Only texts of pairs that long sketches (node, size, bits) don't rule out are read again."""
+    left, right = (bits.select(F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")) for side in "ab")
+    far = _apart(F.col("bits_a"), F.col("bits_b")) * (100 + percent) > (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    pairs = pairs.join(left, "a", "left").join(right, "b", "left").filter(~F.coalesce(far, F.lit(False))).select("a", "b")
+    pairs = written(pairs, "llm-pairs")
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "llm-wanted")
+    sets = written(element_sets(docs.join(wanted, "doc_id", "left_semi"), length), "llm-elements")
+    links = written(verified(pairs, sets, percent), "llm-links")
+    for table in (pairs, wanted, sets):
+        discard(table)
+    return links
+
+
+def _plausible(size: Column, other_size: Column, bits: list[tuple[Column, Column]], percent: int) -> Column:
+    """Whether two sets may link, by their sizes and odd sketches."""
+    sizes = F.least(size, other_size) * 100 >= F.greatest(size, other_size) * percent
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in bits), F.lit(0))
+    return sizes & (apart * (100 + percent) <= (size + other_size) * (100 - percent))
+
+
 def jaccard_components(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(with_sets(docs, length), "llm-sets")
-    classes = base.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    classes = written(classes, "llm-classes")
-    # the signatures are computed anew where they are used: they take more room than the texts they come from
-    nodes = with_signatures(docs, percent, length).join(classes.select("node"), "node", "left_semi")
-    signed = nodes.select("node", F.explode("sigs").alias("sig"))
-    # most signatures are one set's: only counts are shuffled to find the others
-    shared = signed.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
+    sets = ["set_a", "set_b"]
+    kept = base.filter("n_shingles > 0").groupBy(*sets)
+    classes = written(kept.agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("size"), *[F.max(s).alias(s) for s in SKETCHES], F.max("bits").alias("bits")), "llm-classes")
+    sketched = classes.groupBy("node").agg(F.max("size").alias("size"), *[F.max(s).alias(s) for s in SKETCHES])
+    bits = classes.filter("bits IS NOT NULL").groupBy("node").agg(F.max(F.struct("size", "bits")).alias("s")).select("node", "s.*")
+    # one text of each set has signatures; written, so that the others' ids are broadcast where they are few
+    copies = base.join(classes.select(*sets, "node"), sets).filter("doc_id <> node").select("doc_id").distinct()
+    copies = written(copies.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "llm-copies")
+    single = docs.filter("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
+    # dealt by signature once: the counts read the same shuffle as the rows that they are joined to
+    signed = with_signatures(single, percent, length).select("node", F.explode("sigs").alias("sig")).repartition("sig")
+    shared = signed.groupBy("sig").agg(F.count("*").alias("members"), F.min("node").alias("pivot")).filter("members > 1")
     buckets = written(signed.join(shared, "sig"), "llm-buckets")
 
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    sets = written(element_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), length), "llm-elements")
-
-    least = buckets.groupBy("sig").agg(F.min("node").alias("pivot"))
-    star = buckets.join(least, "sig").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(star, sets, percent), "llm-links")
-    large = buckets.filter("members > 2")
-    sketched = sets.groupBy("node").agg(F.max(F.size("elements")).alias("size"), *[F.max(F.get("sketch", F.lit(i))).alias(f"s{i}") for i in range(SKETCH)])
-    large = written(large.join(sketched, "node"), "llm-large")
+    star = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    left, right = (sketched.select(F.col("node").alias(side), F.col("size").alias(f"{side}_size"), *[F.col(s).alias(f"{side}_{s}") for s in SKETCHES]) for side in "ab")
+    likely = _plausible(F.col("a_size"), F.col("b_size"), [(F.col(f"a_{s}"), F.col(f"b_{s}")) for s in SKETCHES], percent)
+    links = _compared(star.join(left, "a").join(right, "b").filter(likely).select("a", "b"), bits, docs, percent, length)
+    large = written(buckets.filter("members > 2").select("sig", "node", "members").join(sketched, "node"), "llm-large")
+    discard(buckets)
     most = large.agg(F.max("members")).head()[0] or 0
-    apart = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"p_s{i}"))) for i in range(SKETCH)), F.lit(0))
-    plausible = apart * (100 + percent) <= (F.col("size") + F.col("p_size")) * (100 - percent)
+    likely = _plausible(F.col("size"), F.col("p_size"), [(F.col(s), F.col(f"p_{s}")) for s in SKETCHES], percent)
     turn = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30) * F.col("members")
     tried, upto = 0, PIVOTS
     while tried < most:
-        placed = large.join(partial_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = large.drop("component").join(partial_components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        large = written(placed.join(split.select("sig"), "sig", "left_semi"), "llm-open")
+        before, large = large, written(placed.join(split.select("sig"), "sig", "left_semi"), "llm-open")
+        discard(before)
         pivots = large.filter((turn >= tried) & (turn < upto))
-        pivots = pivots.select("sig", F.col("node").alias("p"), F.col("component").alias("of_p"), F.col("size").alias("p_size"), *[F.col(f"s{i}").alias(f"p_s{i}") for i in range(SKETCH)])
-        pairs = large.join(pivots, "sig").filter((F.col("component") != F.col("of_p")) & plausible).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
-        links = written(links.union(verified(pairs, sets, percent)), "llm-links")
-        large = large.drop("component")
+        pivots = pivots.select("sig", F.col("node").alias("p"), F.col("component").alias("of_p"), F.col("size").alias("p_size"), *[F.col(s).alias(f"p_{s}") for s in SKETCHES])
+        pairs = large.join(pivots, "sig").filter((F.col("component") != F.col("of_p")) & likely).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+        found = _compared(pairs, bits, docs, percent, length)
+        before, links = links, written(links.union(found), "llm-links")
+        for table in (before, found):
+            discard(table)
         tried, upto = upto, upto * MORE
+    discard(large)
     found = connected_components(links)
 
-    placed = classes.join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component"))
-    out = base.select("doc_id", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
+    placed = classes.join(found, "node", "left").select(*sets, F.coalesce("component", "node").alias("component"))
+    out = base.select("doc_id", "n_shingles", *sets).join(placed, sets, "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller id; all columns."""
-    found = jaccard_components(docs, percent, length)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number of each row's own: its id where ids are distinct, else one that is written with the row."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    if ids.filter("doc_id IS NULL").isEmpty() and ids.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "llm-rows")
 
 
 def keep_one_row(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_WORDS) -> DataFrame:
@@ -353,9 +405,10 @@ def keep_one_row(docs: DataFrame, percent: int = PERCENT, length: int = SHINGLE_
     different texts are compared as any others. The row of the smallest doc_id stays, one with a null id only where no
     row has an id. Rows without words are each a component of their own, repeated or not.
     """
-    # written, so that a row keeps its number
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "llm-rows")
-    found = jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), percent, length)
-    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(rows.select("_row", "doc_id"), "_row")
-    kept = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row"))).alias("first"))
-    return rows.join(kept.select(F.col("first._row").alias("_row")), "_row", "left_semi").drop("_row")
+    number = free_name(docs, "row")
+    rows = _numbered(docs, number)
+    found = jaccard_components(rows.select(F.col(number).alias("doc_id"), "text"), percent, length)
+    named = found.select(F.col("doc_id").alias(number), "component_id").join(rows.select(number, F.col("doc_id").cast("long").alias("id")), number)
+    first = F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col(number).alias("number"))).alias("first")
+    kept = named.groupBy("component_id").agg(first).select(F.col("first.number").alias(number))
+    return rows.join(kept, number, "left_semi").select(*docs.columns)

@@ -174,15 +174,16 @@ def shards_of(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def whole_documents(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, shards: int = 64, block_words: int = 4096
+    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, shards: int = 64, block_words: int = 4096, partition_words: int = 1 << 20
 ) -> DataFrame:
     """Mix whole documents: each row of ``docs`` as often as the mix takes it (0 to ``repeats`` times), same columns.
 
     A document is taken once for each pass that reaches its first word before the quota is met, so a source is over
     its quota by less than one document. The line is cut into blocks as in ``mix``; a block's documents are those whose
     first words it holds, in each pass by their places in that pass. The blocks are dealt to the shards by the splitting
-    tree. Each shard is one partition, its documents ordered by a hash. Documents without words are kept once, in a shard
-    by their hash.
+    tree. A shard's documents are ordered by a hash; each shard is as many partitions, of consecutive ranges of that hash,
+    as hold about ``partition_words`` words each. Documents without words are kept once, in a shard
+    by their hash. Rows of equal id and size stand in order of a hash of their texts; which of several equal rows is taken does not matter.
     """
     rows = sized(docs.select("doc_id", "source", "text")).drop("text")
     key = ["no_source", "source_key"]
@@ -192,8 +193,10 @@ def whole_documents(
     # written, so that their sizes are known: small ones are then broadcast and texts meet them without a shuffle
     targets = written(dealt_targets(rows, weights, share, repeats, shards, block_words), "llm-mix-targets")
     parts = written(parts.join(targets, key), "llm-mix-parts")
-    packed = sized(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")).drop("text", "source")
-    inside = Window.partitionBy(*key, "part").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    total = targets.agg(F.sum("source_size")).head()[0] or 0
+    pieces = int(total * share) // (shards * partition_words) + 1
+    packed = sized(docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")).withColumn("mark", F.xxhash64("text")).drop("text", "source")
+    inside = Window.partitionBy(*key, "part").orderBy("place", "doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     line = packed.withColumn("at", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(parts, [*key, "part"])
     line = line.withColumn("at", F.col("at") + F.col("base"))
 
@@ -208,4 +211,7 @@ def whole_documents(
     empty = F.array(F.struct(F.pmod(turn, F.lit(shards)).cast("int").alias("shard"), turn.alias("turn")))
     deals = F.when(F.col("size") > 0, F.concat(*[of_pass(n) for n in range(repeats)])).otherwise(empty)
     out = line.select("row", F.explode(deals).alias("deal"))
-    return out.repartitionById(shards, F.col("deal.shard")).sortWithinPartitions("deal.turn").select("row.*")
+    # which of the shard's equal ranges of 2 ** 32 high halves the turn falls in
+    piece = F.floor((F.shiftright("deal.turn", 32) + F.lit(1 << 31)) * pieces / float(1 << 32)).cast("int")
+    out = out.repartitionById(shards * pieces, F.col("deal.shard") * pieces + piece)
+    return out.sortWithinPartitions("deal.turn").select("row.*")

@@ -89,6 +89,31 @@ def test_signatures_are_shared_by_all_linked_pairs():
             assert np.intersect1d(jaccard.signatures(a), jaccard.signatures(b)).size, size
             differ = np.unpackbits((jaccard.odd_sketch(a) ^ jaccard.odd_sketch(b)).view(np.uint8)).sum()
             assert differ <= len(a) + len(b) - 2 * common
+            assert long_apart(a, b) <= len(a) + len(b) - 2 * common
+            assert len(a) < 2000 or long_apart(a, chance.integers(0, 2**64, len(a), dtype=np.uint64)) > len(a) / 2
+
+
+def long_apart(a, b):
+    """In how many bits long sketches differ, the longer one folded."""
+    x, y = (np.array(s, dtype=np.int64) if s else None for s in (jaccard.long_sketch(a), jaccard.long_sketch(b)))
+    if x is None or y is None:
+        return 0
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+
+
+def test_long_sketches_in_sql(spark):
+    chance = np.random.default_rng(2)
+    pairs = []
+    for size in (300, 513, 1000, 1030, 4000, 5000):
+        a = np.unique(chance.integers(0, 2**64, size, dtype=np.uint64))
+        pairs.append((a, np.union1d(a[size // 9 :], chance.integers(0, 2**64, size // 10, dtype=np.uint64))))
+    rows = [(jaccard.long_sketch(a), jaccard.long_sketch(b)) for a, b in pairs]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select(jaccard._apart(F.col("a"), F.col("b"))).collect()
+    assert [r[0] or 0 for r in got] == [long_apart(a, b) for a, b in pairs]
 
 
 def test_jaccard_edges(spark, edge_docs, no_docs):
@@ -98,10 +123,11 @@ def test_jaccard_edges(spark, edge_docs, no_docs):
     assert by_id[0][1:] == (0, 0) and by_id[2][1:] == (0, 2) and by_id[3][1:] == (1, 3)
     assert by_id[6][2] == by_id[8][2] == by_id[10][2] == 6  # equal but for the case of letters
     assert [r for r in got if r[0] is None] == [(None, 0, None), (None, 1, None)]
-    kept = jaccard.keep_one(edge_docs)
-    assert kept.columns == edge_docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == {None: 2, **{i: 1 for i in (0, 1, 2, 3, 4, 5, 7, 9)}, 6: 3}
-    assert jaccard.jaccard_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
+    assert jaccard.jaccard_components(no_docs).count() == 0
+    clashing = edge_docs.selectExpr("*", "1 AS _row", "'x' AS component_id", "2 AS sig", "3 AS _gone", "4 AS `first`")
+    kept = jaccard.keep_one_row(clashing)
+    assert kept.columns == clashing.columns and kept.filter("_row = 1 AND component_id = 'x'").count() == kept.count()
+    assert Counter(r["doc_id"] for r in kept.collect()) == {None: 2, **{i: 1 for i in (0, 1, 2, 3, 4, 5, 6, 7, 9)}}
 
 
 def test_connected_components(spark):
