@@ -242,16 +242,26 @@ def check_articles(
     metadata: tuple[str, ...] = ("act_type", "act_number", "act_year"),
     enabled: tuple[str, ...] = tuple(r for r, _ in ARTICLE_RULES),
     chunk: int = CHUNK,
+    header: str | None = None,
 ) -> DataFrame:
-    """Rule results per file over article rows. Column presence is read from the schema.
+    """Rule results per file over article rows.
+
+    Which columns a file has is read from the schema, or from ``header``, an array of names with each row where
+    files differ.
 
     All row rules share one aggregate with map-side combine. Only the order rule needs
     neighbours, and takes them from chunks of a file.
     """
     columns = set(articles.columns)
-    is_article = F.col(kind) == "articol" if kind in columns else F.lit(True)
-    has = lambda c: F.lit(c in columns)
-    missing = [c for c in (kind, text, issue, explanation) if c not in columns]
+
+    def has(name: str) -> Column:
+        """Whether the file of a row, or of a group, has a column."""
+        if name not in columns or header is None:
+            return F.lit(name in columns)
+        return F.coalesce(F.array_contains(header, name), F.lit(False))
+
+    is_article = F.when(has(kind), F.col(kind) == "articol").otherwise(True) if kind in columns else F.lit(True)
+    required = (kind, text, issue, explanation)
 
     aggregates = [F.count_if(is_article).alias("n")]
     aggregates.append((F.count_if(is_article & (F.coalesce(F.col(text), F.lit("")) == "")) if text in columns else F.lit(0)).alias("n_empty"))
@@ -262,22 +272,27 @@ def check_articles(
     for c in hierarchy:
         if c in columns:
             aggregates.append(F.count(c).alias(f"_level_{c}"))
+    if header is not None:
+        aggregates.append(F.max(header).alias(header))
     per_file = articles.groupBy(file).agg(*aggregates)
 
     if number in columns and kind in columns:
-        breaks = order_violations(articles.where(is_article), group=file, order=order, number=number, chunk=chunk)
+        checked = articles.where(is_article & has(number) & has(kind))
+        breaks = order_violations(checked, group=file, order=order, number=number, chunk=chunk)
         breaks = breaks.groupBy(file).agg(F.count("*").alias("n_breaks"))
         per_file = per_file.join(breaks, file, "left").na.fill({"n_breaks": 0})
-        sequential = outcome(F.col("n_breaks") == 0, _found(F.col("n_breaks")))
+        unchecked = ~(has(number) & has(kind))
+        sequential = outcome(unchecked | (F.col("n_breaks") == 0), F.when(unchecked, "columns missing, not checked").otherwise(_found(F.col("n_breaks"))))
     else:
         sequential = outcome(F.lit(True), "columns missing, not checked")
 
+    missing = F.concat_ws(", ", *[F.when(~has(c), c) for c in required])
     mixed = [c for c in metadata if c in columns]
     names = F.concat_ws(", ", *[F.when(F.col(f"_mixed_{c}"), c) for c in mixed]) if mixed else F.lit("")
     levels = [c for c in hierarchy if c in columns]
     filled = F.concat_ws(", ", *[F.when(F.col(f"_level_{c}") > 0, c) for c in levels]) if levels else F.lit("")
     results = {
-        "has_required_columns": outcome(F.lit(not missing), "missing: " + ", ".join(missing)),
+        "has_required_columns": outcome(missing == "", F.concat(F.lit("missing: "), missing)),
         "no_empty_articles": outcome(has(text) & (F.col("n_empty") == 0), _found(F.col("n_empty"))),
         "articles_have_numbers": outcome(has(number) & (F.col("n_unnumbered") == 0), _found(F.col("n_unnumbered"))),
         "issue_column_exists": outcome(has(issue), "column " + issue),

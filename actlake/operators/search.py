@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import highlight, relevance
@@ -95,6 +95,35 @@ def page(df: DataFrame, *keys: str, skip: int = 0, limit: int = 50, max_limit: i
     return ordered(df, *keys).offset(skip).limit(limit)
 
 
+def _beyond(key: str, last) -> Column:
+    """Rows that ``ordered`` puts after those whose value of ``key`` is ``last``."""
+    name = key.lstrip("-<")
+    column = F.col(name)
+    if key[0] in "-<":  # nulls come first
+        if last is None:
+            return column.isNotNull()
+        return (column < F.lit(last)) if key.startswith("-") else (column > F.lit(last))
+    return F.lit(False) if last is None else (column > F.lit(last)) | column.isNull()
+
+
+def page_after(df: DataFrame, *keys: str, after: Row | None = None, limit: int = 50, max_limit: int = 500) -> DataFrame:
+    """The page that follows the row ``after`` (the first one without it), by values of the sort keys instead of an offset.
+
+    The keys, as ``ordered`` takes them, must tell all rows apart. Nothing before the page is gathered
+    or counted, so the last page costs what the first one does, and rows that come in between shift nothing.
+    """
+    if not 1 <= limit <= max_limit:
+        raise ValueError(f"limit must be from 1 to {max_limit}")
+    if after is not None:
+        follows, same = F.lit(False), F.lit(True)
+        for key in keys:
+            last = after[key.lstrip("-<")]
+            follows = follows | (same & F.coalesce(_beyond(key, last), F.lit(False)))
+            same = same & F.col(key.lstrip("-<")).eqNullSafe(F.lit(last))
+        df = df.where(follows)
+    return ordered(df, *keys).limit(limit)
+
+
 def page_info(df: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:
     """(total, page, n_pages) of the same selection, as one row."""
     return df.agg(F.count("*").alias("total")).select(

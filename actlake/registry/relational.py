@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import (
@@ -648,3 +650,30 @@ def retain_latest(spark, sf_dir):
 )
 def storage_stats(spark, sf_dir):
     return tables.storage_stats(_files(spark, sf_dir))
+
+
+PAGES = 8
+
+
+@REGISTRY.query(
+    "list_pages_by_key",
+    with_ctes(
+        ORDER_ACTS_SQL,
+        body=f"""SELECT act_id, CAST((row_number() OVER (ORDER BY issuer ASC NULLS LAST, act_date DESC NULLS FIRST, act_id) - 1) // size AS INTEGER) AS page
+FROM acts, (SELECT CAST(ceil(count(*) / {PAGES}.0) AS BIGINT) AS size FROM acts)""",
+    ),
+)
+def list_pages_by_key(spark, sf_dir):
+    """All pages of a list in mixed order, each found by the last row of the one before; one row a page reaches the driver."""
+    keys = ("issuer", "-act_date", "act_id")
+    acts = order_acts(spark, sf_dir).select("act_id", "issuer", "act_date")
+    size = -(-acts.count() // PAGES)
+    after, pages = None, []
+    for number in range(PAGES):
+        page = search.page_after(acts, *keys, after=after, limit=size, max_limit=size)
+        pages.append(page.select("act_id", F.lit(number).alias("page")))
+        last = search.ordered(page, *keys).tail(1)
+        if not last:
+            break
+        after = last[0]
+    return functools.reduce(DataFrame.unionByName, pages)

@@ -6,6 +6,7 @@ from actlake.operators import stats, tables
 from actlake.plans.handoff import parse_issue_responses, register_issues
 from actlake.plans.views import acts_with_categories, export_package, pending_ai_processing
 from actlake.session import ensure_checkpoint_dir
+from actlake.operators.search import ordered, page_after
 from actlake.streaming.jobs import first_of_each
 
 TS = datetime.datetime(2025, 1, 1)
@@ -150,3 +151,15 @@ def test_table_audit(spark):
     spark.range(1).createOrReplaceTempView("acts_for_audit")
     rows = {r.table_name: r.present for r in stats.table_audit(spark, ("acts_for_audit", "missing_table")).collect()}
     assert rows == {"acts_for_audit": True, "missing_table": False}
+
+
+def test_pages_by_key(spark):
+    rows = [(i, (None, "a", "b")[i % 3], None if i % 4 == 0 else i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, name string, rank int")
+    for keys in (("name", "-rank", "id"), ("<name", "rank", "-id"), ("-name", "<rank", "id")):
+        want = [r.id for r in ordered(df, *keys).collect()]
+        got, after = [], None
+        while page := page_after(df, *keys, after=after, limit=7).collect():
+            got += [r.id for r in page]
+            after = page[-1]
+        assert got == want
