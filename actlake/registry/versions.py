@@ -490,8 +490,8 @@ def _remote(spark, sf_dir):
     return held.unionByName(new)
 
 
-_REMOTE_SQL = """feed AS (SELECT remote_id, CASE WHEN category_id % 4 = 0 THEN upper(name) ELSE name END AS name, description, color FROM categories WHERE category_id % 7 > 0
-  UNION ALL SELECT remote_id + 900, 'new ' || name, description, color FROM categories WHERE category_id <= 3)"""
+_REMOTE_SQL = """feed AS (SELECT remote_id, CASE WHEN category_id % 4 = 0 THEN upper(name) ELSE name END AS name, slug, description, color, icon FROM categories WHERE category_id % 7 > 0
+  UNION ALL SELECT remote_id + 900, 'new ' || name, slug, description, color, icon FROM categories WHERE category_id <= 3)"""
 
 
 @REGISTRY.query(
@@ -499,31 +499,56 @@ _REMOTE_SQL = """feed AS (SELECT remote_id, CASE WHEN category_id % 4 = 0 THEN u
     with_ctes(
         CATEGORIES_SQL,
         _REMOTE_SQL,
-        body="""SELECT coalesce(l.remote_id, r.remote_id) AS remote_id, CASE WHEN r.remote_id IS NOT NULL THEN r.name ELSE l.name END AS name,
-  CASE WHEN r.remote_id IS NOT NULL THEN true ELSE false END AS is_active,
+        body="""SELECT coalesce(l.remote_id, r.remote_id) AS remote_id, coalesce(r.name, l.name) AS name, coalesce(r.slug, l.slug) AS slug, coalesce(r.description, l.description) AS description,
+  coalesce(r.color, l.color) AS color, coalesce(r.icon, l.icon) AS icon, l.category_id AS known_id, coalesce(l.sort_order, 0) AS sort_order, r.remote_id IS NOT NULL AS is_active,
   CASE WHEN l.remote_id IS NULL THEN 'created' WHEN r.remote_id IS NULL THEN CASE WHEN l.is_active THEN 'deactivated' ELSE 'kept' END
        WHEN l.name <> r.name OR NOT l.is_active THEN 'updated' ELSE 'touched' END AS action
 FROM categories l FULL JOIN feed r ON l.remote_id = r.remote_id""",
     ),
 )
 def sync_categories(spark, sf_dir):
-    return tables.sync_categories(categories(spark, sf_dir), _remote(spark, sf_dir), ts=TS).select("remote_id", "name", "is_active", "action")
+    """All columns of the local table after a sync; ids of new categories are made from their remote ids."""
+    rows = tables.sync_categories(categories(spark, sf_dir), _remote(spark, sf_dir), ts=TS)
+    known = F.when(F.col("action") != "created", F.col("category_id")).alias("known_id")
+    return rows.select("remote_id", "name", "slug", "description", "color", "icon", known, "sort_order", "is_active", "action")
+
+
+_WANTED_SQL = """wanted AS (SELECT o_orderkey AS act_id, unnest([o_orderkey % 30 + 101, o_custkey % 30 + 101, 9999]) AS remote_id FROM orders)"""
+
+
+def _wanted(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("act_id"),
+        F.array(F.col("o_orderkey") % 30 + 101, F.col("o_custkey") % 30 + 101, F.lit(9999).cast("long")).alias("remote_ids"),
+    )
 
 
 @REGISTRY.query(
     "sync_act_categories",
     with_ctes(
         CATEGORIES_SQL,
-        body="""SELECT o_orderkey AS act_id, count(c.category_id) AS n_matched FROM
- (SELECT o_orderkey, unnest([o_orderkey % 30 + 101, o_custkey % 30 + 101, 9999]) AS remote_id FROM orders) r LEFT JOIN categories c ON r.remote_id = c.remote_id AND c.is_active GROUP BY 1""",
+        _WANTED_SQL,
+        body="SELECT w.act_id, count(c.category_id) AS n_matched FROM wanted w LEFT JOIN categories c ON w.remote_id = c.remote_id AND c.is_active GROUP BY 1",
     ),
 )
 def sync_act_categories(spark, sf_dir):
-    wanted = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("act_id"),
-        F.array(F.col("o_orderkey") % 30 + 101, F.col("o_custkey") % 30 + 101, F.lit(9999).cast("long")).alias("remote_ids"),
-    )
-    return tables.sync_act_categories(act_categories(spark, sf_dir), wanted, categories(spark, sf_dir))[1]
+    return tables.sync_act_categories(act_categories(spark, sf_dir), _wanted(spark, sf_dir), categories(spark, sf_dir))[1]
+
+
+@REGISTRY.query(
+    "sync_act_category_pairs",
+    with_ctes(
+        CATEGORIES_SQL,
+        ACT_CATEGORIES_SQL,
+        _WANTED_SQL,
+        body="""SELECT act_id, category_id FROM act_categories
+UNION SELECT w.act_id, c.category_id FROM wanted w JOIN categories c ON w.remote_id = c.remote_id AND c.is_active""",
+    ),
+)
+def sync_act_category_pairs(spark, sf_dir):
+    """The pairs after the sync: those that were there and those that the remote ids add."""
+    pairs, _ = tables.sync_act_categories(act_categories(spark, sf_dir), _wanted(spark, sf_dir), categories(spark, sf_dir))
+    return pairs.select("act_id", "category_id")
 
 
 # ---------------------------------------------------------------- streams

@@ -123,13 +123,13 @@ def acts_with_categories(spark, sf_dir):
         ORDER_ACTS_SQL,
         ACT_CATEGORIES_SQL,
         CATEGORIES_SQL,
-        body="""SELECT a.act_id, a.act_type || ' ' || a.act_number || '/' || CAST(a.act_year AS VARCHAR) AS label, CAST(count(c.name) AS INTEGER) AS n_categories
+        body="""SELECT a.act_id, a.act_type || ' ' || a.act_number || '/' || CAST(a.act_year AS VARCHAR) AS label, coalesce(string_agg(c.name, '; ' ORDER BY c.sort_order, c.name), '') AS categories
 FROM acts a LEFT JOIN act_categories ac ON a.act_id = ac.act_id LEFT JOIN categories c ON ac.category_id = c.category_id AND c.is_active GROUP BY ALL""",
     ),
 )
 def category_names(spark, sf_dir):
     rows = views.category_names(order_acts(spark, sf_dir), act_categories(spark, sf_dir), categories(spark, sf_dir))
-    return rows.select("act_id", "label", F.size("categories").alias("n_categories"))
+    return rows.select("act_id", "label", F.array_join("categories", "; ").alias("categories"))
 
 
 PART_BYTES = 3_000  # small, so that the tables' acts have several parts
@@ -385,6 +385,53 @@ def ai_worklist(spark, sf_dir):
     return rows.select("article_id", "ai_error", "n_issues", "has_summary")
 
 
+def _worklist_sql(where: str, order: str) -> str:
+    return with_ctes(
+        DOC_ACTS_SQL,
+        DOC_LINES_SQL,
+        ACT_ISSUES_SQL,
+        f"page AS (SELECT * FROM acts WHERE {where} ORDER BY {order} LIMIT 50)",
+        body="""SELECT p.act_id, p.export_status, (SELECT count(DISTINCT article_id) FROM articles r WHERE r.act_id = p.act_id) AS n_articles,
+  (SELECT count(DISTINCT issue_id) FROM act_issues i WHERE i.act_id = p.act_id) AS n_issues FROM page p""",
+    )
+
+
+def _dated_acts(spark, sf_dir):
+    """Acts with the time of their export, which some of the exported ones lack."""
+    at = F.lit("2024-05-01 00:00:00").cast("timestamp") + F.make_interval(hours=(F.col("act_id") % 40).cast("int"))
+    return doc_acts(spark, sf_dir).withColumn("export_at", F.when(F.col("act_id") % 6 > 0, at))
+
+
+@REGISTRY.query(
+    "export_worklist_completed",
+    _worklist_sql("export_status IN ('exported', 'completed')", "CASE WHEN act_id % 6 > 0 THEN act_id % 40 END DESC NULLS FIRST, act_id DESC"),
+)
+def export_worklist_completed(spark, sf_dir):
+    rows = views.export_worklist(_dated_acts(spark, sf_dir), doc_lines(spark, sf_dir), act_issues(spark, sf_dir), "completed")
+    return rows.select("act_id", "export_status", "n_articles", "n_issues")
+
+
+@REGISTRY.query("export_worklist_errors", _worklist_sql("export_status = 'error'", "act_id DESC"))
+def export_worklist_errors(spark, sf_dir):
+    rows = views.export_worklist(doc_acts(spark, sf_dir), doc_lines(spark, sf_dir), act_issues(spark, sf_dir), "error")
+    return rows.select("act_id", "export_status", "n_articles", "n_issues")
+
+
+@REGISTRY.query(
+    "ai_worklist_pending",
+    with_ctes(
+        DOC_LINES_SQL,
+        ARTICLE_ISSUES_SQL,
+        """page AS (SELECT * FROM articles WHERE ai_status = 'pending' ORDER BY article_id DESC LIMIT 50)""",
+        body="""SELECT p.article_id, p.ai_error, (SELECT count(DISTINCT issue_id) FROM article_issues i WHERE i.article_id = p.article_id) AS n_issues,
+  coalesce(p.summary, '') <> '' AS has_summary FROM page p""",
+    ),
+)
+def ai_worklist_pending(spark, sf_dir):
+    rows = views.ai_worklist(doc_lines(spark, sf_dir), article_issues(spark, sf_dir), "pending")
+    return rows.select("article_id", "ai_error", "n_issues", "has_summary")
+
+
 # ---------------------------------------------------------------- hand-off
 
 
