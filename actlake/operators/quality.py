@@ -54,6 +54,18 @@ ARTICLES = "## ARTICOLE"
 REQUIRED_FIELDS = ("tip_act", "data_act", "total_articole")
 CONTEXT = r"\*\*Context ierarhic:\*\*"
 HEADING = r"### Articolul \d+"
+PARAGRAPH = r"\*\*\(\d+\)\*\*"
+LETTER = r"\*\*[a-z]\)\*\*"
+FLAT_LETTER = r"^\*\*[a-z]\)\*\*"
+UNFORMATTED = r"(?<!\*\*)\(\d+\)(?!\*\*)"
+REFERENCE = r"(?U)\b(alin\.|art\.|punct|pct\.)\s*\(\d+\)"
+BOLD_REFERENCES = (
+    r"\*\*lit\.\s*[a-z]\)\*\*",
+    r"\*\*alin\.\s*\(\d+\)\*\*",
+    r"\*\*art\.\s*\d+\*\*",
+    r"\*\*pct\.\s*\d+\*\*",
+)
+_LINK = r"\[([^\]]+)\]\(#([^\)]+)\)"
 
 
 def _count_text(c: Column, literal: str) -> Column:
@@ -76,34 +88,23 @@ def has_articles(c: Column) -> Column:
 
 
 def paragraphs_formatted(c: Column) -> Column:
-    return outcome(F.lit(True), _found(F.regexp_count(c, F.lit(r"\*\*\(\d+\)\*\*"))))
+    return outcome(F.lit(True), _found(F.regexp_count(c, F.lit(PARAGRAPH))))
 
 
 def no_unformatted_paragraphs(c: Column) -> Column:
-    bad = F.filter(
-        _lines(c),
-        lambda x: x.rlike(r"(?<!\*\*)\(\d+\)(?!\*\*)") & ~x.rlike(r"(?U)\b(alin\.|art\.|punct|pct\.)\s*\(\d+\)"),
-    )
+    bad = F.filter(_lines(c), lambda x: x.rlike(UNFORMATTED) & ~x.rlike(REFERENCE))
     return let(bad, lambda b: outcome(F.size(b) == 0, _found(F.size(b), _examples(b))))
 
 
 def letters_formatted(c: Column) -> Column:
-    return outcome(F.lit(True), _found(F.regexp_count(c, F.lit(r"\*\*[a-z]\)\*\*"))))
+    return outcome(F.lit(True), _found(F.regexp_count(c, F.lit(LETTER))))
 
 
 def letters_indented(c: Column) -> Column:
-    bad = F.filter(_lines(c), lambda x: x.rlike(r"^\*\*[a-z]\)\*\*"))
+    bad = F.filter(_lines(c), lambda x: x.rlike(FLAT_LETTER))
     return let(bad, lambda b: outcome(F.size(b) == 0, _found(F.size(b), _examples(b, width=60))))
 
 
-BOLD_REFERENCES = (
-    r"\*\*lit\.\s*[a-z]\)\*\*",
-    r"\*\*alin\.\s*\(\d+\)\*\*",
-    r"\*\*art\.\s*\d+\*\*",
-    r"\*\*pct\.\s*\d+\*\*",
-)
-
-
 def references_not_bold(c: Column) -> Column:
     hits = F.concat(*[F.regexp_extract_all(c, F.lit(p), F.lit(0)) for p in BOLD_REFERENCES])
     return let(hits, lambda h: outcome(F.size(h) == 0, _found(F.size(h), _examples(h, n=5))))
@@ -116,9 +117,6 @@ def index_section(c: Column) -> Column:
     return F.get(F.split(after, r"(?m)^##(?!#)"), F.lit(0))
 
 
-_LINK = r"\[([^\]]+)\]\(#([^\)]+)\)"
-
-
 def index_links(c: Column) -> Column:
     """Array of struct(text, anchor) of the index section."""
     section = index_section(c)

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import quality as q
+from ..operators.quality_parts import check_parts, cut_parts
 from ..operators.render import assemble, render_rows
+from ..session import work_path
+from ..sources.readers import read_markdown_parts
+from ..sources.sinks import write_markdown
 from . import Registry
 from .bind import DOC_LINES_SQL, ISSUES_SQL, LINKS_SQL, doc_lines, documents, issues, links, strip_sql, table, with_ctes
 
@@ -144,6 +148,21 @@ def quality_rule_details(spark, sf_dir):
     return _results(spark, sf_dir).select("doc_id", "rule", "detail")
 
 
+PART_CHARS = 4096
+
+
+@REGISTRY.query("rendered_roundtrip", with_ctes(DOCS_SQL, DETAILS_SQL, body="SELECT doc_id, rule, severity, coalesce(passed, false) AS passed, detail FROM details"))
+def rendered_roundtrip(spark, sf_dir):
+    """Documents written as Markdown in parts of whole lines, read again part by part and judged without being gathered."""
+    path = work_path(spark, "roundtrip")
+    parts = cut_parts(_docs(spark, sf_dir), file="doc_id", part_chars=PART_CHARS)
+    # a written block ends with a line break of its own; the frame's last line gets its end here
+    blocks = parts.select(F.col("doc_id").alias("file_key"), "part", F.regexp_replace("content", r"\n\z", "").alias("block"))
+    write_markdown(blocks, path, part="part")
+    results = check_parts(read_markdown_parts(spark, path), file="stem")
+    return results.select(F.col("stem").cast("long").alias("doc_id"), "rule", "severity", "passed", "detail")
+
+
 _REPORT_SQL = """report AS (SELECT doc_id, count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, count(*) FILTER (WHERE NOT passed AND severity = 'error') AS n_errors,
   count(*) FILTER (WHERE NOT passed AND severity = 'warning') AS n_warnings, count(*) FILTER (WHERE NOT passed AND severity = 'info') AS n_info,
   round(count(*) FILTER (WHERE passed) * 100.0::DOUBLE / count(*), 1) AS success_percent FROM results GROUP BY doc_id)"""

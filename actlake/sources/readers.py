@@ -173,6 +173,19 @@ def read_markdown_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return parts.groupBy("stem").agg(F.array_join(F.transform(ordered, lambda p: p["value"]), "").alias("content"))
 
 
+def read_markdown_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(stem, part, content) of documents that ``write_markdown`` wrote by part; no document is gathered.
+
+    Every block ends with a line break, as written. The files of a part must be one (one block a part, or parts that
+    fit one file), since a part is read as its file stands.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    whole = F.url_decode("_metadata.file_path")
+    pattern = r"/file_key=([^/]*)/part=(\d+)/[^/]*$"
+    named = files.select(F.regexp_extract(whole, pattern, 1).alias("stem"), F.regexp_extract(whole, pattern, 2).alias("part"), F.col("value").alias("content"))
+    return named.where("part <> ''").withColumn("part", F.col("part").cast("long"))
+
+
 def attach_sidecar(rows: DataFrame, sidecars: DataFrame, *, file: str = "file") -> DataFrame:
     """Add the content of the Markdown file with the same stem; NULL where it is missing."""
     keyed = rows.withColumn("stem", F.regexp_replace(file, r"\.csv$", ""))

@@ -1,7 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from actlake.operators import quality as q
+from actlake.operators.quality_parts import check_parts, cut_parts
+from actlake.sources.readers import read_markdown_parts
+from actlake.sources.sinks import write_markdown
 
 GOOD = (
     "---\ntip_act: LEGE\ndata_act: 1\ntotal_articole: 1\n---\n\n## INDEX\n\n### Titlul I\n- [Articolul 1](#articolul-1)\n\n"
@@ -84,3 +89,52 @@ def test_pairs_and_summary(spark):
     assert got == {("b", "pair"): 1, ("a", "csv"): 8, ("a", "markdown"): 14}
     summary = q.quality_summary(results.where("file_type <> 'pair'").withColumn("file", F.concat("stem", "file_type"))).first()
     assert (summary.n_files, summary.n_checks, summary.n_files_with_errors) == (2, 22, 1)
+
+
+# what rules look for, so that random texts hold much of it across lines
+TOKENS = (
+    "[", "]", "](#", "](#a-1)", "](#A_1)", ")", "**lit. ", "a)** ", "**alin.", "(5)** ", "(7) ", "alin. (3)", "\n", "\n", "\n\n", "\n\n\n", "   ",
+    "## INDEX", "## ", "### t", "\n### t\n", "\n## ARTICOLE\n", "\n---\n", "tip_act: 1\n", "data_act:", "total_articole:", "\n**b)** x", "[t](#t)\n", "x",
+    "### Articolul 1\n", "**Context ierarhic:**",
+)
+
+
+def _made(n, seed):
+    chance = random.Random(seed)
+    heads = ("", "---\n", "---\ntip_act: x\ndata_act:1\ntotal_articole: 3\n---\n", "---\ntip_act: x\n\n## INDEX\n")
+    return [chance.choice(heads) + "".join(chance.choices(TOKENS, k=chance.randrange(40))) for _ in range(n)]
+
+
+def _rows(results):
+    return sorted((r.file, r.rule, r.severity, r.passed, r.detail) for r in results.collect())
+
+
+@pytest.mark.parametrize("part_chars", [0, 12, 60])
+def test_parts_are_judged_as_the_whole(spark, part_chars):
+    texts = [GOOD, *BAD.values(), "", "\n", "\n\n\n", *_made(400, part_chars)]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "file string, content string")
+    parts = cut_parts(docs, part_chars=part_chars)
+    joined = parts.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p"))
+    assert {r.file: "".join(p.content for p in r.p) for r in joined.collect()} == {str(i): t for i, t in enumerate(texts)}
+    want, got = _rows(q.check_documents(docs)), _rows(check_parts(parts))
+    assert len(want) == len(texts) * len(q.DOCUMENT_RULES)
+    assert [(texts[int(w[0])], w, g) for w, g in zip(want, got, strict=True) if w != g][:3] == []
+
+
+def test_parts_with_nulls_and_without_rows(spark):
+    rows = [("a", 1, "---\n"), ("a", 2, None), ("a", 3, "---\n## INDEX\n"), ("b", 1, None)]
+    parts = spark.createDataFrame(rows, "file string, part int, content string")
+    whole = spark.createDataFrame([("a", "---\n---\n## INDEX\n"), ("b", "")], "file string, content string")
+    assert _rows(check_parts(parts)) == _rows(q.check_documents(whole))
+    assert check_parts(parts.where("part > 9")).count() == 0
+
+
+def test_parts_written_and_read(spark, tmp_path):
+    texts = {"a": "one\ntwo\n\nthree\n", "b": "\n\n", "c d": GOOD}
+    docs = spark.createDataFrame(list(texts.items()), "file string, content string")
+    parts = cut_parts(docs, part_chars=8).withColumn("block", F.regexp_replace("content", r"\n\z", ""))
+    write_markdown(parts.withColumnRenamed("file", "file_key"), str(tmp_path), part="part")
+    got = {}
+    for r in sorted(read_markdown_parts(spark, str(tmp_path)).collect(), key=lambda r: r.part):
+        got[r.stem] = got.get(r.stem, "") + r.content
+    assert got == texts
