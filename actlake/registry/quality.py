@@ -148,7 +148,7 @@ def quality_rule_details(spark, sf_dir):
     return _results(spark, sf_dir).select("doc_id", "rule", "detail")
 
 
-PART_CHARS = 4096
+PART_CHARS = 16_384
 
 
 @REGISTRY.query("rendered_roundtrip", with_ctes(DOCS_SQL, DETAILS_SQL, body="SELECT doc_id, rule, severity, coalesce(passed, false) AS passed, detail FROM details"))
