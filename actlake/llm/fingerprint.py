@@ -1,16 +1,18 @@
-"""Document fingerprints: a Merkle tree over pieces of paragraphs, paragraphs and sections.
+"""Document fingerprints: a Merkle tree with leaves of two words, over paragraphs and sections.
 
 The tree of a text, all in SQL functions:
 
-* sections end before a blank line, paragraphs after a line break; no character belongs to none;
-* a paragraph's hash is the SHA-256 of its text, a section's that of its paragraphs' hashes, the root that of the
-  sections' hashes. Roots are equal if and only if the texts are (up to SHA-256 collisions);
-* below the paragraphs lie pieces of at most 64 characters that end at a sentence end, with 64-bit hashes. They only
-  serve to measure likeness, also where a text is one single paragraph.
+* sections end before a blank line, paragraphs after a line break, leaves after a word or two (a longer word is cut);
+  the first 48 characters are cut into leaves of three, so that short texts have several. No character belongs to none;
+* a leaf's hash is the SHA-256 of its text, a paragraph's that of its leaves' hashes, a section's that of its
+  paragraphs' hashes, the root that of the sections' hashes. Roots are equal if and only if the texts are (up to
+  SHA-256 collisions). Of the leaves' hashes the tree keeps 64 bits.
 
-Two trees are compared from the root down: below equal sections nothing is looked at (``first_difference``).
+Two trees are compared from the root down: below equal sections, and below equal paragraphs of differing sections,
+nothing is looked at. ``first_difference`` says where they first differ, ``likeness`` compares the leaves of the
+branches that differ.
 
-Null and empty texts have the same tree (one empty paragraph, no pieces). Repeated rows and repeated ids are kept.
+Null and empty texts have the same tree (one empty paragraph, no leaves). Repeated rows and repeated ids are kept.
 """
 
 from __future__ import annotations
@@ -22,35 +24,71 @@ from .common import shuffle_partitions
 
 SECTION_BREAK = r"(?<=\n)(?=\n)"
 PARAGRAPH_BREAK = r"(?<=\n)"
-PIECE = r"[^.!?\n]{1,64}[.!?\n]*+|[.!?\n]+"
+BLANK = r" \t\n\x0B\f\r"
+LEAF = rf"(?:[^{BLANK}]{{1,16}}+[{BLANK}]*+){{1,2}}+|[{BLANK}]+"
+FINE_LEAF = r"[\s\S]{1,3}"
+FINE_CHARS = 48
+
+
+def _leaves(paragraph: Column, first: Column) -> Column:
+    """The leaves' texts of a paragraph."""
+    of = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    fine = of(F.substr(paragraph, F.lit(1), F.lit(FINE_CHARS)), FINE_LEAF)
+    return F.when(first, F.concat(fine, of(F.substr(paragraph, F.lit(FINE_CHARS + 1)), LEAF))).otherwise(of(paragraph, LEAF))
 
 
 def with_tree(df: DataFrame, text: str = "text", tree: str = "tree") -> DataFrame:
-    """Add column ``tree``: struct(root, sections, paragraphs, pieces).
+    """Add column ``tree``: struct(root, sections, paragraphs, leaves, n_leaves).
 
-    ``sections`` is an array of hashes, ``paragraphs`` an array (per section) of arrays of hashes, ``pieces`` an
-    array of distinct 64-bit hashes.
+    ``sections`` is an array of hashes, ``paragraphs`` an array (per section) of arrays of hashes, ``leaves`` one of
+    arrays (per paragraph) of 64-bit hashes.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    paragraphs = F.transform(
+    hashed = F.transform(
         F.split(whole, SECTION_BREAK, -1),
-        lambda s: F.transform(F.split(s, PARAGRAPH_BREAK, -1), lambda p: F.sha2(p, 256)),
+        lambda s, i: F.transform(
+            F.split(s, PARAGRAPH_BREAK, -1), lambda p, j: F.transform(_leaves(p, (i == 0) & (j == 0)), lambda x: F.sha2(x, 256))
+        ),
     )
-    pieces = F.array_distinct(F.transform(F.regexp_extract_all(whole, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
-    step = df.withColumn("_paragraphs", paragraphs).withColumn("_pieces", pieces)
+    step = df.withColumn("_leaves", hashed)
+    step = step.withColumn("_paragraphs", F.transform("_leaves", lambda ps: F.transform(ps, lambda ls: F.sha2(F.concat_ws("", F.lit("paragraph"), ls), 256))))
     step = step.withColumn("_sections", F.transform("_paragraphs", lambda ps: F.sha2(F.concat_ws("", F.lit("section"), ps), 256)))
     root = F.sha2(F.concat_ws("", F.lit("document"), F.col("_sections")), 256)
+    short = F.transform("_leaves", lambda ps: F.transform(ps, lambda ls: F.transform(ls, lambda x: F.xxhash64(x))))
+    n_leaves = F.aggregate("_leaves", F.lit(0), lambda n, ps: n + F.aggregate(ps, F.lit(0), lambda m, ls: m + F.size(ls)))
     return step.withColumn(
         tree,
-        F.struct(root.alias("root"), F.col("_sections").alias("sections"), F.col("_paragraphs").alias("paragraphs"), F.col("_pieces").alias("pieces")),
-    ).drop("_paragraphs", "_pieces", "_sections")
+        F.struct(
+            root.alias("root"), F.col("_sections").alias("sections"), F.col("_paragraphs").alias("paragraphs"), short.alias("leaves"), n_leaves.alias("n_leaves")
+        ),
+    ).drop("_paragraphs", "_leaves", "_sections")
+
 
+def _open_leaves(a: Column, b: Column) -> Column:
+    """Leaves of ``a`` below paragraphs that differ from those at the same place in ``b``; only differing sections are opened."""
+    none, no_hashes = F.array().cast("array<bigint>"), F.array().cast("array<string>")
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two trees' distinct pieces, from 0 to 1; exactly 1 if and only if the roots are equal."""
-    pieces = F.size(a["pieces"]) + F.size(b["pieces"])
-    dice = 2.0 * F.size(F.array_intersect(a["pieces"], b["pieces"])) / F.greatest(pieces, F.lit(1))
-    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(F.least(dice, 1.0 - 1.0 / (pieces + 1.0)))
+    def opened(i: Column) -> Column:
+        other = F.coalesce(F.get(b["paragraphs"], i), no_hashes)
+        own = F.get(a["paragraphs"], i)
+        return F.flatten(F.transform(F.get(a["leaves"], i), lambda ls, j: F.when(F.get(own, j).eqNullSafe(F.get(other, j)), none).otherwise(ls)))
+
+    return F.flatten(F.transform(a["sections"], lambda h, i: F.when(h.eqNullSafe(F.get(b["sections"], i)), none).otherwise(opened(i))))
+
+
+def likeness(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Add how alike the trees ``a`` and ``b`` are, from 0 to 1; exactly 1 if and only if the roots are equal.
+
+    A Dice coefficient: leaves below equal branches count as they are, those below differing branches as sets.
+    """
+    x, y = F.col(a), F.col(b)
+    opened = df.withColumns({"_a": _open_leaves(x, y), "_b": _open_leaves(y, x)})
+    equal = x["n_leaves"] - F.size("_a")
+    both = equal + F.size(F.array_intersect("_a", "_b"))
+    total = 2 * equal + F.size(F.array_distinct("_a")) + F.size(F.array_distinct("_b"))
+    dice = 2.0 * both / F.greatest(total, F.lit(1))
+    value = F.when(x["root"] == y["root"], F.lit(1.0)).otherwise(F.least(dice, 1.0 - 1.0 / (total + 1.0)))
+    return opened.withColumn(name, value).drop("_a", "_b")
 
 
 def _first_unequal(a: Column, b: Column) -> Column:
@@ -123,7 +161,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     edited = F.concat(kept, F.substring(F.coalesce(F.col("next.text"), F.lit("")), F.lit(1), cut))
     rows = rows.withColumn("edited", edited)
     rows = with_tree(rows, "edited", "edited_tree")
-    tree, edited_tree, next_tree = F.col("tree"), F.col("edited_tree"), F.col("next.tree")
+    rows = likeness(likeness(rows, "tree", "edited_tree", "near_edited"), "tree", "next.tree", "near_next")
+    tree, edited_tree = F.col("tree"), F.col("edited_tree")
     section, paragraph = first_difference(tree, edited_tree)
     return rows.select(
         "doc_id",
@@ -131,8 +170,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         tree["root"].alias("fingerprint"),
         edited_tree["root"].alias("edited_fingerprint"),
-        likeness(tree, edited_tree).alias("near_edited"),
-        likeness(tree, next_tree).alias("near_next"),
+        "near_edited",
+        "near_next",
         section.cast("int").alias("edited_section"),
         paragraph.cast("int").alias("edited_paragraph"),
     )

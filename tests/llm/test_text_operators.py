@@ -1,6 +1,7 @@
 """Fingerprints, token counts, packing and sharding against brute force on whole small tables."""
 
 import hashlib
+import re
 import zlib
 from collections import defaultdict
 
@@ -40,6 +41,67 @@ def test_fingerprint(spark, edge_docs, which):
     assert len(set(prints.values())) == len(prints)
 
 
+def plain_tree(text):
+    """Root, section hashes, paragraph hashes, leaves, without SQL."""
+    sha = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    sections = [re.split(r"(?<=\n)", s) for s in re.split(r"(?<=\n)(?=\n)", text)]
+    leaves = []
+    for i, paragraphs in enumerate(sections):
+        leaves.append([])
+        for j, p in enumerate(paragraphs):
+            fine = p[:48] if i == j == 0 else ""
+            found = [fine[k : k + 3] for k in range(0, len(fine), 3)]
+            words = re.findall(r"[^ \t\n\x0B\f\r]{1,16}[ \t\n\x0B\f\r]*|[ \t\n\x0B\f\r]+", p[len(fine) :])
+            while words:
+                n = 1 if words[0][0] in " \t\n\x0b\f\r" else 2
+                found.append("".join(words[:n]))
+                words = words[n:]
+            leaves[-1].append([sha(x) for x in found])
+    paragraphs = [[sha("paragraph", *ls) for ls in s] for s in leaves]
+    return sha("document", *[sha("section", *s) for s in paragraphs]), [sha("section", *s) for s in paragraphs], paragraphs, leaves
+
+
+def plain_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    equal, rest = 0, ([], [])
+    for k, (x, y) in enumerate(((a, b), (b, a))):
+        for i, section in enumerate(x[3]):
+            for j, leaves in enumerate(section):
+                same = x[1][i : i + 1] == y[1][i : i + 1] or i < len(y[2]) and x[2][i][j : j + 1] == y[2][i][j : j + 1]
+                if not same:
+                    rest[k].extend(leaves)
+                elif k == 0:
+                    equal += len(leaves)
+    total = 2 * equal + len(set(rest[0])) + len(set(rest[1]))
+    return min(2.0 * (equal + len(set(rest[0]) & set(rest[1]))) / max(total, 1), 1 - 1 / (total + 1))
+
+
+@pytest.mark.parametrize("which", ["table", "edges"])
+def test_fingerprint_is_the_tree(spark, edge_docs, which):
+    docs = read(spark, SF, "documents") if which == "table" else edge_docs
+    rows = ordered(docs.select("doc_id", "text").collect())
+    want = []
+    for i, r in enumerate(rows):
+        text, following = r["text"] or "", rows[(i + 1) % len(rows)]["text"] or ""
+        cut = len(text) // 3
+        own, edited, other = plain_tree(text), plain_tree(text[: len(text) - cut] + following[:cut]), plain_tree(following)
+        want.append((str(r["doc_id"]), own[0], edited[0], round(plain_likeness(own, edited), 12), round(plain_likeness(own, other), 12)))
+    names = ("fingerprint", "edited_fingerprint")
+    got = fingerprint.fingerprint_edits(docs).collect()
+    assert sorted((str(r["doc_id"]), *(r[n] for n in names), round(r["near_edited"], 12), round(r["near_next"], 12)) for r in got) == sorted(want)
+    if which == "table":
+        assert all(r["near_edited"] > r["near_next"] for r in got if r["near_next"] < 1)
+
+
+def test_likeness_of_short_and_moved_texts(spark):
+    rows = [(1, "a short text", "a short tune"), (2, "a short text", "something else"), (3, "x y\n\n" + "word " * 9, "new\n\nx y\n\n" + "word " * 9), (4, "", "a"), (5, "ab", "ab")]
+    df = spark.createDataFrame(rows, "id int, text string, other string")
+    df = fingerprint.likeness(fingerprint.with_tree(fingerprint.with_tree(df), "other", "second"), "tree", "second", "near")
+    near = {r["id"]: r["near"] for r in df.collect()}
+    assert near[1] >= 0.5 > near[2] and near[3] > 0.3 and near[4] == 0 and near[5] == 1
+
+
 def test_fingerprint_finds_the_edited_paragraph(spark, no_docs):
     rows = [(1, "a\nb\n\nc\nd\ne"), (2, "a\nb\n\nc\nX\ne"), (3, "a\nb\n\nc\nd\ne")]
     trees = fingerprint.with_tree(spark.createDataFrame(rows, "doc_id long, text string"))
