@@ -2,7 +2,7 @@
 
 Documents are gathered, as their partitions are read, into shards of a bounded number of tokens. Each shard holds a
 BM25 inverted index over the token ids of its whole documents. The first document not used up is the seed of a window:
-its neighbours, the unused documents that score highest for the seed's heaviest terms, follow until the window of
+its neighbours, the unused documents that score highest for all terms of the seed, follow until the window of
 ``window`` tokens is full; where no neighbour is left the next unused document follows. The last document of a window
 is cut where the window ends; what remains of it stays in the pool. A shard's last tokens make sequences of powers of
 two, so no sequence needs padding.
@@ -27,7 +27,7 @@ from .tokens import encoder, vocabulary_path
 WINDOW = 2048
 END = 1  # the id that closes each document
 SHARD_TOKENS = 1 << 21
-QUERY_TERMS = 16
+COMMON = 8  # terms in at least one of so many documents also have a row of weights by document
 K1, B = 1.2, 0.75
 
 
@@ -49,18 +49,26 @@ class Bm25:
         order = np.argsort(terms, kind="stable")
         self.posting_docs, self.posting_weights = owner[order], self.weights[order]
         self.posting_ends = np.cumsum(df)
+        # together at most COMMON times the postings
+        common = np.flatnonzero(df * COMMON >= max(self.size, 1))
+        self.common_row = np.full(len(df), -1, dtype=np.int32)
+        self.common_row[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.size), dtype=np.float32)
+        rows = self.common_row[terms]
+        self.common[rows[rows >= 0], owner[rows >= 0]] = self.weights[rows >= 0]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Documents of ``unused`` (flags) that share a heavy term with ``seed``, best first."""
-        span = slice(self.starts[seed], self.starts[seed + 1])
-        terms = self.terms[span]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.weights[span], -QUERY_TERMS)[-QUERY_TERMS:]]
+        """Documents of ``unused`` (flags) that share a term with ``seed``, best first, ties by place."""
+        terms = self.terms[self.starts[seed] : self.starts[seed + 1]]
+        rows = self.common_row[terms]
+        scores = self.common[rows[rows >= 0]].sum(axis=0)
+        terms = terms[rows < 0].astype(np.int64)
         ends = self.posting_ends[terms]
-        begins = np.where(terms > 0, self.posting_ends[terms.astype(np.int64) - 1], 0)
+        begins = np.where(terms > 0, self.posting_ends[terms - 1], 0)
         spans = [slice(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        docs = np.concatenate([self.posting_docs[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.posting_weights[s] for s in spans]), minlength=self.size)
+        if spans:
+            docs = np.concatenate([self.posting_docs[s] for s in spans])
+            scores = scores + np.bincount(docs, np.concatenate([self.posting_weights[s] for s in spans]), minlength=self.size)
         scores[~unused] = 0
         scores[seed] = 0
         best = np.flatnonzero(scores)

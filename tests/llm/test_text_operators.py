@@ -265,3 +265,33 @@ def test_a_large_group_leaves_the_other_shards_balanced(spark):
     for r in sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect():
         held[r["shard"]] += r["size"]
     assert set(held) == set(range(40)) and sorted(held.values())[-2] < 1.1 * sum(sorted(held.values())[:-1]) / 39
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    """Scores over all terms of the seed, counted without an index."""
+    chance = np.random.default_rng(5)
+    documents = [chance.choice(400, int(chance.integers(1, 120)), p=np.arange(400, 0, -1) / 80_200).astype("<u4") for _ in range(60)]
+    documents += [documents[7], np.array([9_000, 9_001], "<u4"), np.array([9_001], "<u4")]
+    index = packing.Bm25(documents)
+    counts = [defaultdict(int) for _ in documents]
+    for held, d in zip(counts, documents, strict=True):
+        for t in d.tolist():
+            held[t] += 1
+    mean = sum(map(len, documents)) / len(documents)
+
+    def score(seed, other):
+        total = 0.0
+        for t in counts[seed]:
+            df, tf = sum(t in c for c in counts), counts[other].get(t, 0)
+            total += np.log1p((len(documents) - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(documents[other]) / mean))
+        return total
+
+    unused = np.ones(len(documents), dtype=bool)
+    unused[3] = False
+    for seed in range(len(documents)):
+        want = {d: score(seed, d) for d in range(len(documents)) if d not in (3, seed) and set(counts[d]) & set(counts[seed])}
+        got = index.neighbours(seed, unused).tolist()
+        assert set(got) == set(want)
+        scores = [want[d] for d in got]
+        assert all(a > b - 1e-4 for a, b in zip(scores, scores[1:]))
+    assert index.neighbours(len(documents) - 1, unused).tolist() == [len(documents) - 2]
