@@ -158,7 +158,7 @@ def rendered_roundtrip(spark, sf_dir):
     parts = cut_parts(_docs(spark, sf_dir), file="doc_id", part_chars=PART_CHARS)
     # a written block ends with a line break of its own; the frame's last line gets its end here
     blocks = parts.select(F.col("doc_id").alias("file_key"), "part", F.regexp_replace("content", r"\n\z", "").alias("block"))
-    write_markdown(blocks, path, part="part")
+    write_markdown(blocks, path, part="part", packed=True)
     results = check_parts(read_markdown_parts(spark, path), file="stem")
     return results.select(F.col("stem").cast("long").alias("doc_id"), "rule", "severity", "passed", "detail")
 
