@@ -1,9 +1,10 @@
 import random
+import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from actlake.functions.similarity import character_bound, decision, edge_bound, is_significant, similarity
+from actlake.functions.similarity import levenshtein_similarity, character_bound, decision, edge_bound, is_significant, similarity
 from actlake.operators.diff import change_log, diff_articles, diff_summary, next_versions, relabel_payload, relabel_queue
 
 SCHEMA = "act_id long, article_id long, ordinal int, article_number string, text string, issue string, explanation string, article_label string"
@@ -163,3 +164,29 @@ def test_decisions_agree_with_the_ratio(spark):
     assert min(decided.values()) > 20
     edits = df.select(is_significant("a", "b", measure="edits"))._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in edits
+
+
+def test_edits_of_long_texts_are_bounded(spark):
+    """Middles, bands and missing blocks decide as whole edit distances do, and reversed long texts need none."""
+    chance = random.Random(5)
+    words = ["".join(chance.choices("abcdefghijé😀", k=chance.randrange(2, 9))) for _ in range(300)]
+    pairs = []
+    for n in (0, 1, 30, 300):
+        for turn in range(40):
+            a = " ".join(chance.choices(words, k=n))
+            b = list(a)
+            for _ in range(turn * len(a) // 300):
+                at = chance.randrange(0, len(b) + 1)
+                b[at : at + chance.randrange(0, 2)] = chance.choice(["", "x", " "])
+            pairs.append((a, "".join(b) if turn else a[::-1]))
+    df = spark.createDataFrame([*pairs, (None, "a"), ("a" * 1000, "b" + "a" * 998)], "a string, b string")
+    exact = (F.col("a") != F.col("b")) & (levenshtein_similarity("a", "b") < 0.95)
+    found = df.select("a", "b", decision("a", "b").alias("d"), decision("a", "b", plain=True).alias("p"), is_significant("a", "b", measure="edits").alias("s"), exact.alias("e"))
+    rows = found.collect()
+    assert [r.d for r in rows] == [r.p for r in rows] and {r.d for r in rows} == {"similar", "significant", "open"}
+    assert all(r.s == r.e for r in rows if r.d == "open")
+    text = " ".join(chance.choices(words, k=30_000))
+    far = spark.createDataFrame([(text, text[::-1])], "a string, b string").select(decision("a", "b").alias("d"), is_significant("a", "b", measure="edits").alias("s"))
+    began = time.monotonic()
+    assert tuple(far.first()) == ("significant", True)
+    assert time.monotonic() - began < 20
