@@ -41,10 +41,13 @@ def build_prompts(
 ) -> DataFrame:
     """(article_id, piece, issue_prompt, summary_prompt). Long texts are sent in pieces, numbered from 0; none is cut off."""
     pieces = F.greatest(F.ceil(F.char_length(text) / piece_chars), F.lit(1)).cast("int")
-    joined = articles.select("article_id", "act_id", text, F.explode(F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1)).alias("piece")).join(
+    # cut before the join, so that a row holds its piece and not the whole text once more
+    numbers = F.sequence(F.lit(0), F.coalesce(pieces, F.lit(1)) - 1)
+    cut = F.transform(numbers, lambda n: F.substring(F.col(text), n * piece_chars + 1, F.lit(piece_chars)))
+    joined = articles.select("article_id", "act_id", F.posexplode(cut).alias("piece", "part")).join(
         acts.select("act_id", act_context().alias("context")), "act_id"
     )
-    part = F.substring(F.col(text), F.col("piece") * piece_chars + 1, F.lit(piece_chars))
+    part = F.col("part")
     return joined.select(
         "article_id",
         "piece",
