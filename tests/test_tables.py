@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from actlake.operators import stats, tables
-from actlake.plans.handoff import parse_issue_responses, register_issues
+from actlake.plans.handoff import TEXT_MARK, build_prompts, parse_issue_responses, register_issues
 from actlake.plans.views import acts_with_categories, export_package, pending_ai_processing
 from actlake.session import ensure_checkpoint_dir
 from actlake.operators.search import ordered, page_after
@@ -163,3 +163,26 @@ def test_pages_by_key(spark):
             got += [r.id for r in page]
             after = page[-1]
         assert got == want
+
+
+def test_cascade_joins_only_named_rows(spark):
+    """Rows that vanish meet the table's distinct values first, and only what both have is joined to its rows."""
+    acts = spark.range(20).selectExpr("id AS act_id")
+    articles = spark.range(200).selectExpr("id % 20 AS act_id", "id AS article_id")
+    changes = spark.range(1000).selectExpr("id % 30 AS act_id", "CASE WHEN id % 7 > 0 THEN id % 3 END AS article_id")
+    left = tables.delete_cascade({"acts": acts, "changes": changes}, acts.where("act_id = 1"), set_null={"changes": ("article_id", articles)})["changes"]
+    rows = [(r.act_id, r.article_id) for r in left.collect()]
+    want = [(i % 30, i % 3 if i % 7 and i % 3 != 1 else None) for i in range(1000) if i % 30 != 1]
+    assert sorted(rows, key=str) == sorted(want, key=str)
+    assert "LeftSemi" in left._jdf.queryExecution().optimizedPlan().toString().partition("LeftOuter")[2]
+
+
+def test_prompts_are_cut_before_the_join(spark):
+    articles = spark.createDataFrame([(1, 1, "abcdefghij" * 2 + "k"), (2, 1, None), (3, 1, "")], "article_id long, act_id long, text string")
+    acts = spark.createDataFrame([(1, "LEGE", "7", 2024)], "act_id long, act_type string, act_number string, act_year int")
+    prompts = build_prompts(articles, acts, piece_chars=10)
+    shown = {(r.article_id, r.piece): r.issue_prompt.partition(TEXT_MARK)[2].partition("\n\n")[0] for r in prompts.collect()}
+    assert shown == {(1, 0): "abcdefghij", (1, 1): "abcdefghij", (1, 2): "k", (2, 0): "", (3, 0): ""}
+    # what stands above the join no longer cuts a text
+    above = prompts._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
+    assert "substring(" not in above
