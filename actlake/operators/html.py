@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.text import ColumnLike, as_column, first_int, let, normalize_references, roman_to_int, strip
 
-_HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<![^>]*>"
+_HIDDEN = r"(?is)<(?:!--.*?-->|(script|style)\b[^>]*>.*?</\1\s*>|![^>]*>)"
 _TAG = r"</?[A-Za-z][^>]*(?:>|\z)"
 _VOID = "area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr"
 _BREAK = "\u0001"
@@ -110,19 +110,23 @@ def decode_entities(c: ColumnLike) -> Column:
     for name, char in _COMMON.items():
         common = F.replace(common, F.lit(f"&{name};"), F.lit(char))
     rare = let(common, lambda t: F.when(t.rlike("&[#A-Za-z]"), _decode_rare(t)).otherwise(t))
-    return F.when(text.contains("&"), F.translate(rare, _AMP, "&")).otherwise(text)
+    return F.when(text.contains("&"), F.replace(rare, F.lit(_AMP), F.lit("&"))).otherwise(text)
 
 
 def inner_text(markup: ColumnLike, separator: str = "") -> Column:
     """Text nodes of a fragment, each trimmed, blank ones dropped, joined with ``separator``."""
     marked = let(F.regexp_replace(as_column(markup), _TAG, _BREAK), decode_entities)
-    nodes = F.transform(F.split(marked, _BREAK), strip)
-    return F.array_join(F.filter(nodes, lambda n: n != ""), separator)
+    return F.array_join(_text_nodes(marked), separator)
+
+
+def _text_nodes(marked: Column) -> Column:
+    return F.filter(F.transform(F.split(marked, _BREAK), strip), lambda n: n != "")
 
 
 def without_hidden(html: ColumnLike) -> Column:
     """Drop comments, scripts, styles and declarations before anything looks for tags, and characters that mark places here."""
-    return F.regexp_replace(F.translate(as_column(html), _BREAK + _AMP, ""), _HIDDEN, "")
+    unmarked = F.replace(F.replace(as_column(html), F.lit(_BREAK), F.lit("")), F.lit(_AMP), F.lit(""))
+    return F.regexp_replace(unmarked, _HIDDEN, "")
 
 
 def classify_element(classes: ColumnLike, tag: ColumnLike, selector: Selector = ACT_PAGES) -> Column:
@@ -157,93 +161,102 @@ def html_elements(
     tag for what stands in that stretch after the element: ``sub`` numbers them, and
     ``level`` is their depth from the end of the stretch.
     """
-    pieces = let(
-        F.split(without_hidden(html), selector.start_pattern()),
-        lambda ps: F.transform(F.slice(ps, 2, F.size(ps) - 1), lambda p: _element(p, separator, nested)),
+    pieces = pages.select(key, F.posexplode(F.split(without_hidden(html), selector.start_pattern())).alias("pos", "piece"))
+    # a piece starts just after its '<'; what stands before the first element is not one
+    piece, cut = F.col("piece"), F.instr("piece", F.lit(">"))
+    pieces = pieces.where("pos > 0").select(
+        key,
+        "pos",
+        F.substring_index("piece", ">", 1).alias("head"),
+        F.when(cut > 0, piece.substr(cut + 1, F.length(piece))).otherwise("").alias("rest"),
     )
-    # parsed before the rows are spread, so that no later filter makes Spark parse twice
-    rows = pages.select(key, F.posexplode(pieces).alias("at", "element"))
+    # parsed row by row, so that the code is compiled; the explode at the end keeps later filters from parsing twice
     if nested:
-        rows = rows.select(key, "at", F.posexplode("element").alias("sub", "element"))
-    rows = rows.select(key, (F.col("at") + 1).alias("pos"), *(["sub"] if nested else []), "element.*")
+        rows = _nested_elements(pieces, key, separator)
+    else:
+        element = F.struct(_tag_name().alias("tag"), _class_names().alias("classes"), inner_text("rest", separator).alias("text"))
+        rows = pieces.select(key, "pos", F.explode(F.array(element)).alias("element")).select(key, "pos", "element.*")
     rows = rows.withColumn("kind", classify_element("classes", "tag", selector))
     return rows if nested else rows.where(F.col("text") != "")
 
 
-def _element(piece: Column, separator: str, nested: bool) -> Column:
-    """struct(tag, classes, text[, depth_change]) of one piece, which starts just after its '<'."""
-    cut = F.instr(piece, F.lit(">"))
-    head = F.when(cut > 0, F.left(piece, cut - 1)).otherwise(piece)
-    rest = F.when(cut > 0, piece.substr(cut + 1, F.length(piece))).otherwise("")
-    return let(F.struct(head.alias("head"), rest.alias("rest")), lambda s: _parsed(s["head"], s["rest"], separator, nested))
+def _tag_name() -> Column:
+    return F.lower(F.regexp_extract("head", r"^([A-Za-z][A-Za-z0-9]*)", 1))
+
+
+def _class_names() -> Column:
+    attribute = F.regexp_extract("head", r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'/]+)", 1)
+    names = F.btrim(attribute, F.lit("\"'"))
+    several = F.filter(F.split(names, r"\s+"), lambda c: c != "")
+    return F.when(names.rlike(r"\s"), several).when(names != "", F.array(names)).otherwise(F.array().cast("array<string>"))
 
 
-def _parsed(head: Column, rest: Column, separator: str, nested: bool) -> Column:
-    tag = F.lower(F.regexp_extract(head, r"^([A-Za-z][A-Za-z0-9]*)", 1))
-    attribute = F.regexp_extract(head, r"(?i)\sclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'/]+)", 1)
-    names = F.filter(F.split(F.btrim(attribute, F.lit("\"'")), r"\s+"), lambda c: c != "")
-    if not nested:
-        return F.struct(tag.alias("tag"), names.alias("classes"), inner_text(rest, separator).alias("text"))
-    own = F.when(tag.rlike(rf"^(?:{_VOID})$") | head.endswith("/"), 0).otherwise(1)
-    return let(F.struct(tag.alias("tag"), names.alias("classes"), own.alias("own"), _stretches(rest, own).alias("s")), lambda e: _nested_rows(e, separator))
+def _nested_elements(pieces: DataFrame, key: str, separator: str) -> DataFrame:
+    """The elements of ``pieces`` (head, rest) and the stretches of text behind them, as rows."""
+    tag = _tag_name()
+    own = F.when(tag.rlike(rf"^(?:{_VOID})$") | F.col("head").endswith("/"), 0).otherwise(1)
+    rows = pieces.select(
+        key,
+        "pos",
+        tag.alias("tag"),
+        _class_names().alias("classes"),
+        own.alias("own"),
+        F.split(F.regexp_replace("rest", _TAG, _BREAK), _BREAK).alias("texts"),
+        F.transform(F.regexp_extract_all("rest", F.lit(_TAG), F.lit(0)), _depth_change).alias("changes"),
+    )
+    rows = rows.withColumn("s", _stretches(F.col("own"), F.col("texts"), F.col("changes")))
+    # the text nodes of each stretch, found once; tags are marks by now
+    nodes = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(_text_nodes(decode_entities(t)))
+    out = F.transform("s.out", lambda t: F.struct(t["m"].alias("m"), nodes(t["text"]).alias("nodes")))
+    rows = rows.select(key, "pos", "tag", "classes", "own", F.col("s.r").alias("r"), out.alias("out"))
+    rows = rows.select(key, "pos", F.posexplode(_nested_rows(separator)).alias("sub", "element"))
+    return rows.select(key, "pos", "sub", "element.*")
 
 
-_ANY_TAG = r"</?[A-Za-z][^>]*(?:>|\z)"
+def _depth_change(tag: Column) -> Column:
+    flat = tag.rlike(rf"(?i)^</?(?:{_VOID})\b") | tag.endswith("/>")
+    return F.when(flat, 0).when(tag.startswith("</"), -1).otherwise(1)
 
 
-def _stretches(rest: Column, own: Column) -> Column:
+def _stretches(own: Column, texts: Column, changes: Column) -> Column:
     """struct(r, out): the depth after the markup, and its text cut wherever the depth falls below all before.
 
     Each of ``out`` is struct(m, text): text nodes, apart by marks, that stand at depth m or deeper.
     """
+    start = F.struct(own.alias("r"), own.alias("m"), F.get(texts, F.lit(0)).alias("cur"), F.array().cast("array<struct<m:int,text:string>>").alias("out"))
 
-    def change(tag: Column) -> Column:
-        flat = tag.rlike(rf"(?i)^</?(?:{_VOID})\b") | tag.endswith("/>")
-        return F.when(flat, 0).when(tag.startswith("</"), -1).otherwise(1)
-
-    def walk(p: Column) -> Column:
-        start = F.struct(own.alias("r"), own.alias("m"), F.get(p["texts"], F.lit(0)).alias("cur"), F.array().cast("array<struct<m:int,text:string>>").alias("out"))
+    def step(s: Column, i: Column) -> Column:
+        text, depth = F.get(texts, i), s["r"] + F.get(changes, i - 1)
+        done = F.struct(s["m"].alias("m"), s["cur"].alias("text"))
+        fell = F.struct(depth.alias("r"), depth.alias("m"), text.alias("cur"), F.concat(s["out"], F.array(done)).alias("out"))
+        on = F.struct(depth.alias("r"), s["m"].alias("m"), F.concat(s["cur"], F.lit(_BREAK), text).alias("cur"), s["out"].alias("out"))
+        return F.when(depth < s["m"], fell).otherwise(on)
 
-        def step(s: Column, i: Column) -> Column:
-            text, depth = F.get(p["texts"], i), s["r"] + change(F.get(p["tags"], i - 1))
-            done = F.struct(s["m"].alias("m"), s["cur"].alias("text"))
-            fell = F.struct(depth.alias("r"), depth.alias("m"), text.alias("cur"), F.concat(s["out"], F.array(done)).alias("out"))
-            on = F.struct(depth.alias("r"), s["m"].alias("m"), F.concat(s["cur"], F.lit(_BREAK), text).alias("cur"), s["out"].alias("out"))
-            return F.when(depth < s["m"], fell).otherwise(on)
+    ending = lambda s: F.struct(s["r"].alias("r"), F.concat(s["out"], F.array(F.struct(s["m"].alias("m"), s["cur"].alias("text")))).alias("out"))
+    places = F.when(F.size(changes) > 0, F.sequence(F.lit(1), F.size(changes))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, start, step, ending)
 
-        ending = lambda s: F.struct(s["r"].alias("r"), F.concat(s["out"], F.array(F.struct(s["m"].alias("m"), s["cur"].alias("text")))).alias("out"))
-        places = F.when(F.size(p["tags"]) > 0, F.sequence(F.lit(1), F.size(p["tags"]))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, step, ending)
 
-    # tags open and close nothing where the depth cannot change; each is looked at once
-    return let(F.struct(F.regexp_extract_all(rest, F.lit(_ANY_TAG), F.lit(0)).alias("tags"), F.split(rest, _ANY_TAG).alias("texts")), walk)
-
-
-def _nested_rows(e: Column, separator: str) -> Column:
+def _nested_rows(separator: str) -> Column:
     """The element's row and one for each stretch of text behind it, as an array."""
-    out, after = e["s"]["out"], e["s"]["r"]
-    first = F.when(e["own"] == 1, F.get(out, F.lit(0))["text"]).otherwise(F.lit(""))
-    own = F.struct(
-        e["tag"].alias("tag"),
-        e["classes"].alias("classes"),
-        inner_text(first, separator).alias("text"),
-        inner_text(first, " ").alias("spaced"),
-        after.alias("depth_change"),
-        F.lit(0).alias("level"),
-    )
+    out, after, opens = F.col("out"), F.col("r"), F.col("own") == 1
 
-    def behind(t: Column) -> Column:
+    def row(tag: Column, classes: Column, nodes: Column, change: Column, level: Column) -> Column:
         return F.struct(
-            F.lit(None).cast("string").alias("tag"),
-            F.array().cast("array<string>").alias("classes"),
-            inner_text(t["text"], separator).alias("text"),
-            inner_text(t["text"], " ").alias("spaced"),
-            F.lit(0).alias("depth_change"),
-            (t["m"] - after).alias("level"),
+            tag.alias("tag"),
+            classes.alias("classes"),
+            F.array_join(nodes, separator).alias("text"),
+            F.array_join(nodes, " ").alias("spaced"),
+            change.alias("depth_change"),
+            level.alias("level"),
         )
 
-    tails = F.when(e["own"] == 1, F.slice(out, F.lit(2), F.size(out))).otherwise(out)
-    return F.concat(F.array(own), F.transform(tails, behind))
+    none = F.array().cast("array<string>")
+    first = F.when(opens, F.get(out, F.lit(0))["nodes"]).otherwise(none)
+    own = row(F.col("tag"), F.col("classes"), first, after, F.lit(0))
+    tails = F.when(opens, F.slice(out, F.lit(2), F.size(out))).otherwise(out)
+    behind = F.transform(tails, lambda t: row(F.lit(None).cast("string"), none, t["nodes"], F.lit(0), t["m"] - after))
+    return F.concat(F.array(own), behind)
 
 
 def _in_order(key: str) -> Window:
@@ -305,8 +318,10 @@ def article_rows(
     elements: DataFrame, *, key: str = "page_id", require_number: bool = True
 ) -> DataFrame:
     """Article elements with the headings in force; by default only those with a number."""
-    filled = fill_hierarchy(elements, key=key)
-    rows = filled.where((F.col("kind") == "article") & (F.col("text") != ""))
+    # no other elements set or clear a level, so no others are put in order
+    kinds = dict.fromkeys(["article", *(name for setters, _ in _LEVELS.values() for name in setters)])
+    filled = fill_hierarchy(elements.where(F.col("kind").isin(*kinds) & (F.col("text") != "")), key=key)
+    rows = filled.where(F.col("kind") == "article")
     rows = rows.withColumn("article_number", first_int("text"))
     if require_number:
         rows = rows.where(F.coalesce(F.col("article_number"), F.lit(0)) != 0)
@@ -319,54 +334,98 @@ def article_rows(
 BODY_LEVELS = 12  # elements deeper inside a body are text of those around them
 
 
+# the classes that make up a body; an open element is one number, its place and which of these it is
+_BODY_NAMES = [n for part in vocab.BODY_PARTS for n in (part, f"{part}_TTL", f"{part}_BDY")]
+
+
+def _code(name: str) -> int:
+    return _BODY_NAMES.index(name) + 1
+
+
+def _name_of(opened: Column) -> Column:
+    return F.get(F.lit(_BODY_NAMES), _code_of(opened).cast("int") - 1)
+
+
+def _code_of(opened: Column) -> Column:
+    return opened.bitwiseAND(F.lit(15).cast("long"))
+
+
+def _place_of(opened: Column) -> Column:
+    return F.shiftright(opened, 4)
+
+
 def _body_segments(elements: DataFrame, key: str) -> DataFrame:
     """Elements inside article bodies with their article, top-level part and nested item."""
     w = Window.partitionBy(key).orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy(key).orderBy("pos", "sub").rowsBetween(Window.unboundedPreceding, -1)
-    kind, classes, depth = F.col("kind"), F.col("classes"), F.col("depth")
-    is_title, is_element = kind.eqNullSafe("article"), F.col("sub") == 0
-    has = lambda name: F.array_contains(classes, name)
+    depth, is_title, is_body = F.col("depth"), F.col("is_title"), F.col("is_body")
+    names = F.lit(_BODY_NAMES)
+    code = F.coalesce(F.array_position(names, F.get(F.filter("classes", lambda c: F.array_contains(names, c)), F.lit(0))), F.lit(0).cast("long"))
 
-    # how many elements are open around the row
-    rows = elements.withColumn("depth", F.coalesce(F.sum("depth_change").over(before), F.lit(0)) + F.col("level"))
-    body_event = F.when(is_title, F.struct(F.lit(None).cast("long").alias("d"), F.lit(None).cast("int").alias("pos"))).when(
-        has(vocab.BODY_CLASS), F.struct(depth.cast("long").alias("d"), F.col("pos"))
+    rows = elements.select(
+        key,
+        "pos",
+        "sub",
+        "text",
+        "spaced",
+        "depth_change",
+        "level",
+        F.col("kind").eqNullSafe("article").alias("is_title"),
+        F.array_contains("classes", vocab.BODY_CLASS).alias("is_body"),
+        F.when(F.col("sub") == 0, F.shiftleft(F.col("pos").cast("long"), 4) + code).alias("opens"),
     )
+    # how many elements are open around the row
+    rows = rows.withColumn("depth", F.coalesce(F.sum("depth_change").over(before), F.lit(0)) + F.col("level"))
+    # the body that was opened last, place 0 after a title
+    latest = lambda value: F.last(F.when(is_title, F.lit(0)).when(is_body, value), ignorenulls=True).over(w)
     rows = rows.withColumns(
         {
             "article_pos": F.last(F.when(is_title, F.col("pos")), ignorenulls=True).over(w),
-            "body": F.last(body_event, ignorenulls=True).over(w),
+            "body_pos": latest(F.col("pos")),
+            "body_depth": latest(depth),
         }
     )
+    in_force, inside = F.col("body_pos") > 0, F.col("inside")
+    rows = rows.withColumn("inside", F.when(in_force, depth - F.col("body_depth")))
     # where the body was left: at the first row that stands no deeper than it
-    left = F.when((depth <= F.col("body.d")) & ~has(vocab.BODY_CLASS), F.col("pos"))
-    rows = rows.withColumn("left", F.last(left, ignorenulls=True).over(w))
-    still = F.col("left").isNull() | (F.col("left") < F.col("body.pos"))
-    rows = rows.where(F.col("body.d").isNotNull() & (has(vocab.BODY_CLASS) | (still & (depth > F.col("body.d")))))
+    rows = rows.withColumn("left", F.last(F.when((inside <= 0) & ~is_body, F.col("pos")), ignorenulls=True).over(w))
+    still = F.col("left").isNull() | (F.col("left") < F.col("body_pos"))
+    rows = rows.where(in_force & (is_body | (still & (inside > 0))))
 
     # the open element at each level inside the body; a row that stands no deeper than a level ends what was open there
-    names = [n for part in vocab.BODY_PARTS for n in (part, f"{part}_TTL", f"{part}_BDY")]
-    name = F.get(F.filter(classes, lambda c: c.isin(*names)), F.lit(0))
-    inside = depth - F.col("body.d")
-    nothing = F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("name"))
     levels = {}
     for level in range(1, BODY_LEVELS + 1):
-        opened = F.when(is_element & ~has(vocab.BODY_CLASS) & (inside == level), F.struct(F.col("pos").cast("int").alias("pos"), name.alias("name")))
-        levels[f"level_{level}"] = F.last(opened.when(inside <= level, nothing), ignorenulls=True).over(w)
+        opened = F.when(~is_body & (inside == level) & F.col("opens").isNotNull(), F.col("opens")).when(inside <= level, F.lit(0).cast("long"))
+        levels[f"level_{level}"] = F.last(opened, ignorenulls=True).over(w)
     rows = rows.withColumns(levels)
-    stack = F.filter(F.array(*[F.col(n) for n in levels]), lambda e: e["name"].isNotNull())
+    stack = F.filter(F.array(*[F.col(n) for n in levels]), lambda e: _code_of(e) > 0)
     rows = rows.withColumn("stack", stack).drop(*levels)
 
-    first = F.get("stack", F.lit(0))
-    rows = rows.withColumn("part", F.when(first["name"].isin(*vocab.BODY_PARTS), first).otherwise(nothing))
-    part = F.col("part.name")
+    first, part = F.get("stack", F.lit(0)), F.col("part")
+    rows = rows.withColumn("part", F.when(_code_of(first).isin(*[_code(p) for p in vocab.BODY_PARTS]), first))
     inner = F.slice("stack", F.lit(2), F.size("stack"))
-    held = F.get(F.filter(inner, lambda e: e["name"].isin("S_LIT", "S_PCT", *[f"{p}_{x}" for p in vocab.BODY_PARTS for x in ("TTL", "BDY")])), F.lit(0))
-    role = F.when(held["name"] == F.concat(part, F.lit("_TTL")), "label").when(held["name"] == F.concat(part, F.lit("_BDY")), "body").otherwise("intro")
-    item = F.element_at(F.concat(F.array(nothing), F.filter(inner, lambda e: e["name"].isin("S_LIT", "S_PCT"))), -1)
-    rows = rows.withColumns({"role": role, "item": item})
-    own = lambda x: F.exists(inner, lambda e: (e["pos"] > F.col("item.pos")) & (e["name"] == F.concat(F.col("item.name"), F.lit(x))))
-    return rows.withColumn("item_role", F.when(own("_TTL"), "label").when(own("_BDY"), "body").otherwise("none"))
+    items = [_code("S_LIT"), _code("S_PCT")]
+    holders = [*items, *[_code(f"{p}_{x}") for p in vocab.BODY_PARTS for x in ("TTL", "BDY")]]
+    held = F.get(F.filter(inner, lambda e: _code_of(e).isin(*holders)), F.lit(0))
+    rows = rows.withColumns({"held": _code_of(held) - _code_of(part), "open_item": F.get(F.reverse(F.filter(inner, lambda e: _code_of(e).isin(*items))), F.lit(0))})
+    item = F.col("open_item")
+    # a part's label and body come after it among the names
+    role = F.when(F.col("held") == 1, "label").when(F.col("held") == 2, "body").otherwise("intro")
+    own = lambda x: F.exists(inner, lambda e: (_place_of(e) > _place_of(item)) & (_code_of(e) == _code_of(item) + x))
+    return rows.select(
+        key,
+        "pos",
+        "sub",
+        "text",
+        "spaced",
+        "article_pos",
+        _place_of(part).cast("int").alias("part_pos"),
+        _name_of(part).alias("part_name"),
+        role.alias("role"),
+        _place_of(item).cast("int").alias("item"),
+        _name_of(item).alias("item_name"),
+        F.when(own(1), "label").when(own(2), "body").otherwise("none").alias("item_role"),
+    )
 
 
 def _texts(segments: Column, keep=None, separator: str = "", field: str = "text") -> Column:
@@ -374,32 +433,18 @@ def _texts(segments: Column, keep=None, separator: str = "", field: str = "text"
     return F.array_join(F.filter(F.transform(chosen, lambda s: s[field]), lambda t: t != ""), separator)
 
 
-def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
-    """Body text and Markdown of each article: (key, article_pos, body, markdown).
+def article_bodies(elements: DataFrame, *, key: str = "page_id", markdown: bool = True) -> DataFrame:
+    """Body text and Markdown of each article: (key, article_pos, body, markdown); without the last on request.
 
     ``elements`` must be read with ``nested=True``: containers carry the nesting.
     Grouping is per part, then per article, so one group is one paragraph or one article.
     """
     segments = _body_segments(elements, key)
+    fields = ("spaced", "role", "item", "item_name", "item_role") if markdown else ("role",)
     parts = (
         segments.where((F.col("text") != "") | F.col("role").isin("label", "body"))
-        .groupBy(key, "article_pos", F.col("part.pos").alias("part_pos"), F.col("part.name").alias("part_name"))
-        .agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "pos",
-                        "sub",
-                        "text",
-                        "spaced",
-                        "role",
-                        F.col("item.pos").alias("item"),
-                        F.col("item.name").alias("item_name"),
-                        "item_role",
-                    )
-                )
-            ).alias("segments")
-        )
+        .groupBy(key, "article_pos", "part_pos", "part_name")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "sub", "text", *fields))).alias("segments"))
     )
     seg = F.col("segments")
     glue = F.coalesce(*[F.when(F.col("part_name") == n, F.lit(g)) for n, g in vocab.BODY_PARTS.items()])
@@ -409,6 +454,20 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
     is_par = F.col("part_name") == "S_PAR"
     plain = F.when(is_par, F.nullif(_texts(seg), F.lit(""))).when(complete, F.concat(label, glue, in_body))
 
+    def joined(name: str, separator: str) -> Column:
+        values = F.filter(F.transform("parts", lambda p: p[name]), lambda t: t.isNotNull())
+        return F.when(F.size(values) > 0, F.array_join(values, separator))
+
+    def nonblank(name: str, separator: str) -> Column:
+        values = F.filter(F.transform("parts", lambda p: p[name]), lambda t: t != "")
+        return F.array_join(values, separator)
+
+    body = F.coalesce(joined("plain", "..."), nonblank("everything", "")).alias("body")
+    if not markdown:
+        parts = parts.select(key, "article_pos", F.coalesce("part_pos", F.lit(0)).alias("part_pos"), plain.alias("plain"), _texts(seg).alias("everything"))
+        grouped = parts.groupBy(key, "article_pos").agg(F.sort_array(F.collect_list(F.struct("part_pos", "plain", "everything"))).alias("parts"))
+        return grouped.select(key, "article_pos", body)
+
     item_ids = F.array_distinct(
         F.transform(F.filter(seg, lambda s: s["item"].isNotNull()), lambda s: F.struct(s["item"].alias("id"), s["item_name"].alias("name")))
     )
@@ -452,24 +511,15 @@ def article_bodies(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
         F.when(is_par, F.concat(content, F.lit("\n"))).alias("simple"),
     )
     grouped = parts.groupBy(key, "article_pos").agg(
-        F.array_sort(
+        F.sort_array(
             F.collect_list(F.struct("part_pos", "plain", "everything", "lines", "numbered", "pointed", "simple"))
         ).alias("parts"),
         F.max("has_points").alias("has_points"),
     )
-
-    def joined(name: str, separator: str) -> Column:
-        values = F.filter(F.transform("parts", lambda p: p[name]), lambda t: t.isNotNull())
-        return F.when(F.size(values) > 0, F.array_join(values, separator))
-
-    def nonblank(name: str, separator: str) -> Column:
-        values = F.filter(F.transform("parts", lambda p: p[name]), lambda t: t != "")
-        return F.array_join(values, separator)
-
     return grouped.select(
         key,
         "article_pos",
-        F.coalesce(joined("plain", "..."), nonblank("everything", "")).alias("body"),
+        body,
         F.coalesce(
             F.when(F.col("has_points"), joined("pointed", "\n")),
             joined("numbered", "\n"),

@@ -10,7 +10,7 @@ from ..functions.text import is_present
 from ..operators.articles import confidence_score, post_process, validate_extraction
 from ..operators.html import ACT_PAGES, article_bodies, article_rows, detect_content_type, html_elements, page_metadata
 from ..operators.render import render_pages
-from ..session import cut_lineage
+from ..session import stored
 
 
 def page_acts(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
@@ -39,25 +39,26 @@ def page_acts(elements: DataFrame, *, key: str = "page_id") -> DataFrame:
 def parse_pages(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> dict[str, DataFrame]:
     """articles, acts (metadata, metrics, validation), errors and Markdown blocks of marked-up pages.
 
-    The elements are checkpointed: four outputs are built from them, and HTML is by far the
-    largest thing to read and parse, so it is done once. A page that is not HTML or yields no article is a row in ``errors``.
+    The elements are written once to the shared folder: four outputs are built from them, each of a few columns, and HTML
+    is by far the largest thing to read and parse. A page that is not HTML or yields no article is a row in ``errors``.
     """
     typed = pages.withColumn("content_type", detect_content_type(html))
     usable = typed.where(F.col("content_type") == "html")
     elements = html_elements(usable.select(key, html), key=key, html=html, selector=ACT_PAGES, nested=True)
-    elements = cut_lineage(elements)
+    elements = stored(elements, "elements")
     acts = page_acts(elements, key=key)
     bodies = article_bodies(elements, key=key)
     rows = article_rows(elements, key=key)
-    rows = rows.join(bodies, (rows[key] == bodies[key]) & (rows["pos"] == bodies["article_pos"]), "left").drop(
-        bodies[key], "article_pos", "tag", "classes"
+    texts = article_bodies(elements, key=key, markdown=False)
+    rows = rows.join(texts, (rows[key] == texts[key]) & (rows["pos"] == texts["article_pos"]), "left").drop(
+        texts[key], "article_pos", "tag", "classes"
     )
     rows = rows.withColumnsRenamed({"text": "article_label", "body": "text"}).withColumn(
         "text", F.coalesce("text", F.lit(""))
     )
     rows = rows.join(acts, key, "left").withColumnRenamed("pos", "ordinal")
     scores = confidence_score(rows, group=key)
-    articles = post_process(rows.drop("markdown"), group=key)
+    articles = post_process(rows, group=key)
     checks = validate_extraction(articles, group=key)
     metrics = acts.join(scores.select(key, "confidence"), key, "left").join(
         checks.drop("n_articles"), key, "left"

@@ -18,6 +18,7 @@ from ..operators.html import (
     plain_text,
 )
 from ..plans.parse import parse_pages
+from ..session import stored
 from ..sources.readers import page_problem
 from . import Registry
 from .bind import DOC_LINES_SQL, doc_lines, pages, strip_sql, table, with_ctes
@@ -222,7 +223,7 @@ def _act_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(turn == 6, F.concat(_span("S_SEC_TTL", F.concat(F.lit("Secțiunea "), number.cast("string"))), _span("S_SEC_DEN", text)))
         .otherwise(_span("S_ART", _span("S_ART_TTL", F.concat(F.lit("Articolul "), o.cast("string"))), "<p>stray</p>", _span("S_ART_BDY", body), "after the body <b>7</b>"))
     )
-    lines = doc_lines(spark, sf_dir).groupBy("act_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", unit.alias("unit")))).alias("units"))
+    lines = doc_lines(spark, sf_dir).groupBy("act_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", unit.alias("unit")))).alias("units"))
     joined = F.array_join(F.transform("units", lambda u: u["unit"]), "\n")
     return lines.select(F.col("act_id").alias("page_id"), F.concat(F.lit("<!DOCTYPE html><html><body>"), joined, F.lit("</body></html>")).alias("html"))
 
@@ -241,8 +242,9 @@ def act_page_context(spark, sf_dir):
 @REGISTRY.query("act_page_bodies", with_ctes(*_ACT_BASE, body="SELECT page_id, CAST(o AS INTEGER) AS article_number, body FROM bodies"))
 def act_page_bodies(spark, sf_dir):
     """Bodies with points in letters in paragraphs: each text belongs to the element that is open around it."""
-    elements = html_elements(_act_pages(spark, sf_dir), nested=True)
-    bodies = article_bodies(elements).withColumnRenamed("article_pos", "pos")
+    # both sides read them, and parsing is by far the largest part of the work
+    elements = stored(html_elements(_act_pages(spark, sf_dir), nested=True), "elements")
+    bodies = article_bodies(elements, markdown=False).withColumnRenamed("article_pos", "pos")
     return article_rows(elements).join(bodies, ["page_id", "pos"]).select("page_id", "article_number", "body")
 
 

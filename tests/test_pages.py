@@ -12,6 +12,7 @@ from actlake.operators.html import (
 from actlake.operators.quality import check_documents
 from actlake.operators.render import assemble, render_rows
 from actlake.plans.parse import parse_pages
+from actlake.registry import all_queries
 
 
 def pages(spark, *htmls):
@@ -116,3 +117,22 @@ def test_elements_reuse_the_partitioning_of_pages(spark):
 def test_separator(spark):
     rows = html_elements(pages(spark, "<p>a<b>b</b></p>"), selector=GENERIC_PAGES, separator=" ").collect()
     assert rows[0].text == "a b"
+
+
+def test_bodies_without_markdown(spark):
+    elements = html_elements(pages(spark, ACT), nested=True)
+    want = [tuple(r)[:3] for r in article_bodies(elements).orderBy("article_pos").collect()]
+    assert want and [tuple(r) for r in article_bodies(elements, markdown=False).orderBy("article_pos").collect()] == want
+
+
+def test_only_headings_and_articles_are_put_in_order(spark):
+    plan = article_rows(html_elements(pages(spark, ACT), nested=True))._jdf.queryExecution().executedPlan().toString()
+    sort = plan.index("Sort [")
+    assert "Window" in plan[:sort] and "article" in plan[sort:].partition("Generate")[0]  # the filter stands below the sort
+
+
+def test_bodies_are_made_of_elements_written_once(spark, tmp_path):
+    spark.createDataFrame([(1, "title\nfirst line\nsecond line")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = all_queries()["act_page_bodies"].run(spark, str(tmp_path))
+    assert [tuple(r) for r in found.orderBy("article_number").collect()] == [(1, 2, "(1)...first line...(2)...second"), (1, 3, "second line1.onetail")]
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
