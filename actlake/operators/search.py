@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import highlight, relevance
+from ..session import stored
+
+ONE_TASK = 10_000  # rows of a page that one task may hold
 
 
 def filter_equal(df: DataFrame, **values) -> DataFrame:
@@ -77,6 +80,10 @@ def search_any(df: DataFrame, query: str, columns: Iterable[str]) -> DataFrame:
 
 def ordered(df: DataFrame, *keys: str) -> DataFrame:
     """``-key`` sorts descending with NULLs first, ``key`` ascending with NULLs last, ``<key`` ascending NULLs first."""
+    return df.orderBy(*sort_columns(*keys))
+
+
+def sort_columns(*keys: str) -> list[Column]:
     columns = []
     for key in keys:
         if key.startswith("-"):
@@ -85,7 +92,7 @@ def ordered(df: DataFrame, *keys: str) -> DataFrame:
             columns.append(F.col(key[1:]).asc_nulls_first())
         else:
             columns.append(F.col(key).asc_nulls_last())
-    return df.orderBy(*columns)
+    return columns
 
 
 def page(df: DataFrame, *keys: str, skip: int = 0, limit: int = 50, max_limit: int = 500) -> DataFrame:
@@ -106,22 +113,51 @@ def _beyond(key: str, last) -> Column:
     return F.lit(False) if last is None else (column > F.lit(last)) | column.isNull()
 
 
-def page_after(df: DataFrame, *keys: str, after: Row | None = None, limit: int = 50, max_limit: int = 500) -> DataFrame:
+def _after(keys: Iterable[str], row: Row) -> Column:
+    """Rows that ``ordered`` puts after ``row``, which has the keys."""
+    follows, same = F.lit(False), F.lit(True)
+    for key in keys:
+        last = row[key.lstrip("-<")]
+        follows = follows | (same & F.coalesce(_beyond(key, last), F.lit(False)))
+        same = same & F.col(key.lstrip("-<")).eqNullSafe(F.lit(last))
+    return follows
+
+
+def page_after(df: DataFrame, *keys: str, after: Row | None = None, last: Row | None = None, limit: int = 50, max_limit: int = 500) -> DataFrame:
     """The page that follows the row ``after`` (the first one without it), by values of the sort keys instead of an offset.
 
     The keys, as ``ordered`` takes them, must tell all rows apart. Nothing before the page is gathered
     or counted, so the last page costs what the first one does, and rows that come in between shift nothing.
+    A page of more than ``ONE_TASK`` rows is what stands up to its last row (``last`` where it is known, as ``rows_at``
+    finds it), so that no task holds a whole page; rows equal to the last one are then on its page.
     """
     if not 1 <= limit <= max_limit:
         raise ValueError(f"limit must be from 1 to {max_limit}")
     if after is not None:
-        follows, same = F.lit(False), F.lit(True)
-        for key in keys:
-            last = after[key.lstrip("-<")]
-            follows = follows | (same & F.coalesce(_beyond(key, last), F.lit(False)))
-            same = same & F.col(key.lstrip("-<")).eqNullSafe(F.lit(last))
-        df = df.where(follows)
-    return ordered(df, *keys).limit(limit)
+        df = df.where(_after(keys, after))
+    if last is None:
+        if limit <= ONE_TASK:
+            return ordered(df, *keys).limit(limit)
+        last = rows_at(df, keys, [limit])[0]
+    return df if last is None else df.where(~_after(keys, last))
+
+
+def rows_at(df: DataFrame, keys: Iterable[str], numbers: list[int]) -> list[Row | None]:
+    """The keys of the rows that have these numbers (from 1) in order, None beyond the last row; no task holds more than a range of the order."""
+    names = [k.lstrip("-<") for k in keys]
+    # written, so that both reads see the same ranges
+    ranges = stored(ordered(df.select(*names), *keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    places, before = {}, 0
+    for held in sorted(ranges.groupBy("_range").count().collect()):  # a row a range
+        places |= {n: (held["_range"], n - before) for n in numbers if before < n <= before + held["count"]}
+        before += held["count"]
+    if not places:
+        return [None] * len(numbers)
+    inside = Window.partitionBy("_range").orderBy(*sort_columns(*keys))
+    near = ranges.where(F.col("_range").isin(*{r for r, _ in places.values()})).withColumn("_number", F.row_number().over(inside))
+    found = near.where(F.struct("_range", "_number").isin(*[F.struct(F.lit(r), F.lit(n)) for r, n in places.values()])).collect()
+    at = {(r["_range"], r["_number"]): r for r in found}
+    return [at[places[n]] if n in places else None for n in numbers]
 
 
 def page_info(df: DataFrame, skip: int = 0, limit: int = 50) -> DataFrame:

@@ -664,16 +664,15 @@ FROM acts, (SELECT CAST(ceil(count(*) / {PAGES}.0) AS BIGINT) AS size FROM acts)
     ),
 )
 def list_pages_by_key(spark, sf_dir):
-    """All pages of a list in mixed order, each found by the last row of the one before; one row a page reaches the driver."""
+    """All pages of a list in mixed order, each found by the last row of the one before; that row and the counts of ranges reach the driver."""
     keys = ("issuer", "-act_date", "act_id")
     acts = order_acts(spark, sf_dir).select("act_id", "issuer", "act_date")
     size = -(-acts.count() // PAGES)
     after, pages = None, []
-    for number in range(PAGES):
-        page = search.page_after(acts, *keys, after=after, limit=size, max_limit=size)
+    for number, last in enumerate(search.rows_at(acts, keys, [size * (n + 1) for n in range(PAGES)])):
+        page = search.page_after(acts, *keys, after=after, last=last, limit=size, max_limit=size)
         pages.append(page.select("act_id", F.lit(number).alias("page")))
-        last = search.ordered(page, *keys).tail(1)
-        if not last:
+        if last is None:
             break
-        after = last[0]
+        after = last
     return functools.reduce(DataFrame.unionByName, pages)
