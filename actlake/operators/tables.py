@@ -150,11 +150,21 @@ def replace_children(children: DataFrame, new: DataFrame, key: str = "act_id") -
     return children.join(parents, key, "left_anti").unionByName(new.select(*children.columns))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` before they are grouped by them.
+
+    A file read in few tasks may hold more groups than a task can keep; where keys hardly repeat, grouping
+    before the shuffle saves nothing either.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def link_pairs(pairs: DataFrame, requested: DataFrame, keys: tuple[str, str]) -> tuple[DataFrame, DataFrame]:
     """(pairs after the change, counts of added and skipped requests)."""
     a, b = keys
-    wanted = requested.groupBy(a, b).agg(F.count("*").alias("_n"))
-    marked = wanted.join(pairs.select(a, b).withColumn("_held", F.lit(True)).distinct(), [a, b], "left")
+    wanted = dealt(requested, a, b).groupBy(a, b).agg(F.count("*").alias("_n"))
+    held = dealt(pairs.select(a, b), a, b).distinct().withColumn("_held", F.lit(True))
+    marked = wanted.join(held, [a, b], "left")
     fresh = marked.where(F.col("_held").isNull())
     added = F.count_if(F.col("_held").isNull())
     counts = marked.agg(added.alias("added"), (F.coalesce(F.sum("_n"), F.lit(0)) - added).alias("skipped"))

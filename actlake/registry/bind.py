@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import vocab
+from ..operators.tables import dealt
 from ..sources.readers import read_table
 
 WS_SQL = "' ' || " + " || ".join(f"chr({ord(c)})" for c in vocab.WHITESPACE if c != " ")
@@ -132,7 +133,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def act_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", F.substring("p_brand", 7, 10).cast("long").alias("category_id"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("act_id"), F.col("l_partkey").alias("p_partkey"))
-    return lines.join(parts, "p_partkey").select("act_id", "category_id").distinct()
+    return dealt(lines.join(parts, "p_partkey").select("act_id", "category_id"), "act_id", "category_id").distinct()
 
 
 # ---------------------------------------------------------------- acts from documents

@@ -2,7 +2,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from actlake.operators import stats, tables
+from actlake.operators import search, stats, tables
 from actlake.plans.handoff import TEXT_MARK, build_prompts, parse_issue_responses, register_issues
 from actlake.plans.views import acts_with_categories, export_package, pending_ai_processing
 from actlake.session import ensure_checkpoint_dir
@@ -165,6 +165,29 @@ def test_pages_by_key(spark):
         assert got == want
 
 
+def test_large_pages_are_not_gathered_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(search, "ONE_TASK", 3)
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 7) for i in range(50)], "id long, v long").repartition(4)
+    for keys in (("v", "-id"), ("-v", "id"), ("<v", "id")):
+        want, got, after = [r.id for r in ordered(df, *keys).collect()], [], None
+        while page := ordered(found := page_after(df, *keys, after=after, limit=12, max_limit=12), *keys).collect():
+            assert "Limit" not in found._jdf.queryExecution().executedPlan().toString()
+            assert len(page) == min(12, 50 - len(got))
+            got, after = got + [r.id for r in page], page[-1]
+        assert got == want
+
+
+def test_pairs_are_grouped_after_they_are_dealt(spark):
+    """No task keeps the groups of a whole file: below the shuffles nothing is aggregated."""
+    pairs, wanted = (spark.range(40).selectExpr(f"id % {n} AS act_id", "id % 3 AS category_id") for n in (4, 9))
+    after, counts = tables.link_pairs(pairs, wanted, ("act_id", "category_id"))
+    assert after.count() == 40 + 5 and [tuple(r) for r in counts.collect()] == [(5, 35)]
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    for below in plan.split("REPARTITION_BY_NUM")[1:]:
+        assert below.lstrip().splitlines()[1].count("Aggregate") == 0
+
+
 def test_cascade_joins_only_named_rows(spark):
     """Rows that vanish meet the table's distinct values first, and only what both have is joined to its rows."""
     acts = spark.range(20).selectExpr("id AS act_id")
