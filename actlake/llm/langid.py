@@ -8,7 +8,7 @@ labelled texts that the centroids were not found from. Length is counted in diff
 length with few such texts also takes those of the shorter ones. Without such texts of its length or less, none is rejected.
 
 The model is fitted to a bounded sample: labelled texts of each language, the first by a hash of the id,
-``PER_LANGUAGE`` for the centroids and a third as many for the reach. Whole texts become vectors in the tasks; the driver gets ``DIMENSIONS`` numbers for each, however long the text is.
+``PER_LANGUAGE`` for the centroids and a third as many for the reach. Whole texts become vectors in the tasks; the driver gets at most ``DIMENSIONS`` numbers for each, however long the text is.
 Prediction reads whole texts, and nothing but texts. Null texts and
 texts without a letter are ``und``, score 0, rejected. Without labelled texts every text is ``und``. Repeated rows and
 ids are kept; an empty table gives an empty result.
@@ -68,6 +68,17 @@ def vectors(texts: list[str]) -> np.ndarray:
     return out
 
 
+_ENTRY = np.dtype([("place", "<u2"), ("value", "<f4")])
+
+
+def _packed(row: np.ndarray) -> bytes:
+    """The entries of a vector that are not 0: a text has few of all n-grams."""
+    places = np.flatnonzero(row)
+    out = np.empty(len(places), dtype=_ENTRY)
+    out["place"], out["value"] = places, row[places]
+    return out.tobytes()
+
+
 def normalised(rows: np.ndarray) -> np.ndarray:
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -119,7 +130,7 @@ def fit(texts: list[str], languages: list[str], clusters: int = CENTROIDS, reach
 
 
 def fit_vectors(rows: np.ndarray, languages: list[str], clusters: int = CENTROIDS, reach: float = REACH) -> Model:
-    """Fit to the ``vectors`` of texts and their languages."""
+    """Fit to the ``vectors`` of texts and their languages. The vectors are overwritten, so that there is one copy of them."""
     labels = np.array(languages, dtype=object)
     names = sorted(set(languages))
     # every fourth text of a language is for the reach
@@ -127,9 +138,10 @@ def fit_vectors(rows: np.ndarray, languages: list[str], clusters: int = CENTROID
     for name in names:
         apart[np.flatnonzero(labels == name)[3::4]] = True
     lengths = length_class(rows)
-    df = (rows[~apart] > 0).sum(axis=0)
+    df = (rows > 0)[~apart].sum(axis=0)
     idf = np.log((1 + np.count_nonzero(~apart)) / (1 + df)).astype(np.float32) + 1
-    rows = normalised(rows * idf)
+    for start in range(0, len(rows), 256):
+        rows[start : start + 256] = normalised(rows[start : start + 256] * idf)
     centroids, owner = [], []
     for number, name in enumerate(names):
         found = spherical_k_means(rows[(labels == name) & ~apart], clusters)
@@ -171,7 +183,7 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [vectors([t])[0].tobytes() for t in batch.column("text").to_pylist()]
+            found = [_packed(vectors([t])[0]) for t in batch.column("text").to_pylist()]
             columns = [batch.column("lang"), batch.column("place"), batch.column("text_md5"), pa.array(found, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "text_md5", "vector"])
 
@@ -179,7 +191,10 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     first = Window.partitionBy("lang").orderBy("place", "text_md5")
     sample = made.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= per_language).select("lang", "n", "vector").collect()
     sample.sort(key=lambda r: (r["lang"], r["n"]))
-    rows_of = np.frombuffer(b"".join(r["vector"] for r in sample), dtype=np.float32).reshape(-1, DIMENSIONS)
+    rows_of = np.zeros((len(sample), DIMENSIONS), dtype=np.float32)
+    for row, r in zip(rows_of, sample, strict=True):
+        found = np.frombuffer(r["vector"], dtype=_ENTRY)
+        row[found["place"]] = found["value"]
     return fit_vectors(rows_of, [r["lang"] for r in sample])
 
 

@@ -2,13 +2,14 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
-from actlake.llm import fingerprint, packing, sharding, tokencount
+from actlake.llm import fingerprint, langid, packing, sharding, tokencount
 from actlake.llm.common import read
 from actlake.llm.tokens import encoder, vocabulary_path
 
@@ -295,3 +296,12 @@ def test_neighbours_are_those_of_plain_bm25():
         scores = [want[d] for d in got]
         assert all(a > b - 1e-4 for a, b in zip(scores, scores[1:]))
     assert index.neighbours(len(documents) - 1, unused).tolist() == [len(documents) - 2]
+
+
+def test_languages_are_fitted_in_one_copy_of_the_vectors():
+    rows = np.random.default_rng(3).random((800, langid.DIMENSIONS), dtype=np.float32)
+    tracemalloc.start()
+    langid.fit_vectors(rows, [str(i % 4) for i in range(len(rows))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < rows.nbytes
