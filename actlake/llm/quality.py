@@ -137,7 +137,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars:
     marks = marks.orderBy("place", "quality").limit(3 * sample)
     texts = docs.filter(F.col("text").isNotNull() & (F.char_length("text") <= chars)).select("doc_id", "text")
     # which marks are in the sample is found without the texts, so that no others reach the driver
-    marks = texts.select("doc_id").join(F.broadcast(marks), "doc_id").orderBy("place", "quality").limit(sample).distinct()
+    first = texts.select("doc_id").join(F.broadcast(marks), "doc_id").orderBy("place", "quality").limit(sample)
+    marks = marks.join(F.broadcast(first.select("doc_id", "quality").distinct()), ["doc_id", "quality"], "left_semi")
     found = texts.join(F.broadcast(marks), "doc_id").orderBy("place", "quality", "text").limit(sample).collect()
     return train([r["text"].encode() for r in found], [r["quality"] for r in found])
 
