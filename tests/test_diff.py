@@ -1,10 +1,11 @@
+import os
 import random
 import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from actlake.functions.similarity import levenshtein_similarity, character_bound, decision, edge_bound, is_significant, similarity
+from actlake.functions.similarity import common_prefix, decided, levenshtein_similarity, character_bound, decision, edge_bound, is_significant, similarity
 from actlake.operators.diff import change_log, diff_articles, diff_summary, next_versions, relabel_payload, relabel_queue
 
 SCHEMA = "act_id long, article_id long, ordinal int, article_number string, text string, issue string, explanation string, article_label string"
@@ -190,3 +191,50 @@ def test_edits_of_long_texts_are_bounded(spark):
     began = time.monotonic()
     assert tuple(far.first()) == ("significant", True)
     assert time.monotonic() - began < 20
+
+
+def edited(chance, a, edits):
+    b = list(a)
+    for _ in range(edits):
+        at = chance.randrange(0, len(b) + 1)
+        b[at : at + chance.randrange(0, 3)] = chance.choice(["", "x", "abc", " "])
+    return "".join(b)
+
+
+def test_many_edits_of_a_long_text_take_few_passes(spark):
+    """Edits that stand apart need no table of both texts, however long these are."""
+    chance = random.Random(3)
+    text = " ".join("".join(chance.choices("abcdefghijklou", k=chance.randrange(2, 9))) for _ in range(10_000))
+    rows = spark.createDataFrame([(text, text.replace("ou", "u"))], "a string, b string")
+    began = time.monotonic()
+    row = rows.select(decided("a", "b").alias("d"), is_significant("a", "b", measure="edits").alias("s")).first()
+    assert (row.d.decision, row.d.edits, row.s) == ("open", text.count("ou"), False) and row.d.edits > 200
+    assert time.monotonic() - began < 15
+
+
+def test_edits_tell_the_side_of_the_threshold(spark):
+    chance = random.Random(11)
+    pairs = []
+    for n in (1, 3, 12, 40, 41, 100, 300):
+        for turn in range(60):
+            a = "".join(chance.choices("abcou é😀", k=n))
+            pairs.append((a, edited(chance, a, turn * n // 600 + turn % 3)))
+            pairs.append((a, a.replace("ou", "u")))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for threshold in (0.6, 0.9, 0.95):
+        exact = (F.col("a") != F.col("b")) & (levenshtein_similarity("a", "b") < threshold)
+        found = df.select("a", "b", decided("a", "b", threshold).alias("d"), decision("a", "b", threshold, plain=True).alias("p"), exact.alias("e"))
+        rows = found.selectExpr("*", f"1 - d.edits / greatest(length(a), length(b)) < {threshold} AS s", "levenshtein(a, b) AS n").collect()
+        assert all(r.d.decision == r.p for r in rows) and {r.p for r in rows} == {"similar", "significant", "open"}
+        assert all(r.s == r.e and r.d.edits >= r.n for r in rows if r.p == "open")
+        assert sum(r.d.edits == r.n for r in rows if r.p == "open") > 20
+
+
+def test_the_edge_bound_is_met_exactly(spark):
+    pairs = [("a" * n + "x" * m, "a" * n + "y" * k) for n in range(0, 60, 3) for m in range(4) for k in range(4)]
+    df = spark.createDataFrame([*pairs, *[(a[::-1], b[::-1]) for a, b in pairs], (None, "a")], "a string, b string")
+    for threshold in (0.5, 0.9, 0.95):
+        by_edge = (F.col("a") != F.col("b")) & (F.length("a") > 0) & (F.length("b") > 0) & (edge_bound("a", "b") >= threshold)
+        rows = df.select((decision("a", "b", threshold) == "similar").alias("d"), (by_edge | (F.col("a") == F.col("b"))).alias("e"), common_prefix("a", "b").alias("n"), "a", "b").collect()
+        assert all(r.d == r.e for r in rows if r.a is not None)
+        assert all(r.n == (None if r.a is None else len(os.path.commonprefix([r.a, r.b]))) for r in rows)
